@@ -88,10 +88,11 @@ class Words:
     end: np.ndarray
     doc: np.ndarray
     hash: np.ndarray  # of the lower-cased word
+    prefix: np.ndarray | None = None  # hashes of its beginnings; 0 where the word is shorter
 
 
-def words(c: Chunk, table: np.ndarray = ALNUM) -> Words:
-    """Maximal runs of bytes in table, A-Z lower-cased; no run crosses documents."""
+def words(c: Chunk, table: np.ndarray = ALNUM, prefixes: tuple[int, ...] = ()) -> Words:
+    """Maximal runs of bytes in table, A-Z lower-cased; no run crosses documents. prefixes: numbers of bytes."""
     low = LOWER[c.data]
     size = len(low)
     inside = np.zeros(size + 2, bool)
@@ -102,8 +103,15 @@ def words(c: Chunk, table: np.ndarray = ALNUM) -> Words:
     end = np.flatnonzero(inside[1:-1] & (~inside[2:] | border[1:])) + 1
     total = np.zeros(size + 1, np.uint64)
     np.cumsum(_BYTE_VALUE[low] * _power("up", MULTIPLIER, size), out=total[1:])
-    h = mix((total[end] - total[start]) * _power("down", _INVERSE, size + 1)[start])
-    return Words(start, end, c.doc_of(start), h)
+    down = _power("down", _INVERSE, size + 1)[start]
+    h = mix((total[end] - total[start]) * down)
+    if not prefixes:
+        return Words(start, end, c.doc_of(start), h)
+    begin = np.zeros((len(start), len(prefixes)), np.uint64)
+    for k, n in enumerate(prefixes):
+        stop = np.minimum(start + n, end)
+        begin[:, k] = np.where(end - start >= n, mix((total[stop] - total[start]) * down + np.uint64(n)), 0)
+    return Words(start, end, c.doc_of(start), h, begin)
 
 
 def per_doc(n: int, doc: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:

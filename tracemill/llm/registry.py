@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracemill.llm import decontaminate, language, simhash
+from tracemill.llm import decontaminate, language, simhash, toxicity
 
-MODULES = (simhash, language, decontaminate)
+MODULES = (simhash, language, toxicity, decontaminate)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
