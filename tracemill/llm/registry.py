@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracemill.llm import decontaminate, language, pii, simhash, toxicity
+from tracemill.llm import decontaminate, language, packing, pii, simhash, toxicity
 
-MODULES = (simhash, language, toxicity, decontaminate, pii)
+MODULES = (simhash, language, toxicity, decontaminate, pii, packing)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
