@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracemill.llm import decontaminate, language, packing, pii, quality, simhash, toxicity
+from tracemill.llm import decontaminate, language, packing, pii, quality, simhash, toxicity, warc
 
-MODULES = (simhash, language, toxicity, decontaminate, quality, pii, packing)
+MODULES = (simhash, language, toxicity, decontaminate, quality, pii, packing, warc)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
