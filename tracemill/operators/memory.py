@@ -45,17 +45,19 @@ class MemoryMap:
         return left if left >= 0 else None
 
 
-def _through(key: tuple, rows: pd.DataFrame, live: pd.DataFrame) -> pd.DataFrame:
-    memory = MemoryMap()
-    for a, s in zip(live["address"], live["size"], strict=True):
-        memory.update(int(a), int(s))
-    out = []
-    for r in rows.sort_values(["counter", "kind", "ord"]).itertuples(index=False):
+def _through(rows: pd.DataFrame, live: pd.DataFrame) -> pd.DataFrame:
+    """Several stretches at once, each from what was live at its beginning."""
+    begins = {key: list(zip(g["address"], g["size"], strict=True)) for key, g in live.groupby(["trace_id", "chunk"])}
+    out, now, memory = [], None, MemoryMap()
+    for r in rows.sort_values(["trace_id", "chunk", "counter", "kind", "ord"]).itertuples(index=False):
+        if (r.trace_id, r.chunk) != now:
+            now, memory = (r.trace_id, r.chunk), MemoryMap()
+            for a, s in begins.get(now, ()):
+                memory.update(int(a), int(s))
         if r.kind == 0:
             memory.update(int(r.address), int(r.size))
         else:
-            left = memory.left_at(int(r.address))
-            out.append((r.trace_id, r.counter, r.ord, r.address, left))
+            out.append((r.trace_id, r.counter, r.ord, r.address, memory.left_at(int(r.address))))
     return pd.DataFrame(out, columns=["trace_id", "counter", "pos", "pointer", "buffer_size"], dtype=object)
 
 
@@ -76,9 +78,11 @@ def pointer_sizes(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
     spans = last.withColumn("next", following).where("size > 0")
     used = pointers.select("trace_id", "chunk").distinct()
     # What is live when a stretch with pointers begins: states set in an earlier stretch and not since.
-    live = spans.withColumnRenamed("chunk", "since").join(used, "trace_id").where("chunk > since and (next is null or chunk <= next)").select("trace_id", "chunk", "address", "size")
+    live = spans.withColumnRenamed("chunk", "since").join(used, "trace_id").where("chunk > since and (next is null or chunk <= next)").select(*(F.col(c).alias(c) for c in ("trace_id", "chunk", "address", "size")))
     kinds = f"trace_id long, counter long, pos int, pointer {NUM.simpleString()}, buffer_size {NUM.simpleString()}"
-    return events.groupBy("trace_id", "chunk").cogroup(live.groupBy("trace_id", "chunk")).applyInPandas(_through, kinds)
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = F.pmod(F.xxhash64("trace_id", "chunk"), F.lit(tasks)).alias("task")
+    return events.groupBy(dealt).cogroup(live.groupBy(dealt)).applyInPandas(_through, kinds)
 
 
 def with_sizes(points: DataFrame, chunk: int = CHUNK) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,4 +73,4 @@ def in_file(statement: Column, file: int, strict: bool = False) -> Column:
 def unsigned(bits: Column) -> Column:
     """The unsigned value of 64 bits kept in a long."""
     wide = bits.cast(NUM)
-    return F.when(bits < 0, (wide + F.lit(1 << 64).cast(NUM)).cast(NUM)).otherwise(wide)
+    return F.when(bits < 0, (wide + F.lit(Decimal(1 << 64)).cast(NUM)).cast(NUM)).otherwise(wide)
