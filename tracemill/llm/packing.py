@@ -12,6 +12,7 @@ share of the rows, and rank k takes the k-th place that the patterns have for th
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,10 +30,14 @@ LENGTH = 4096  # tokens of a sequence
 UNIT = 16  # tokens; lengths are rounded up to it when patterns are made
 CLOSING_ID = 2
 KNOWN_WORDS = 250_000  # words whose ids a worker remembers
+KNOWN_RUNS = 600_000  # runs of letters and digits, or of other signs, likewise
 MAX_COLUMNS = 4000
 GAP = 1e-3  # of the linear program, at which no more columns are asked for
 RANK_ROWS = 100_000  # pieces that are ranked in one bucket
 TOKENIZER = "word_bpe_49k.json"
+# ASCII without ' and controls, and letters of Latin-1: words in which runs can be told by bytes.
+_PLAIN = re.compile(rb"(?:[A-Za-z0-9!-&(-/:-@\[-`{-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_RUN = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff]+")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -45,7 +50,9 @@ class WordIds:
     """Token ids of whole texts, word by word.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its
-    words, end to end; ASCII white space is enough to cut at. Words seen before are looked up.
+    words, end to end; ASCII white space is enough to cut at. It lower-cases, and letters and digits never
+    share a token with other signs, so a plain word is cut further into runs of either kind. Words and runs
+    seen before are looked up; the tables stop growing at a fixed size.
     """
 
     def __init__(self, path: str):
@@ -53,44 +60,74 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.runs: dict[bytes, np.ndarray] = {}
         self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def learn(self, fresh: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)]
-        n = len(self.known)
-        self.known.update(zip(fresh, range(n, n + len(fresh)), strict=True))
-        self.flat = np.concatenate((self.flat, np.array([i for x in found for i in x], np.uint32)))
-        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum([len(x) for x in found], dtype=np.int64)))
+    def _runs(self, fresh: list[bytes]) -> dict[bytes, np.ndarray]:
+        """Ids of plain runs, many at a time; the places of their tokens tell them apart."""
+        out = {}
+        for i in range(0, len(fresh), 2000):
+            part = fresh[i : i + 2000]
+            texts = [w.decode() for w in part]
+            start = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+            e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(e.ids, np.uint32)
+            run = np.searchsorted(start, np.array([a for a, _ in e.offsets], np.int64), "right") - 1
+            cut = np.searchsorted(run, np.arange(1, len(part)))
+            out.update(zip(part, np.split(ids, cut), strict=True))
+        return out
+
+    def _ids(self, fresh: list[bytes]) -> list[np.ndarray]:
+        """Ids of words."""
+        split = [_RUN.findall(w.lower()) if _PLAIN.fullmatch(w) and b"<|" not in w else None for w in fresh]
+        new = list({r for s in split if s is not None for r in s if r not in self.runs})
+        runs = self._runs(new)
+        if len(self.runs) < KNOWN_RUNS:
+            self.runs.update(runs)
+        odd = [w for w, s in zip(fresh, split, strict=True) if s is None]
+        whole = iter([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([w.decode() for w in odd], add_special_tokens=False)])
+        have = self.runs
+        return [next(whole) if s is None else np.concatenate([have[r] if r in have else runs[r] for r in s]) if len(s) > 1 else have[s[0]] if s[0] in have else runs[s[0]] for s in split]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
         words = [w for s in split for w in s]
         codes = list(map(self.known.get, words))
+        flat, first = self.flat, self.first
         if None in codes:
             fresh = list({w for w, c in zip(words, codes, strict=True) if c is None})
-            if len(self.known) > KNOWN_WORDS:
-                self.clear()
-                fresh = list(set(words))
-            self.learn(fresh)
-            codes = list(map(self.known.__getitem__, words))
+            found = self._ids(fresh)
+            flat = np.concatenate((flat, *found))
+            first = np.concatenate((first, first[-1] + np.cumsum([len(x) for x in found], dtype=np.int64)))
+            number = dict(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+            codes = [number[w] if c is None else c for w, c in zip(words, codes, strict=True)]
+            if len(self.known) < KNOWN_WORDS:
+                self.known.update(number)
+                self.flat, self.first = flat, first
         code = np.array(codes, np.int64)
-        size = self.first[code + 1] - self.first[code]
-        ids = self.flat[ranges(self.first[code], size)[1]] if len(code) else np.zeros(0, np.uint32)
+        size = first[code + 1] - first[code]
+        ids = flat[ranges(first[code], size)[1]] if len(code) else np.zeros(0, np.uint32)
         ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum([len(s) for s in split])]
         return np.split(ids, ends[:-1]) if len(ends) else []
 
 
+_coders: dict[str, WordIds] = {}  # of this worker, for all its tasks
+
+
+def coder_of(path: str) -> WordIds:
+    if path not in _coders:
+        _coders[path] = WordIds(path)
+    return _coders[path]
+
+
 def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of every piece. A null text is empty: its only id is the closing one."""
     path = path or tokenizer_path()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(path)
+        coder = coder_of(path)
         for batch in batches:
             for c in chunks(batch.column(1)):
                 who, start, size, crc, total = [], [], [], [], []
