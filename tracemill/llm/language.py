@@ -54,9 +54,11 @@ def ngram_counts(c: Chunk) -> np.ndarray:
 
 def codewords(n: int) -> np.ndarray:
     """n codewords of +1 and -1: all splits for few languages, else random ones far from each other."""
+    if n < 2:
+        return np.zeros((n, 0), np.float32)
     if n <= 6:
-        bits = [[1 if (k >> i) & 1 else -1 for i in range(n)] for k in range(1, 1 << max(n - 1, 0))]
-        return np.array(bits, np.float32).T.reshape(n, -1)
+        bits = [[1 if (k >> i) & 1 else -1 for i in range(n)] for k in range(1, 1 << (n - 1))]
+        return np.array(bits, np.float32).T
     rng = np.random.default_rng(7)
     best, gap = None, -1
     for _ in range(50):
