@@ -38,7 +38,7 @@ class TraceStore:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def points(self) -> DataFrame:
-        rows = self._table("points", S.POINTS.add("block", "long") if "block" not in S.POINTS.names else S.POINTS).drop("block")
+        rows = self._table("points", S.POINTS)
         return rows.where(S.in_file(F.col("statement"), self.file)) if self.file is not None else rows
 
     def traces(self) -> DataFrame:
