@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.plans import predicate as P
@@ -83,6 +83,16 @@ def pick_point(points: DataFrame, seed: int) -> DataFrame:
     return points.join(chosen, ["trace_id", "counter"], "left_semi")
 
 
+def first_points(points: DataFrame, n: int) -> DataFrame:
+    """The first n points of each trace; 0 means all."""
+    if n < 0:
+        raise ValueError("n is 0 or more")
+    if not n:
+        return points
+    rank = F.row_number().over(Window.partitionBy("trace_id").orderBy("counter"))
+    return points.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+
+
 def query(
     points: DataFrame,
     var_names: Sequence[str] = (),

@@ -16,8 +16,9 @@ from tracemill.plans import predicate as P
 from tracemill.plans import schema as S
 from tracemill.scratch import scratch_dir
 from tracemill.sources import files
-from tracemill.sources.adapters import EVENT_FILES, events_as_points
+from tracemill.sources.adapters import EVENT_FILES, as_text, events_as_points, inferred_formats
 from tracemill.streaming import ingest
+from tracemill.streaming.memory import stream_pointer_sizes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -264,19 +265,47 @@ def sexp_scan(spark, sf_dir):
     return found.select(F.col("source").cast("long").alias("counter"), S.file_id(s).alias("file_id"), S.stmt_id(s).alias("stmt_id"), v[0]["num"].cast("long").alias("k"), v[1]["dbl"].alias("value"), F.col("aux")[0].alias("aux"))
 
 
-@_register("stream_bind", _bind_sql([INT], "v0.num > 90"))
-def stream_bind(spark, sf_dir):
-    """A binding query over the events as a stream, run until nothing is left."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
+def _streamed(spark: SparkSession, sf_dir: str, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """f over the events as a stream of points, run until nothing is left."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")  # a pattern, as the table may be a file or a folder
-    found = binding.flat(ingest.stream_query(events_as_points(arriving), ["a"], [INT], predicate=(">", V("a"), 90)), 1)
-    out = scratch_dir(spark)
+    found, out = f(events_as_points(arriving)), scratch_dir(spark)
     run = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(found.schema).parquet(out)
 
 
+@_register("stream_bind", _bind_sql([INT], "v0.num > 90"))
+def stream_bind(spark, sf_dir):
+    """A binding query over a stream."""
+    return _streamed(spark, sf_dir, lambda points: binding.flat(ingest.stream_query(points, ["a"], [INT], predicate=(">", V("a"), 90)), 1))
+
+
+@_register("stream_memory", ORACLES["memory_map"])
+def stream_memory(spark, sf_dir):
+    """Pointer sizes over a stream, with allocations as state."""
+    found = _streamed(spark, sf_dir, stream_pointer_sizes)
+    return found.select("trace_id", "counter", F.col("pointer").cast("long").alias("pointer"), F.col("buffer_size").cast("long").alias("buffer_size"))
+
+
+@_register("max_points", f"WITH {_EV} SELECT trace_id, counter, stmt_id FROM ev QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY counter) <= 5")
+def max_points(spark, sf_dir):
+    return binding.first_points(_points(spark, sf_dir), 5).select("trace_id", "counter", S.stmt_id(F.col("statement")).alias("stmt_id"))
+
+
+@_register("inferred_formats", f"WITH {_EV}, {_VARS} SELECT type, CASE WHEN bool_or(num < 0) THEN 'SIGNED' ELSE 'UNSIGNED' END AS format FROM vars WHERE num IS NOT NULL GROUP BY type")
+def inferred(spark, sf_dir):
+    values = _points(spark, sf_dir).select(F.explode("vars").alias("v")).select("v.type", "v.num").where("num is not null")
+    return inferred_formats(values)
+
+
+@_register("text_dump", f"WITH {_EV}, {_VARS} SELECT trace_id, counter, file_id || ':' || stmt_id || ' ' || string_agg(name || ' ' || type || '=' || num, ' ' ORDER BY pos) AS line FROM vars WHERE num IS NOT NULL GROUP BY trace_id, counter, file_id, stmt_id")
+def text_dump(spark, sf_dir):
+    """Points as lines; without floats, whose texts differ from engine to engine."""
+    points = _points(spark, sf_dir)
+    return as_text(points.withColumn("vars", F.filter("vars", lambda v: v["num"].isNotNull())))
+
+
 #: Type strings made of the rows of part.
 _BASES = ("int", "const char", "unsigned long int", "static volatile double", "std::string", "struct_t")
 _TYPE_SQL = "repeat('*', CAST(p_partkey % 3 AS INTEGER)) || CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '[]' ELSE '[' || p_size || ']' END || CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN '{b}'" for i, b in enumerate(_BASES)) + " END"

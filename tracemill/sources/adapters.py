@@ -57,3 +57,16 @@ def events_as_points(events: DataFrame) -> DataFrame:
         ).alias("vars"),
         F.array(F.col("event_id") * 100).alias("aux"),
     )
+
+
+def inferred_formats(values: DataFrame) -> DataFrame:
+    """values: type, num -> type and format of integers given without one: SIGNED if any value of the type is negative."""
+    return values.groupBy("type").agg(F.when(F.bool_or(F.col("num") < 0), "SIGNED").otherwise("UNSIGNED").alias("format"))
+
+
+def as_text(points: DataFrame) -> DataFrame:
+    """trace_id, counter and a line for reading: "file:node name type=value ..."; blobs in hexadecimal."""
+    place = F.concat_ws(":", S.file_id(F.col("statement")).cast("string"), S.stmt_id(F.col("statement")).cast("string"))
+    value = lambda v: F.coalesce(v["num"].cast("string"), v["dbl"].cast("string"), F.hex(v["blob"]))
+    each = F.transform("vars", lambda v: F.concat(v["name"], F.lit(" "), v["type"], F.lit("="), value(v)))
+    return points.select("trace_id", "counter", F.concat_ws(" ", place, F.array_join(each, " ")).alias("line"))
