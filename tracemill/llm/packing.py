@@ -16,6 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -29,14 +30,15 @@ from tracemill.llm._text import chunks, ranges
 LENGTH = 4096  # tokens of a sequence
 UNIT = 16  # tokens; lengths are rounded up to it when patterns are made
 CLOSING_ID = 2
-KNOWN_WORDS = 250_000  # words whose ids a worker remembers
+KNOWN_WORDS = 400_000  # words whose ids a worker remembers
 KNOWN_RUNS = 600_000  # runs of letters and digits, or of other signs, likewise
 MAX_COLUMNS = 4000
 GAP = 1e-3  # of the linear program, at which no more columns are asked for
-RANK_ROWS = 100_000  # pieces that are ranked in one bucket
+RANK_ROWS = 10_000  # pieces that are ranked in one bucket
 TOKENIZER = "word_bpe_49k.json"
 # ASCII without ' and controls, and letters of Latin-1: words in which runs can be told by bytes.
-_PLAIN = re.compile(rb"(?:[A-Za-z0-9!-&(-/:-@\[-`{-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_PLAIN = bytes(sorted({*range(33, 127)} - {39})) + bytes([0xC3]) + bytes(range(0x80, 0xC0))
+_ODD = (b"<|", b"\xc3\x97", b"\xc3\xb7")  # might begin a special token; the signs among those letters
 _RUN = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff]+")
 
 
@@ -61,10 +63,10 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, int] = {}
-        self.runs: dict[bytes, np.ndarray] = {}
+        self.runs: dict[bytes, tuple[int, ...]] = {}
         self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _runs(self, fresh: list[bytes]) -> dict[bytes, np.ndarray]:
+    def _runs(self, fresh: list[bytes]) -> dict[bytes, tuple[int, ...]]:
         """Ids of plain runs, many at a time; the places of their tokens tell them apart."""
         out = {}
         for i in range(0, len(fresh), 2000):
@@ -72,40 +74,44 @@ class WordIds:
             texts = [w.decode() for w in part]
             start = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
             e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ids = np.array(e.ids, np.uint32)
+            ids = e.ids
             run = np.searchsorted(start, np.array([a for a, _ in e.offsets], np.int64), "right") - 1
-            cut = np.searchsorted(run, np.arange(1, len(part)))
-            out.update(zip(part, np.split(ids, cut), strict=True))
+            cut = np.searchsorted(run, np.arange(len(part) + 1)).tolist()
+            out.update((w, tuple(ids[a:b])) for w, a, b in zip(part, cut, cut[1:], strict=False))
         return out
 
-    def _ids(self, fresh: list[bytes]) -> list[np.ndarray]:
+    def _ids(self, fresh: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of words."""
-        split = [_RUN.findall(w.lower()) if _PLAIN.fullmatch(w) and b"<|" not in w else None for w in fresh]
-        new = list({r for s in split if s is not None for r in s if r not in self.runs})
-        runs = self._runs(new)
-        if len(self.runs) < KNOWN_RUNS:
-            self.runs.update(runs)
-        odd = [w for w, s in zip(fresh, split, strict=True) if s is None]
-        whole = iter([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([w.decode() for w in odd], add_special_tokens=False)])
+        split = [[w.lower()] if w.isalnum() else None if w.translate(None, _PLAIN) or any(x in w for x in _ODD) else _RUN.findall(w.lower()) for w in fresh]
         have = self.runs
-        return [next(whole) if s is None else np.concatenate([have[r] if r in have else runs[r] for r in s]) if len(s) > 1 else have[s[0]] if s[0] in have else runs[s[0]] for s in split]
+        runs = self._runs(list({r for s in split if s is not None for r in s if r not in have}))
+        if len(have) < KNOWN_RUNS:
+            have.update(runs)
+        else:
+            runs.update((r, have[r]) for s in split if s is not None for r in s if r in have)
+            have = runs
+        odd = [w for w, s in zip(fresh, split, strict=True) if s is None]
+        whole = iter([tuple(e.ids) for e in self.tokenizer.encode_batch([w.decode() for w in odd], add_special_tokens=False)])
+        return [next(whole) if s is None else have[s[0]] if len(s) == 1 else sum((have[r] for r in s), ()) for s in split]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
-        words = [w for s in split for w in s]
-        codes = list(map(self.known.get, words))
+        words = list(chain.from_iterable(split))
+        code = np.array(list(map(self.known.get, words, repeat(-1))), np.int64)
         flat, first = self.flat, self.first
-        if None in codes:
-            fresh = list({w for w, c in zip(words, codes, strict=True) if c is None})
+        miss = np.flatnonzero(code < 0).tolist()
+        if miss:
+            missed = [words[i] for i in miss]
+            fresh = list(set(missed))
             found = self._ids(fresh)
-            flat = np.concatenate((flat, *found))
-            first = np.concatenate((first, first[-1] + np.cumsum([len(x) for x in found], dtype=np.int64)))
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.concatenate((flat, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))))
+            first = np.concatenate((first, first[-1] + np.cumsum(size)))
             number = dict(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-            codes = [number[w] if c is None else c for w, c in zip(words, codes, strict=True)]
+            code[miss] = [number[w] for w in missed]
             if len(self.known) < KNOWN_WORDS:
                 self.known.update(number)
                 self.flat, self.first = flat, first
-        code = np.array(codes, np.int64)
         size = first[code + 1] - first[code]
         ids = flat[ranges(first[code], size)[1]] if len(code) else np.zeros(0, np.uint32)
         ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum([len(s) for s in split])]
