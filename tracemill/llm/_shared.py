@@ -35,13 +35,13 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
-def bounded_sample(rows: DataFrame, by: str, bound: int, id_col: str = "doc_id") -> DataFrame:
-    """About bound rows of each value of by (all, where there are fewer), chosen by a hash of the id.
+def bounded_sample(rows: DataFrame, by: str, bound: int, id_col: str = "doc_id", most: int = 100) -> DataFrame:
+    """About bound rows of each of the most frequent values of by (all, where there are fewer), chosen by a hash of the id.
 
     The sizes of the classes come from one aggregation; the choice itself is a narrow filter.
     """
     rows = rows.where(F.col(by).isNotNull() & F.col(id_col).isNotNull())
-    counts = rows.groupBy(by).count().collect()
+    counts = rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(most).collect()
     if not counts:
         return rows.limit(0)
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)

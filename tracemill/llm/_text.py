@@ -61,8 +61,8 @@ class Chunk:
         return np.searchsorted(self.offs, at, "right") - 1
 
 
-def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """A text column in pieces of about most bytes, without copying or decoding."""
+def chunks(column: pa.Array, most: int = CHUNK_BYTES, rows: int = 1 << 20) -> Iterator[Chunk]:
+    """A text column in pieces of about most bytes and at most so many rows, without copying or decoding."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
@@ -77,7 +77,7 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[Chunk]:
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + rows)
         yield Chunk(i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], null[i:j])
         i = j
 

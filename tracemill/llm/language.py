@@ -27,8 +27,9 @@ SAMPLE_PER_LANG = 400
 MAX_SAMPLE = 4000
 BITS = 63  # of random codes, for more than six languages
 STEPS = 200
+MAX_LANGS = 500  # rarer languages aren't learnt
 AMBIGUOUS = 0.2
-CHUNK = 1 << 20
+CHUNK = 1 << 20, 400  # bytes and rows whose counts are held at once
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -116,11 +117,11 @@ def fit(docs: DataFrame, train_rows: Column, lang: str = "lang", text: str = "te
     """A model of docs' rows for which train_rows holds and whose text and lang aren't null."""
     rows = docs.where(train_rows).where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col("doc_id"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
     n = rows.select("l").distinct().count()
-    sample = bounded_sample(rows, "l", max(2, min(per_lang, MAX_SAMPLE // max(n, 1))))
+    sample = bounded_sample(rows, "l", max(2, min(per_lang, MAX_SAMPLE // max(n, 1))), most=MAX_LANGS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in chunks(batch.column(0), CHUNK):
+            for c in chunks(batch.column(0), *CHUNK):
                 x = ngram_counts(c).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).slice(c.first, c.n)], ["x", "l"])
 
@@ -143,7 +144,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
         m = sent.value
         for batch in batches:
             langs, scores, flags = [], [], []
-            for c in chunks(batch.column(n), CHUNK):
+            for c in chunks(batch.column(n), *CHUNK):
                 k, p, lead = m.decode(ngram_counts(c))
                 known = [bool(m.langs) and bool(_LETTER.search(c.text(i).decode())) for i in range(c.n)]
                 langs += [m.langs[j] if ok else UNDETERMINED for j, ok in zip(k, known, strict=True)]
