@@ -144,3 +144,43 @@ def test_strings_and_names(spark):
     assert [check(C.is_string, t) for t in ("*char", "[9]const char", "*[9]char", "char", "std::string", "*string")] == [True, True, False, False, True, False]
     assert check(lambda c: C.type_format(c, True), "*char") == "BLOB" and check(lambda c: C.type_size(c, True), "*char") == 0
     assert [check(C.is_traceable_name, n) for n in ("x", "_y1", "1z", "__attribute__", "a.b")] == [True, True, False, False, False]
+
+
+def test_data_source(spark, tmp_path):
+    from tracemill.plans.schema import POINTS
+    from tracemill.sources import datasource
+
+    rows = [files._row("s", i, p) for i, p in enumerate(codec.decode(codec.encode(sample()), memory_map=False)[1])]
+    one = spark.createDataFrame([tuple(r.values()) for r in rows], files.DECODED)
+    df = one.withColumn("trace_id", F.lit(1).cast("long")).union(one.withColumn("trace_id", F.lit(2).cast("long"))).select(*POINTS.names)
+    path = str(tmp_path / "traces")
+    datasource.write_traces(df, path)
+    back = spark.read.format("bintrace").option("memory_map", "false").load(path)
+    assert back.select("source").distinct().count() == 2 and back.count() == 20
+    keep = ("counter", "statement", "sizes", "vars", "aux")
+    assert sorted(map(str, back.select(*keep).collect())) == sorted(map(str, df.select(*keep).collect()))
+    datasource.write_traces(df.where("trace_id = 2"), path, overwrite=True)
+    (tmp_path / "traces/bad.trace").write_bytes(b"x")
+    skipped = spark.read.format("bintrace").options(path=path, on_error="skip", max_points=4).load()
+    assert skipped.where("error is null").count() == 4 and skipped.where("error is not null").count() == 1
+
+
+def test_stream_state(spark, tmp_path):
+    """Allocations of one file of a stream are known to the next."""
+    from decimal import Decimal
+
+    from tracemill.plans.schema import POINTS
+    from tracemill.streaming.memory import stream_pointer_sizes
+
+    def point(counter, pointer, sizes):
+        v = (0, "p", "*void", "POINTER", 8, Decimal(pointer), None, None, None)
+        return (1, counter, 1, [(Decimal(a), Decimal(s)) for a, s in sizes], [v], [])
+
+    src = str(tmp_path / "in")
+    for c, (p, sizes) in enumerate([(15, [(10, 8)]), (16, []), (10, [(10, 0)])]):
+        spark.createDataFrame([point(c, p, sizes)], POINTS).coalesce(1).write.mode("append").parquet(src)
+    found = stream_pointer_sizes(spark.readStream.schema(POINTS).option("maxFilesPerTrigger", 1).parquet(src))
+    run = found.writeStream.format("memory").queryName("left").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = {r.counter: r.buffer_size for r in spark.table("left").collect()}
+    assert {k: None if v is None else int(v) for k, v in got.items()} == {0: 3, 1: 2, 2: None}

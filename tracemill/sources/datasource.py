@@ -1,0 +1,145 @@
+"""spark.read.format("bintrace") and df.write.format("bintrace"): binary traces in a folder that all executors mount.
+
+For stores that only Spark reaches, sources.files reads by way of binaryFile.
+"""
+
+from __future__ import annotations
+
+import glob
+import os
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.types import StructType
+
+from tracemill.plans.schema import POINTS
+from tracemill.sources import codec
+from tracemill.sources.files import DECODED, _row
+
+SUFFIX = ".trace"
+
+
+class TraceSource(DataSource):
+    """Options: path (file, folder or pattern), max_points (0: all), on_error (raise or skip), memory_map (true or false)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "bintrace"
+
+    def schema(self) -> StructType:
+        return DECODED
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _Reader(dict(self.options))
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        missing = set(POINTS.names) - set(schema.names)
+        if missing:
+            raise ValueError(f"points need columns {sorted(missing)}")
+        return _Writer(dict(self.options)["path"], overwrite)
+
+
+@dataclass
+class _File(InputPartition):
+    path: str
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.path = options["path"].removeprefix("file://")
+        self.max_points = int(options.get("max_points", 0))
+        self.skip = {"raise": False, "skip": True}[options.get("on_error", "raise")]
+        self.memory_map = options.get("memory_map", "true").lower() == "true"
+        if self.max_points < 0:
+            raise ValueError("max_points is 0 or more")
+
+    def partitions(self) -> list[_File]:
+        found = glob.glob(f"{self.path}/*{SUFFIX}") if os.path.isdir(self.path) else glob.glob(self.path)
+        return [_File(f) for f in sorted(found)] or [_File("")]
+
+    def read(self, partition: _File) -> Iterator[tuple]:
+        if not partition.path:
+            return
+        with open(partition.path, "rb") as f:
+            data = f.read()
+        try:
+            points = codec.decode(data, self.max_points, self.memory_map)[1]
+        except codec.TraceError as e:
+            if not self.skip:
+                raise
+            yield (partition.path, None, None, None, None, None, str(e))
+            return
+        for i, p in enumerate(points):
+            r = _row(partition.path, i, p)
+            yield (r["source"], r["counter"], r["statement"], [Row(**s) for s in r["sizes"]], [Row(**v) for v in r["vars"]], r["aux"], None)
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    files: list[tuple[str, str]]  # temporary and final names
+
+
+class _Writer(DataSourceWriter):
+    """A file for each trace and task; names become final only when all tasks are done."""
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite, self.job = path.removeprefix("file://"), overwrite, uuid.uuid4().hex[:12]
+
+    def write(self, rows: Iterator[Row]) -> _Written:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        os.makedirs(self.path, exist_ok=True)
+        done, now, points = [], None, []
+
+        def close() -> None:
+            if points:
+                final = f"{self.path}/{now}-{task.partitionId():05d}-{self.job}{SUFFIX}"
+                temporary = f"{final}.{task.taskAttemptId()}.tmp"
+                with open(temporary, "wb") as f:
+                    f.write(codec.encode(points))
+                done.append((temporary, final))
+                points.clear()
+
+        for r in rows:
+            if r["trace_id"] != now:
+                close()
+                now = r["trace_id"]
+            points.append(_point(r))
+        close()
+        return _Written(done)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        before = glob.glob(f"{self.path}/*{SUFFIX}") if self.overwrite else []
+        for m in messages:
+            for temporary, final in m.files if m else ():
+                os.replace(temporary, final)
+        for f in before:
+            os.remove(f)
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        for m in messages:
+            for temporary, _ in m.files if m else ():
+                if os.path.exists(temporary):
+                    os.remove(temporary)
+
+
+def _point(r: Row) -> codec.Point:
+    statement = None if r["statement"] is None else r["statement"] % (1 << 64)
+    value = lambda v: v["blob"] if v["format"] == "BLOB" else v["dbl"] if v["format"] == "FLOAT" else int(v["num"])
+    vars_ = [codec.Variable(v["name"], v["type"], v["format"], v["size"], bytes(value(v)) if v["format"] == "BLOB" else value(v)) for v in r["vars"] or ()]
+    return codec.Point(statement, [(int(s["address"]), int(s["size"])) for s in r["sizes"] or ()], vars_, [a % (1 << 64) for a in r["aux"] or ()])
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(TraceSource)
+
+
+def write_traces(points: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A file for each trace of points (schema POINTS), its points in order."""
+    register(points.sparkSession)
+    ordered = points.select(*POINTS.names).repartition("trace_id").sortWithinPartitions("trace_id", "counter")
+    ordered.write.format("bintrace").mode("overwrite" if overwrite else "append").save(path)
