@@ -77,8 +77,12 @@ def pointer_sizes(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
     following = F.lead("chunk").over(Window.partitionBy("trace_id", "address").orderBy("chunk"))
     spans = last.withColumn("next", following).where("size > 0")
     used = pointers.select("trace_id", "chunk").distinct()
-    # What is live when a stretch with pointers begins: states set in an earlier stretch and not since.
-    live = spans.withColumnRenamed("chunk", "since").join(used, "trace_id").where("chunk > since and (next is null or chunk <= next)").select(*(F.col(c).alias(c) for c in ("trace_id", "chunk", "address", "size")))
+    # What is live when a stretch with pointers begins: states set in an earlier stretch and not since. Each state
+    # is spread over the stretches it lasts for, which keeps a long trace from meeting itself in one task.
+    end = used.groupBy("trace_id").agg(F.max("chunk").alias("end"))
+    lasting = spans.join(end, "trace_id").withColumn("until", F.least(F.coalesce("next", "end"), "end")).where("chunk < until")
+    lasting = lasting.select("trace_id", "address", "size", F.explode(F.sequence(F.col("chunk") + 1, F.col("until"))).alias("chunk"))
+    live = lasting.join(used, ["trace_id", "chunk"], "left_semi").select(*(F.col(c).alias(c) for c in ("trace_id", "chunk", "address", "size")))
     kinds = f"trace_id long, counter long, pos int, pointer {NUM.simpleString()}, buffer_size {NUM.simpleString()}"
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = F.pmod(F.xxhash64("trace_id", "chunk"), F.lit(tasks)).alias("task")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import ctypes as C
@@ -207,18 +207,18 @@ def memory_map(spark, sf_dir):
 )
 def memory_free(spark, sf_dir):
     """Of each address how many pointers came after it was first allocated or freed, and after it was last freed."""
-    points = _points(spark, sf_dir)
-    allocs = points.select("trace_id", F.col("counter").alias("since"), F.explode("sizes").alias("a")).select("trace_id", "since", "a.address", "a.size")
+    place = F.row_number().over(_window("trace_id", order="counter")) - 1
+    points = _points(spark, sf_dir).select("trace_id", "sizes", place.alias("since"), F.count("*").over(_window("trace_id")).alias("n"))
+    allocs = points.select("trace_id", "since", "n", F.explode("sizes").alias("a")).select("trace_id", "since", "n", "a.address", "a.size")
     until = F.lead("since").over(_window("trace_id", "address", order="since"))
-    spans = allocs.withColumn("until", until)
-    found = points.select("trace_id", "counter").join(spans, "trace_id").where("since <= counter and (until is null or counter < until)")
-    return found.groupBy("trace_id", F.col("address").cast("long").alias("address")).agg(F.count("*").alias("pointers"), F.count_if(F.col("size") == 0).alias("freed"))
-
+    spans = allocs.withColumn("pointers", F.coalesce(until, F.col("n")) - F.col("since"))
+    freed = F.sum(F.when(F.col("size") == 0, F.col("pointers")).otherwise(0))
+    return spans.groupBy("trace_id", F.col("address").cast("long").alias("address")).agg(F.sum("pointers").alias("pointers"), freed.alias("freed"))
 
-def _window(*by: str, order: str):
-    from pyspark.sql import Window
 
-    return Window.partitionBy(*by).orderBy(order)
+def _window(*by: str, order: str | None = None):
+    w = Window.partitionBy(*by)
+    return w.orderBy(order) if order else w
 
 
 @_register("var_size", f"WITH {_EV}, {_VARS}, {_SIZED} SELECT trace_id, counter, CAST(num AS BIGINT) AS pointer, CAST(room AS BIGINT) AS room FROM sized WHERE room > 40")
