@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20  # texts worked on at once; a longer text is a chunk of its own
+CHUNK_BYTES = 2 << 20  # texts worked on at once; a longer text is a chunk of its own
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -30,8 +30,8 @@ from tracemill.llm._text import chunks, ranges
 LENGTH = 4096  # tokens of a sequence
 UNIT = 16  # tokens; lengths are rounded up to it when patterns are made
 CLOSING_ID = 2
-KNOWN_WORDS = 400_000  # words whose ids a worker remembers
-KNOWN_RUNS = 600_000  # runs of letters and digits, or of other signs, likewise
+KNOWN_WORDS = 300_000  # words whose ids a worker remembers
+KNOWN_RUNS = 400_000  # runs of letters and digits, or of other signs, likewise
 MAX_COLUMNS = 4000
 GAP = 1e-3  # of the linear program, at which no more columns are asked for
 RANK_ROWS = 10_000  # pieces that are ranked in one bucket
@@ -63,10 +63,10 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, int] = {}
-        self.runs: dict[bytes, tuple[int, ...]] = {}
+        self.runs: dict[bytes, bytes] = {}  # ids as 32-bit integers, which take less room than objects
         self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _runs(self, fresh: list[bytes]) -> dict[bytes, tuple[int, ...]]:
+    def _runs(self, fresh: list[bytes]) -> dict[bytes, bytes]:
         """Ids of plain runs, many at a time; the places of their tokens tell them apart."""
         out = {}
         for i in range(0, len(fresh), 2000):
@@ -74,13 +74,13 @@ class WordIds:
             texts = [w.decode() for w in part]
             start = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
             e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ids = e.ids
+            ids = np.array(e.ids, np.uint32).tobytes()
             run = np.searchsorted(start, np.array([a for a, _ in e.offsets], np.int64), "right") - 1
-            cut = np.searchsorted(run, np.arange(len(part) + 1)).tolist()
-            out.update((w, tuple(ids[a:b])) for w, a, b in zip(part, cut, cut[1:], strict=False))
+            cut = (4 * np.searchsorted(run, np.arange(len(part) + 1))).tolist()
+            out.update((w, ids[a:b]) for w, a, b in zip(part, cut, cut[1:], strict=False))
         return out
 
-    def _ids(self, fresh: list[bytes]) -> list[tuple[int, ...]]:
+    def _ids(self, fresh: list[bytes]) -> list[bytes]:
         """Ids of words."""
         split = [[w.lower()] if w.isalnum() else None if w.translate(None, _PLAIN) or any(x in w for x in _ODD) else _RUN.findall(w.lower()) for w in fresh]
         have = self.runs
@@ -91,8 +91,8 @@ class WordIds:
             runs.update((r, have[r]) for s in split if s is not None for r in s if r in have)
             have = runs
         odd = [w for w, s in zip(fresh, split, strict=True) if s is None]
-        whole = iter([tuple(e.ids) for e in self.tokenizer.encode_batch([w.decode() for w in odd], add_special_tokens=False)])
-        return [next(whole) if s is None else have[s[0]] if len(s) == 1 else sum((have[r] for r in s), ()) for s in split]
+        whole = iter([np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch([w.decode() for w in odd], add_special_tokens=False)])
+        return [next(whole) if s is None else have[s[0]] if len(s) == 1 else b"".join([have[r] for r in s]) for s in split]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
@@ -104,8 +104,8 @@ class WordIds:
             missed = [words[i] for i in miss]
             fresh = list(set(missed))
             found = self._ids(fresh)
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.concatenate((flat, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))))
+            size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            flat = np.concatenate((flat, np.frombuffer(b"".join(found), np.uint32)))
             first = np.concatenate((first, first[-1] + np.cumsum(size)))
             number = dict(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
             code[miss] = [number[w] for w in missed]
