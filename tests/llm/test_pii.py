@@ -91,3 +91,28 @@ def test_redaction(spark):
     assert not plain(out[4].text) and pii.redact(docs).columns == docs.columns
     cut = "card 4111111111111111 123.5.6.7"  # one number by its digits, until the address goes
     assert [k for _, k, _ in plain(cut)] == [1] and pii.clean_text(cut, plain(cut)) == "card [CARD] [IP]"
+
+
+PLAIN = "The quick brown fox jumped over the lazy dog and went home at night to eat some bread with butter. "
+
+
+def test_labelled_spans_in_long_texts(spark, tmp_path):
+    """Every labelled span without a base span in it is found by the query and masked, also those without a digit or @."""
+    docs, want = [], {}
+    for line in pii.LABELLED:
+        text = pii._MARK.sub(lambda m: m[2], line)
+        marked = [(m[1], m[2]) for m in pii._MARK.finditer(line)]
+        if marked and not plain(text):
+            want[len(docs)] = [f"{k}:{30 * len(PLAIN) + text.index(s)}:{30 * len(PLAIN) + text.index(s) + len(s)}" for k, s in marked]
+            docs.append((len(docs), PLAIN * 30 + text + "\n" + PLAIN * 30))
+    docs += [(1000, PLAIN * 60), (1001, "at"), (1002, "AT noon, look at the dot"), (1003, "écrire à info (AT) example (DOT) com é")]
+    df = documents(spark, docs)
+    got = {r.doc_id: r.spans for r in pii.op8_pii(spark, write_tables(tmp_path, documents=df)).collect()}
+    missed = [docs[i][1].strip(PLAIN) for i, w in want.items() if got[i] != ",".join(w)]
+    assert len(want) >= 20 and len(missed) <= 0.05 * len(want), missed
+    spelled = [i for i in want if "@" not in docs[i][1] and not any(c.isdigit() for c in docs[i][1])]
+    assert len(spelled) >= 10 and all(got[i] == ",".join(want[i]) for i in spelled)
+    assert [got[i] for i in (1000, 1001, 1002, 1003)] == ["", "", "", "email:9:36"]
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    for i in spelled:
+        assert "[EMAIL]" in clean[i] and not pii._SPELLED.search(clean[i])

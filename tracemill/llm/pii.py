@@ -4,9 +4,10 @@ The patterns (e-mail, IP address, card, phone) give the base spans. The random f
 miss: telephone numbers without a plus, addresses spelled with "at", keys and tokens. Its features are the
 shapes of a word and its neighbours and the words themselves, hashed; it is trained on LABELLED by
 gradients of the exact likelihood and decoded by Viterbi in numpy batches. It reads stretches of REACH
-words around each digit and @ (a span without either is never reported), and keeps a span only if the best
-path beats the same path without it by MARGIN and it looks like its kind (has an @ or "at", the digits of
-a telephone number, or a long word of letters and digits). Added spans that meet a base span are dropped.
+words around each digit, @ and word "at" or "dot" (a span of its kinds holds one of them), and keeps a span only
+if the best path beats the same path without it by MARGIN and it looks like its kind (has an @, or "at" and a dot
+between its words, the digits of a telephone number, or a long word of letters and digits). Added spans that meet a
+base span are dropped.
 
 Offsets are code points, ends exclusive.
 """
@@ -23,13 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm._text import chunks
+from tracemill.llm._text import ALNUM, LOWER, chunks
 
 KINDS = ("email", "ip", "card", "phone", "secret")  # base kinds first; ties of start are listed in this order
 BASE = KINDS[:4]
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 FEATURES = 1 << 13
-REACH = 8  # words on either side of a digit or @
+REACH = 8  # words on either side of a digit, @, "at" or "dot"
 LONGEST = 256  # words decoded as one sequence
 MARGIN = 3.0
 
@@ -90,6 +91,42 @@ du éque 1219538112535716 des les leur.
 inen erst. 7086638319846192 Hehe anon, of thent
 lich die, 4 der und 17 zu den, in von ach
 the entere, onth 250 words and, after that, 12 more.
+they had bread with butter. Then I wrote to [email anna.lee at company dot org] and waited for her.
+we went home early. Please write to [email peter at web dot de] The office opens later in the week.
+it was a long day. For help mail [email sales (at) acme (dot) co (dot) uk] The brown fox slept.
+in the evening we ate. Ask [email info [at] firma [dot] net] and they will tell you more about it.
+he said so, and [email jane dot doe at uni dot edu] is my address. The rest is below.
+questions? [email support AT widgets DOT com] is read by all of us.
+the fence was low. Her address is [email tom_b (at) post (dot) fr], as you know.
+and then we left. Reach me under [email kim at mail.example.com] or by letter.
+for all of it. contact [email lars-n at example dot org] now. The dog was lazy.
+they ate bread with butter. Tel: [phone 555 204 7713] The brown fox slept in the sun.
+we went home. phone: [phone 020 8123 4567] The office is closed.
+they ate bread with butter. api_key: [secret 1c9d5e7fa2b34860d9e8f7a6b5c4d3e2] The brown fox slept.
+we went home. password: [secret p4Zt83mW9rKv27] The office is closed.
+comments? [email office at hill dot co dot uk] please
+[email maria_s at mail dot com] is my address
+[email hans at netz dot de] The quick fox jumped.
+[email jim.p at college dot edu], [email ann at site dot org] and [email li (at) corp (dot) com]
+you may reach [email ed at short dot io]. We answer soon.
+[email press at news dot tv]
+send it all to [email orders at shop dot co dot nz] thanks
+the author, [email wei-lin at lab dot ac dot uk], wrote this.
+mail [email dan at sub.domain.org] or [email zoe at example.net] for it
+the brown fox met the dog at noon and went home at night to eat.
+we met at the station. Look at the dot on the map at left.
+she was good at maths, at least at school, and at home too.
+students at Harvard wrote to the dean at once. At first nobody knew.
+at the end of the decade the dot com bubble burst at last.
+contact them at the office or write to me at any time of the day.
+my email is at home. Mail us at the address below, or ask at reception.
+he works at Google. They stared at her, at sea and at war.
+polka dot dresses were sold at auction at a price.
+they laughed at red dot sights and at polka dot patterns of old.
+of that thent erin at inea, eren was at andth. Thon at erhe
+ondth at ingtion is of at anent, the thwh heat at. Reati
+den at lich, la at eaux. At onter eron at thing
+he arrived at example.com late, and looked at page.html at work.
 """.strip().split("\n")
 
 _MARK = re.compile(r"\[(email|ip|card|phone|secret) ((?:[^\[\]]|\[\w+\])*)\]")
@@ -100,7 +137,12 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+# An address without an @. A plain dot has no space around it, so it doesn't reach into another sentence.
+_PART = r"[^\W_]++(?:[-_+.][^\W_]++)*"
+_DOT = r"(?:\s*[\[({]\s*dot\s*[\])}]\s*|\s+dot\s+)"
+_SPELLED = re.compile(rf"(?<![^\W_]){_PART}(?:{_DOT}{_PART})*(?:\s*[\[({{]\s*at\s*[\])}}]\s*|\s+at\s+)(?:{_PART}(?:{_DOT}{_PART})+|[^\W_]+(?:[-_][^\W_]+)*(?:\.[^\W_]+(?:[-_][^\W_]+)*)+)", re.I)
+_TRIGGER = re.compile(r"[0-9@]|(?<![^\W_])(?:at|dot)(?![^\W_])", re.I)
+_PLAIN = ALNUM & (np.arange(256) < 128)
 Span = tuple[int, int, int]  # start, kind, end
 
 
@@ -267,7 +309,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]] | None = None, steps: int =
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Pieces of text around digits and @, from a white space to another, that don't meet."""
+    """Pieces of text around what _TRIGGER finds, from a white space to another, that don't meet."""
     out: list[tuple[int, int]] = []
     m = _TRIGGER.search(text)
     while m:
@@ -290,11 +332,17 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def narrowed(kind: int, text: str, start: int, end: int) -> tuple[int, int]:
+    """start and end of the address in an e-mail span without @; other spans as they are."""
+    m = _SPELLED.search(text, start, end) if KINDS[kind] == "email" and text.find("@", start, end) < 0 else None
+    return m.span() if m else (start, end)
+
+
 def plausible(kind: int, span: str) -> bool:
     """A span of the random field must at least look like its kind."""
     name = KINDS[kind]
     if name == "email":
-        return len(span) <= 80 and ("@" in span or bool(re.search(r"\bat\b", span)))
+        return len(span) <= 80 and ("@" in span or bool(_SPELLED.fullmatch(span)))
     if name == "phone":
         return 7 <= sum(c.isdigit() for c in span) <= 15
     if name == "secret":
@@ -327,8 +375,8 @@ def added_spans(texts: list[str], model: CRF, base: list[list[Span]]) -> list[li
                 without = [path[0], *[0] * (e - t), path[-1]]
                 gain = sum(scores[t + j][tags[t + j]] - scores[t + j][0] for j in range(e - t))
                 gain += sum(model.move[a, b] for a, b in zip(path, path[1:], strict=False)) - sum(model.move[a, b] for a, b in zip(without, without[1:], strict=False))
-                start, end = at[t][0], at[e - 1][1]
-                if gain >= MARGIN and _TRIGGER.search(texts[d], start, end) and plausible((tags[t] - 1) // 2, texts[d][start:end]) and not any(s < end and start < f for s, _, f in base[d]):
+                start, end = narrowed((tags[t] - 1) // 2, texts[d], at[t][0], at[e - 1][1])
+                if gain >= MARGIN and plausible((tags[t] - 1) // 2, texts[d][start:end]) and not any(s < end and start < f for s, _, f in base[d]):
                     out[d].append((start, (tags[t] - 1) // 2, end))
                 t = e
     return out
@@ -339,9 +387,21 @@ def joined(spans: list[Span]) -> str:
 
 
 def _triggered(column: pa.Array) -> Iterator[tuple[int, str]]:
-    """Row and text of the texts with a digit or @; others can hold no span."""
+    """Row and text of the texts with a digit, an @ or perhaps the word "at" or "dot"; others can hold no span."""
     for c in chunks(column):
-        at = np.flatnonzero(((c.data >= 48) & (c.data <= 57)) | (c.data == 64))
+        hit = ((c.data >= 48) & (c.data <= 57)) | (c.data == 64)
+        low = LOWER[c.data]
+        inner = np.zeros(len(low) + 1, bool)  # between two letters or digits of ASCII, so no word begins or ends there
+        inner[1:-1] = _PLAIN[low[1:]] & _PLAIN[low[:-1]]
+        inner[c.offs] = False
+        for word in (b"at", b"dot"):
+            n = len(word)
+            if len(low) >= n:
+                same = ~inner[: len(low) - n + 1] & ~inner[n:]
+                for j, x in enumerate(word):
+                    same &= low[j : len(low) - n + 1 + j] == x
+                hit[: len(same)] |= same
+        at = np.flatnonzero(hit)
         for i in np.unique(c.doc_of(at)).tolist():
             yield c.first + i, c.text(i).decode()
 
