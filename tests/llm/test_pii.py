@@ -116,3 +116,31 @@ def test_labelled_spans_in_long_texts(spark, tmp_path):
     clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
     for i in spelled:
         assert "[EMAIL]" in clean[i] and not pii._SPELLED.search(clean[i])
+
+
+def test_long_stretches_are_not_cut():
+    """A list of numbers is one stretch of thousands of words; each number is found wherever it lies."""
+    import numpy as np
+
+    model = pii.train()
+    numbers = [f"({200 + i % 700}) 555-{1000 + i}" for i in range(500)]
+    text = "".join(f"phone: {x} or write\n" for x in numbers)
+    assert len(pii.stretches(text)) == 1 and len(pii.tokens(text)[0]) > 10 * pii.BLOCK
+    (got,) = pii.added_spans([text], model, [pii.base_spans(text)])
+    assert [text[a:b] for a, _, b in sorted(got)] == numbers
+    rng = np.random.default_rng(0)
+    small = pii.CRF(rng.normal(size=(9, 3)), rng.normal(size=(3, 3)))
+    rows = [rng.integers(0, 9, (n, 11)) for n in (3, 700, pii.BLOCK, 0, 513)]
+    for f, tags in zip(rows, small.viterbi(rows)[0], strict=True):
+        score, back = None, []
+        for x in f:  # without blocks
+            step = small.move[:1] if score is None else score[:, None] + small.move
+            back.append(step.argmax(0))
+            score = step.max(0) + small.emit[x].sum(0)
+        want = [] if score is None else [int(score.argmax())]
+        for b in back[:0:-1]:
+            want.append(int(b[want[-1]]))
+        assert tags.tolist() == want[::-1]
+    words = pii.tokens("a 12 (b) " * 300)
+    whole = pii.features(words[1], words[2])
+    assert (whole[250:262] == pii.features(words[1][200:300], words[2][200:300])[50:62]).all()

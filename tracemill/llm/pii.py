@@ -3,7 +3,7 @@
 The patterns (e-mail, IP address, card, phone) give the base spans. The random field adds spans that they
 miss: telephone numbers without a plus, addresses spelled with "at", keys and tokens. Its features are the
 shapes of a word and its neighbours and the words themselves, hashed; it is trained on LABELLED by
-gradients of the exact likelihood and decoded by Viterbi in numpy batches. It reads stretches of REACH
+gradients of the exact likelihood and decoded by Viterbi in numpy batches, long stretches as wholes. It reads stretches of REACH
 words around each digit, @ and word "at" or "dot" (a span of its kinds holds one of them), and keeps a span only
 if the best path beats the same path without it by MARGIN and it looks like its kind (has an @, or "at" and a dot
 between its words, the digits of a telephone number, or a long word of letters and digits). Added spans that meet a
@@ -31,7 +31,7 @@ BASE = KINDS[:4]
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 FEATURES = 1 << 13
 REACH = 8  # words on either side of a digit, @, "at" or "dot"
-LONGEST = 256  # words decoded as one sequence
+BLOCK = 256  # words of a sequence that are scored at once
 MARGIN = 3.0
 
 # Labelled rows: [kind text] marks a span.
@@ -194,13 +194,19 @@ def _shape(w: str) -> str:
 
 
 def features(words: list[str], glued: list[bool]) -> np.ndarray:
-    """Per word eleven hashed features. glued: no space before the word."""
-    shape = ["^", "^", *map(_shape, words), "$", "$"]
-    low = ["^", *(w.lower() if w.isalpha() else "#" for w in words), "$"]
+    """Per word eleven hashed features, in blocks, as their strings take much memory. glued: no space before the word."""
+    return np.concatenate([np.zeros((0, 11), np.int32), *(_features(words, glued, i, min(i + BLOCK, len(words))) for i in range(0, len(words), BLOCK))])
+
+
+def _features(words: list[str], glued: list[bool], first: int, end: int) -> np.ndarray:
+    """features of words first .. end - 1, with the words on either side of them."""
+    a, b = max(first - 2, 0), min(end + 2, len(words))
+    shape = [*["^"] * (2 - first + a), *map(_shape, words[a:b]), *["$"] * (2 - b + end)]
+    low = ["^" if i < 0 else "$" if i == len(words) else words[i].lower() if words[i].isalpha() else "#" for i in range(first - 1, end + 1)]
     rows = []
-    for i in range(len(words)):
+    for i in range(end - first):
         s = shape[i : i + 5]
-        g = "+" if glued[i] else " "
+        g = "+" if glued[first + i] else " "
         rows.append(("s" + s[2], "p" + s[1] + g, "n" + s[3], "pp" + s[0] + s[1], "nn" + s[3] + s[4], "ps" + s[1] + g + s[2], "sn" + s[2] + s[3], "psn" + s[1] + s[2] + s[3], "w" + low[i + 1], "wp" + low[i], "all" + "".join(s)))
     return np.array([[zlib.crc32(f.encode()) % FEATURES for f in r] for r in rows], np.int32).reshape(-1, 11)
 
@@ -245,21 +251,39 @@ class CRF:
         self.emit, self.move = emit, move  # feature x tag; tag x next tag
 
     def viterbi(self, rows: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """The best tags of each sequence, and the scores of its words under the tags."""
-        x, n = _padded(rows, self.emit)
-        back = np.zeros(x.shape, np.int8)
-        score = x[:, 0] + self.move[0]  # a sequence begins after O
-        for t in range(1, x.shape[1]):
-            step = score[:, :, None] + self.move[None]
-            back[:, t] = step.argmax(1)
-            new = step.max(1) + x[:, t]
-            score = np.where((t < n)[:, None], new, score)
+        """The best tags of each sequence, and the scores of its words under the tags.
+
+        Sequences of any length: they are scored in blocks of words, and the scores of the paths go on from block to block.
+        """
+        order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
+        n = np.array([len(rows[i]) for i in order])
+        score = np.zeros((len(rows), len(self.move)))
+        blocks = []
+        for first in range(0, n.max(initial=0), BLOCK):
+            x, size = _padded([rows[i][first : first + BLOCK] for i in order[: int((n > first).sum())]], self.emit)
+            back = np.zeros(x.shape, np.int8)
+            for t in range(x.shape[1]):
+                k = int((size > t).sum())  # the longest come first
+                if first + t == 0:
+                    score[:k] = x[:k, 0] + self.move[0]  # a sequence begins after O
+                    continue
+                step = score[:k, :, None] + self.move[None]
+                back[:k, t] = step.argmax(1)
+                score[:k] = step.max(1) + x[:k, t]
+            blocks.append((x, size, back))
         tag = score.argmax(1)
-        out = np.zeros(x.shape[:2], np.int64)
-        for t in range(x.shape[1] - 1, -1, -1):
-            out[:, t] = tag
-            tag = np.where(t < n, np.take_along_axis(back[:, t], tag[:, None], 1)[:, 0], tag)
-        return [o[:k] for o, k in zip(out, n, strict=True)], [s[:k] for s, k in zip(x, n, strict=True)]
+        tags, scores = [[] for _ in rows], [[] for _ in rows]
+        for x, size, back in reversed(blocks):
+            out = np.zeros(x.shape[:2], np.int64)
+            for t in range(x.shape[1] - 1, -1, -1):
+                k = int((size > t).sum())
+                out[:k, t] = tag[:k]
+                tag[:k] = back[np.arange(k), t, tag[:k]]
+            for i, o, s, k in zip(order, out, x, size, strict=False):
+                tags[i].append(o[:k])
+                scores[i].append(s[:k])
+        none = np.zeros(0, np.int64), np.zeros((0, len(self.move)))
+        return [np.concatenate(t[::-1] or [none[0]]) for t in tags], [np.concatenate(s[::-1] or [none[1]]) for s in scores]
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -350,19 +374,27 @@ def plausible(kind: int, span: str) -> bool:
     return False
 
 
+def _parts(jobs: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """jobs (start, end, ..) in groups of at most 256 and of about 128 K characters."""
+    part, size = [], 0
+    for job in jobs:
+        part.append(job)
+        size += job[1] - job[0]
+        if len(part) == 256 or size > 1 << 17:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def added_spans(texts: list[str], model: CRF, base: list[list[Span]]) -> list[list[Span]]:
     """Spans that the random field adds to base, for each text."""
-    jobs = []
-    for d, text in enumerate(texts):
-        for a, b in stretches(text):
-            at, words, glued = tokens(text, a, b)
-            for i in range(0, len(at), LONGEST):
-                jobs.append((d, at[i : i + LONGEST], features(words[i : i + LONGEST], glued[i : i + LONGEST])))
+    jobs = sorted(((a, b, d) for d, text in enumerate(texts) for a, b in stretches(text)), key=lambda j: j[1] - j[0])
     out: list[list[Span]] = [[] for _ in texts]
-    jobs.sort(key=lambda j: len(j[1]))
-    for i in range(0, len(jobs), 256):
-        part = jobs[i : i + 256]
-        for (d, at, _), tags, scores in zip(part, *model.viterbi([j[2] for j in part]), strict=True):
+    for part in _parts(jobs):
+        cut = [tokens(texts[d], a, b) for a, b, d in part]
+        found = model.viterbi([features(words, glued) for _, words, glued in cut])
+        for (_, _, d), (at, _, _), tags, scores in zip(part, cut, *found, strict=True):
             t = 0
             while t < len(tags):
                 if tags[t] % 2 == 0:
