@@ -120,3 +120,22 @@ def test_urls(spark, tmp_path):
         assert r.verdict == best[0] if best else r.verdict in ("allow", "block")
     assert {r.verdict for r in got if r.page_id is not None and 100 <= r.page_id < 160} == {"block"}  # mined: es is blocked
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_urls_that_differ_late(spark):
+    """Third segments, third parameters and fifth labels of hosts make rules, also in URLs of very many tokens."""
+    deep = "/".join(f"s{chr(97 + i)}" for i in range(25))
+    ends = [("example.org", "{k}/y/z/{w}"), ("example.org", "{k}/?a=1&b=2&{w}=3"), ("{w}.b.c.d.e.example.org", "{k}/"), ("example.org", f"{{k}}/{deep}/{{w}}")]
+    rows, want = [], {}
+    for j, (host, rest) in enumerate(ends):
+        for i in range(200):
+            bad = i % 2
+            host_, rest_ = (x.format(k=("es" if bad else "x"), w=("bad" if bad else "good") + "abcd"[j]) for x in (host, rest))
+            other, late = host_.replace("example.org", "other.net"), rest_.replace("es", "q", 1) if bad else rest_.replace("x", "q", 1)
+            rows += [(len(rows), f"http://{host_}/{rest_}"), (len(rows) + 1, f"http://{other}/{late}")]
+            want[len(rows) - 1] = "block" if bad else "allow"
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert {i: got[i] for i in want} == want
+    flags = urls.host_and_path(F.col("url"))
+    (r,) = spark.createDataFrame([("http://a.b.c.d.e.f/1/g/h/i?j=1&k&l=2",)], "url string").select(urls.tokens(F.col("url"), *flags).alias("t")).collect()
+    assert {"host:a", "path:i", "query:l"} <= set(r.t)
