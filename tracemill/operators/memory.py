@@ -8,6 +8,7 @@ is what is left behind the pointer. An older allocation beneath a nearer one isn
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right, insort
 
 import pandas as pd
@@ -18,6 +19,7 @@ from tracemill.plans.schema import NUM
 
 SENTINEL = (1 << 64) - 1
 CHUNK = 50_000  # points of a trace that one task goes through
+GROUP = 200_000  # events and live allocations that are held together, or those of one stretch
 
 
 class MemoryMap:
@@ -61,11 +63,13 @@ def _through(rows: pd.DataFrame, live: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["trace_id", "counter", "pos", "pointer", "buffer_size"], dtype=object)
 
 
-def pointer_sizes(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def pointer_sizes(points: DataFrame, chunk: int = CHUNK, before: DataFrame | None = None) -> DataFrame:
     """trace_id, counter, pos, pointer, buffer_size of every pointer of points.
 
     Allocations of a point come before its variables. A trace is dealt in stretches of chunk counters; each
     begins with what was live then (the last state of each address before it), so long traces are shared out.
+    Stretches are dealt into groups, as many as their events and live allocations need at GROUP each. before has
+    trace_id, address, size of what was live before all points.
     """
     part = F.floor(F.col("counter") / chunk).alias("chunk")
     allocs = points.select("trace_id", "counter", part, F.posexplode("sizes").alias("ord", "a")).select("trace_id", "counter", "chunk", "ord", "a.address", "a.size")
@@ -73,6 +77,10 @@ def pointer_sizes(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
     events = allocs.select("trace_id", "chunk", "counter", F.lit(0).alias("kind"), "ord", "address", "size").union(
         pointers.select("trace_id", "chunk", "counter", F.lit(1), F.col("v.pos"), F.col("v.num"), F.lit(None).cast(NUM))
     )
+    if before is not None:  # in the stretch before the first
+        first = points.groupBy("trace_id").agg((F.min(F.floor(F.col("counter") / chunk)) - 1).alias("chunk"))
+        old = before.join(first, "trace_id").select("trace_id", (F.col("chunk") * chunk).cast("long").alias("counter"), "chunk", F.lit(0).alias("ord"), "address", "size")
+        allocs = allocs.unionByName(old)
     last = allocs.groupBy("trace_id", "address", "chunk").agg(F.max_by("size", F.struct("counter", "ord")).alias("size"))
     following = F.lead("chunk").over(Window.partitionBy("trace_id", "address").orderBy("chunk"))
     spans = last.withColumn("next", following).where("size > 0")
@@ -84,7 +92,8 @@ def pointer_sizes(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
     lasting = lasting.select("trace_id", "address", "size", F.explode(F.sequence(F.col("chunk") + 1, F.col("until"))).alias("chunk"))
     live = lasting.join(used, ["trace_id", "chunk"], "left_semi").select(*(F.col(c).alias(c) for c in ("trace_id", "chunk", "address", "size")))
     kinds = f"trace_id long, counter long, pos int, pointer {NUM.simpleString()}, buffer_size {NUM.simpleString()}"
-    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = events.count() + live.count()
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(held / GROUP))
     dealt = F.pmod(F.xxhash64("trace_id", "chunk"), F.lit(tasks)).alias("task")
     return events.groupBy(dealt).cogroup(live.groupBy(dealt)).applyInPandas(_through, kinds)
 
@@ -95,3 +104,11 @@ def with_sizes(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
     rows = points.join(found, ["trace_id", "counter"], "left")
     resized = F.transform("vars", lambda v: v.withField("buffer_size", F.coalesce(F.try_element_at(F.col("__left"), v["pos"]), v["buffer_size"])))
     return rows.withColumn("vars", resized).select(*points.columns)
+
+
+def live_after(points: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """trace_id, address, size of what is live after points, where before was live."""
+    allocs = points.select("trace_id", F.lit(1).alias("new"), "counter", F.posexplode("sizes").alias("ord", "a")).select("trace_id", "new", "counter", "ord", "a.address", "a.size")
+    if before is not None:
+        allocs = allocs.unionByName(before.select("trace_id", F.lit(0).alias("new"), F.lit(0).cast("long").alias("counter"), F.lit(0).alias("ord"), "address", "size"))
+    return allocs.groupBy("trace_id", "address").agg(F.max_by("size", F.struct("new", "counter", "ord")).alias("size")).where("size > 0")

@@ -18,7 +18,7 @@ from tracemill.scratch import scratch_dir
 from tracemill.sources import files
 from tracemill.sources.adapters import EVENT_FILES, as_text, events_as_points, inferred_formats
 from tracemill.streaming import ingest
-from tracemill.streaming.memory import stream_pointer_sizes
+from tracemill.streaming.memory import OUT, write_pointer_sizes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -265,11 +265,14 @@ def sexp_scan(spark, sf_dir):
     return found.select(F.col("source").cast("long").alias("counter"), S.file_id(s).alias("file_id"), S.stmt_id(s).alias("stmt_id"), v[0]["num"].cast("long").alias("k"), v[1]["dbl"].alias("value"), F.col("aux")[0].alias("aux"))
 
 
+def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")  # a pattern, as the table may be a file or a folder
+
+
 def _streamed(spark: SparkSession, sf_dir: str, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """f over the events as a stream of points, run until nothing is left."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")  # a pattern, as the table may be a file or a folder
-    found, out = f(events_as_points(arriving)), scratch_dir(spark)
+    found, out = f(events_as_points(_arriving(spark, sf_dir))), scratch_dir(spark)
     run = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(found.schema).parquet(out)
@@ -283,8 +286,10 @@ def stream_bind(spark, sf_dir):
 
 @_register("stream_memory", ORACLES["memory_map"])
 def stream_memory(spark, sf_dir):
-    """Pointer sizes over a stream, with allocations as state."""
-    found = _streamed(spark, sf_dir, stream_pointer_sizes)
+    """Pointer sizes over a stream, with allocations as a table of state."""
+    out = scratch_dir(spark)
+    write_pointer_sizes(events_as_points(_arriving(spark, sf_dir)), out, f"{out}-live", f"{out}-state").awaitTermination()
+    found = spark.read.schema(OUT).parquet(out)
     return found.select("trace_id", "counter", F.col("pointer").cast("long").alias("pointer"), F.col("buffer_size").cast("long").alias("buffer_size"))
 
 
