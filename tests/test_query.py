@@ -143,6 +143,47 @@ def test_against_plain_evaluator(spark):
         assert got == want, P.show(p)
 
 
+EDGES = (0, 1, -1, 3, 10**9, 10**18 - 1, 10**18, -(10**18), 2**63 - 1, -(2**63), 2**64 - 1, 2**64 - 2, 9999999999999999999)
+
+
+def test_integers_beyond_38_digits(spark):
+    """Products of up to four variables, compared natively, as unbounded integers are."""
+    rng = random.Random(9)
+    rows = [(1, c, 1, [var(0, "a", "x", "SIGNED", 8, rng.choice(EDGES)), var(1, "b", "y", "SIGNED", 8, rng.choice(EDGES)), var(2, "d", "z", "FLOAT", 8, dbl=2.0)]) for c in range(80)]
+    plain = [{n: dict(zip(S.VAR.names, v, strict=True)) for n, v in zip("abd", r[3], strict=True)} for r in rows]
+    df = points(spark, *rows).cache()
+    a, b = V("a"), V("b")
+    square = ("*", a, b)
+    for p in (
+        ("<", square, -(10**38)),
+        ("=", square, ("*", b, a)),
+        (">", ("-", square, ("*", a, a)), 0),
+        (">=", ("*", square, square), 10**75),
+        ("<", ("+", ("*", square, a), 7), ("*", ("*", b, b), b)),
+        ("not", ("<=", square, (2**64 - 1) ** 2 - 1)),
+        ("=", ("*", a, ("*", b, V("d"))), ("*", 2, square)),
+        ("<", ("v/size", "a"), square),
+    ):
+        p = P.checked(p, list("abd"))
+        types = [["x"], ["y"], ["z"]]
+        want = [c for c, v in enumerate(plain) if P.evaluate(p, v.get)]
+        assert sorted(r.counter for r in binding.query(df, "abd", types, p, dedup=None).collect()) == want, P.show(p)
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_soft_products_and_quotients(one, exact):
+    product_, third = ("<", ("*", V("a"), V("b")), 0), ("=", ("/", V("a"), V("b")), ("/", V("b"), V("a")))
+    assert run(one, [UI, UI], soft_predicates=[product_], exact=exact) == [("z", "y"), ("y", "z")]
+    assert run(one, [UI, UI], product_, soft_predicates=[(">", V("a"), 0)], exact=exact) == [("y", "z")]
+    assert run(one, [UI, UI], soft_predicates=[third, ("distinct-vars", "a", "b")], distinct_bindings=True, exact=exact) == [(a, b) for b in "xyz" for a in "xyz" if a != b]
+    with_big = ["int64_t", "uint64_t"]
+    assert run(one, [with_big] * 2, soft_predicates=[(">", ("*", V("a"), V("b")), 2 * 10**38)], exact=exact) == [("big_unsigned",) * 2]
+
+
+def test_numbers_in_text():
+    assert P.parse("(> nan 1)") == (">", "nan", 1) and P.parse("(> inf -1.5e3)") == (">", "inf", -1500.0) and P.parse("(> .5 +2)") == (">", 0.5, 2)
+
+
 def test_dedup_keeps_first_or_last(spark):
     df = points(spark, *((1, c, 7, [var(0, "k", "int", "SIGNED", 4, c), var(1, "k", "int", "SIGNED", 4, c + 10)]) for c in range(3)))
     assert [r.v0.num for r in binding.query(df, ["a"], [I]).collect()] == [0]

@@ -146,23 +146,43 @@ def test_strings_and_names(spark):
     assert [check(C.is_traceable_name, n) for n in ("x", "_y1", "1z", "__attribute__", "a.b")] == [True, True, False, False, False]
 
 
-def test_data_source(spark, tmp_path):
-    from tracemill.plans.schema import POINTS
-    from tracemill.sources import datasource
-
-    rows = [files._row("s", i, p) for i, p in enumerate(codec.decode(codec.encode(sample()), memory_map=False)[1])]
-    one = spark.createDataFrame([tuple(r.values()) for r in rows], files.DECODED)
-    df = one.withColumn("trace_id", F.lit(1).cast("long")).union(one.withColumn("trace_id", F.lit(2).cast("long"))).select(*POINTS.names)
-    path = str(tmp_path / "traces")
-    datasource.write_traces(df, path)
-    back = spark.read.format("bintrace").option("memory_map", "false").load(path)
-    assert back.select("source").distinct().count() == 2 and back.count() == 20
-    keep = ("counter", "statement", "sizes", "vars", "aux")
-    assert sorted(map(str, back.select(*keep).collect())) == sorted(map(str, df.select(*keep).collect()))
-    datasource.write_traces(df.where("trace_id = 2"), path, overwrite=True)
-    (tmp_path / "traces/bad.trace").write_bytes(b"x")
-    skipped = spark.read.format("bintrace").options(path=path, on_error="skip", max_points=4).load()
-    assert skipped.where("error is null").count() == 4 and skipped.where("error is not null").count() == 1
+def test_store_keeps_every_trace(spark, tmp_path):
+    """Empty traces have an index, malformed files none; types come as the header has them; ids of loads don't meet."""
+    src = tmp_path / "in"
+    src.mkdir()
+    one = codec.encode(sample()[:1])
+    unused = struct.pack("<Q", 6) + b"b\0a\0c\0" + struct.pack("<IIIIIIIIII", 3, 0, 1, 4, 1, 0, 8, 0, 1, 4)
+    for name, data in (("0", one), ("1", unused), ("2", b"broken"), ("3", codec.encode(sample()[:2]))):
+        (src / f"{name}.trace").write_bytes(data)
+    store = TraceStore.create(spark, str(tmp_path / "store"))
+    store.add_files(str(src), on_error="skip")
+    assert store.n_traces() == 3 and [store.trace_size(i) for i in range(3)] == [1, 0, 2]
+    assert store.trace_types(1) == ["b", "a", "b"]
+    newest = TraceStore.open(spark, store.path, newest_first=True)
+    assert [newest.trace_size(i) for i in range(3)] == [2, 0, 1]
+    store.add_points(store.points(store.trace_id(2)), {"k": "v"})
+    store.add_files(str(src), on_error="keep", max_traces=2)
+    assert store.n_traces() == 6 and [store.trace_size(i) for i in range(6)] == [1, 0, 2, 2, 1, 0]
+    assert len({r.trace_id for r in store.traces().collect()}) == 6
+    assert store.trace_types(3) == store.trace_types(2) and store.metadata().where("metadata['k'] = 'v'").count() == 1
+
+
+def test_decoding_options(spark):
+    data = codec.encode(sample()[:3])
+    rows = spark.createDataFrame([("a", bytearray(data + b"\x07")), ("b", bytearray(b"x"))], "path string, content binary")
+    kept = files.decoded(rows, on_error="keep")
+    assert kept.where("source = 'a' and error is null").count() == 3 and kept.where("source = 'b'").first().error
+    text = spark.createDataFrame([("t", bytearray(b"((:c . 1)) ((:c . 2)) ((:c . 3)) ((:c . 1))"))], "path string, content binary")
+    assert [r.statement for r in files.decoded(text, "sexp", while_=lambda e: codec._field(e, ":c") < 3).collect()] == [1, 2]
+
+
+def test_blob_text(spark):
+    from tracemill.plans.schema import bits, blob_text, unsigned
+
+    rows = spark.createDataFrame([(bytearray("é".encode()),), (bytearray(b"\xff"),), (None,)], "b binary")
+    assert [r[0] for r in rows.select(blob_text(F.col("b"))).collect()] == ["é", None, None]
+    big = spark.sql("select cast(18446744073709551615 as decimal(20,0)) n union all select 5 union all select null")
+    assert sorted(str(r[0]) for r in big.select(unsigned(bits(F.col("n")))).collect()) == ["18446744073709551615", "5", "None"]
 
 
 def test_stream_state(spark, tmp_path):

@@ -39,37 +39,37 @@ def _columns(names: Sequence[str]) -> Callable[[str], Column]:
     return lambda n: F.col(f"v{list(names).index(n)}")
 
 
-def _softly(points: DataFrame, names: Sequence[str], types: Sequence[Sequence[str]], hard: list, soft: list, distinct: bool) -> DataFrame:
+def _softly(points: DataFrame, names: Sequence[str], types: Sequence[Sequence[str]], hard: list, soft: list, exact: bool, distinct: bool) -> DataFrame:
     """Assignments of each point that satisfy the most soft predicates.
 
-    All are made, scored and compared within the point's row, which costs more than generators do, but saves
-    a shuffle of all assignments.
+    The most that any assignment satisfies is folded within the point's row, which keeps a number and no assignment;
+    then the generators give those that reach it. Predicates in Python can't be folded so: they are scored above the
+    generators, and the best of each point are chosen by a window, which shuffles its assignments.
     """
-    k = len(names)
+    def score(var: Callable[[str], Column]) -> Column:
+        return sum((F.when(P.compile(s, var, exact), 1).otherwise(0) for s in soft), F.lit(0))
 
-    def record(bound: dict[int, Column]) -> Column:
-        var = lambda n: bound[list(names).index(n)]
-        score = sum((F.when(P.compile(s, var), 1).otherwise(0) for s in soft), F.lit(0))
-        ok = F.lit(True)
-        for h in hard:
-            ok = ok & P.compile(h, var)
-        if distinct:
-            for i in range(k):
-                for j in range(i):
-                    ok = ok & (bound[i]["at"] != bound[j]["at"])
-        return F.struct(*(bound[i].alias(f"v{i}") for i in range(k)), score.alias("score"), ok.alias("ok"))
+    if exact or not all(map(P.native, (*hard, *soft))):
+        rows = _bound(points, names, types, hard, exact, distinct).withColumn("__score", score(_columns(names)))
+        most = F.max("__score").over(Window.partitionBy("trace_id", "counter"))
+        return rows.withColumn("__most", most).where("__score = __most").drop("__score", "__most")
 
     def level(i: int, bound: dict[int, Column]) -> Column:
-        """All assignments of variables i .. 0, variable 0 varying fastest."""
+        """The highest score of assignments of variables i .. 0 beside those bound, -1 if there is none."""
+        if i < 0:
+            var = lambda n: bound[list(names).index(n)]
+            ok = F.lit(True)
+            for h in hard:
+                ok = ok & P.compile(h, var)
+            for a in bound if distinct else ():
+                for b in range(a):
+                    ok = ok & (bound[a]["at"] != bound[b]["at"])
+            return F.when(ok, score(var)).otherwise(-1)
         own = F.filter(F.transform("vars", _numbered), lambda v: v["type"].isin(list(types[i])))
-        each = F.transform(own, lambda v: record(bound | {i: v}) if i == 0 else level(i - 1, bound | {i: v}))
-        return each if i == 0 else F.flatten(each)
+        return F.aggregate(own, F.lit(-1), lambda most, v: F.greatest(most, level(i - 1, bound | {i: v})))
 
-    found = F.filter(level(k - 1, {}), lambda r: r["ok"])
-    rows = points.withColumn("__found", found)
-    most = F.array_max(F.transform("__found", lambda r: r["score"]))
-    rows = rows.withColumn("__most", most).select(*points.columns, F.explode(F.filter("__found", lambda r: r["score"] == F.col("__most"))).alias("__r"))
-    return rows.select(*points.columns, *(x for i in range(k) for x in (F.col(f"__r.v{i}").dropFields("at").alias(f"v{i}"), F.col(f"__r.v{i}.at").alias(f"p{i}"))))
+    rows = points.withColumn("__most", level(len(names) - 1, {}))
+    return _bound(rows, names, types, hard, exact, distinct).where(score(_columns(names)) == F.col("__most")).drop("__most")
 
 
 def _numbered(v: Column, at: Column) -> Column:
@@ -84,7 +84,7 @@ def pick_point(points: DataFrame, seed: int) -> DataFrame:
 
 
 def first_points(points: DataFrame, n: int) -> DataFrame:
-    """The first n points of each trace; 0 means all."""
+    """The first n points of each trace; 0 means all. Up to n = 1000 Spark cuts each partition to n points a trace before they are shuffled."""
     if n < 0:
         raise ValueError("n is 0 or more")
     if not n:
@@ -116,8 +116,9 @@ def query(
     file_id, stmt_id, v0 .. dedup keeps of bindings with the same trace, statement, names and types the first
     or last in order of point and positions (variable 0 varying fastest), or all (None).
 
-    The result has trace_id, counter, statement, file_id, stmt_id, v0 .., p0 .. (positions), sizes, aux. Without
-    variables there is one row per point.
+    The result has trace_id, counter, statement, file_id, stmt_id, v0 .., p0 .. (positions), sizes, aux, in no order:
+    sort by trace_id, counter and the positions, the last first, for that of enumeration. Without variables there is
+    one row per point.
     """
     names, types = list(var_names), [list(t) for t in var_types]
     if len(names) != len(types) or len(set(names)) != len(names):
@@ -136,7 +137,7 @@ def query(
     if pick is not None:
         rows = pick_point(rows, pick)
     if names:
-        rows = _softly(rows, names, types, hard, soft, distinct_bindings) if soft else _bound(rows, names, types, hard, exact, distinct_bindings)
+        rows = _softly(rows, names, types, hard, soft, exact, distinct_bindings) if soft else _bound(rows, names, types, hard, exact, distinct_bindings)
     k = len(names)
     statement = F.col("statement")
     rows = rows.select("trace_id", "counter", "statement", S.file_id(statement).alias("file_id"), S.stmt_id(statement).alias("stmt_id"), *(f"v{i}" for i in range(k)), *(f"p{i}" for i in range(k)), "sizes", "aux")

@@ -11,11 +11,12 @@ from __future__ import annotations
 import math
 from bisect import bisect_right, insort
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.plans.schema import NUM
+from tracemill.plans.schema import bits, unsigned
 
 SENTINEL = (1 << 64) - 1
 CHUNK = 50_000  # points of a trace that one task goes through
@@ -25,9 +26,10 @@ GROUP = 200_000  # events and live allocations that are held together, or those
 class MemoryMap:
     """Live allocations."""
 
-    def __init__(self) -> None:
-        self.starts: list[int] = []
-        self.sizes: dict[int, int] = {}
+    def __init__(self, live: list[tuple[int, int]] | tuple = ()) -> None:
+        """live: (address, size) of different addresses."""
+        self.sizes: dict[int, int] = dict(live)
+        self.starts: list[int] = sorted(self.sizes)
 
     def update(self, address: int, size: int) -> None:
         if size == 0:
@@ -47,43 +49,67 @@ class MemoryMap:
         return left if left >= 0 else None
 
 
-def _through(rows: pd.DataFrame, live: pd.DataFrame) -> pd.DataFrame:
+def _sorted(table: pa.Table, *by: str) -> dict[str, list]:
+    """Columns in the order of by; addresses and sizes, which come as bits, as unsigned."""
+    order = np.lexsort([table.column(c).to_numpy() for c in reversed(by)])
+    columns = {c: table.column(c).to_numpy()[order] for c in table.column_names}
+    return {c: (v.view(np.uint64) if c in ("address", "size") else v).tolist() for c, v in columns.items()}
+
+
+def _through(rows: pa.Table, live: pa.Table) -> pa.Table:
     """Several stretches at once, each from what was live at its beginning."""
-    begins = {key: list(zip(g["address"], g["size"], strict=True)) for key, g in live.groupby(["trace_id", "chunk"])}
+    begins: dict[tuple, list] = {}
+    old = _sorted(live, "trace_id", "chunk", "address")
+    for t, c, a, s in zip(old["trace_id"], old["chunk"], old["address"], old["size"], strict=True):
+        begins.setdefault((t, c), []).append((a, s))
+    r = _sorted(rows, "trace_id", "chunk", "counter", "kind", "ord")
     out, now, memory = [], None, MemoryMap()
-    for r in rows.sort_values(["trace_id", "chunk", "counter", "kind", "ord"]).itertuples(index=False):
-        if (r.trace_id, r.chunk) != now:
-            now, memory = (r.trace_id, r.chunk), MemoryMap()
-            for a, s in begins.get(now, ()):
-                memory.update(int(a), int(s))
-        if r.kind == 0:
-            memory.update(int(r.address), int(r.size))
+    for t, chunk, counter, kind, at, a, s in zip(*(r[c] for c in ("trace_id", "chunk", "counter", "kind", "ord", "address", "size")), strict=True):
+        if (t, chunk) != now:
+            now = (t, chunk)
+            memory = MemoryMap(begins.pop(now, ()))
+        if kind == 0:
+            memory.update(a, s)
         else:
-            out.append((r.trace_id, r.counter, r.ord, r.address, memory.left_at(int(r.address))))
-    return pd.DataFrame(out, columns=["trace_id", "counter", "pos", "pointer", "buffer_size"], dtype=object)
+            out.append((t, counter, at, a, memory.left_at(a)))
+    t, c, p, a, left = zip(*out, strict=True) if out else [()] * 5
+    as_long = lambda x: pa.array([None if v is None else v - (1 << 64) if v >> 63 else v for v in x], pa.int64())
+    return pa.table({"trace_id": pa.array(t, pa.int64()), "counter": pa.array(c, pa.int64()), "pos": pa.array(p, pa.int32()), "pointer": as_long(a), "buffer_size": as_long(left)})
+
+
+def _allocations(points: DataFrame, *more) -> DataFrame:
+    return points.select("trace_id", "counter", *more, F.posexplode("sizes").alias("ord", "a")).select("*", bits(F.col("a.address")).alias("address"), bits(F.col("a.size")).alias("size")).drop("a")
 
 
 def pointer_sizes(points: DataFrame, chunk: int = CHUNK, before: DataFrame | None = None) -> DataFrame:
     """trace_id, counter, pos, pointer, buffer_size of every pointer of points.
 
-    Allocations of a point come before its variables. A trace is dealt in stretches of chunk counters; each
-    begins with what was live then (the last state of each address before it), so long traces are shared out.
-    Stretches are dealt into groups, as many as their events and live allocations need at GROUP each. before has
-    trace_id, address, size of what was live before all points.
+    Allocations of a point come before its variables. A trace is dealt in stretches of counters, chunk of them or as
+    many as the trace has addresses, if these are more; each begins with the allocations live then, which so are
+    never more than the points of a stretch that is full: what is copied grows with the points, not with stretches
+    times live allocations. Stretches are dealt into groups, as many as their events and live allocations need at
+    GROUP each. before has trace_id, address, size of what was live before all points.
     """
-    part = F.floor(F.col("counter") / chunk).alias("chunk")
-    allocs = points.select("trace_id", "counter", part, F.posexplode("sizes").alias("ord", "a")).select("trace_id", "counter", "chunk", "ord", "a.address", "a.size")
-    pointers = points.select("trace_id", "counter", part, F.explode("vars").alias("v")).where("v.format = 'POINTER' and v.num is not null")
+    sized = _allocations(points).select("trace_id", "address")
+    if before is not None:
+        sized = sized.union(before.select("trace_id", bits(F.col("address"))))
+    long = sized.distinct().groupBy("trace_id").agg(F.count("*").alias("step")).where(F.col("step") > chunk)
+    part = F.floor(F.col("counter") / F.coalesce("step", F.lit(chunk))).alias("chunk")
+    kept = points.select("trace_id", "counter", "sizes", F.filter("vars", lambda v: (v["format"] == "POINTER") & v["num"].isNotNull()).alias("pointers"))
+    held = kept.agg(F.sum(F.size("sizes") + F.size("pointers"))).first()[0] or 0
+    kept = kept.join(long, "trace_id", "left").select("*", part).drop("step")
+    allocs = _allocations(kept, "chunk")
+    pointers = kept.select("trace_id", "chunk", "counter", F.explode("pointers").alias("v"))
     events = allocs.select("trace_id", "chunk", "counter", F.lit(0).alias("kind"), "ord", "address", "size").union(
-        pointers.select("trace_id", "chunk", "counter", F.lit(1), F.col("v.pos"), F.col("v.num"), F.lit(None).cast(NUM))
+        pointers.select("trace_id", "chunk", "counter", F.lit(1), F.col("v.pos"), bits(F.col("v.num")), F.lit(0).cast("long"))
     )
     if before is not None:  # in the stretch before the first
-        first = points.groupBy("trace_id").agg((F.min(F.floor(F.col("counter") / chunk)) - 1).alias("chunk"))
-        old = before.join(first, "trace_id").select("trace_id", (F.col("chunk") * chunk).cast("long").alias("counter"), "chunk", F.lit(0).alias("ord"), "address", "size")
+        first = kept.groupBy("trace_id").agg((F.min("chunk") - 1).alias("chunk"))
+        old = before.join(first, "trace_id").select("trace_id", F.lit(-1).cast("long").alias("counter"), "chunk", F.lit(0).alias("ord"), bits(F.col("address")).alias("address"), bits(F.col("size")).alias("size"))
         allocs = allocs.unionByName(old)
     last = allocs.groupBy("trace_id", "address", "chunk").agg(F.max_by("size", F.struct("counter", "ord")).alias("size"))
     following = F.lead("chunk").over(Window.partitionBy("trace_id", "address").orderBy("chunk"))
-    spans = last.withColumn("next", following).where("size > 0")
+    spans = last.withColumn("next", following).where("size <> 0")
     used = pointers.select("trace_id", "chunk").distinct()
     # What is live when a stretch with pointers begins: states set in an earlier stretch and not since. Each state
     # is spread over the stretches it lasts for, which keeps a long trace from meeting itself in one task.
@@ -91,11 +117,10 @@ def pointer_sizes(points: DataFrame, chunk: int = CHUNK, before: DataFrame | Non
     lasting = spans.join(end, "trace_id").withColumn("until", F.least(F.coalesce("next", "end"), "end")).where("chunk < until")
     lasting = lasting.select("trace_id", "address", "size", F.explode(F.sequence(F.col("chunk") + 1, F.col("until"))).alias("chunk"))
     live = lasting.join(used, ["trace_id", "chunk"], "left_semi").select(*(F.col(c).alias(c) for c in ("trace_id", "chunk", "address", "size")))
-    kinds = f"trace_id long, counter long, pos int, pointer {NUM.simpleString()}, buffer_size {NUM.simpleString()}"
-    held = events.count() + live.count()
-    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(held / GROUP))
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * held / GROUP))
     dealt = F.pmod(F.xxhash64("trace_id", "chunk"), F.lit(tasks)).alias("task")
-    return events.groupBy(dealt).cogroup(live.groupBy(dealt)).applyInPandas(_through, kinds)
+    found = events.groupBy(dealt).cogroup(live.groupBy(dealt)).applyInArrow(_through, "trace_id long, counter long, pos int, pointer long, buffer_size long")
+    return found.select("trace_id", "counter", "pos", unsigned(F.col("pointer")).alias("pointer"), unsigned(F.col("buffer_size")).alias("buffer_size"))
 
 
 def with_sizes(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -112,3 +137,18 @@ def live_after(points: DataFrame, before: DataFrame | None = None) -> DataFrame:
     if before is not None:
         allocs = allocs.unionByName(before.select("trace_id", F.lit(0).alias("new"), F.lit(0).cast("long").alias("counter"), F.lit(0).alias("ord"), "address", "size"))
     return allocs.groupBy("trace_id", "address").agg(F.max_by("size", F.struct("new", "counter", "ord")).alias("size")).where("size > 0")
+
+
+def pointers_by_address(points: DataFrame) -> DataFrame:
+    """trace_id, address, pointers, freed: how many points came while the last word on an address was an allocation or a
+    release, and how many of them a release. A point counts after its own allocations.
+    """
+    n = points.groupBy("trace_id").agg(F.count("*").alias("n"))
+    by_counter = Window.partitionBy("trace_id").orderBy("counter")
+    place = F.row_number().over(by_counter) - 1
+    allocs = points.select("trace_id", "sizes", place.alias("since")).where(F.size("sizes") > 0).select("trace_id", "since", F.explode("sizes").alias("a"))
+    spans = allocs.select("trace_id", "since", "a.address", "a.size").join(n, "trace_id")
+    until = F.lead("since").over(Window.partitionBy("trace_id", "address").orderBy("since"))
+    spans = spans.withColumn("pointers", F.coalesce(until, F.col("n")) - F.col("since"))
+    freed = F.sum(F.when(F.col("size") == 0, F.col("pointers")).otherwise(0))
+    return spans.groupBy("trace_id", "address").agg(F.sum("pointers").alias("pointers"), freed.alias("freed"))

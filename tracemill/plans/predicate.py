@@ -3,8 +3,9 @@
     ("and", ("distinct-vars", "a", "b"), (">", ("v/value", "a"), 3))
 
 Truth has two values: a comparison with an invalid operand (no such value, division by zero) is false, and its
-negation true. Integers are exact; expressions that could outgrow DECIMAL(38), and all expressions if exact is
-asked for, are evaluated by one vectorised Python function with unbounded integers and 50-digit decimals.
+negation true. Integers are exact: a product that could outgrow DECIMAL(38) is also computed in limbs of 18 digits,
+which are evaluated only for rows whose DECIMAL(38) overflows. Products of such products, and all predicates if exact is
+asked for (quotients and floats to 50 digits), are evaluated by a Python function row by row, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ class PredicateError(ValueError):
     """A predicate of the wrong shape."""
 
 
+_NUMBER = re.compile(r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?")
+
+
 def parse(text: str) -> Node:
     """An s-expression, with "equal" for "=" and "nil" or () for no predicate."""
     found = re.findall(r"[()]|[^\s()]+", text)
@@ -53,11 +57,8 @@ def parse(text: str) -> Node:
             return tuple(items) or None
         if t == ")":
             raise PredicateError("unexpected )")
-        for kind in (int, float):
-            try:
-                return kind(t)
-            except ValueError:
-                pass
+        if _NUMBER.fullmatch(t):
+            return float(t) if set(t) & set(".eE") else int(t)
         return None if t.lower() == "nil" else t.lower() if t.lower() in (*LOGIC, "equal", "distinct-vars", "v/value", "v/size") else t
 
     out = read()
@@ -130,26 +131,105 @@ def conjuncts(p: Node) -> list[Node]:
     return [c for a in p[1:] for c in conjuncts(a)] if p[0] == "and" else [p]
 
 
+LIMB = 18  # digits
+_BASE = Decimal(10**LIMB)
+_WIDE = "decimal(38,0)"
+
+
+def _zero() -> Column:
+    return F.lit(Decimal(0)).cast(_WIDE)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _carried(limbs: Column) -> Column:
+    """The same number with limbs below 10 ** LIMB, lowest first, and what is carried out of the last. Signs may differ."""
+
+    def step(s: Column, x: Column) -> Column:
+        y = (x + s["carry"]).cast(_WIDE)
+        low = (y % F.lit(_BASE)).cast(_WIDE)
+        return F.struct(((y - low).cast(_WIDE) / F.lit(_BASE)).cast(_WIDE).alias("carry"), F.concat(s["out"], F.array(low)).alias("out"))
+
+    start = F.struct(_zero().alias("carry"), F.array().cast(f"array<{_WIDE}>").alias("out"))
+    return F.aggregate(limbs, start, step, lambda s: F.concat(s["out"], F.array(s["carry"])))
+
+
+def _limbs_of(num: Column, n: int) -> Column:
+    text = F.lpad(F.abs(num).cast("string"), LIMB * n, "0")
+    sign = F.when(num < 0, -1).otherwise(1)
+    return F.when(num.isNotNull(), F.array(*((F.substring(text, LIMB * (n - 1 - i) + 1, LIMB).cast("long") * sign).cast(_WIDE) for i in range(n))))
+
+
+def _combined(op: str, a: Column, n: int, b: Column, m: int) -> Column:
+    """Limbs of a op b, where both aren't null."""
+
+    def product(x: Column) -> Column:
+        term = lambda k, i: (F.get(x["a"], i) * F.get(x["b"], k - i)).cast(_WIDE)
+        each = lambda k: F.aggregate(F.sequence(F.greatest(F.lit(0), k - (m - 1)), F.least(F.lit(n - 1), k)), _zero(), lambda s, i: (s + term(k, i)).cast(_WIDE))
+        return F.transform(F.sequence(F.lit(0), F.lit(n + m - 2)), each)
+
+    def total(x: Column) -> Column:
+        each = lambda p, q: (F.coalesce(p, _zero()) + F.coalesce(q, _zero()) if op == "+" else F.coalesce(p, _zero()) - F.coalesce(q, _zero())).cast(_WIDE)
+        return F.zip_with(x["a"], x["b"], each)
+
+    both = lambda x: F.when(x["a"].isNotNull() & x["b"].isNotNull(), (product if op == "*" else total)(x))
+    return _carried(_let(F.struct(a.alias("a"), b.alias("b")), both))
+
+
+class _TooWide(Exception):
+    """A product of a product that may outgrow DECIMAL(38)."""
+
+
 @dataclass
 class _Value:
-    num: Column | None  # exact, null where a part isn't an integer
-    dbl: Column | None  # null where num holds
-    digits: int
+    num: Column | None  # exact, null where a part isn't an integer or the number outgrows DECIMAL(38)
+    dbl: Column | None  # null where the number is an integer
+    digits: int  # of the integer, at most
+    limbs: Column | None = None  # of an integer that may outgrow DECIMAL(38), an array; null where it is no integer
+    n: int = 0  # limbs
 
-    def any(self) -> Column:
-        whole = None if self.num is None else self.num.cast("double")
-        return whole if self.dbl is None else self.dbl if whole is None else F.coalesce(self.dbl, whole)
+    def parts(self) -> tuple[Column, int]:
+        n = -(-self.digits // LIMB)
+        return (self.limbs, self.n) if self.limbs is not None else (_limbs_of(self.num, n), n)
 
+    def no_integer(self) -> Column:
+        return self.num.isNull() if self.limbs is None else self.num.isNull() & self.limbs.isNull()
 
-class _TooWide(Exception):
-    pass
+    def any(self) -> Column:
+        found = []
+        if self.num is not None:
+            found.append(self.num.cast("double"))
+        if self.limbs is not None:
+            found.append(F.aggregate(F.reverse(self.limbs), F.lit(0.0), lambda s, x: s * 10.0**LIMB + x.cast("double")))
+        if self.dbl is not None:
+            found.insert(0, self.dbl)
+        return F.coalesce(*found)
+
+
+def _integers(op: str, x: _Value, y: _Value) -> _Value:
+    digits = x.digits + y.digits if op == "*" else max(x.digits, y.digits) + 1
+    num = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](x.num, y.num)
+    if digits <= DIGITS:
+        return _Value(num, None, digits)
+    if op == "*" and (x.limbs is not None or y.limbs is not None):
+        raise _TooWide
+    (a, n), (b, m) = x.parts(), y.parts()
+    return _Value(num, None, digits, _combined(op, a, n, b, m), n + m if op == "*" else max(n, m) + 1)
 
 
 def _compile_value(a: Node, var: Callable[[str], Column]) -> _Value:
     if isinstance(a, int):
-        if len(str(abs(a))) > DIGITS:
-            raise _TooWide
-        return _Value(F.lit(Decimal(a)), None, len(str(abs(a))))
+        digits = len(str(abs(a)))
+        if digits <= DIGITS:
+            return _Value(F.lit(Decimal(a)), None, digits)
+        left, limbs = abs(a), []
+        while left:
+            left, low = divmod(left, 10**LIMB)
+            limbs.append(F.lit(Decimal(low if a > 0 else -low)).cast(_WIDE))
+        return _Value(F.lit(None).cast(_WIDE), None, digits, F.array(*limbs), len(limbs))
     if isinstance(a, (float, Decimal)):
         return _Value(None, F.lit(float(a)), 0)
     op, *args = a
@@ -161,16 +241,18 @@ def _compile_value(a: Node, var: Callable[[str], Column]) -> _Value:
     x, y = (_compile_value(b, var) for b in args)
     if op == "/":
         return _Value(None, F.try_divide(x.any(), y.any()), 0)
-    num = dbl = None
-    digits = x.digits + y.digits + 1 if op == "*" else max(x.digits, y.digits) + 1
-    if x.num is not None and y.num is not None:
-        if digits > DIGITS + 1 or (op == "*" and x.digits + y.digits > DIGITS):
-            raise _TooWide
-        num = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](x.num, y.num)
-    if x.dbl is not None or y.dbl is not None or num is None:
+    out = _integers(op, x, y) if x.num is not None and y.num is not None else _Value(None, None, 0)
+    if x.dbl is not None or y.dbl is not None or out.num is None:
         whole = {"+": x.any() + y.any(), "-": x.any() - y.any(), "*": x.any() * y.any()}[op]
-        dbl = whole if num is None else F.when(num.isNull(), whole)
-    return _Value(num, dbl, min(digits, DIGITS))
+        out.dbl = whole if out.num is None else F.when(out.no_integer(), whole)
+    return out
+
+
+def _sign(x: _Value, y: _Value) -> Column:
+    """Of x - y in limbs; null where either is no integer."""
+    (a, n), (b, m) = x.parts(), y.parts()
+    # The highest limb that isn't zero decides, as the others together are smaller than a unit of it.
+    return F.aggregate(_combined("-", a, n, b, m), F.lit(0), lambda s, d: F.when(d > 0, 1).when(d < 0, -1).otherwise(s))
 
 
 def _compile(p: Node, var: Callable[[str], Column]) -> Column:
@@ -188,20 +270,29 @@ def _compile(p: Node, var: Callable[[str], Column]) -> Column:
     tests = []
     if x.num is not None and y.num is not None:
         tests.append(COMPARE[op](x.num, y.num))
+        if x.limbs is not None or y.limbs is not None:
+            tests.append(COMPARE[op](_sign(x, y), F.lit(0)))
     if x.dbl is not None or y.dbl is not None:
         a, b = x.any(), y.any()
         tests.append(COMPARE[op](a, b) & ~F.isnan(a) & ~F.isnan(b))
     return F.coalesce(*tests, F.lit(False))
 
 
+def native(p: Node) -> bool:
+    """A checked predicate has a form without Python."""
+    try:
+        _compile(p, lambda n: F.col(n))
+    except _TooWide:
+        return False
+    return True
+
+
 def compile(p: Node, var: Callable[[str], Column], exact: bool = False) -> Column:
-    """A Boolean Column, never null, for a checked predicate; var gives the struct column of a variable."""
-    if not exact:
-        try:
-            return _compile(p, var)
-        except _TooWide:
-            pass
-    return _exact(p, var)
+    """A Boolean Column, never null, for a checked predicate; var gives the struct column of a variable.
+
+    If exact, or if the predicate isn't native(), it is a Python function, which takes no lambda variables.
+    """
+    return _exact(p, var) if exact or not native(p) else _compile(p, var)
 
 
 def names_in(p: Node) -> Iterator[str]:

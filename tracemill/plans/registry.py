@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import ctypes as C
@@ -16,7 +16,7 @@ from tracemill.plans import predicate as P
 from tracemill.plans import schema as S
 from tracemill.scratch import scratch_dir
 from tracemill.sources import files
-from tracemill.sources.adapters import EVENT_FILES, as_text, events_as_points, inferred_formats
+from tracemill.sources.adapters import EVENT_FILES, as_text, events_as_points, inferred_formats, variable
 from tracemill.streaming import ingest
 from tracemill.streaming.memory import OUT, write_pointer_sizes
 
@@ -142,6 +142,34 @@ _TWO = "CAST(v0.num < 1 AS INTEGER) + CAST(v0.num < v1.num AS INTEGER)"
 _binding("soft_two", [INT, INT], "v0.num <> 40", f"QUALIFY {_TWO} = max({_TWO}) OVER (PARTITION BY v0.trace_id, v0.counter)", predicate=("not", ("=", V("a"), 40)), soft_predicates=[("<", V("a"), 1), ("<", V("a"), V("b"))])
 
 
+_PRODUCT = "CAST(v0.num * v1.num < -100 AS INTEGER) + CAST(v0.num > 0 AS INTEGER)"
+_binding("soft_product", [INT, INT], "v0.num * v1.num <> 0", f"QUALIFY {_PRODUCT} = max({_PRODUCT}) OVER (PARTITION BY v0.trace_id, v0.counter)", predicate=("not", ("=", ("*", V("a"), V("b")), 0)), soft_predicates=[("<", ("*", V("a"), V("b")), -100), (">", V("a"), 0)])
+_THIRD = "CAST(v0.num * 3 = v1.num AND v0.num <> 0 AS INTEGER) + CAST(v0.num < v1.num AS INTEGER)"
+_binding("soft_exact", [INT, UINT], "true", f"QUALIFY {_THIRD} = max({_THIRD}) OVER (PARTITION BY v0.trace_id, v0.counter)", soft_predicates=[("=", ("/", V("b"), V("a")), 3), ("<", V("a"), V("b"))], exact=True)
+
+
+def _some_unflagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of which every third has a statement without file; its bits are those of file 0."""
+    s = F.col("statement")
+    return _points(spark, sf_dir).withColumn("statement", F.when(F.col("counter") % 3 == 0, S.stmt_id(s)).otherwise(s))
+
+
+def _by_file(name: str, strict: bool) -> None:
+    rows = "CASE WHEN counter % 3 <> 0 THEN file_id END AS file_id"
+    where = "counter % 3 <> 0 AND file_id = 0" if strict else "counter % 3 = 0 OR file_id = 0"
+
+    @_register(name, f"WITH {_EV.replace('ELSE 0 END AS file_id', 'ELSE 0 END % 3 AS file_id')} SELECT trace_id, counter, {rows}, stmt_id FROM ev WHERE {where}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        points = _some_unflagged(spark, sf_dir)
+        s = F.col("statement")
+        points = points.withColumn("statement", F.when(s < 0, S.encode_statement(S.file_id(s) % 3, S.stmt_id(s))).otherwise(s))
+        return binding.query(points, file_id=0, strict_file=strict, dedup=None).select("trace_id", "counter", "file_id", "stmt_id")
+
+
+_by_file("file_of_unflagged", False)
+_by_file("file_strictly_flagged", True)
+
+
 @_register("n_traces", "SELECT count(DISTINCT user_id) AS n FROM events")
 def n_traces(spark, sf_dir):
     return _points(spark, sf_dir).agg(F.count_distinct("trace_id").alias("n"))
@@ -207,18 +235,35 @@ def memory_map(spark, sf_dir):
 )
 def memory_free(spark, sf_dir):
     """Of each address how many pointers came after it was first allocated or freed, and after it was last freed."""
-    place = F.row_number().over(_window("trace_id", order="counter")) - 1
-    points = _points(spark, sf_dir).select("trace_id", "sizes", place.alias("since"), F.count("*").over(_window("trace_id")).alias("n"))
-    allocs = points.select("trace_id", "since", "n", F.explode("sizes").alias("a")).select("trace_id", "since", "n", "a.address", "a.size")
-    until = F.lead("since").over(_window("trace_id", "address", order="since"))
-    spans = allocs.withColumn("pointers", F.coalesce(until, F.col("n")) - F.col("since"))
-    freed = F.sum(F.when(F.col("size") == 0, F.col("pointers")).otherwise(0))
-    return spans.groupBy("trace_id", F.col("address").cast("long").alias("address")).agg(F.sum("pointers").alias("pointers"), freed.alias("freed"))
+    found = memory.pointers_by_address(_points(spark, sf_dir))
+    return found.select("trace_id", F.col("address").cast("long").alias("address"), "pointers", "freed")
+
 
+_OVERLAP = f"""{_EV}, oa AS (
+  SELECT trace_id, counter, 16 * (counter % 8) AS address, CASE counter % 3 WHEN 0 THEN 0 WHEN 1 THEN 200 ELSE 24 END AS size FROM ev WHERE counter % 2 = 0 OR event_type = 'signup'
+), ot AS (
+  SELECT e.trace_id, e.counter, e.counter * 7 % 256 AS pointer, a.address, arg_max(a.size, a.counter) AS size
+  FROM ev e JOIN oa a ON a.trace_id = e.trace_id AND a.counter <= e.counter GROUP BY ALL
+), near AS (
+  SELECT trace_id, counter, address + size - pointer AS room FROM ot WHERE size > 0 AND address <= pointer
+  QUALIFY row_number() OVER (PARTITION BY trace_id, counter ORDER BY address DESC) = 1
+)"""
 
-def _window(*by: str, order: str | None = None):
-    w = Window.partitionBy(*by)
-    return w.orderBy(order) if order else w
+
+@_register(
+    "memory_overlap",
+    f"WITH {_OVERLAP} SELECT e.trace_id, e.counter, e.counter * 7 % 256 AS pointer, CASE WHEN room >= 0 THEN room END AS buffer_size FROM ev e LEFT JOIN near USING (trace_id, counter)",
+)
+def memory_overlap(spark, sf_dir):
+    """Allocations that overlap: one beneath a nearer one isn't consulted."""
+    c = F.col("counter")
+    size = F.when(c % 3 == 0, 0).when(c % 3 == 1, 200).otherwise(24)
+    alloc = F.array(F.struct((c % 8 * 16).cast(S.NUM).alias("address"), size.cast(S.NUM).alias("size")))
+    signup = F.shiftrightunsigned("statement", S.NODE_BITS).bitwiseAND(F.lit(S.FILE_MASK)) == EVENT_FILES["signup"]
+    points = _points(spark, sf_dir).withColumn("sizes", F.when((c % 2 == 0) | signup, alloc).otherwise(F.array().cast(S.POINTS["sizes"].dataType)))
+    points = points.withColumn("vars", F.array(variable(0, "p", "*void", "POINTER", 8, c * 7 % 256)))
+    found = memory.pointer_sizes(points, chunk=7)
+    return found.select("trace_id", "counter", F.col("pointer").cast("long").alias("pointer"), F.col("buffer_size").cast("long").alias("buffer_size"))
 
 
 @_register("var_size", f"WITH {_EV}, {_VARS}, {_SIZED} SELECT trace_id, counter, CAST(num AS BIGINT) AS pointer, CAST(room AS BIGINT) AS room FROM sized WHERE room > 40")
@@ -304,11 +349,10 @@ def inferred(spark, sf_dir):
     return inferred_formats(values)
 
 
-@_register("text_dump", f"WITH {_EV}, {_VARS} SELECT trace_id, counter, file_id || ':' || stmt_id || ' ' || string_agg(name || ' ' || type || '=' || num, ' ' ORDER BY pos) AS line FROM vars WHERE num IS NOT NULL GROUP BY trace_id, counter, file_id, stmt_id")
+@_register("text_dump", f"WITH {_EV}, {_VARS} SELECT trace_id, counter, file_id || ':' || stmt_id || ' ' || string_agg(name || ' ' || type || '=' || coalesce(CAST(num AS VARCHAR), CAST(dbl AS VARCHAR)), ' ' ORDER BY pos) AS line FROM vars GROUP BY trace_id, counter, file_id, stmt_id")
 def text_dump(spark, sf_dir):
-    """Points as lines; without floats, whose texts differ from engine to engine."""
-    points = _points(spark, sf_dir)
-    return as_text(points.withColumn("vars", F.filter("vars", lambda v: v["num"].isNotNull())))
+    """Points as lines."""
+    return as_text(_points(spark, sf_dir))
 
 
 #: Type strings made of the rows of part.

@@ -37,7 +37,14 @@ POINTS = T.StructType(
     ]
 )
 TYPES = T.StructType([T.StructField("trace_id", T.LongType()), T.StructField("type_idx", T.IntegerType()), T.StructField("type_name", T.StringType()), T.StructField("format", T.StringType()), T.StructField("size", T.IntegerType())])
-TRACES = T.StructType([T.StructField("trace_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
+TRACES = T.StructType(
+    [
+        T.StructField("trace_id", T.LongType()),
+        T.StructField("load", T.StringType()),  # traces of one load have consecutive ids; loads are ordered by it
+        T.StructField("source", T.StringType()),
+        T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
+    ]
+)
 
 #: A statement id with bit 63 set holds a file id of 23 bits above a node id of 40.
 FLAG = -(1 << 63)
@@ -74,3 +81,13 @@ def unsigned(bits: Column) -> Column:
     """The unsigned value of 64 bits kept in a long."""
     wide = bits.cast(NUM)
     return F.when(bits < 0, (wide + F.lit(Decimal(1 << 64)).cast(NUM)).cast(NUM)).otherwise(wide)
+
+
+def bits(number: Column) -> Column:
+    """The 64 bits of an unsigned or signed integer, in a long."""
+    return F.when(number > F.lit(Decimal((1 << 63) - 1)), number - F.lit(Decimal(1 << 64))).otherwise(number).cast("long")
+
+
+def blob_text(blob: Column) -> Column:
+    """The text of a blob, null where it isn't UTF-8: its bytes are then all there is."""
+    return F.try_validate_utf8(blob.cast("string"))

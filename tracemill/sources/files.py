@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracemill.plans import schema as S
 from tracemill.sources import codec
 
-ON_ERROR = ("raise", "skip")
+ON_ERROR = ("raise", "skip", "keep")
 DECODED = T.StructType([T.StructField("source", T.StringType()), *S.POINTS.fields[1:], T.StructField("error", T.StringType())])
+_TYPE = T.StructType([T.StructField("type_name", T.StringType()), T.StructField("format", T.StringType()), T.StructField("size", T.IntegerType())])
+HEADED = T.StructType([*DECODED.fields, T.StructField("types", T.ArrayType(_TYPE))])
 CHUNK = 10_000  # points in a file
 BATCH = 2000  # points handed on together
 
@@ -42,63 +45,94 @@ def _row(source: str, counter: int, p: codec.Point) -> dict:
     return {"source": source, "counter": counter, "statement": statement, "sizes": [{"address": Decimal(a), "size": Decimal(s)} for a, s in p.sizes], "vars": vars_, "aux": [whole(a) for a in p.aux], "error": None}
 
 
-def decoded(files: DataFrame, format: str = "binary", max_points: int = 0, on_error: str = "raise", memory_map: bool = True) -> DataFrame:
+def decoded(
+    files: DataFrame,
+    format: str = "binary",
+    max_points: int = 0,
+    on_error: str = "raise",
+    memory_map: bool = True,
+    while_: Callable[[object], bool] | None = None,
+    headers: bool = False,
+) -> DataFrame:
     """Rows (path, content) -> the points of each file, in schema DECODED.
 
-    A malformed trace is refused whole: it raises, or (skip) leaves one row that has only source and error.
+    A malformed trace is refused whole: it raises, or (skip) leaves one row that has only source and error; or (keep)
+    its points before the error are taken. while_, for s-expressions, ends a trace at the first entry for which it is
+    false. headers adds, for each file, a row without counter that has its types in order. If files have a column
+    counters, it names the counters of the points in order.
     """
     if on_error not in ON_ERROR or max_points < 0 or format not in ("binary", "sexp"):
-        raise ValueError("format is binary or sexp, on_error raise or skip, max_points 0 or more")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        raise ValueError("format is binary or sexp, on_error raise, skip or keep, max_points 0 or more")
+    shape = HEADED if headers else DECODED
+    arrow, nothing, rest = to_arrow_schema(shape), dict.fromkeys(shape.names), on_error == "keep"
+    numbered = "counters" in files.columns
+
+    def points_of(path: str, data: bytes, counters: list[int] | None) -> Iterator[dict]:
+        try:
+            if format == "binary":
+                types, points = codec.decode(data, max_points, memory_map, rest)
+            else:
+                types, points = [], codec.decode_sexp(data.decode(), max_points, while_, rest)
+        except codec.TraceError as e:
+            if on_error == "raise":
+                raise
+            yield nothing | {"source": path, "error": str(e)}
+            return
+        if headers:
+            yield nothing | {"source": path, "types": [{"type_name": n, "format": S.FORMATS[f], "size": s} for n, f, s in types]}
+        for i, p in enumerate(points):
+            yield _row(path, counters[i] if counters else i, p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
-                try:
-                    data = bytes(content)
-                    points = codec.decode(data, max_points, memory_map)[1] if format == "binary" else codec.decode_sexp(data.decode(), max_points, ignore_rest=on_error == "skip")
-                except codec.TraceError as e:
-                    if on_error == "raise":
-                        raise
-                    rows.append(dict.fromkeys(DECODED.names) | {"source": path, "error": str(e)})
-                    continue
-                for i, p in enumerate(points):
-                    rows.append(_row(path, i, p))
+            for i in range(b.num_rows):
+                path, data, *counters = (c[i].as_py() for c in b.columns)
+                for r in points_of(path, data, counters[0] if counters else None):
+                    rows.append(r)
                     if len(rows) >= BATCH:
-                        yield pd.DataFrame(rows, columns=DECODED.names)
+                        yield pa.RecordBatch.from_pylist(rows, arrow)
                         rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=DECODED.names)
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    return files.select("path", "content", *(["counters"] if numbered else [])).mapInArrow(run, shape)
 
-    return files.select("path", "content").mapInPandas(run, DECODED)
 
+def trace_files(spark: SparkSession, path: str | list[str], max_traces: int = 0) -> DataFrame:
+    """path and content of trace files; of the first max_traces of them by path, if that isn't 0."""
+    if max_traces < 0:
+        raise ValueError("max_traces is 0 or more")
+    found = spark.read.format("binaryFile").load(path).select("path", "content")
+    return found.join(found.select("path").orderBy("path").limit(max_traces), "path", "left_semi") if max_traces else found
 
-def read_traces(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+
+def read_traces(spark: SparkSession, path: str | list[str], max_traces: int = 0, **options) -> DataFrame:
     """Points of trace files (options as of decoded())."""
-    return decoded(spark.read.format("binaryFile").load(path), **options)
+    return decoded(trace_files(spark, path, max_traces), **options)
 
 
 def encoded(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """trace_id, part, first (counter), content: points as binary traces, chunk counters to a file, so that no trace must fit one task."""
+    """trace_id, part, counters, content: points as binary traces, chunk counters to a file, so that no trace must fit one task."""
+
+    def point(r: dict) -> codec.Point:
+        value = lambda v: v["blob"] if v["format"] == "BLOB" else v["dbl"] if v["format"] == "FLOAT" else int(v["num"])
+        vars_ = [codec.Variable(v["name"], v["type"], v["format"], v["size"], value(v)) for v in r["vars"] or ()]
+        statement = None if r["statement"] is None else r["statement"] % (1 << 64)
+        return codec.Point(statement, [(int(s["address"]), int(s["size"])) for s in r["sizes"] or ()], vars_, [a % (1 << 64) for a in r["aux"] or ()])
 
-    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("counter")
-        made = []
-        for r in b.itertuples(index=False):
-            vars_ = [codec.Variable(v["name"], v["type"], v["format"], v["size"], v["blob"] if v["format"] == "BLOB" else v["dbl"] if v["format"] == "FLOAT" else int(v["num"])) for v in r.vars]
-            statement = None if pd.isna(r.statement) else int(r.statement) % (1 << 64)
-            made.append(codec.Point(statement, [(int(s["address"]), int(s["size"])) for s in r.sizes], vars_, [int(a) % (1 << 64) for a in r.aux]))
-        return pd.DataFrame([{"trace_id": key[0], "part": key[1], "counters": b["counter"].tolist(), "content": codec.encode(made)}])
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("counter")
+        data = codec.encode(point(r) for b in table.to_batches(BATCH) for r in b.to_pylist())
+        counters = pa.array([table.column("counter").to_pylist()], pa.list_(pa.int64()))
+        return pa.table({"trace_id": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int64()), "counters": counters, "content": pa.array([data], pa.binary())})
 
     rows = points.withColumn("part", F.floor(F.col("counter") / chunk).cast("long"))
-    return rows.groupBy("trace_id", "part").applyInPandas(run, "trace_id long, part long, counters array<long>, content binary")
+    return rows.groupBy("trace_id", "part").applyInArrow(run, "trace_id long, part long, counters array<long>, content binary")
 
 
 def round_trip(points: DataFrame) -> DataFrame:
     """points written as binary traces and read back; counters are those of points."""
-    files = encoded(points)
-    named = files.select(F.concat_ws("/", "trace_id", "part").alias("path"), "content")
-    back = decoded(named, memory_map=False).where("error is null")
-    ids = files.select(F.concat_ws("/", "trace_id", "part").alias("source"), "trace_id", F.posexplode("counters").alias("at", "own"))
-    joined = back.join(ids, (back["source"] == ids["source"]) & (back["counter"] == ids["at"]))
-    return joined.select("trace_id", F.col("own").alias("counter"), "statement", "sizes", "vars", "aux")
+    written = encoded(points).select(F.concat_ws("/", "trace_id", "part").alias("path"), "content", "counters")
+    back = decoded(written, memory_map=False).where("error is null")
+    return back.select(F.substring_index("source", "/", 1).cast("long").alias("trace_id"), *S.POINTS.names[1:])

@@ -2,21 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import secrets
+import time
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracemill.operators import binding
 from tracemill.plans import schema as S
+from tracemill.scratch import scratch_dir
 from tracemill.sources import files
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    path = scratch_dir(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, key: str, base: int) -> DataFrame:
+    """Distinct values of key -> key and id: base, base + 1 .. in order of key. Only partitions are counted on one task."""
+    placed = _written(rows.select(key).orderBy(key).select(key, F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")))
+    sizes = placed.groupBy("p").agg(F.min("m").alias("m0"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(sizes.select("p", "m0", before.alias("before")), "p").select(key, (base + F.col("before") + F.col("m") - F.col("m0")).alias("id"))
+
+
 class TraceStore:
     """Traces under path. Points are partitioned by blocks of trace ids, so that a query of one trace reads little.
 
-    newest_first numbers traces from the latest (index 0) as the s-expression format does.
+    An index counts the traces of all loads, in order of the loads' beginnings; ids are unique, but have gaps between
+    loads, as each load draws its own range: loaders that run at once don't share ids. newest_first numbers traces from the latest (index 0) as the s-expression format does.
     """
 
     BLOCK = 1024  # trace ids to a directory
+    RANGE = 1 << 32  # ids of a load
 
     def __init__(self, spark: SparkSession, path: str, newest_first: bool = False, file: int | None = None):
         self.spark, self.path, self.newest_first, self.file = spark, path.rstrip("/"), newest_first, file
@@ -37,8 +59,13 @@ class TraceStore:
     def _table(self, name: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
-    def points(self) -> DataFrame:
-        rows = self._table("points", S.POINTS)
+    def points(self, trace_id: int | None = None) -> DataFrame:
+        """Points of all traces, or of one, whose block alone is read."""
+        if trace_id is None:
+            rows = self._table("points", S.POINTS)
+        else:
+            rows = self._table("points", T.StructType([*S.POINTS.fields, T.StructField("block", T.LongType())]))
+            rows = rows.where((F.col("block") == trace_id // self.BLOCK) & (F.col("trace_id") == trace_id)).drop("block")
         return rows.where(S.in_file(F.col("statement"), self.file)) if self.file is not None else rows
 
     def traces(self) -> DataFrame:
@@ -51,35 +78,66 @@ class TraceStore:
         """The same store, seen only at statements of one file; later additions are seen, too."""
         return TraceStore(self.spark, self.path, self.newest_first, file)
 
-    def add_points(self, points: DataFrame, metadata: dict[str, str] | None = None, source: str = "memory") -> None:
-        """Appends traces given as points (schema POINTS)."""
+    def _append(self, points: DataFrame, types: DataFrame, ids: DataFrame, key: str, load: str, source, metadata: dict[str, str] | None) -> None:
+        """Rows with key, the trace they belong to as of ids (key, id). The table of traces is written last, and so tells what is there."""
+        rows = points.join(ids, key).select(F.col("id").alias("trace_id"), *S.POINTS.names[1:])
+        rows.withColumn("block", F.floor(F.col("trace_id") / self.BLOCK)).write.mode("append").partitionBy("block").parquet(f"{self.path}/points")
+        types.join(ids, key).select(F.col("id").alias("trace_id"), *S.TYPES.names[1:]).write.mode("append").parquet(f"{self.path}/types")
         meta = F.create_map(*(F.lit(x) for kv in (metadata or {}).items() for x in kv)).cast("map<string,string>")
-        points.withColumn("block", F.floor(F.col("trace_id") / self.BLOCK)).write.mode("append").partitionBy("block").parquet(f"{self.path}/points")
-        points.select("trace_id").distinct().select("trace_id", F.lit(source).alias("source"), meta.alias("metadata")).write.mode("append").parquet(f"{self.path}/traces")
-        seen = points.select("trace_id", F.explode("vars").alias("v")).groupBy("trace_id", F.col("v.type").alias("type_name"), F.col("v.format").alias("format"), F.col("v.size").alias("size")).agg(F.min("v.pos").alias("first"))
-        index = F.row_number().over(_by_trace("first", "type_name", "format", "size")) - 1
-        seen.select("trace_id", index.cast("int").alias("type_idx"), "type_name", "format", "size").write.mode("append").parquet(f"{self.path}/types")
-
-    def add_files(self, path: str | list[str], metadata: dict[str, str] | None = None, **options) -> None:
-        """Appends each trace file as a trace; ids follow those that there are, in order of paths."""
-        found = files.read_traces(self.spark, path, **options).where("error is null")
-        base = self.traces().agg(F.coalesce(F.max("trace_id") + 1, F.lit(0))).first()[0]
-        names = [r.path for r in self.spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect()]
-        ids = self.spark.createDataFrame([(n, base + i) for i, n in enumerate(names)], "source string, trace_id long")
-        self.add_points(found.join(F.broadcast(ids), "source").select(*S.POINTS.names), metadata, "file")
+        ids.select(F.col("id").alias("trace_id"), F.lit(load).alias("load"), source.alias("source"), meta.alias("metadata")).write.mode("append").parquet(f"{self.path}/traces")
+
+    def _load(self) -> tuple[str, int]:
+        """A name for a load, later than those before, and the first id of a range that none of them has."""
+        taken = {r.first // self.RANGE for r in self._loads()}
+        part = secrets.randbits(30)
+        while part in taken:
+            part = secrets.randbits(30)
+        return f"{time.time_ns():020d}-{uuid.uuid4().hex}", part * self.RANGE
+
+    def add_points(self, points: DataFrame, metadata: dict[str, str] | None = None, source: str = "memory") -> None:
+        """Appends traces given as points (schema POINTS), numbered in order of their trace_id. Types come in order of first sight."""
+        load, base = self._load()
+        ids = _written(numbered(points.select("trace_id").distinct(), "trace_id", base))
+        place = F.struct("counter", "v.pos")
+        seen = points.select("trace_id", "counter", F.explode("vars").alias("v")).groupBy("trace_id", F.col("v.type").alias("type_name"), F.col("v.format").alias("format"), F.col("v.size").alias("size")).agg(F.min(place).alias("first"))
+        index = F.row_number().over(Window.partitionBy("trace_id").orderBy("first", "type_name", "format", "size")) - 1
+        types = seen.select("trace_id", index.cast("int").alias("type_idx"), "type_name", "format", "size")
+        self._append(points, types, ids, "trace_id", load, F.lit(source), metadata)
+
+    def add_files(self, path: str | list[str], metadata: dict[str, str] | None = None, max_traces: int = 0, **options) -> None:
+        """Appends each trace file as a trace, in order of paths, also those without points; types as in their headers.
+
+        Malformed files, if on_error is skip, aren't numbered. The files are decoded once.
+        """
+        rows = _written(files.decoded(files.trace_files(self.spark, path, max_traces), headers=True, **options).where("error is null"))
+        load, base = self._load()
+        heads = rows.where("counter is null")
+        ids = _written(numbered(heads, "source", base))
+        types = heads.select("source", F.posexplode("types").alias("type_idx", "t")).select("source", "type_idx", "t.*")
+        self._append(rows.where("counter is not null"), types, ids, "source", load, F.col("source"), metadata)
+
+    def _loads(self) -> list:
+        """First id and number of traces of each load, in order."""
+        return self.traces().groupBy("load").agg(F.min("trace_id").alias("first"), F.count("*").alias("n")).orderBy("load").collect()
 
     def n_traces(self) -> int:
         return self.traces().count()
 
     def trace_size(self, index: int) -> int:
-        return self.points().where(F.col("trace_id") == self.trace_id(index)).count()
+        return self.points(self.trace_id(index)).count()
 
     def trace_id(self, index: int) -> int:
         """The id of the trace at an index; IndexError beyond the last."""
-        n = self.n_traces()
+        loads = self._loads()
+        n = sum(r.n for r in loads)
         if not 0 <= index < n:
             raise IndexError(f"trace {index} of {n}")
-        return n - 1 - index if self.newest_first else index
+        left = n - 1 - index if self.newest_first else index
+        for r in loads:
+            if left < r.n:
+                return r.first + left
+            left -= r.n
+        raise AssertionError
 
     def trace_types(self, index: int) -> list[str]:
         """Names of the trace's types, in the order of its header; those of different formats repeat."""
@@ -91,20 +149,12 @@ class TraceStore:
 
     def get_trace(self, index: int, file: int | None = None) -> DataFrame:
         """Points of a trace in order, with file_id and stmt_id."""
-        rows = self.points().where(F.col("trace_id") == self.trace_id(index))
+        rows = self.points(self.trace_id(index))
         rows = rows.withColumns({"file_id": S.file_id(F.col("statement")), "stmt_id": S.stmt_id(F.col("statement"))})
         return (rows.where(F.col("file_id") == file) if file is not None else rows).orderBy("counter")
 
     def query(self, index: int | None, *args, with_metadata: bool = False, **options) -> DataFrame:
         """binding.query() over a trace, or over all (None)."""
-        rows = self.points()
-        if index is not None:
-            rows = rows.where(F.col("trace_id") == self.trace_id(index))
-        found = binding.query(rows, *args, **options)
+        found = binding.query(self.points(None if index is None else self.trace_id(index)), *args, **options)
         return found.join(self.metadata(), "trace_id", "left") if with_metadata else found
 
-
-def _by_trace(*order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy("trace_id").orderBy(*order)
