@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from helpers import UP, documents, prose, write_tables
 from tracemill.llm import decontaminate
@@ -46,10 +47,10 @@ def tables():
     return docs, items
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 25, 200])
-def test_against_brute_force(spark, block_bytes, monkeypatch, tmp_path):
+@pytest.mark.parametrize("index_bytes", [1 << 25, 200])
+def test_against_brute_force(spark, index_bytes, monkeypatch, tmp_path):
     docs, items = tables()
-    monkeypatch.setattr(decontaminate.find, "__defaults__", ("text", "found", block_bytes))
+    monkeypatch.setattr(decontaminate.find, "__defaults__", ("text", "found", index_bytes))
     path = write_tables(tmp_path, documents=documents(spark, docs), benchmark=spark.createDataFrame(items, "item_id long, text string"))
     got = [tuple(r) for r in decontaminate.op6_decontaminate(spark, path).collect()]
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
@@ -64,5 +65,17 @@ def test_empty_tables_and_clashing_columns(spark):
     kept = decontaminate.without_contaminated(docs, items)
     assert kept.columns == docs.columns and kept.count() == 1
     assert decontaminate.without_contaminated(documents(spark, []), items).count() == 0
-    with pytest.raises(ValueError):
-        decontaminate.find(docs.withColumnRenamed("items", "found"), items)
+    own = decontaminate.find(docs.withColumnRenamed("items", "found"), items)
+    assert own.columns == [*docs.columns[:-1], "found"] and own.first().found.n_words == 2
+
+
+def test_repeated_words_cost_no_more():
+    import time
+
+    same = "word " * 20_000
+    began = time.time()
+    index = decontaminate.Index([("a", same), ("b", same), ("a", "word " * 30)])
+    (c,) = decontaminate.chunks(pa.array([same, "word " * 12 + "x"], pa.large_string()))
+    first, second = decontaminate._found(c, index)
+    assert time.time() - began < 2
+    assert first == {"n_words": 20_000, "spans": [0, 20_000], "items": ["a", "b"]} and second["items"] == []

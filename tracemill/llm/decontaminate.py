@@ -6,13 +6,13 @@ is kept as a fingerprint (nine grams to a run), in documents and in items alike,
 items; each hit is extended to all windows around it, which are compared by a second hash of all their
 words. Items of fewer than 13 words are one window; those are looked up by their own length.
 
-The items are read in blocks of a bounded size, each sent to all tasks, which add its hits to those of the
-blocks before. Documents are never shuffled, and a passage that many of them share costs each the same.
+Up to INDEX_BYTES of items are sent to all tasks as an index of fingerprints and windows: documents then aren't
+shuffled, and a passage that many of them share costs each the same. Larger benchmarks stay tables, and the
+fingerprints of both sides are joined by Spark. Neither way pairs positions, so repeated words cost what others do.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm._text import Chunk, Words, chunks, mix, ranges, words
+from tracemill.llm._shared import written
+from tracemill.llm._text import Chunk, Words, chunks, mix, words
 
 WINDOW = 13
 GRAM = 5
 SPAN = WINDOW - GRAM + 1  # grams of a window
-BLOCK_BYTES = 32 << 20  # text of the items that are sent to the tasks at once
+INDEX_BYTES = 32 << 20  # text of items that is sent to all tasks; more is joined
 SHARE = 20  # contaminated: hit words are at least one in so many
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 _Q = np.uint64(0xD6E8FEB86659FD93)
@@ -65,73 +66,83 @@ def winnow(gram: np.ndarray) -> np.ndarray:
     return np.flatnonzero((gram == most) & (gram != NEVER))
 
 
+def _short(w: Words, n: int, most: int = WINDOW - 1) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By number of words up to most: hashes of the documents of just so many words, and which they are."""
+    count = np.bincount(w.doc, minlength=n)
+    out = {}
+    for size in set(count[(count > 0) & (count <= most)].tolist()):
+        first = np.flatnonzero((count[w.doc] == size) & (np.diff(w.doc, prepend=-1) != 0))
+        out[size] = ngrams(w, size, 3)[first], w.doc[first]
+    return out
+
+
+def around(at: np.ndarray, n: int) -> np.ndarray:
+    """Of n positions those at which a window begins that holds a gram which begins at one of at."""
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, np.maximum(at - SPAN + 1, 0), 1)
+    np.add.at(step, at + 1, -1)
+    return np.flatnonzero(np.cumsum(step[:n]) > 0)
+
+
 class Index:
-    """The windows of a block of items, by fingerprints."""
+    """The windows of items, by fingerprints: distinct windows, each with the number of a list of distinct items."""
 
     def __init__(self, items: list[tuple[str, str]]):
         """(item id, text) pairs."""
         self.ids = np.array([i for i, _ in items], object)
-        found = [(c, words(c)) for c in chunks(pa.array([t for _, t in items], pa.large_string()))]
-        n = [np.bincount(w.doc, minlength=c.n) for c, w in found]
-        gram, long, item = [], [], []
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        shorts: dict[int, list] = {}
-        for (c, w), count in zip(found, n, strict=True):
-            gram.append(ngrams(w, GRAM, 1))
-            long.append(ngrams(w, WINDOW, 2))
-            item.append(w.doc + c.first)
-            for size in set(count[(count > 0) & (count < WINDOW)].tolist()):
-                h = ngrams(w, size, 3)
-                first = np.flatnonzero((count[w.doc] == size) & (np.diff(w.doc, prepend=-1) != 0))
-                shorts.setdefault(size, []).append((h[first], w.doc[first] + c.first))
-        for size, parts in shorts.items():
-            h, who = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            by = np.argsort(h, kind="stable")
-            self.short[size] = (h[by], who[by])
-        # Positions of one chunk don't meet those of another: winnowed apart, then put end to end.
-        base, at = 0, []
-        for g in gram:
-            at.append(winnow(g) + base)
-            base += len(g)
-        empty = np.zeros(0, np.uint64)
-        gram = np.concatenate(gram) if gram else empty
-        self.window = np.concatenate(long) if long else empty
-        self.item = np.concatenate(item) if item else np.zeros(0, np.int64)
-        at = np.concatenate(at) if at else np.zeros(0, np.int64)
-        by = np.argsort(gram[at], kind="stable")
-        self.at, self.print = at[by], gram[at][by]
+        _, self.same = np.unique(self.ids.astype(str), return_inverse=True) if len(items) else (None, np.zeros(0, np.int64))
+        key, item, prints = [], [], [np.zeros(0, np.uint64)]
+        self.sizes: set[int] = set()
+        for c in chunks(pa.array([t for _, t in items], pa.large_string())):
+            w = words(c)
+            gram, window = ngrams(w, GRAM, 1), ngrams(w, WINDOW, 2)
+            prints.append(gram[winnow(gram)])
+            full = window != NEVER
+            key.append(window[full])
+            item.append(w.doc[full] + c.first)
+            for size, (h, who) in _short(w, c.n).items():
+                self.sizes.add(size)
+                key.append(h)
+                item.append(who + c.first)
+        self.print = np.unique(np.concatenate(prints))
+        key = np.concatenate(key) if key else np.zeros(0, np.uint64)
+        item = self.same[np.concatenate(item)] if len(key) else np.zeros(0, np.int64)
+        pair = np.unique(np.stack((key, item.astype(np.uint64)), axis=1), axis=0)
+        self.window, first, count = np.unique(pair[:, 0], return_index=True, return_counts=True)
+        # Windows of the same items share a list, told by a sum of hashes.
+        total = np.add.reduceat(mix(pair[:, 1] + np.uint64(1)), first) if len(first) else np.zeros(0, np.uint64)
+        _, one, self.list = np.unique(total, return_index=True, return_inverse=True)
+        names = np.unique(self.ids.astype(str))
+        self.lists = [names[pair[first[i] : first[i] + count[i], 1].astype(np.int64)].tolist() for i in one]
         self.maybe = np.zeros(1 << 20, bool)  # a bit for each fingerprint's upper bits, to pass over most grams
         self.maybe[(self.print >> np.uint64(44)).astype(np.int64)] = True
 
+    def _find(self, table: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The place of each hash in a sorted table, -1 if it isn't there."""
+        if not len(table):
+            return np.full(len(h), -1)
+        k = np.minimum(np.searchsorted(table, h), len(table) - 1)
+        return np.where(table[k] == h, k, -1)
+
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of all windows that occur: first word, number of words, item (its number in ids)."""
-        out = []
-        if len(self.print):
-            gram = ngrams(w, GRAM, 1)
-            at = winnow(gram)
-            at = at[self.maybe[(gram[at] >> np.uint64(44)).astype(np.int64)]]
-            lo, hi = np.searchsorted(self.print, gram[at], "left"), np.searchsorted(self.print, gram[at], "right")
-            at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
-            window = ngrams(w, WINDOW, 2) if len(at) else None
-            for i in range(0, len(at), 4096):
-                who, k = ranges(lo[i : i + 4096], hi[i : i + 4096] - lo[i : i + 4096])
-                here, there = at[i : i + 4096][who], self.at[k]
-                for back in range(SPAN):
-                    a, b = here - back, there - back
-                    ok = (a >= 0) & (b >= 0)
-                    a, b = a[ok], b[ok]
-                    same = (window[a] == self.window[b]) & (window[a] != NEVER)
-                    a, b = a[same], self.item[b[same]]
-                    if len(a):
-                        out.append(np.unique(np.stack((a, np.full(len(a), WINDOW), b)), axis=1))
-        for size, (h, who) in self.short.items():
+        """Of all windows that occur: first word, number of words, list of items. Every word is looked at a fixed number of times."""
+        out = [np.zeros((3, 0), np.int64)]
+        gram = ngrams(w, GRAM, 1)
+        at = winnow(gram)
+        at = at[self.maybe[(gram[at] >> np.uint64(44)).astype(np.int64)]]
+        at = at[self._find(self.print, gram[at]) >= 0]
+        if len(at):
+            a = around(at, len(gram))
+            window = ngrams(w, WINDOW, 2)[a]
+            k = self._find(self.window, window)
+            ok = (k >= 0) & (window != NEVER)
+            out.append(np.stack((a[ok], np.full(int(ok.sum()), WINDOW), self.list[k[ok]])))
+        for size in self.sizes:
             gram = ngrams(w, size, 3)
-            lo, hi = np.searchsorted(h, gram, "left"), np.searchsorted(h, gram, "right")
-            at = np.flatnonzero((hi > lo) & (gram != NEVER))
-            i, k = ranges(lo[at], (hi - lo)[at])
-            out.append(np.stack((at[i], np.full(len(i), size), who[k])))
-        a = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
-        return a[0], a[1], a[2]
+            k = self._find(self.window, gram)
+            a = np.flatnonzero((k >= 0) & (gram != NEVER))
+            out.append(np.stack((a, np.full(len(a), size), self.list[k[a]])))
+        return tuple(np.concatenate(out, axis=1))
 
 
 #: What is known of a document: number of words, ranges of hit words (begin, end, begin, end ...), items.
@@ -155,10 +166,10 @@ def _found(c: Chunk, index: Index) -> list[dict]:
     w = words(c)
     n = np.bincount(w.doc, minlength=c.n)
     first = np.cumsum(n) - n
-    at, size, item = index.hits(w)
+    at, size, lists = index.hits(w)
     doc = w.doc[at]
     by = np.argsort(doc, kind="stable")
-    at, size, item, doc = at[by], size[by], item[by], doc[by]
+    at, size, lists, doc = at[by], size[by], lists[by], doc[by]
     lo, hi = np.searchsorted(doc, np.arange(c.n), "left"), np.searchsorted(doc, np.arange(c.n), "right")
     return [
         {"n_words": int(n[i]), "spans": [], "items": []}
@@ -166,53 +177,120 @@ def _found(c: Chunk, index: Index) -> list[dict]:
         else {
             "n_words": int(n[i]),
             "spans": _merged(at[lo[i] : hi[i]] - first[i], (at + size)[lo[i] : hi[i]] - first[i]).tolist(),
-            "items": sorted(set(index.ids[item[lo[i] : hi[i]]].tolist())),
+            "items": sorted({x for k in set(lists[lo[i] : hi[i]].tolist()) for x in index.lists[k]}),
         }
         for i in range(c.n)
     ]
 
 
-def _joined(a: dict, b: dict) -> dict:
-    if not a["items"] or not b["items"]:
-        return a if a["items"] else b
-    s = np.array(a["spans"] + b["spans"], np.int64).reshape(-1, 2)
-    return {"n_words": a["n_words"], "spans": _merged(s[:, 0], s[:, 1]).tolist(), "items": sorted({*a["items"], *b["items"]})}
+_ARROW = pa.struct([pa.field("n_words", pa.int64(), False), pa.field("spans", pa.list_(pa.field("element", pa.int64(), False)), False), pa.field("items", pa.list_(pa.field("element", pa.string(), False)), False)])
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """Items in lists of about block_bytes of text, each read by itself."""
-    items = items.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // block_bytes))
-    for k in range(n):
-        block = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield [(r.id, r.text) for r in block.collect()]
+def _by_index(docs: DataFrame, items: DataFrame, text: str, into: str) -> DataFrame:
+    """The items as an index in every task; only for items of a checked size."""
+    sent = docs.sparkSession.sparkContext.broadcast(Index([(r.id, r.text) for r in items.collect()]))
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [x for c in chunks(batch.column(at)) for x in _found(c, sent.value)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, _ARROW)], [*batch.schema.names, into])
+
+    return docs.mapInArrow(run, docs.withColumn(into, F.lit(None).cast(FOUND)).schema)
+
 
+def _hashes(rows: DataFrame, schema: str, of) -> DataFrame:
+    """rows (a key, text, and perhaps prints) -> what of(words, chunk, batch) gives: row numbers in the batch, and columns."""
 
-def find(docs: DataFrame, items: DataFrame, text: str = "text", into: str = "found", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in schema.split(", ")]
+        for batch in batches:
+            for c in chunks(batch.column(1)):
+                who, *columns = of(words(c), c, batch)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who + c.first, pa.int64())), *(pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in columns)], names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _by_join(docs: DataFrame, items: DataFrame, text: str, into: str) -> DataFrame:
+    """Fingerprints of texts joined with those of items, then the windows around what met: for items of any size.
+
+    Texts take part once each, so that copies cost nothing and no key is hot but by passages that many items share.
+    """
+    key = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
+    texts = written(docs.select(key.alias("key"), F.col(text).cast("string").alias("text")).where("text is not null").dropDuplicates(["key"]))
+
+    def prints(w: Words, c: Chunk, batch: pa.RecordBatch):
+        gram = ngrams(w, GRAM, 1)
+        at = winnow(gram)
+        return w.doc[at], gram[at]
+
+    def item_windows(w: Words, c: Chunk, batch: pa.RecordBatch):
+        full = np.flatnonzero((h := ngrams(w, WINDOW, 2)) != NEVER)
+        parts = [(w.doc[full], h[full], np.full(len(full), WINDOW)), *((who, x, np.full(len(x), size)) for size, (x, who) in _short(w, c.n).items())]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    theirs = written(_hashes(items, "item string, window long, n long", item_windows).distinct())
+    sizes = [r.n for r in theirs.where(F.col("n") < WINDOW).select("n").distinct().collect()]  # 12 at most
+    wanted = _hashes(items, "item string, print long", prints).select("print").distinct()
+    met = _hashes(texts, "key string, print long", prints).distinct().join(wanted, "print").groupBy("key").agg(F.collect_set("print").alias("prints"))
+
+    def near(w: Words, c: Chunk, batch: pa.RecordBatch):
+        mine = batch.column(2).slice(c.first, c.n)
+        gram = ngrams(w, GRAM, 1)
+        at = winnow(gram)
+        lists = [np.asarray(mine[i].values.to_numpy(zero_copy_only=False)).view(np.uint64) for i in range(c.n)]
+        own = np.concatenate([at[w.doc[at] == i][np.isin(gram[at[w.doc[at] == i]], x)] for i, x in enumerate(lists)])
+        a = around(own, len(gram))
+        h = ngrams(w, WINDOW, 2)[a]
+        a, h = a[h != NEVER], h[h != NEVER]
+        first = np.searchsorted(w.doc, w.doc[a])
+        return w.doc[a], h, np.full(len(a), WINDOW), a - first
+
+    def short(w: Words, c: Chunk, batch: pa.RecordBatch):
+        parts = []
+        for size in sizes:
+            h = ngrams(w, size, 3)
+            a = np.flatnonzero(h != NEVER)
+            parts.append((w.doc[a], h[a], np.full(len(a), size), a - np.searchsorted(w.doc, w.doc[a])))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    shape = "key string, window long, n long, at long"
+    windows = _hashes(texts.join(met, "key").select("key", "text", "prints"), shape, near)
+    if sizes:
+        windows = windows.unionByName(_hashes(texts, shape, short))
+    hit = windows.join(theirs, ["window", "n"]).groupBy("key").agg(F.collect_set(F.struct("at", "n")).alias("at"), F.array_sort(F.collect_set("item")).alias("items"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [_merged(np.array([x["at"] for x in v]), np.array([x["at"] + x["n"] for x in v])).tolist() for v in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.list_(pa.int64())), b.column(2)], ["__key", "__spans", "__items"])
+
+    hit = written(hit.mapInArrow(merge, "__key string, __spans array<long>, __items array<string>"))
+    at = docs.columns.index(text)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [np.bincount(words(c).doc, minlength=c.n) for c in chunks(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], [*batch.schema.names, "__n"])
+
+    rows = docs.mapInArrow(count, docs.withColumn("__n", F.lit(0).cast("long")).schema).withColumn("__key", key)
+    # Only texts with hits are found here; a hot one of them is split by Spark's own handling of skewed joins.
+    rows = rows.join(hit, "__key", "left")
+    found = F.struct(F.col("__n").alias("n_words"), F.coalesce("__spans", F.array().cast("array<long>")).alias("spans"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"))
+    return rows.select(*docs.columns, found.alias(into))
+
+
+def find(docs: DataFrame, items: DataFrame, text: str = "text", into: str = "found", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """docs with a column more, a struct FOUND.
 
     A null text has no words. An item without id or text takes no part; rows that repeat an item count once.
-    The new column's name must not be one of docs.
+    Repeated documents stay. A column of docs that is named as the new one is replaced.
     """
-    if into in docs.columns:
-        raise ValueError(f"docs already have a column {into}")
-    out = docs.withColumn(into, F.lit(None).cast(FOUND))
-    at, where, schema = docs.columns.index(text), len(docs.columns), out.schema
-    for block in _blocks(items, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(Index(block))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                new = [x for c in chunks(batch.column(at)) for x in _found(c, sent.value)]
-                old = batch.column(where)
-                if old.null_count < len(old):
-                    new = [_joined(a, b) if a else b for a, b in zip(old.to_pylist(), new, strict=True)]
-                kind = pa.struct([pa.field("n_words", pa.int64(), False), pa.field("spans", pa.list_(pa.field("element", pa.int64(), False)), False), pa.field("items", pa.list_(pa.field("element", pa.string(), False)), False)])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:where], pa.array(new, kind)], batch.schema.names)
-
-        out = out.mapInArrow(run, schema)
-    return out
+    docs = docs.drop(into)
+    items = items.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return (_by_index if total <= index_bytes else _by_join)(docs, items, text, into)
 
 
 def contaminated(found: str = "found"):
@@ -226,12 +304,17 @@ def n_hit(found: str = "found"):
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without those that are contaminated; columns stay as they are."""
+    """docs without those that are contaminated; columns stay as they are. Null and empty texts stay, copies are judged alike."""
     return find(docs, items, into="__found").where(~contaminated("__found")).drop("__found")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap of every document with the benchmark."""
+    """Overlap of every document with the benchmark.
+
+    A null or empty text has no words and is clean. Repeated rows give a row each. Items without id or text take no
+    part, those of fewer than 13 words are one window; an empty benchmark hits nothing. Columns beyond doc_id, text and
+    item_id, whatever their names, are ignored; texts of any length are read whole.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = find(docs, items)
