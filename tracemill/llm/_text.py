@@ -91,6 +91,19 @@ class Words:
     prefix: np.ndarray | None = None  # hashes of its beginnings; 0 where the word is shorter
 
 
+def summed(low: np.ndarray) -> np.ndarray:
+    """Sums of byte values, each by its place; differences of them make hashes of stretches."""
+    total = np.zeros(len(low) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUE[low] * _power("up", MULTIPLIER, len(low)), out=total[1:])
+    return total
+
+
+def stretch_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from start to end, wherever they lie."""
+    total = summed(low)
+    return mix((total[end] - total[start]) * _power("down", _INVERSE, len(low) + 1)[start])
+
+
 def words(c: Chunk, table: np.ndarray = ALNUM, prefixes: tuple[int, ...] = ()) -> Words:
     """Maximal runs of bytes in table, A-Z lower-cased; no run crosses documents. prefixes: numbers of bytes."""
     low = LOWER[c.data]
@@ -101,8 +114,7 @@ def words(c: Chunk, table: np.ndarray = ALNUM, prefixes: tuple[int, ...] = ()) -
     border[c.offs] = True
     start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | border[:-1]))
     end = np.flatnonzero(inside[1:-1] & (~inside[2:] | border[1:])) + 1
-    total = np.zeros(size + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[low] * _power("up", MULTIPLIER, size), out=total[1:])
+    total = summed(low)
     down = _power("down", _INVERSE, size + 1)[start]
     h = mix((total[end] - total[start]) * down)
     if not prefixes:
