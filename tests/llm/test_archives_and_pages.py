@@ -32,6 +32,10 @@ def test_convert_files(spark, tmp_path):
     (tmp_path / "a.arc.gz").write_bytes(gzip.compress(data))
     rows = warc.convert_files(spark, str(tmp_path)).orderBy("number").collect()
     assert [r.headers["WARC-Type"] for r in rows] == ["warcinfo", "response"] and rows[1].block.endswith(b"hi\xff")
+    warc.write_records(warc.convert_files(spark, str(tmp_path)), str(tmp_path / "out"))
+    back = [w for f in sorted((tmp_path / "out").glob("*.gz")) for w in warc.parse_warc(gzip.decompress(f.read_bytes()))]
+    assert [w.block for w in back] == [bytes(r.block) for r in rows]
+    assert [{k: v for k, v in w.headers.items() if k != "Content-Length"} for w in back] == [r.headers for r in rows]
 
 
 def test_pages_round_trip(spark, tmp_path):
@@ -82,6 +86,32 @@ def test_neighbours(spark, tmp_path, monkeypatch):
     assert neighbours.search(few.limit(0), F.lit(True)).count() == 0
 
 
+def test_leaves_of_few_vectors(spark, monkeypatch):
+    """A query goes on until it has seen 20 others, though calibration asks for fewer leaves than hold them."""
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 4)
+    monkeypatch.setattr(neighbours, "LEAST_SAMPLE", 6)
+    monkeypatch.setattr(neighbours, "_calibrated", lambda *a: 1)
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 4)))], "vec_id long, embedding array<double>")
+    got = neighbours.search(df, F.col("vec_id") % 20 == 0).groupBy("query_id").count().collect()
+    assert len(got) == 10 and all(r["count"] == 20 for r in got)
+
+
+def test_joins_of_hot_keys(spark):
+    from tracemill.llm import _shared
+
+    rows = spark.range(2000).selectExpr("case when id % 3 = 0 then 7 when id % 50 = 1 then null else id end as k", "id")
+    table = _shared.written(spark.range(5, 1000).selectExpr("id as k", "id * 2 as v"))
+    for how in ("inner", "left", "left_anti"):
+        want = sorted(map(str, rows.join(table, "k", how).collect()))
+        assert sorted(map(str, _shared.joined(rows, table, "k", how).collect())) == want
+        _shared.HOT_ROWS, hot = 40, _shared.HOT_ROWS
+        try:
+            assert sorted(map(str, _shared.joined(rows, table, "k", how, most=10).collect())) == want
+        finally:
+            _shared.HOT_ROWS = hot
+
+
 URLS = [
     None,
     "",

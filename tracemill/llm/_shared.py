@@ -35,17 +35,35 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
-def bounded_sample(rows: DataFrame, by: str, bound: int, id_col: str = "doc_id", most: int = 100) -> DataFrame:
-    """About bound rows of each of the most frequent values of by (all, where there are fewer), chosen by a hash of the id.
+BROADCAST_ROWS = 500_000  # of narrow rows; more are joined by shuffles
+HOT_ROWS = 50_000  # rows of a key that go to one task
 
-    The sizes of the classes come from one aggregation; the choice itself is a narrow filter.
+
+def joined(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows joined (inner, left or left_anti) with a written table of distinct keys.
+
+    The table is broadcast if it has at most so many rows, and rows aren't shuffled then. Beyond that rows of a key, or
+    of the null key, are dealt over as many tasks as they need at HOT_ROWS each; hot keys, which are broadcast for
+    that, are at most one in HOT_ROWS rows.
+    """
+    if table.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(table), key, how)
+    salts = F.ceil(F.col("count") / HOT_ROWS).cast("long").alias("__salts")
+    hot = written(rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > HOT_ROWS).select(key, salts))
+    count = F.when(F.col(key).isNull(), F.lit(1 << 16)).otherwise(F.coalesce("__salts", F.lit(1))).cast("long")
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), count)).drop("__salts")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__salts", F.lit(1)).cast("long") - 1))
+    spread = table.where(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left").withColumn("__salt", copies).drop("__salts")
+    return dealt.join(spread, [key, "__salt"], how).drop("__salt")
+
+
+def bounded_sample(rows: DataFrame, by: str, bound: int, id_col: str = "doc_id") -> DataFrame:
+    """About bound rows of each value of by (all, where there are fewer; one at least), chosen by a hash of the id.
+
+    One aggregation gives the sizes of the classes and the least hash of each; the choice itself is a filter.
     """
     rows = rows.where(F.col(by).isNotNull() & F.col(id_col).isNotNull())
-    counts = rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(most).collect()
-    if not counts:
-        return rows.limit(0)
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    keep = F.lit(False)
-    for r in counts:
-        keep = keep | ((F.col(by) == F.lit(r[by])) & (draw < min(1.0, bound / r["count"])))
-    return rows.where(keep)
+    rows = rows.withColumn("__draw", F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30))
+    sizes = written(rows.groupBy(by).agg((F.lit(float(bound)) / F.count("*")).alias("__rate"), F.min("__draw").alias("__least")))
+    chosen = (F.col("__draw") < F.col("__rate")) | (F.col("__draw") == F.col("__least"))
+    return joined(rows, sizes, by).where(chosen).select(*(c for c in rows.columns if c != "__draw"))

@@ -4,8 +4,9 @@ Each language has a codeword of bits; a binary classifier over hashed byte n-gra
 lower-cased) predicts each bit. Decoding weighs each bit's exponential loss by how well its classifier
 does, and chooses the nearest codeword; a lead over the next one below AMBIGUOUS is flagged.
 
-The classifiers are fitted on a bounded sample: about SAMPLE_PER_LANG whole texts of each language (fewer
-where there are many languages, MAX_SAMPLE in all), chosen by a hash of the id. Every text is scored whole.
+The classifiers are fitted on a sample: about SAMPLE_PER_LANG whole texts of each language, fewer where there are
+many languages (MAX_SAMPLE texts in all, or two of each language, if that is more; one of each at least), chosen by
+a hash of the id. Every language that occurs is learnt. Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ SAMPLE_PER_LANG = 400
 MAX_SAMPLE = 4000
 BITS = 63  # of random codes, for more than six languages
 STEPS = 200
-MAX_LANGS = 500  # rarer languages aren't learnt
 AMBIGUOUS = 0.2
 CHUNK = 1 << 20, 400  # bytes and rows whose counts are held at once
 UNDETERMINED = "und"
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, train_rows: Column, lang: str = "lang", text: str = "te
     """A model of docs' rows for which train_rows holds and whose text and lang aren't null."""
     rows = docs.where(train_rows).where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col("doc_id"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
     n = rows.select("l").distinct().count()
-    sample = bounded_sample(rows, "l", max(2, min(per_lang, MAX_SAMPLE // max(n, 1))), most=MAX_LANGS)
+    sample = bounded_sample(rows, "l", max(2, min(per_lang, MAX_SAMPLE // max(n, 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +157,12 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, ambiguous of all documents."""
+    """doc_id, held_out, lang_pred, score, ambiguous of all documents.
+
+    Texts that are null, empty or without a letter are und, with score 0. Repeated rows give a row each; those with a
+    null id are in no fold and neither learnt from nor held out. Ties go to the language that sorts first. Columns beyond
+    doc_id, text and lang, whatever their names, are ignored. Without a labelled row all texts are und.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     part = fold(F.col("doc_id"), 5)
     model = fit(docs, part != 0)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tracemill.llm._shared import written
 
 NEAREST = 20
-SAMPLE = 20_000  # vectors that the tree is fitted on, at most
+SAMPLE = 60_000  # vectors that the tree is fitted on, at most
 SAMPLE_FLOATS = 4_000_000  # and their components
 BRANCHES = 16
 LEAF_ROWS = 400  # vectors of a leaf, about
@@ -59,14 +59,15 @@ class Tree:
             stack += [(int(k), rows[best == k]) for k in kids if (best == k).any()]
         return out
 
-    def order(self, q: np.ndarray, visits: int) -> list[int]:
-        """The first leaves that come out of the queue for one query."""
+    def order(self, q: np.ndarray, visits: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first leaves that come out of the queue for one query: as many as visits, or until they hold (as of held) least vectors, if that is more."""
         near = self.centre @ q
-        heap, out = [(0.0, 0)], []
-        while heap and len(out) < visits:
+        heap, out, seen = [(0.0, 0)], [], 0
+        while heap and (len(out) < visits or seen < least):
             _, node = heapq.heappop(heap)
             if self.leaf[node] >= 0:
                 out.append(self.leaf[node])
+                seen += int(held[self.leaf[node]]) if held is not None else 0
             for k in self.children[node]:
                 heapq.heappush(heap, (-float(near[k]), k))
         return out
@@ -157,7 +158,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, vec: str = "e
     rows = rows.where(F.size("x") == dim)
     share = min(1.0, min(SAMPLE, SAMPLE_FLOATS // dim) / n)
     drawn = F.pmod(F.xxhash64("vec_id", F.lit("tree")), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = np.array([r.x for r in rows.where(drawn).select("x").collect()], np.float64).reshape(-1, dim)
+    sample = _vectors(rows.where(drawn).select("x").toArrow().column("x").combine_chunks(), dim)
     tree = grow(sample[np.lexsort(sample.T)] if len(sample) else sample, n)
     sent = spark.sparkContext.broadcast(tree)
 
@@ -166,17 +167,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, vec: str = "e
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.assign(_vectors(b.column(1), dim)))], ["vec_id", "x", "asks", "leaf"])
 
     placed = written(rows.mapInArrow(to_leaf, "vec_id long, x array<double>, asks boolean, leaf int"))
-    queries = written(placed.where("asks").groupBy("vec_id").agg(F.min("x").alias("x")).withColumnRenamed("vec_id", "query_id"))
+    queries = written(placed.where("asks").groupBy("vec_id").agg(F.min("x").alias("x"), F.count("*").alias("rows")).withColumnRenamed("vec_id", "query_id"))
     visits = _calibrated(placed, queries, tree, dim, k)
+    holders = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}  # a row for each leaf of the bounded tree
+    sizes_of = np.array([holders.get(leaf, 0) for leaf in range(tree.n_leaves)])
+    # As many rows as share the query's id take no part; so many more are visited that k others are seen.
+    own = queries.agg(F.max("rows")).first()[0] or 0
 
     def to_visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            leaves = [sent.value.order(q, visits) for q in _vectors(b.column(1), dim)]
+            leaves = [sent.value.order(q, visits, sizes_of, k + own) for q in _vectors(b.column(1), dim)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaves, pa.list_(pa.int32()))], ["query_id", "x", "leaves"])
 
-    pairs = queries.mapInArrow(to_visit, "query_id long, x array<double>, leaves array<int>")
+    pairs = written(queries.select("query_id", "x").mapInArrow(to_visit, "query_id long, x array<double>, leaves array<int>"))
     askers = {r.leaf: r["count"] for r in pairs.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()}
-    holders = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}  # a row for each leaf of the bounded tree
     blocks = [(leaf, -(-held // LEAF_BLOCK), -(-askers[leaf] // QUERY_BLOCK)) for leaf, held in holders.items() if leaf in askers]
     size = spark.createDataFrame(blocks, "leaf int, parts int, turns int")
     held = placed.select("vec_id", "x", "leaf").join(F.broadcast(size), "leaf")
@@ -245,7 +249,12 @@ def _calibrated(placed: DataFrame, queries: DataFrame, tree: Tree, dim: int, k:
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 nearest found of every vector whose id is divisible by 20."""
+    """The 20 nearest found of every vector whose id is divisible by 20; all others, where there are fewer.
+
+    Vectors that are null or zero, or hold a null or a component that isn't finite, and rows without id take no part;
+    nor do vectors of another length than the commonest, with which there is no inner product. Rows that repeat the
+    query's id count as its own. Ties go to the smaller id. Columns beyond vec_id and embedding are ignored.
+    """
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 

@@ -260,7 +260,9 @@ def pack(found: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFrame:
     demand = {r["__kind"]: r["count"] for r in rows.groupBy("__kind").count().collect()}  # length / unit rows at most
     layout = plan(demand, length // unit)
     buckets = max(1, -(-sum(demand.values()) // RANK_ROWS))
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
+    # Repeated rows, which no hash of theirs tells apart, are dealt by their numbers, if they were numbered.
+    by = ["__row"] if "__row" in found.columns else ["doc_id", "start", "ids_crc32"]
+    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("__kind", "__bucket").count()
     before = Window.partitionBy("__kind").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("__kind", "__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
@@ -279,19 +281,25 @@ def pack(found: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFrame:
             out["sequence_id"], out["__order"] = seq, order
             yield out
 
-    columns = found.columns
-    shape = found.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("__order", F.lit(0).cast("long")).schema
+    columns = [c for c in found.columns if c != "__row"]
+    shape = found.select(*columns).withColumn("sequence_id", F.lit(0).cast("long")).withColumn("__order", F.lit(0).cast("long")).schema
     placed = ranked.select(*columns, "__kind", "__rank").mapInPandas(run, shape)
     so_far = Window.partitionBy("sequence_id").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)
     return placed.select(*columns, "sequence_id", F.coalesce(F.sum("length").over(so_far), F.lit(0)).alias("offset"))
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
-    return pack(written(pieces(docs)))
+    """Pieces with their places. They are numbered before they are written, so that a number stays with its row."""
+    return pack(written(pieces(docs).withColumn("__row", F.monotonically_increasing_id())))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences."""
+    """Pieces of all documents with their places in sequences.
+
+    A null text is empty: its one piece is the closing id. Repeated rows and null ids are packed apart, each with a place
+    of its own. Columns beyond doc_id and text, whatever their names, are ignored. Texts of any length are encoded whole
+    and cut at 4096 tokens; an empty table gives no rows.
+    """
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -206,7 +206,12 @@ def fit(labelled: DataFrame) -> QualityModel:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score, predicted of all documents."""
+    """doc_id, held_out, score, predicted of all documents.
+
+    Null and empty texts have the statistics of no characters. Repeated rows give a row each; labels that contradict each
+    other, and those of repeated rows, all count. Rows with a null id are in no fold. Columns beyond doc_id and text,
+    whatever their names, are ignored. Without labels all scores are 0; an empty table gives no rows.
+    """
     stats = written(with_statistics(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     part = fold(F.col("doc_id"), 4)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(part != 2).select("doc_id", F.col("quality").cast("int").alias("y")).where("y in (0, 1)")

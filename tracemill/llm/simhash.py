@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm._components import components
-from tracemill.llm._shared import written
+from tracemill.llm._shared import joined, written
 from tracemill.llm._text import chunks, ranges
 
 RADIUS = 3
@@ -165,14 +165,14 @@ def _dealt(rows: DataFrame, left: int) -> DataFrame:
 def links(fps: DataFrame, max_tree: int = MAX_TREE) -> DataFrame:
     """Distinct fingerprints (fp) -> links (a, b) that join all fingerprints within RADIUS, directly or by way of others."""
     n = fps.count()
-    rows = _dealt(fps.select("fp", F.lit(None).cast("string").alias("key"), F.col("fp").alias("rest")), 64)
+    rows = written(_dealt(fps.select("fp", F.lit(None).cast("string").alias("key"), F.col("fp").alias("rest")), 64))
     done, left = [], 48
     for _ in range(MAX_DEALS):
         large = written(rows.groupBy("key").count().where(F.col("count") > max_tree).select("key"))
         if large.isEmpty():
             break
-        done.append(rows.join(large, "key", "left_anti"))
-        rows = _dealt(rows.join(large, "key", "left_semi"), left)
+        done.append(joined(rows, large, "key", "left_anti"))
+        rows = written(_dealt(joined(rows, large, "key"), left))
         left -= left // 4
     for x in done:
         rows = rows.unionByName(x)
@@ -188,16 +188,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     stay as they are. Other columns of docs don't matter.
     """
     prints = written(fingerprints(docs.select(F.col(id_col).alias("__id"), text, *keep), text, ("__id", *keep)))
-    reps = written(prints.groupBy("fp").agg(F.min("__id").alias("rep")))
+    reps = written(prints.groupBy("fp").agg(F.min("__id").alias("rep"), (F.count("*") > 1).alias("copies")))
     comp = written(components(links(reps.select("fp"))))
     least = reps.join(comp.withColumnRenamed("node", "fp"), "fp").groupBy("root").agg(F.min("rep").alias("cid"))
-    of_fp = comp.join(least, "root").select(F.col("node").alias("fp"), "cid")
-    ids = reps.join(of_fp, "fp", "left").select("fp", F.coalesce("cid", "rep").alias("component_id"))
-    return prints.join(ids, "fp").select(F.col("__id").alias(id_col), *keep, "fp", "component_id")
+    of_fp = comp.join(least, "root").select(F.col("node").alias("fp"), "cid", F.lit(True).alias("linked"))
+    # A fingerprint of one document without links needs no other: its component is the document itself.
+    ids = reps.join(of_fp, "fp", "left").where("linked or copies").select("fp", F.coalesce("cid", "rep").alias("component_id"), F.lit(True).alias("__shared"))
+    cid = F.when(F.col("__shared"), F.col("component_id")).otherwise(F.col("__id")).alias("component_id")
+    return joined(prints, written(ids), "fp", "left").select(F.col("__id").alias(id_col), *keep, "fp", cid)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of all documents."""
+    """doc_id, fingerprint (16 hex digits), component_id of all documents.
+
+    Null and empty texts have fingerprint 0. Repeated rows give a row each; a component's id is the least that isn't
+    null, and null if it has none. Columns beyond doc_id and text, whatever their names, are ignored; texts of any length
+    are read whole; an empty table gives no rows.
+    """
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -209,8 +216,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     nothing by which they could be told apart.
     """
     found = near_duplicates(docs).where("doc_id is not null")
-    gone = found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = written(found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select("doc_id"))
+    return joined(docs, gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 QUERIES = {"op1_simhash": op1_simhash}

@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm._shared import scratch_dir
+from tracemill.llm._shared import joined, scratch_dir, written
 
 REVISIT_BYTES = 100  # equal payloads of at least so many bytes are stored once
 RECORDS_PER_FILE = 2000
+FILE_BYTES = 64 << 20  # of payloads in a file, at the mean size
 ARC_BYTES = 1 << 20  # of an archive that is put together in memory
 ARC_DATE = "20200101000000"
 UNKNOWN_URI = "urn:unknown"
@@ -227,12 +228,29 @@ def write_pages(pages: DataFrame, path: str) -> None:
 
     Of rows with equal payloads of REVISIT_BYTES or more that with the least id is a response, as are others
     with the same id; the rest revisit it. If none has an id, all are responses. A null html is empty.
+    Only digests are shuffled to tell which is which; pages are where they were read, unless very many payloads repeat.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.when(F.octet_length("html") >= REVISIT_BYTES, F.sha2("html", 256)))
-    firsts = rows.where("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    records = rows.join(firsts, "digest", "left").select("page_id", "url", "html", "first").mapInArrow(_page_records, "value string")
-    records.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    digest = F.when(F.octet_length("html") >= REVISIT_BYTES, F.unhex(F.sha2("html", 256)))
+    seen = written(rows.select("page_id", F.octet_length("html").alias("size"), digest.alias("digest")))
+    firsts = written(seen.where("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    mean = seen.agg(F.avg("size")).first()[0] or 0
+    per_file = int(max(1, min(RECORDS_PER_FILE, FILE_BYTES / (mean + 512))))
+    records = joined(rows.withColumn("digest", digest), firsts, "digest", "left").select("page_id", "url", "html", "first").mapInArrow(_page_records, "value string")
+    _write(records, path, per_file)
+
+
+def _write(records: DataFrame, path: str, per_file: int) -> None:
+    """value, a record without its last line end, as a line of gzip files. The writer passes bytes on as they are."""
+    records.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\r\n").option("maxRecordsPerFile", per_file).text(path)
+
+
+def write_records(records: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
+    """Records (headers, block), as of convert_files, in gzip WARC files under path; blocks of any bytes."""
+    lines = F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\r\n")
+    size = F.concat(F.lit("\r\nContent-Length: "), F.octet_length("block").cast("string"))
+    value = F.concat(F.lit("WARC/1.1\r\n").cast("binary"), lines.cast("binary"), size.cast("binary"), F.lit("\r\n\r\n").cast("binary"), "block", F.lit("\r\n").cast("binary"))
+    _write(records.select(value.cast("string").alias("value")), path, per_file)
 
 
 def _read_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +279,12 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives of all pages, written and read back."""
+    """Archives of all pages, written and read back.
+
+    A null html is an empty payload, a null url a placeholder; rows without id are kept. Repeated rows give a record each,
+    with the same id all responses, if theirs is the least. Columns beyond page_id, url and html, whatever their names,
+    are ignored. Pages of any size are kept whole; an empty table gives no rows.
+    """
     path = scratch_dir(spark)
     write_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read_pages(spark, path)
