@@ -11,6 +11,7 @@ share of the rows, and rank k takes the k-th place that the patterns have for th
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -36,9 +37,8 @@ MAX_COLUMNS = 4000
 GAP = 1e-3  # of the linear program, at which no more columns are asked for
 RANK_ROWS = 10_000  # pieces that are ranked in one bucket
 TOKENIZER = "word_bpe_49k.json"
-# ASCII without ' and controls, and letters of Latin-1: words in which runs can be told by bytes.
-_PLAIN = bytes(sorted({*range(33, 127)} - {39})) + bytes([0xC3]) + bytes(range(0x80, 0xC0))
-_ODD = (b"<|", b"\xc3\x97", b"\xc3\xb7")  # might begin a special token; the signs among those letters
+# ASCII without ' and controls, and letters of Latin-1, but no <| as of a special token: words in which runs can be told by bytes.
+_PLAIN = re.compile(rb"(?:[!-&(-;=-~]|<(?!\|)|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*").fullmatch
 _RUN = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff]+")
 
 
@@ -82,7 +82,7 @@ class WordIds:
 
     def _ids(self, fresh: list[bytes]) -> list[bytes]:
         """Ids of words."""
-        split = [[w.lower()] if w.isalnum() else None if w.translate(None, _PLAIN) or any(x in w for x in _ODD) else _RUN.findall(w.lower()) for w in fresh]
+        split = [[w.lower()] if w.isalnum() else _RUN.findall(w.lower()) if _PLAIN(w) else None for w in fresh]
         have = self.runs
         runs = self._runs(list({r for s in split if s is not None for r in s if r not in have}))
         if len(have) < KNOWN_RUNS:
@@ -95,9 +95,19 @@ class WordIds:
         return [next(whole) if s is None else have[s[0]] if len(s) == 1 else b"".join([have[r] for r in s]) for s in split]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of whole texts. Millions of small objects, none in a cycle, are made: Python's search for cycles is off meanwhile."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
         words = list(chain.from_iterable(split))
-        code = np.array(list(map(self.known.get, words, repeat(-1))), np.int64)
+        code = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         flat, first = self.flat, self.first
         miss = np.flatnonzero(code < 0).tolist()
         if miss:
