@@ -169,3 +169,35 @@ def test_urls_that_differ_late(spark):
     flags = urls.host_and_path(F.col("url"))
     (r,) = spark.createDataFrame([("http://a.b.c.d.e.f/1/g/h/i?j=1&k&l=2",)], "url string").select(urls.tokens(F.col("url"), *flags).alias("t")).collect()
     assert {"host:a", "path:i", "query:l"} <= set(r.t)
+
+
+def test_mined_rules_against_every_token_set(spark):
+    """Rules and verdicts of a miner that tries all sets of tokens."""
+    import math
+    import random
+    from itertools import combinations
+
+    rng = random.Random(7)
+    pool = [f"t{i}" for i in range(7)]
+    rows = []
+    for k in range(300):
+        t = sorted(rng.sample(pool, rng.randint(1, 5)))
+        bad = ("t0" in t and "t1" in t) or "t2" in t and rng.random() < 0.97
+        rows.append((k, ",".join(t), t, "block" if bad else "allow"))
+    df = spark.createDataFrame([(str(k), t, v) for k, _, t, v in rows], "key string, tokens array<string>, verdict string")
+    got = {(tuple(r.antecedent), r.verdict): (round(r.confidence, 9), round(r.support, 9)) for r in urls.mined(df).collect()}
+    least = max(1, math.ceil(urls.SUPPORT * len(rows)))
+    every = {}
+    for size in range(1, 6):
+        for a in combinations(pool, size):
+            fit = [v for _, _, t, v in rows if set(a) <= set(t)]
+            for v in ("allow", "block"):
+                if fit.count(v) >= least and fit.count(v) / len(fit) >= urls.CONFIDENCE:
+                    every[a, v] = (round(fit.count(v) / len(fit), 9), round(fit.count(v) / len(rows), 9))
+    want = {(a, v): x for (a, v), x in every.items() if len(a) == 1 or not any((b, v) in every and every[b, v][0] >= x[0] for b in combinations(a, len(a) - 1))}
+    assert got == want and len(want) > 5
+    sets = df.select("key", "tokens")
+    verdicts = {r.key: r.mined for r in urls.decided(sets, urls.mined(df)).collect()}
+    for k, _, t, _ in rows:
+        fits = [((c, s, len(a), " ".join(a)), v) for (a, v), (c, s) in want.items() if set(a) <= set(t)]
+        assert verdicts.get(str(k)) == (max(fits)[1] if fits else None)

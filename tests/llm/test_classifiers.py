@@ -93,3 +93,86 @@ def test_isotonic():
     x, n = np.arange(5.0), np.array([4, 4, 4, 4, 4.0])
     edges, values = quality.isotonic(x, n, np.array([0, 3, 1, 4, 4.0]))
     assert (np.diff(values) >= 0).all() and values[np.searchsorted(edges, 1)] == values[np.searchsorted(edges, 2)]
+
+
+def chunk_of(texts):
+    import pyarrow as pa
+    from tracemill.llm._text import chunks
+
+    (c,) = chunks(pa.array(texts, pa.large_string()))
+    return c
+
+
+TEXTS = ["The thing, THE thing.", "", "été Ü", "a", "one two\n\nthree one two! |x|\n", "abc " * 50]
+
+
+def test_ngrams_and_decoding_are_the_plain_ones():
+    got = language.ngram_counts(chunk_of(TEXTS))
+    for row, t in zip(got, TEXTS, strict=True):
+        b, want = t.translate({c: c + 32 for c in range(65, 91)}).encode(), np.zeros(language.BUCKETS)
+        for n in (1, 2, 3):
+            for i in range(len(b) - n + 1):
+                code = 0
+                for k in range(n):
+                    code = (code * 257 + b[i + k] + 1 + k) % 2**32
+                want[(code * 2654435761 % 2**32) >> 20] += 1
+        want = np.sqrt(want)
+        assert np.allclose(row, want / max(np.linalg.norm(want), 1e-9), atol=1e-6)
+    rng = np.random.default_rng(1)
+    code = language.codewords(4)
+    trust = rng.random(code.shape[1])
+    m = language.LanguageModel(list("abcd"), code, rng.normal(size=(language.BUCKETS, code.shape[1])), rng.normal(size=code.shape[1]), trust / trust.sum())
+    best, _, lead = m.decode(got)
+    for row, k, gap in zip(got, best, lead, strict=True):
+        margin = [min(max(float(row @ m.weight[:, j] + m.bias[j]), -6), 6) for j in range(code.shape[1])]
+        loss = [sum(t * np.exp(-c * x) for t, c, x in zip(m.trust, word, margin, strict=True)) for word in code]
+        assert k == int(np.argmin(loss)) and 0 <= gap <= 1
+
+
+def test_convolution_and_pooling_are_the_plain_ones():
+    rng = np.random.default_rng(2)
+    T = toxicity
+    m = T.ToxicityModel(rng.normal(size=(T.PAD + 1, T.DIM)).astype(np.float32), [rng.normal(size=(w, T.DIM, T.FILTERS)).astype(np.float32) for w in T.WIDTHS], [rng.normal(size=T.FILTERS).astype(np.float32) for _ in T.WIDTHS], rng.normal(size=2 * T.FILTERS * len(T.WIDTHS)), 0.3)
+    m.embed[T.PAD] = 0
+    docs = [rng.integers(0, T.PAD, (n, T.KINDS)).astype(np.int32) for n in (0, 1, 5, 64, 65, 200)]
+    for d, logit in zip(docs, m.logits(docs), strict=True):
+        x = [sum(m.embed[i].astype(np.float64) for i in row) for row in d] or [np.zeros(T.DIM)]
+        n = len(x)
+        x += [np.zeros(T.DIM)] * 2
+        most, mean = [], []
+        for w, f, b in zip(T.WIDTHS, m.filters, m.shift, strict=True):
+            for k in range(T.FILTERS):
+                found = [sum(x[i + j] @ f[j, :, k].astype(np.float64) for j in range(w)) + b[k] for i in range(n)]
+                tops = [max(0, max(found[i : i + T.SEGMENT])) for i in range(0, n, T.SEGMENT)]
+                most.append(max(tops))
+                mean.append(sum(tops) / len(tops))
+        assert abs(np.array(most + mean) @ m.out + m.bias - logit) < 1e-2
+
+
+def test_statistics_and_normal_equations_are_the_plain_ones(spark):
+    import re
+
+    got = dict(zip(quality.NAMES, quality.statistics(chunk_of(TEXTS)).T, strict=True))
+    for i, t in enumerate(TEXTS):
+        b, w = t.encode(), re.findall(rb"[0-9a-z\x80-\xff]+", t.encode().lower())
+        pairs = list(zip(w, w[1:], strict=False))
+        lines = [x for x in b.split(b"\n") if x]
+        assert got["upper"][i] == pytest.approx(sum(65 <= x <= 90 for x in b) / max(len(b), 1))
+        assert got["log_words"][i] == pytest.approx(np.log1p(len(w))) and got["distinct_words"][i] == pytest.approx(len(set(w)) / max(len(w), 1))
+        assert got["word_length"][i] == pytest.approx(sum(map(len, w)) / max(len(w), 1))
+        assert got["repeated_pairs"][i] == pytest.approx(1 - len(set(pairs)) / max(len(pairs), 1))
+        assert got["same_as_before"][i] == pytest.approx(sum(a == b for a, b in pairs) / max(len(w), 1))
+        assert got["distinct_lines"][i] == pytest.approx(len(set(lines)) / max(len(lines), 1))
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, len(quality.NAMES)))
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 > 0.4).astype(int)
+    m = quality.fit(spark.createDataFrame([(r.tolist(), int(t)) for r, t in zip(x, y, strict=True)], "stats array<double>, y int").repartition(5))
+    z = m.features(x)
+    assert np.allclose(m.mean, x.mean(0)) and np.allclose(m.scale, x.std(0))
+    assert np.allclose(m.weight, np.linalg.solve(z.T @ z + quality.RIDGE * 300 * np.eye(z.shape[1]) / z.shape[1], z.T @ y), atol=1e-6)
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(10 * k + i, f"{chr(97 + k % 26)}{chr(97 + k // 26)}" * 30, f"l{k:03d}") for k in range(600) for i in range(2)]
+    model = language.fit(documents(spark, rows), language.F.lit(True))
+    assert len(model.langs) == 600 and len(np.unique(model.code, axis=0)) == 600
