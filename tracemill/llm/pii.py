@@ -34,7 +34,8 @@ TAGS = ("O", *(f"{p}-{k}" for k in FIELD for p in "BI"))
 FEATURE_BITS = 13
 FEATURES = 1 << FEATURE_BITS
 SEGMENT, OVERLAP = 256, 32  # tokens that are decoded together, and beyond them on either side
-BLOCK = 1 << 17  # tokens whose features are held at once
+BLOCK = 1 << 16  # tokens whose features are held at once
+CHUNK_BYTES = 1 << 19  # of texts whose tokens are held at once; a longer text is held by itself
 MARGIN = 3.0
 
 # Labelled rows: [kind text] marks a span.
@@ -229,7 +230,7 @@ def tokens(c: Chunk) -> Tokens:
     ends = np.flatnonzero(on[:-1] & ~(joins[1:] & on[1:])) + 1
     n = ends - start
     doc = c.doc_of(start)
-    each = np.stack([np.concatenate(([0], np.cumsum(kind == k))) for k in (_DIGIT, _UPPER, _SMALL)])
+    each = np.stack([np.concatenate(([0], np.cumsum(kind == k, dtype=np.int32))) for k in (_DIGIT, _UPPER, _SMALL)])
     digits, upper, small = each[:, ends] - each[:, start]
     word = stretch_hashes(LOWER[c.data], start, ends)
     alpha = (digits == 0) & (upper + small == n)
@@ -460,7 +461,7 @@ def candidates(t: Tokens, model: CRF) -> list[tuple[int, int, int]]:
 def _spans_of(column: pa.Array, model: CRF) -> dict[int, tuple[list[Span], list[Span], str]]:
     """By row, where there are any: base spans, added spans, text. Every text is decoded whole."""
     found = {}
-    for c in chunks(column):
+    for c in chunks(column, CHUNK_BYTES):
         t = tokens(c)
         more: dict[int, list[tuple[int, int, int]]] = {}
         for a, kind, e in candidates(t, model):
