@@ -34,6 +34,7 @@ CALIBRATION = 200  # queries
 TARGET = 0.95
 LEAF_BLOCK = 8192
 QUERY_BLOCK = 2048
+MERGE_WAYS = 64  # groups in which the finds of many tasks are merged first
 FOUND = "array<struct<minus:double,vec_id:long,leaf:int>>"
 
 
@@ -135,9 +136,9 @@ def _lists(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), s)
 
 
-def merged(found: DataFrame, k: int = NEAREST) -> DataFrame:
-    """query_id, found lists of parts of the vectors -> one list of the k best for each query."""
-    return found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
+def merged(found: DataFrame, k: int = NEAREST, *apart: Column) -> DataFrame:
+    """query_id, found lists of parts of the vectors -> one list of the k best for each query (and value of apart)."""
+    return found.groupBy("query_id", *apart).agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, vec: str = "embedding", id_col: str = "vec_id") -> DataFrame:
@@ -210,24 +211,27 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, vec: str = "e
 
 
 def brute_force(placed: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
-    """query_id, found: the k nearest of a bounded set of queries among all rows (vec_id, x, leaf)."""
+    """query_id, found: the k nearest of a bounded set of queries among all rows (vec_id, x, leaf). A task sends on k a query."""
     sent, dim = placed.sparkSession.sparkContext.broadcast((ids, q)), q.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asking, q = sent.value
+        best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32))] * len(q)
         for b in batches:
             for i in range(0, b.num_rows, LEAF_BLOCK):
                 part = b.slice(i, LEAF_BLOCK)
                 own, x, leaf = part.column(0).to_numpy(), _vectors(part.column(1), dim), part.column(2).to_numpy()
                 score = q @ x.T
                 score[asking[:, None] == own[None]] = -np.inf
-                out = []
                 for j, s in enumerate(score):
                     at, exact = _best(s, q[j], x, own, k)
-                    out.append((exact, own[at], leaf[at]))
-                yield pa.RecordBatch.from_arrays([pa.array(asking), _lists(out)], ["query_id", "found"])
+                    both = [np.concatenate(p) for p in zip(best[j], (exact, own[at], leaf[at]), strict=True)]
+                    top = np.lexsort((both[1], -both[0]))[:k]
+                    best[j] = tuple(p[top] for p in both)
+        yield pa.RecordBatch.from_arrays([pa.array(asking), _lists(best)], ["query_id", "found"])
 
-    return merged(placed.select("vec_id", "x", "leaf").mapInArrow(run, f"query_id long, found {FOUND}"), k)
+    found = placed.select("vec_id", "x", "leaf").mapInArrow(run, f"query_id long, found {FOUND}")
+    return merged(merged(found, k, (F.spark_partition_id() % MERGE_WAYS).alias("way")), k)
 
 
 def _calibrated(placed: DataFrame, queries: DataFrame, tree: Tree, dim: int, k: int) -> int:
