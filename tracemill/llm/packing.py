@@ -5,8 +5,8 @@ histogram of piece lengths, in classes of UNIT tokens, is the demand of a cuttin
 program over patterns (how many pieces of each class a sequence holds), to which a knapsack by dynamic
 programming over the dual prices adds columns until none is worth it. Patterns are used a whole number of
 times; what that leaves is filled by greedy patterns. Only the histogram, of a fixed size, comes to the
-driver. Pieces are ranked within their class by counts of (class, bucket), so that a class may hold any
-share of the rows, and rank k takes the k-th place that the patterns have for the class.
+driver. Pieces are ranked within their class by counts of (class, bucket), a class having as many buckets as its
+share of the rows needs, and rank k takes the k-th place that the patterns have for the class.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ KNOWN_WORDS = 300_000  # words whose ids a worker remembers
 KNOWN_RUNS = 400_000  # runs of letters and digits, or of other signs, likewise
 MAX_COLUMNS = 4000
 GAP = 1e-3  # of the linear program, at which no more columns are asked for
-RANK_ROWS = 10_000  # pieces that are ranked in one bucket
+RANK_ROWS = 500  # pieces of a class that are ranked in one bucket, about
 TOKENIZER = "word_bpe_49k.json"
 # ASCII without ' and controls, and letters of Latin-1, but no <| as of a special token: words in which runs can be told by bytes.
 _PLAIN = re.compile(rb"(?:[!-&(-;=-~]|<(?!\|)|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*").fullmatch
@@ -269,10 +269,10 @@ def pack(found: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFrame:
     rows = found.withColumn("__kind", kind)
     demand = {r["__kind"]: r["count"] for r in rows.groupBy("__kind").count().collect()}  # length / unit rows at most
     layout = plan(demand, length // unit)
-    buckets = max(1, -(-sum(demand.values()) // RANK_ROWS))
+    buckets = F.element_at(F.create_map(*(F.lit(x) for k, n in demand.items() for x in (k, -(-n // RANK_ROWS)))), F.col("__kind")) if demand else F.lit(1)
     # Repeated rows, which no hash of theirs tells apart, are dealt by their numbers, if they were numbered.
     by = ["__row"] if "__row" in found.columns else ["doc_id", "start", "ids_crc32"]
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(*by), buckets).cast("int"))
     counts = rows.groupBy("__kind", "__bucket").count()
     before = Window.partitionBy("__kind").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("__kind", "__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
