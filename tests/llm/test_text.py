@@ -46,3 +46,24 @@ def test_word_ids_are_the_tokenizers():
     texts += ["".join(rng.choice(signs) for _ in range(rng.randint(1, 40))) for _ in range(800)]
     for t, ids in zip(texts, ours.encode([t.encode() for t in texts]), strict=True):
         assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
+def test_slices_are_the_batches_rows():
+    batches = [pa.RecordBatch.from_pydict({"t": [f"text {i}" * (i % 3) if i % 7 else None for i in range(n)]}) for n in (0, 5, 23)]
+    parts = list(_text.slices(iter(batches), 4))
+    assert [p.num_rows for p in parts] == [4, 1, 4, 4, 4, 4, 4, 3]
+    assert [x for p in parts for x in p.column(0).to_pylist()] == [x for b in batches for x in b.column(0).to_pylist()]
+    for p in parts:
+        assert [c.text(i).decode() for c in _text.chunks(p.column(0)) for i in range(c.n)] == [x or "" for x in p.column(0).to_pylist()]
+
+
+def test_tables_are_kept_until_another_operator_begins():
+    made = []
+    make = lambda: made.append(1) or object()
+    first = _text.kept("a", make)
+    assert _text.kept("a", make) is first and len(made) == 1
+    list(_text.slices(iter(())))
+    assert _text.kept("a", make) is not first and len(made) == 2
+    _text.kept("b", make)
+    _text.kept("a", make)
+    assert len(made) == 4

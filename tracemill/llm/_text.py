@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 
+T = TypeVar("T")
+
 CHUNK_BYTES = 2 << 20  # texts worked on at once; a longer text is a chunk of its own
+SLICE_ROWS = 1000  # of a batch that are worked on and sent on together
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -21,6 +25,7 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 _BYTE_VALUE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
+_kept: dict[str, object] = {}  # tables of this worker
 
 
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
@@ -39,6 +44,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def kept(name: str, make: Callable[[], T]) -> T:
+    """What make() gives, kept by a worker from task to task until another operator releases it."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """batches in parts of at most so many rows, so that what is made of a text, and sent on, is never held for a whole batch.
+
+    Tables that another operator keeps in this worker are released.
+    """
+    _kept.clear()
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 @dataclass
 class Chunk:
     """Rows first..last of a batch: their bytes end to end; document i is data[offs[i]:offs[i + 1]]. A null is empty."""

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.llm._shared import written
-from tracemill.llm._text import Chunk, Words, chunks, mix, words
+from tracemill.llm._text import Chunk, Words, chunks, mix, slices, words
 
 WINDOW = 13
 GRAM = 5
@@ -192,7 +192,7 @@ def _by_index(docs: DataFrame, items: DataFrame, text: str, into: str) -> DataFr
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             new = [x for c in chunks(batch.column(at)) for x in _found(c, sent.value)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, _ARROW)], [*batch.schema.names, into])
 
@@ -204,7 +204,7 @@ def _hashes(rows: DataFrame, schema: str, of) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in schema.split(", ")]
-        for batch in batches:
+        for batch in slices(batches):
             for c in chunks(batch.column(1)):
                 who, *columns = of(words(c), c, batch)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who + c.first, pa.int64())), *(pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in columns)], names)
@@ -270,7 +270,7 @@ def _by_join(docs: DataFrame, items: DataFrame, text: str, into: str) -> DataFra
     at = docs.columns.index(text)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n = [np.bincount(words(c).doc, minlength=c.n) for c in chunks(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], [*batch.schema.names, "__n"])
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm._shared import bounded_sample, fold
-from tracemill.llm._text import LOWER, Chunk, chunks
+from tracemill.llm._text import LOWER, Chunk, chunks, slices
 
 BUCKETS = 4096
 SAMPLE_PER_LANG = 400
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, train_rows: Column, lang: str = "lang", text: str = "te
     sample = bounded_sample(rows, "l", max(2, min(per_lang, MAX_SAMPLE // max(n, 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for c in chunks(batch.column(0), *CHUNK):
                 x = ngram_counts(c).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).slice(c.first, c.n)], ["x", "l"])
@@ -142,7 +142,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores, flags = [], [], []
             for c in chunks(batch.column(n), *CHUNK):
                 k, p, lead = m.decode(ngram_counts(c))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm._shared import written
-from tracemill.llm._text import chunks, ranges
+from tracemill.llm._text import chunks, kept, ranges
 
 LENGTH = 4096  # tokens of a sequence
 UNIT = 16  # tokens; lengths are rounded up to it when patterns are made
@@ -128,22 +128,13 @@ class WordIds:
         return np.split(ids, ends[:-1]) if len(ends) else []
 
 
-_coders: dict[str, WordIds] = {}  # of this worker, for all its tasks
-
-
-def coder_of(path: str) -> WordIds:
-    if path not in _coders:
-        _coders[path] = WordIds(path)
-    return _coders[path]
-
-
 def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of every piece. A null text is empty: its only id is the closing one."""
     path = path or tokenizer_path()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of(path)
+        coder = kept(f"ids of {path}", lambda: WordIds(path))
         for batch in batches:
             for c in chunks(batch.column(1)):
                 who, start, size, crc, total = [], [], [], [], []

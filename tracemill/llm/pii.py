@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm._text import LOWER, Chunk, chunks, mix, ranges, stretch_hashes
+from tracemill.llm._text import LOWER, Chunk, chunks, mix, ranges, slices, stretch_hashes
 
 KINDS = ("email", "ip", "card", "phone", "secret")  # base kinds first; ties of start are listed in this order
 BASE = KINDS[:4]
@@ -498,7 +498,7 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     names = [*keep, *(f"n_{k}" for k in BASE), "base", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             size = batch.num_rows
             count, base, spans = np.zeros((len(BASE), size), np.int64), [""] * size, [""] * size
             for i, (b, more, _) in _spans_of(batch.column(n), sent.value).items():
@@ -540,7 +540,7 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> Dat
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = {i: clean_text(t, b + more) for i, (b, more, t) in _spans_of(batch.column(at), sent.value).items() if b or more}
             if found:
                 rows = np.array(sorted(found))

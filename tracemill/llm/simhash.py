@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm._components import components
 from tracemill.llm._shared import joined, written
-from tracemill.llm._text import chunks, ranges
+from tracemill.llm._text import chunks, ranges, slices
 
 RADIUS = 3
 SHINGLE = 3
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for c in chunks(batch.column(len(keep))):
                 lists = [shingle_hashes(c.text(i)) for i in range(c.n)]
