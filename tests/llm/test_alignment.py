@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from helpers import documents, prose, write_tables
 from hypothesis import given
@@ -93,15 +94,42 @@ def test_few_known_stretches(spark, tokenizers, monkeypatch):
     assert len(a.known) < 60
 
 
-@given(st.sets(st.integers(0, 400)), st.sets(st.integers(0, 400), max_size=30))
-def test_galloping(a, b):
-    a, b = sorted(a), sorted(b)
-    assert common_set(alignment.common_ends(a, b), a, b) == common_set(alignment.common_ends(b, a), b, a) == sorted(set(a) & set(b))
-
-
-def common_set(found, a, b):
-    assert all(a[i] == b[j] for i, j in found) and found == sorted(found)
-    return [a[i] for i, _ in found]
+@given(st.lists(st.tuples(st.sets(st.integers(1, 60), min_size=1), st.sets(st.integers(1, 60), min_size=1)), max_size=8))
+def test_galloping(stretches):
+    """Ends of several stretches, one after the other."""
+    flat = [np.array([100 * k + x for k, s in enumerate(stretches) for x in sorted(s[side])], np.int64) for side in (0, 1)]
+    n = [np.array([len(s[side]) for s in stretches], np.int64) for side in (0, 1)]
+    i, j = alignment.common_ends(*flat, *n)
+    assert flat[0][i].tolist() == flat[1][j].tolist() == sorted(set(flat[0].tolist()) & set(flat[1].tolist()))
+
+
+def test_wide_groups(spark, tokenizers, monkeypatch):
+    """Groups whose repeated ids are paired once."""
+    texts = [t for _, t in rows() if t and len(t) < 400]
+    want = alignment.Aligner(*(alignment.tokenizer_path(n) for n in (alignment.TOKENIZER_A, alignment.TOKENIZER_B)))
+    monkeypatch.setattr(alignment, "WIDE_GROUP", 2)
+    fewer = alignment.Aligner(*(alignment.tokenizer_path(n) for n in (alignment.TOKENIZER_A, alignment.TOKENIZER_B)))
+    got = fewer.of(texts)[0]
+    monkeypatch.undo()
+    table = want.of(texts)[0]
+
+    def links(t, k):
+        out = Counter()
+        for key, times in zip(t.key[t.first[k] : t.first[k + 1]].tolist(), t.times[t.first[k] : t.first[k + 1]].tolist(), strict=True):
+            out[key] += times
+        return out
+
+    assert got.shown == table.shown and all(links(got, k) == links(table, k) for k in range(len(table.shown)))
+
+
+def test_quick_and_own_library(tokenizers):
+    """Both libraries give the same ids of stretches of the older alphabets."""
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:!?'\"()-_#*$%&|<>/\\\n\téèüßñçøłžαβγжщ½²€"
+    texts = [" " + "".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(3000)] + [" don't", " we'll've", " 's", " a's'", " \n\nx"]
+    ids, n = alignment.ByteTokens(alignment.tokenizer_path(alignment.TOKENIZER_A)).encode(texts)
+    own = tokenizers[0].encode_batch(texts, add_special_tokens=False)
+    assert n.tolist() == [len(e.ids) for e in own] and ids.tolist() == [i for e in own for i in e.ids]
 
 
 def test_empty_and_clashing(spark, tmp_path):
