@@ -1,12 +1,16 @@
 """Binding queries on the one-point fixture, and against a plain evaluator on random points."""
 
 import random
+import time
+from collections import Counter
 from decimal import Decimal
 from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 from tracemill.operators import binding
-from tracemill.operators.memory import SENTINEL, MemoryMap, pointer_sizes
+from tracemill.operators import memory
+from tracemill.operators.memory import SENTINEL, MemoryMap, pointer_sizes, pointers_by_address
 from tracemill.plans import predicate as P
 from tracemill.plans import schema as S
 
@@ -216,8 +220,8 @@ def test_memory_map():
     assert m.left_at(SENTINEL) is None
 
 
-@pytest.mark.parametrize("chunk", [1, 3, 1000])
-def test_pointer_sizes_in_stretches(spark, chunk):
+@pytest.mark.parametrize("group", [30, 300, 100_000])
+def test_pointer_sizes_in_groups(spark, group):
     rng = random.Random(1)
     rows, want = [], {}
     for t in range(2):
@@ -229,5 +233,118 @@ def test_pointer_sizes_in_stretches(spark, chunk):
             p = rng.randrange(70)
             want[t, c] = m.left_at(p)
             rows.append((t, c, 1, [var(0, "p", "*void", "POINTER", 8, p)], sizes))
-    got = {(r.trace_id, r.counter): None if r.buffer_size is None else int(r.buffer_size) for r in pointer_sizes(points(spark, *rows), chunk).collect()}
+    got = {(r.trace_id, r.counter): None if r.buffer_size is None else int(r.buffer_size) for r in pointer_sizes(points(spark, *rows), group).collect()}
     assert got == want
+
+
+def test_one_long_trace_is_shared_by_tasks(spark, monkeypatch):
+    """300,000 addresses in one trace, none freed: no task goes through twice GROUP rows."""
+    n, most = 300_000, []
+    carried = memory.carried
+
+    def measured(rows, order, same, value, keep, parts):
+        by = rows.repartitionByRange(parts, *order).groupBy(F.spark_partition_id()).count()
+        most.append(by.agg(F.max("count")).first()[0])
+        return carried(rows, order, same, value, keep, parts)
+
+    monkeypatch.setattr(memory, "carried", measured)
+    i = F.col("id")
+    num = lambda x: x.cast(S.NUM)
+    at = i * 7919 % (i + 2)  # up to i + 1, which comes later
+    pointer = F.struct(F.lit(0).alias("pos"), F.lit("p").alias("name"), F.lit("*void").alias("type"), F.lit("POINTER").alias("format"), F.lit(8).alias("size"), num(16 * at + 4).alias("num"), F.lit(None).cast("double").alias("dbl"), F.lit(None).cast("binary").alias("blob"), F.lit(None).cast(S.NUM).alias("buffer_size"))
+    df = spark.range(n).select(F.lit(1).cast("long").alias("trace_id"), i.alias("counter"), F.lit(1).cast("long").alias("statement"), F.array(F.struct(num(16 * i).alias("address"), num(F.lit(8)).alias("size"))).alias("sizes"), F.array(pointer).alias("vars"), F.array().cast("array<long>").alias("aux"))
+    found = pointer_sizes(df).select("counter", (F.col("counter") * 7919 % (F.col("counter") + 2) <= F.col("counter")).alias("lives"), "buffer_size")
+    right = F.when(F.col("lives"), F.col("buffer_size") == 4).otherwise(F.col("buffer_size").isNull())
+    assert found.agg(F.count("*"), F.count_if(right)).first() == (n, n)
+    assert len(most) == 2 and max(most) < 2 * memory.GROUP
+
+
+def test_pointers_by_address(spark):
+    rng = random.Random(12)
+    rows, want = [], Counter()
+    for t in range(3):
+        last = {}
+        for c in range(25):
+            sizes = [(rng.randrange(0, 40, 10), rng.choice([0, 0, 8])) for _ in range(rng.randint(0, 3))]
+            n = rng.randint(0, 2)
+            last.update(dict(sizes))
+            for a, s in last.items():
+                want[t, a, "all"] += n
+                want[t, a, "freed"] += n * (s == 0)
+            rows.append((t, 5 * c, 1, [var(i, "p", "*void", "POINTER", 8, 3) for i in range(n)], sizes))
+    for group in (7, 10_000):
+        got = {(r.trace_id, int(r.address)): (r.pointers, r.freed) for r in pointers_by_address(points(spark, *rows), group).collect()}
+        assert got == {(t, a): (want[t, a, "all"], want[t, a, "freed"]) for t, a, _ in want}
+    two = [var(0, "p", "*void", "POINTER", 8, 3), var(1, "p", "*void", "POINTER", 8, 3)]
+    for sizes, freed in (([(100, 10), (100, 0)], 2), ([(100, 0), (100, 10)], 0)):
+        assert [tuple(r)[2:] for r in pointers_by_address(points(spark, (1, 1, 1, two, sizes))).collect()] == [(2, freed)]
+    assert [r.pointers for r in pointers_by_address(points(spark, (1, 1, 1, [], [(100, 1)]), (1, 2, 1, []))).collect()] == [0]
+    assert pointers_by_address(points(spark)).count() == 0 and pointer_sizes(points(spark)).count() == 0
+
+
+def _wide_points(spark, rng, counters=10, most=9):
+    rows, plain = [], []
+    for c in range(counters):
+        vs = []
+        for i in range(rng.randint(0, most)):
+            t = rng.choice(["int", "double"])
+            n = rng.choice([None, *range(-3, 4)])
+            vs.append(var(i, f"n{i % 3}", t, "SIGNED" if t == "int" else "FLOAT", 8, n if t == "int" else None, None if t == "int" or n is None else rng.choice([float(n), float("nan"), n + 0.5]), rng.choice([None, 2])))
+        rows.append((c % 2, c, c % 3, vs))
+        plain.append([dict(zip(S.VAR.names, v, strict=True)) for v in vs])
+    return points(spark, *rows).cache(), plain
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_branch_and_bound(spark, distinct):
+    """The best of three variables, as all assignments tried give it."""
+    rng = random.Random(21 + distinct)
+    df, plain = _wide_points(spark, rng, most=6)
+    types = [["int", "double"], ["int"], ["int", "double"]]
+    for n in range(6):
+        hard = P.checked(_random_predicate(rng, list("abc")), list("abc")) if n % 2 else None
+        soft = [P.checked(_random_predicate(rng, rng.choice(["a", "bc", "abc", "c"])), list("abc")) for _ in range(rng.randint(1, 4))]
+        want = []
+        for c, vs in enumerate(plain):
+            scored = []
+            for combo in product(*([v for v in vs if v["type"] in t] for t in types)):
+                get = dict(zip("abc", combo, strict=True)).get
+                if (hard is None or P.evaluate(hard, get)) and (not distinct or len({v["pos"] for v in combo}) == 3):
+                    scored.append((sum(P.evaluate(s, get) for s in soft), [v["pos"] for v in combo]))
+            want += [(c, *p) for s, p in scored if s == max(s for s, _ in scored)]
+        got = sorted((r.counter, r.p0, r.p1, r.p2) for r in binding.query(df, "abc", types, hard, soft, dedup=None, distinct_bindings=distinct, indexed=n > 3).collect())
+        assert got == sorted(want), (P.show(hard), [P.show(s) for s in soft])
+
+
+def test_branches_end_early(spark):
+    """120 variables, three of them bound: hard conjuncts of single ones leave few branches."""
+    df = points(spark, (1, 1, 1, [var(i, f"x{i}", "int", "SIGNED", 4, i) for i in range(120)])).cache()
+    hard, soft = ("and", ("=", V("a"), 0), ("=", V("b"), 0)), [("<", V("c"), 3), ("<", ("+", V("a"), V("c")), ("+", V("b"), 2))]
+    run = lambda: binding.query(df, "abc", [["int"]] * 3, hard, soft, dedup=None).collect()
+    assert sorted(r.p2 for r in run()) == [0, 1]
+    began = time.time()
+    run()
+    assert time.time() - began < 2
+
+
+@pytest.mark.parametrize("predicate", [("=", V("a"), V("b")), ("=", ("+", V("a"), 1), V("b")), ("and", (">", V("b"), V("a")), ("<=", V("b"), ("+", V("a"), 1))), ("and", (">=", V("b"), ("*", V("a"), V("a"))), ("<", V("c"), V("b"))), ("=", ("v/size", "b"), V("a")), ("and", ("=", V("c"), ("/", V("a"), V("b"))), ("not", ("=", V("a"), V("b"))))])
+def test_lookups_find_what_trying_finds(spark, predicate):
+    df, _ = _wide_points(spark, random.Random(31))
+    types = [["int", "double"], ["int", "double"], ["int"]]
+    for distinct in (False, True):
+        both = [sorted((r.counter, r.p0, r.p1, r.p2) for r in binding.query(df, "abc", types, predicate, dedup=None, distinct_bindings=distinct, indexed=i).collect()) for i in (False, True)]
+        assert both[0] == both[1]
+
+
+def test_lookups_make_few_rows(spark):
+    """2000 variables and a = b: candidates that can't be equal are never rows."""
+    df = points(spark, (1, 1, 1, [var(i, "x", "int", "SIGNED", 4, i // 2) for i in range(2000)]))
+    found = binding.query(df, "ab", [["int"]] * 2, ("=", V("a"), V("b")), dedup=None, indexed=True)
+    assert len(found.collect()) == 4000
+    made, todo = [], [found._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("Generate"):
+            made.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert len(made) == 2 and sum(made) < 10_000

@@ -16,22 +16,31 @@ from tracemill.plans import predicate as P
 from tracemill.plans import schema as S
 
 
-def _bound(points: DataFrame, names: Sequence[str], types: Sequence[Sequence[str]], conjuncts: list, exact: bool, distinct: bool) -> DataFrame:
-    """points with columns v0 .. and p0 .. for each assignment that satisfies all conjuncts."""
+def _bound(points: DataFrame, names: Sequence[str], types: Sequence[Sequence[str]], conjuncts: list, exact: bool, distinct: bool, soft: Sequence = (), indexed: bool = False) -> DataFrame:
+    """points with columns v0 .. and p0 .. for each assignment that satisfies all conjuncts, and column __most of the soft predicates, if there are any."""
     todo = [(c, set(P.names_in(c))) for c in conjuncts]
-    out, have = points, set()
+    var = _columns(names)
+    lookups = [_lookup(conjuncts, names, i) if indexed else [] for i in range(len(names))]
+    out, have = points.withColumns({f"__by{i}": _sorted_by(lookups[i][0][1], kinds) for i, kinds in enumerate(types) if lookups[i]}), set()
     for i, (name, kinds) in enumerate(zip(names, types, strict=True)):
         keep = [c for c in out.columns]
-        out = out.select(*keep, F.posexplode("vars").alias(f"p{i}", f"v{i}")).where(F.col(f"v{i}.type").isin(list(kinds)))
+        if lookups[i]:
+            out = out.select(*keep, F.explode(_slice(F.col(f"__by{i}"), lookups[i], var)["at"]).alias(f"p{i}")).withColumn(f"v{i}", F.get("vars", F.col(f"p{i}")))
+        else:
+            out = out.select(*keep, F.posexplode("vars").alias(f"p{i}", f"v{i}")).where(F.col(f"v{i}.type").isin(list(kinds)))
         if distinct:
             for j in range(i):
                 out = out.where(F.col(f"p{j}") != F.col(f"p{i}"))
         have.add(name)
         for c, needs in [t for t in todo if t[1] <= have]:
-            out = out.where(P.compile(c, _columns(names), exact))
+            out = out.where(P.compile(c, var, exact))
         todo = [t for t in todo if not t[1] <= have]
+        if soft:
+            settled = [s for s in soft if set(P.names_in(s)) <= have]
+            # Within coalesce __most gives Spark no filter to infer, which it would push below all that makes the candidates.
+            out = out.where(_score(settled, var) + (len(soft) - len(settled)) >= F.coalesce("__most", F.lit(-1)))
     for c, _ in todo:
-        out = out.where(P.compile(c, _columns(names), exact))
+        out = out.where(P.compile(c, var, exact))
     return out
 
 
@@ -39,41 +48,138 @@ def _columns(names: Sequence[str]) -> Callable[[str], Column]:
     return lambda n: F.col(f"v{list(names).index(n)}")
 
 
-def _softly(points: DataFrame, names: Sequence[str], types: Sequence[Sequence[str]], hard: list, soft: list, exact: bool, distinct: bool) -> DataFrame:
+def _score(soft: Sequence, var: Callable[[str], Column]) -> Column:
+    """How many of the soft predicates hold."""
+    return sum((F.when(P.compile(s, var), 1).otherwise(0) for s in soft), F.lit(0))
+
+
+_TURNED = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "=": "="}
+
+
+def _lookup(conjuncts: list, names: Sequence[str], i: int) -> list[tuple[str, tuple, P.Node]]:
+    """(comparison, value of variable i, what it is compared with) of the conjuncts by which candidates for variable i can be looked up when those before it are bound; all of one value."""
+    found = []
+    for op, *args in conjuncts:
+        if op in P.COMPARE:
+            for op_, own, other in ((op, *args), (_TURNED[op], *reversed(args))):
+                if own in (("v/value", names[i]), ("v/size", names[i])) and (needs := set(P.names_in(other))) and needs <= set(names[:i]):
+                    found.append((op_, own, other))
+    return [f for f in found if f[1] == found[0][1]]
+
+
+def _sorted_by(value: tuple, kinds: Sequence[str]) -> Column:
+    """The variables of the types that have the value, as (value as a double, at), sorted."""
+    name = value[1]
+
+    def entry(v: Column, at: Column) -> Column:
+        x = P.approximate(value, {name: v}.__getitem__)
+        return F.when(v["type"].isin(list(kinds)) & x.isNotNull(), F.struct(x.alias("x"), at.alias("at")))
+
+    return F.sort_array(F.filter(F.transform("vars", entry), lambda e: e.isNotNull()))
+
+
+def _slice(by: Column, lookups: list, var: Callable[[str], Column]) -> Column:
+    """The entries of by that may satisfy all lookups: bounds are found by halving, a little wide, as the values are rounded."""
+    low, high = F.lit(0), F.size(by)
+    for op, _, other in lookups:
+        key = P.approximate(other, var)
+        slack = F.abs(key) * 1e-9
+        if op in ("=", ">", ">="):
+            low = F.greatest(low, _place(by, key - slack, False))
+        if op in ("=", "<", "<="):
+            high = F.least(high, _place(by, key + slack, True))
+        high = F.when(key.isNotNull(), high)
+    return F.slice(by, low + 1, F.greatest(high - low, F.lit(0)))
+
+
+def _place(by: Column, key: Column, after: bool) -> Column:
+    """How many entries of by are below key, or not above it, if after."""
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        x = F.get(by, middle)["x"]
+        right = x <= key if after else x < key
+        return F.when(s["low"] < s["high"], F.when(right, F.struct((middle + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), middle.alias("high")))).otherwise(s)
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(by) + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(by).alias("high")), halve, lambda s: s["low"])
+
+
+def _softly(points: DataFrame, names: Sequence[str], types: Sequence[Sequence[str]], hard: list, soft: list, exact: bool, distinct: bool, indexed: bool) -> DataFrame:
     """Assignments of each point that satisfy the most soft predicates.
 
-    The most that any assignment satisfies is folded within the point's row, which keeps a number and no assignment;
-    then the generators give those that reach it. Predicates in Python can't be folded so: they are scored above the
-    generators, and the best of each point are chosen by a window, which shuffles its assignments.
+    The most that any assignment satisfies is found within the point's row, by branch and bound, which keeps a number and
+    no assignment; then the generators give those that reach it. Predicates in Python can't be folded so: they are scored
+    above the generators, and the best of each point are chosen by a window, which shuffles its assignments.
     """
-    def score(var: Callable[[str], Column]) -> Column:
-        return sum((F.when(P.compile(s, var, exact), 1).otherwise(0) for s in soft), F.lit(0))
-
     if exact or not all(map(P.native, (*hard, *soft))):
-        rows = _bound(points, names, types, hard, exact, distinct).withColumn("__score", score(_columns(names)))
+        score = sum((F.when(P.compile(s, _columns(names), exact), 1).otherwise(0) for s in soft), F.lit(0))
+        rows = _bound(points, names, types, hard, exact, distinct).withColumn("__score", score)
         most = F.max("__score").over(Window.partitionBy("trace_id", "counter"))
         return rows.withColumn("__most", most).where("__score = __most").drop("__score", "__most")
+    most, rows = _most(points, names, types, hard, soft, distinct)
+    rows = rows.withColumn("__most", most).select(*points.columns, "__most")
+    return _bound(rows, names, types, hard, exact, distinct, soft, indexed).drop("__most")
+
+
+def _most(points: DataFrame, names: Sequence[str], types: Sequence[Sequence[str]], hard: list, soft: list, distinct: bool) -> tuple[Column, DataFrame]:
+    """The most soft predicates that an assignment of a point satisfies, -1 if it has none, over points with columns of candidates.
+
+    Predicates of one variable are evaluated once for each candidate, and leave out those that fail a hard one. Those of
+    several are evaluated as soon as these are bound; a branch ends when a hard one fails, or when its score, the
+    best that candidates of the other variables have on their own and the soft predicates still open don't exceed the best so far.
+    """
+    k = len(names)
+    level = lambda p: max((list(names).index(n) for n in P.names_in(p)), default=0)
+    alone = lambda p: len(set(P.names_in(p))) <= 1
+    fields = list(P.RECORD) if any("distinct-vars" in str(p) for p in (*hard, *soft)) else ["num", "dbl", "buffer_size"]
 
-    def level(i: int, bound: dict[int, Column]) -> Column:
-        """The highest score of assignments of variables i .. 0 beside those bound, -1 if there is none."""
-        if i < 0:
-            var = lambda n: bound[list(names).index(n)]
-            ok = F.lit(True)
-            for h in hard:
-                ok = ok & P.compile(h, var)
-            for a in bound if distinct else ():
-                for b in range(a):
-                    ok = ok & (bound[a]["at"] != bound[b]["at"])
-            return F.when(ok, score(var)).otherwise(-1)
-        own = F.filter(F.transform("vars", _numbered), lambda v: v["type"].isin(list(types[i])))
-        return F.aggregate(own, F.lit(-1), lambda most, v: F.greatest(most, level(i - 1, bound | {i: v})))
+    def candidates(i: int) -> Column:
+        own = lambda ps: [p for p in ps if alone(p) and level(p) == i]
 
-    rows = points.withColumn("__most", level(len(names) - 1, {}))
-    return _bound(rows, names, types, hard, exact, distinct).where(score(_columns(names)) == F.col("__most")).drop("__most")
+        def entry(v: Column, at: Column) -> Column:
+            var = lambda n: v
+            fits = v["type"].isin(list(types[i]))
+            for h in own(hard):
+                fits = fits & P.compile(h, var)
+            return F.when(fits, F.struct(at.alias("at"), _score(own(soft), var).alias("score"), *(v[f].alias(f) for f in fields)))
 
+        return F.filter(F.transform("vars", entry), lambda e: e.isNotNull())
 
-def _numbered(v: Column, at: Column) -> Column:
-    return v.withField("at", at)
+    joint_hard, joint_soft = ([p for p in ps if not alone(p)] for ps in (hard, soft))
+    rows = points.withColumns({f"__c{i}": candidates(i) for i in range(k)})
+    rows = rows.withColumns({f"__m{i}": F.array_max(F.transform(f"__c{i}", lambda e: e["score"])) for i in range(k)})
+    bests = [F.col(f"__m{i}") for i in range(k)]
+    whole = sum(bests, F.lit(0))
+    if not joint_hard and not joint_soft and not distinct:
+        return F.coalesce(whole, F.lit(-1)), rows
+
+    def branch(i: int, bound: dict[int, Column], score: Column, best: Column) -> Column:
+        var = lambda n: bound[list(names).index(n)]
+        rest = sum(bests[i + 1 :], F.lit(0)) + sum(level(s) > i for s in joint_soft)
+
+        def step(best: Column, v: Column) -> Column:
+            bound[i] = v
+            now = score + v["score"]
+            most = now + rest + sum(level(s) == i for s in joint_soft)
+            ok = most > best
+            for j in range(i) if distinct else ():
+                ok = ok & (bound[j]["at"] != v["at"])
+            for h in joint_hard:
+                if level(h) == i:
+                    ok = ok & P.compile(h, var)
+            mine = [s for s in joint_soft if level(s) == i]
+
+            def go_on(reached: Column) -> Column:
+                deeper = branch(i + 1, dict(bound), reached, best) if i + 1 < k else reached
+                return F.when(reached + rest > best, deeper).otherwise(best) if mine else deeper
+
+            found = P.let(now + _score(mine, var), go_on) if mine else go_on(now)
+            return F.when(ok, found).otherwise(best)
+
+        return F.aggregate(F.col(f"__c{i}"), best, step)
+
+    return F.when(whole.isNotNull(), branch(0, {}, F.lit(0), F.lit(-1))).otherwise(-1), rows
 
 
 def pick_point(points: DataFrame, seed: int) -> DataFrame:
@@ -107,6 +213,7 @@ def query(
     dedup: str | None = "first",
     distinct_bindings: bool = False,
     exact: bool = False,
+    indexed: bool = False,
 ) -> DataFrame:
     """Bindings at the points (schema POINTS) of any number of traces.
 
@@ -116,6 +223,10 @@ def query(
     file_id, stmt_id, v0 .. dedup keeps of bindings with the same trace, statement, names and types the first
     or last in order of point and positions (variable 0 varying fastest), or all (None).
 
+    indexed is for points of hundreds of variables: where a conjunct compares a variable's value or size with what
+    those before it give, its candidates are looked up in a sorted array of the point instead of tried one by one. The
+    result is the same.
+
     The result has trace_id, counter, statement, file_id, stmt_id, v0 .., p0 .. (positions), sizes, aux, in no order:
     sort by trace_id, counter and the positions, the last first, for that of enumeration. Without variables there is
     one row per point.
@@ -137,7 +248,7 @@ def query(
     if pick is not None:
         rows = pick_point(rows, pick)
     if names:
-        rows = _softly(rows, names, types, hard, soft, exact, distinct_bindings) if soft else _bound(rows, names, types, hard, exact, distinct_bindings)
+        rows = _softly(rows, names, types, hard, soft, exact, distinct_bindings, indexed) if soft else _bound(rows, names, types, hard, exact, distinct_bindings, indexed=indexed)
     k = len(names)
     statement = F.col("statement")
     rows = rows.select("trace_id", "counter", "statement", S.file_id(statement).alias("file_id"), S.stmt_id(statement).alias("stmt_id"), *(f"v{i}" for i in range(k)), *(f"p{i}" for i in range(k)), "sizes", "aux")

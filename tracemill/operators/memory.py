@@ -4,23 +4,33 @@ An allocation (address, size) replaces one at the same address; size 0 frees it.
 allocation with the greatest start not above it, if it is no further than its end (end included); the result
 is what is left behind the pointer. An older allocation beneath a nearer one isn't consulted. The address
 2^64 - 1 belongs to none.
+
+The life of an allocation, from its point to the one before the next word on its address, is a range of counters. It
+is cut into blocks of FAN ** k counters, a few on each level k, and filed under each; a pointer asks, on each level, the block
+that holds its own counter for the nearest start below it, and the nearest of all levels is the live one. Blocks, starts and
+questions are sorted by range partitions, so that a block of any size is shared by as many tasks as it needs; the last
+start below a partition is carried into it.
 """
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_right, insort
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.plans.schema import bits, unsigned
+from tracemill.plans.schema import FLAG, bits, unsigned
+from tracemill.scratch import written
 
 SENTINEL = (1 << 64) - 1
-CHUNK = 50_000  # points of a trace that one task goes through
-GROUP = 200_000  # events and live allocations that are held together, or those of one stretch
+GROUP = 200_000  # rows that a task sorts and goes through, about
+FAN_BITS = 2  # a block has 4 blocks of the level below
+OUT = "trace_id long, counter long, pos int, pointer decimal(20,0), buffer_size decimal(20,0)"
 
 
 class MemoryMap:
@@ -49,83 +59,138 @@ class MemoryMap:
         return left if left >= 0 else None
 
 
-def _sorted(table: pa.Table, *by: str) -> dict[str, list]:
-    """Columns in the order of by; addresses and sizes, which come as bits, as unsigned."""
-    order = np.lexsort([table.column(c).to_numpy() for c in reversed(by)])
-    columns = {c: table.column(c).to_numpy()[order] for c in table.column_names}
-    return {c: (v.view(np.uint64) if c in ("address", "size") else v).tolist() for c, v in columns.items()}
-
-
-def _through(rows: pa.Table, live: pa.Table) -> pa.Table:
-    """Several stretches at once, each from what was live at its beginning."""
-    begins: dict[tuple, list] = {}
-    old = _sorted(live, "trace_id", "chunk", "address")
-    for t, c, a, s in zip(old["trace_id"], old["chunk"], old["address"], old["size"], strict=True):
-        begins.setdefault((t, c), []).append((a, s))
-    r = _sorted(rows, "trace_id", "chunk", "counter", "kind", "ord")
-    out, now, memory = [], None, MemoryMap()
-    for t, chunk, counter, kind, at, a, s in zip(*(r[c] for c in ("trace_id", "chunk", "counter", "kind", "ord", "address", "size")), strict=True):
-        if (t, chunk) != now:
-            now = (t, chunk)
-            memory = MemoryMap(begins.pop(now, ()))
-        if kind == 0:
-            memory.update(a, s)
-        else:
-            out.append((t, counter, at, a, memory.left_at(a)))
-    t, c, p, a, left = zip(*out, strict=True) if out else [()] * 5
-    as_long = lambda x: pa.array([None if v is None else v - (1 << 64) if v >> 63 else v for v in x], pa.int64())
-    return pa.table({"trace_id": pa.array(t, pa.int64()), "counter": pa.array(c, pa.int64()), "pos": pa.array(p, pa.int32()), "pointer": as_long(a), "buffer_size": as_long(left)})
-
-
-def _allocations(points: DataFrame, *more) -> DataFrame:
-    return points.select("trace_id", "counter", *more, F.posexplode("sizes").alias("ord", "a")).select("*", bits(F.col("a.address")).alias("address"), bits(F.col("a.size")).alias("size")).drop("a")
-
+def carried(rows: DataFrame, order: Sequence, same: Sequence[str], value: Sequence[str], keep: str, parts: int) -> DataFrame:
+    """rows where keep holds, with before_<value> of the nearest row before it, in order, for which the column source holds; null if that one differs in same, or there is none.
 
-def pointer_sizes(points: DataFrame, chunk: int = CHUNK, before: DataFrame | None = None) -> DataFrame:
+    keep is 2 for rows that stay in any case, 1 for those that stay where there is such a row (or may be), 0 for the
+    others; source is a Boolean, all other columns are longs. rows are sorted in parts range partitions, and gone through once;
+    what a partition lacks at its head is the last source of those before it.
+    """
+    names = [c for c in rows.columns if c not in ("source", keep)]
+    carry = list(dict.fromkeys([*same, *value]))
+    before = [f"before_{c}" for c in carry]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[str, int] | None = None
+        part = TaskContext.get().partitionId()
+
+        def out(columns: list[np.ndarray], known: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+            n = len(known)
+            shown = [pa.array(x, pa.int64()) for x in columns[: len(names)]] + [pa.array(x, pa.int64(), mask=~known) for x in columns[len(names) :]]
+            return pa.RecordBatch.from_arrays([*shown, pa.array(np.full(n, part)), pa.array(kind, pa.int32())], [*names, *before, "part", "kind"])
+
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            column = {c: b.column(c).to_numpy() for c in dict.fromkeys([*names, *carry])}
+            source, wanted = (b.column(c).to_numpy(zero_copy_only=False) for c in ("source", keep))
+            at = np.maximum.accumulate(np.where(source, np.arange(n), -1))
+            mine = np.concatenate(([-1], at[:-1]))
+            there = mine >= 0
+            held = {c: np.where(there, column[c][mine], 0 if last is None else last[c]) for c in carry}
+            known = there | (last is not None)
+            kind = np.where(known, 0, 1)  # 1: at the head of a partition
+            for c in same:
+                known = known & (held[c] == column[c])
+            wanted = (wanted == 2) | ((wanted == 1) & (known | (kind == 1)))
+            yield out([*(column[c][wanted] for c in names), *(held[c][wanted] for c in carry)], known[wanted], kind[wanted])
+            if at[-1] >= 0:
+                last = {c: int(column[c][at[-1]]) for c in carry}
+        if last is not None:
+            yield out([*(np.zeros(1, np.int64) for _ in names), *(np.array([last[c]]) for c in carry)], np.ones(1, bool), np.full(1, 2))
+
+    longs = ", ".join(f"{c} long" for c in (*names, *before, "part"))
+    found = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, f"{longs}, kind int"))
+    tails = found.where("kind = 2").select("part", F.struct(*before).alias("tail"))
+    every = rows.sparkSession.range(parts).withColumnRenamed("id", "part").join(tails, "part", "left")  # a row for each partition
+    heads = every.select("part", F.last("tail", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("tail"))
+    body = found.where("kind <> 2").join(F.broadcast(heads), "part", "left")
+    fits = F.col("kind") == 1
+    for c in same:
+        fits &= F.col(f"tail.before_{c}") == F.col(c)
+    return body.select(*names, *(F.when(fits, F.col(f"tail.before_{c}")).otherwise(F.col(f"before_{c}")).alias(f"before_{c}") for c in value))
+
+
+def _events(points: DataFrame) -> DataFrame:
+    """trace_id, counter, kind (0: allocation, 1: pointer), ord (its place in the point), address, size of all points; addresses as longs that sort like them, sizes as bits."""
+    flipped = lambda x: bits(x).bitwiseXOR(F.lit(FLAG))
+    null = F.lit(None).cast("decimal(20,0)")
+    allocation = F.transform("sizes", lambda a, i: F.struct(F.lit(0).alias("kind"), i.alias("ord"), a["address"].alias("address"), a["size"].alias("size")))
+    pointer = F.transform(F.filter("vars", lambda v: (v["format"] == "POINTER") & v["num"].isNotNull()), lambda v: F.struct(F.lit(1).alias("kind"), v["pos"].alias("ord"), v["num"].alias("address"), null.alias("size")))
+    rows = points.select("trace_id", "counter", F.explode(F.concat(F.coalesce(allocation, F.array()), F.coalesce(pointer, F.array()))).alias("e"))
+    return rows.select("trace_id", "counter", F.col("e.kind").cast("long").alias("kind"), F.col("e.ord").cast("long").alias("ord"), flipped(F.col("e.address")).alias("address"), F.coalesce(bits(F.col("e.size")), F.lit(0)).alias("size")).where("address is not null")
+
+
+def _parts(rows: int, group: int) -> int:
+    return max(1, math.ceil(rows / group))
+
+
+def _lives(allocations: DataFrame, group: int, n: int) -> DataFrame:
+    """allocations with before_counter, the counter of the next word on the same address, null if there is none."""
+    rows = allocations.select("trace_id", "address", "counter", "ord", "size", F.lit(True).alias("source"), F.when(F.col("size") != 0, 2).otherwise(0).alias("allocates"))
+    return carried(rows, ["trace_id", "address", F.desc("counter"), F.desc("ord")], ["trace_id", "address"], ["counter"], "allocates", _parts(n, group))
+
+
+def _blocks(lives: DataFrame, levels: int) -> DataFrame:
+    """lives (first, last: counters from 0 to FAN ** levels - 1) for each block that they are cut into: level, block."""
+
+    def on(k: int):
+        size = 1 << (FAN_BITS * k)
+        fan = 1 << FAN_BITS
+        first, end = F.expr(f"(first + {size - 1}) div {size}"), F.expr(f"(last + 1) div {size}")
+        inner, outer = F.floor((first + (fan - 1)) / fan) * fan, F.floor(end / fan) * fan  # what the next level takes
+        span = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<long>"))
+        blocks = F.when(inner <= outer, F.concat(span(first, inner), span(outer, end))).otherwise(span(first, end)) if k < levels else span(first, end)
+        return F.transform(F.when(first < end, blocks).otherwise(F.array().cast("array<long>")), lambda x: F.struct(F.lit(k).cast("long").alias("level"), x.alias("block")))
+
+    rest = [c for c in lives.columns if c not in ("first", "last")]
+    return lives.select(*rest, F.explode(F.concat(*(on(k) for k in range(levels + 1)))).alias("b")).select(*rest, "b.*")
+
+
+def pointer_sizes(points: DataFrame, group: int = 0, before: DataFrame | None = None) -> DataFrame:
     """trace_id, counter, pos, pointer, buffer_size of every pointer of points.
 
-    Allocations of a point come before its variables. A trace is dealt in stretches of counters, chunk of them or as
-    many as the trace has addresses, if these are more; each begins with the allocations live then, which so are
-    never more than the points of a stretch that is full: what is copied grows with the points, not with stretches
-    times live allocations. Stretches are dealt into groups, as many as their events and live allocations need at
-    GROUP each. before has trace_id, address, size of what was live before all points.
+    Allocations of a point come before its variables. before has trace_id, address, size of what was live before all
+    points. Every task goes through about group rows (GROUP, if 0), whatever a trace's length or addresses: an allocation gives some rows on each of about
+    log4 n levels, for n counters between the first and the last of all points, and a pointer one.
     """
-    sized = _allocations(points).select("trace_id", "address")
+    group = group or GROUP
+    spark = points.sparkSession
+    events = written(_events(points))
+    stats = events.agg(F.min("counter"), F.max("counter"), F.count_if(F.col("kind") == 0), F.count("*")).first()
+    if stats[0] is None:
+        return spark.createDataFrame([], OUT)
+    low, high, n_allocs, n = stats
+    allocations = events.where("kind = 0").select("trace_id", "address", (F.col("counter") - (low - 1)).alias("counter"), "ord", "size")
     if before is not None:
-        sized = sized.union(before.select("trace_id", bits(F.col("address"))))
-    long = sized.distinct().groupBy("trace_id").agg(F.count("*").alias("step")).where(F.col("step") > chunk)
-    part = F.floor(F.col("counter") / F.coalesce("step", F.lit(chunk))).alias("chunk")
-    kept = points.select("trace_id", "counter", "sizes", F.filter("vars", lambda v: (v["format"] == "POINTER") & v["num"].isNotNull()).alias("pointers"))
-    held = kept.agg(F.sum(F.size("sizes") + F.size("pointers"))).first()[0] or 0
-    kept = kept.join(long, "trace_id", "left").select("*", part).drop("step")
-    allocs = _allocations(kept, "chunk")
-    pointers = kept.select("trace_id", "chunk", "counter", F.explode("pointers").alias("v"))
-    events = allocs.select("trace_id", "chunk", "counter", F.lit(0).alias("kind"), "ord", "address", "size").union(
-        pointers.select("trace_id", "chunk", "counter", F.lit(1), F.col("v.pos"), bits(F.col("v.num")), F.lit(0).cast("long"))
-    )
-    if before is not None:  # in the stretch before the first
-        first = kept.groupBy("trace_id").agg((F.min("chunk") - 1).alias("chunk"))
-        old = before.join(first, "trace_id").select("trace_id", F.lit(-1).cast("long").alias("counter"), "chunk", F.lit(0).alias("ord"), bits(F.col("address")).alias("address"), bits(F.col("size")).alias("size"))
-        allocs = allocs.unionByName(old)
-    last = allocs.groupBy("trace_id", "address", "chunk").agg(F.max_by("size", F.struct("counter", "ord")).alias("size"))
-    following = F.lead("chunk").over(Window.partitionBy("trace_id", "address").orderBy("chunk"))
-    spans = last.withColumn("next", following).where("size <> 0")
-    used = pointers.select("trace_id", "chunk").distinct()
-    # What is live when a stretch with pointers begins: states set in an earlier stretch and not since. Each state
-    # is spread over the stretches it lasts for, which keeps a long trace from meeting itself in one task.
-    end = used.groupBy("trace_id").agg(F.max("chunk").alias("end"))
-    lasting = spans.join(end, "trace_id").withColumn("until", F.least(F.coalesce("next", "end"), "end")).where("chunk < until")
-    lasting = lasting.select("trace_id", "address", "size", F.explode(F.sequence(F.col("chunk") + 1, F.col("until"))).alias("chunk"))
-    live = lasting.join(used, ["trace_id", "chunk"], "left_semi").select(*(F.col(c).alias(c) for c in ("trace_id", "chunk", "address", "size")))
-    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * held / GROUP))
-    dealt = F.pmod(F.xxhash64("trace_id", "chunk"), F.lit(tasks)).alias("task")
-    found = events.groupBy(dealt).cogroup(live.groupBy(dealt)).applyInArrow(_through, "trace_id long, counter long, pos int, pointer long, buffer_size long")
-    return found.select("trace_id", "counter", "pos", unsigned(F.col("pointer")).alias("pointer"), unsigned(F.col("buffer_size")).alias("buffer_size"))
-
-
-def with_sizes(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
+        address, size = bits(F.col("address")).bitwiseXOR(F.lit(FLAG)), bits(F.col("size"))
+        old = before.select("trace_id", address.alias("address"), F.lit(0).cast("long").alias("counter"), F.lit(0).cast("long").alias("ord"), size.alias("size"))
+        allocations = allocations.unionByName(old)
+        n_allocs += before.count()
+    levels = math.ceil((high - low + 2).bit_length() / FAN_BITS)
+    end = (1 << (FAN_BITS * levels)) - 1
+    lives = _lives(allocations, group, n_allocs).select("trace_id", "address", "size", F.col("counter").alias("first"), F.coalesce(F.col("before_counter") - 1, F.lit(end)).alias("last")).where("first <= last")
+    zero = F.lit(0).cast("long")
+    starts = _blocks(lives, levels).select("trace_id", "level", "block", "address", zero.alias("counter"), zero.alias("ord"), "size", F.lit(True).alias("source"), F.lit(0).alias("asks"))
+    level = F.explode(F.array(*(F.lit(k).cast("long") for k in range(levels + 1)))).alias("level")
+    asking = events.where("kind = 1").select("trace_id", "counter", "ord", "address", level)
+    block = F.expr(f"shiftright(counter - {low - 1}L, cast(level * {FAN_BITS} as int))")
+    asking = asking.select("trace_id", "level", block.alias("block"), "address", "counter", "ord", zero.alias("size"), F.lit(False).alias("source"), F.when(F.col("level") == 0, 2).otherwise(1).alias("asks"))
+    total = (n - stats[2]) * (levels + 1) + n_allocs * (levels + 1) * 2
+    found = carried(starts.unionByName(asking), ["trace_id", "level", "block", "address", F.desc("source"), "counter", "ord"], ["trace_id", "level", "block"], ["address", "size"], "asks", _parts(total, group))
+    found = found.where("level = 0 or before_address is not null")
+    nearest = found.groupBy("trace_id", "counter", "ord", "address").agg(F.max(F.struct("before_address", "before_size")).alias("a"))
+    whole = lambda x: unsigned(x.bitwiseXOR(F.lit(FLAG)))
+    pointer = whole(F.col("address"))
+    left = whole(F.col("a.before_address")) + unsigned(F.col("a.before_size")) - pointer
+    left = F.when((left >= 0) & (F.col("address") != F.lit((1 << 63) - 1)), left)
+    return nearest.select("trace_id", "counter", F.col("ord").cast("int").alias("pos"), pointer.cast("decimal(20,0)").alias("pointer"), left.cast("decimal(20,0)").alias("buffer_size"))
+
+
+def with_sizes(points: DataFrame) -> DataFrame:
     """points with buffer_size set in their pointers."""
-    found = pointer_sizes(points, chunk).where("buffer_size is not null").groupBy("trace_id", "counter").agg(F.map_from_entries(F.collect_list(F.struct("pos", "buffer_size"))).alias("__left"))
+    found = pointer_sizes(points).where("buffer_size is not null").groupBy("trace_id", "counter").agg(F.map_from_entries(F.collect_list(F.struct("pos", "buffer_size"))).alias("__left"))
     rows = points.join(found, ["trace_id", "counter"], "left")
     resized = F.transform("vars", lambda v: v.withField("buffer_size", F.coalesce(F.try_element_at(F.col("__left"), v["pos"]), v["buffer_size"])))
     return rows.withColumn("vars", resized).select(*points.columns)
@@ -139,16 +204,39 @@ def live_after(points: DataFrame, before: DataFrame | None = None) -> DataFrame:
     return allocs.groupBy("trace_id", "address").agg(F.max_by("size", F.struct("new", "counter", "ord")).alias("size")).where("size > 0")
 
 
-def pointers_by_address(points: DataFrame) -> DataFrame:
-    """trace_id, address, pointers, freed: how many points came while the last word on an address was an allocation or a
-    release, and how many of them a release. A point counts after its own allocations.
+def pointers_by_address(points: DataFrame, group: int = 0) -> DataFrame:
+    """trace_id, address, pointers, freed: how many pointers came while the last word on an address was an allocation or a
+    release, and how many of them while it was a release. The pointers of a point come after all of its own words; of several words on
+    one address the last counts for them.
     """
-    n = points.groupBy("trace_id").agg(F.count("*").alias("n"))
-    by_counter = Window.partitionBy("trace_id").orderBy("counter")
-    place = F.row_number().over(by_counter) - 1
-    allocs = points.select("trace_id", "sizes", place.alias("since")).where(F.size("sizes") > 0).select("trace_id", "since", F.explode("sizes").alias("a"))
-    spans = allocs.select("trace_id", "since", "a.address", "a.size").join(n, "trace_id")
-    until = F.lead("since").over(Window.partitionBy("trace_id", "address").orderBy("since"))
-    spans = spans.withColumn("pointers", F.coalesce(until, F.col("n")) - F.col("since"))
-    freed = F.sum(F.when(F.col("size") == 0, F.col("pointers")).otherwise(0))
-    return spans.groupBy("trace_id", "address").agg(F.sum("pointers").alias("pointers"), freed.alias("freed"))
+    group = group or GROUP
+    held = F.size(F.filter("vars", lambda v: (v["format"] == "POINTER") & v["num"].isNotNull()))
+    rows = points.select("trace_id", "counter", F.coalesce("sizes", F.array()).alias("sizes"), F.greatest(held, F.lit(0)).cast("long").alias("own"))
+    order = ["trace_id", "counter"]
+    # Pointers before each point, of all traces: the sum of the partitions before its own, and of its partition so far.
+    placed = written(rows.repartitionByRange(_parts(points.count(), group), *order).sortWithinPartitions(*order).mapInArrow(_summed, "trace_id long, counter long, sizes array<struct<address:decimal(20,0),size:decimal(20,0)>>, own long, so_far long, part long"))
+    sums = placed.groupBy("part").agg(F.sum("own").alias("all"))
+    offset = sums.select("part", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    placed = placed.join(F.broadcast(offset), "part").withColumn("since", F.col("offset") + F.col("so_far"))  # a row for each partition is sent
+    ends = placed.groupBy("trace_id").agg(F.max(F.col("since") + F.col("own")).alias("end"))
+    words = placed.select("trace_id", "counter", "since", F.posexplode("sizes").alias("ord", "a"))
+    words = written(words.select("trace_id", bits(F.col("a.address")).bitwiseXOR(F.lit(FLAG)).alias("address"), "counter", F.col("ord").cast("long").alias("ord"), "since", bits(F.col("a.size")).alias("size")))
+    marked = words.select("*", F.lit(True).alias("source"), F.lit(2).alias("all"))
+    spans = carried(marked, ["trace_id", "address", F.desc("counter"), F.desc("ord")], ["trace_id", "address"], ["since"], "all", _parts(words.count(), group))
+    none = F.lit(0).cast("long")
+    until = F.coalesce("before_since", none)
+    # The last word on an address lasts to the end of its trace, which is added to the sums.
+    last = F.col("before_since").isNull().cast("long")
+    by = spans.withColumns({"n": until - F.col("since"), "last": last, "released": (F.col("size") == 0).cast("long")})
+    by = by.groupBy("trace_id", "address").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("released")).alias("f"), F.sum("last").alias("open"), F.sum(F.col("last") * F.col("released")).alias("open_f"))
+    both = by.join(ends, "trace_id")
+    return both.select("trace_id", unsigned(F.col("address").bitwiseXOR(F.lit(FLAG))).alias("address"), (F.col("n") + F.col("open") * F.col("end")).alias("pointers"), (F.col("f") + F.col("open_f") * F.col("end")).alias("freed"))
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, part = 0, TaskContext.get().partitionId()
+    for b in batches:
+        own = b.column(3).to_numpy()
+        so_far = total + np.cumsum(own) - own
+        total += int(own.sum())
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(so_far), pa.array(np.full(b.num_rows, part))], [*b.schema.names, "so_far", "part"])

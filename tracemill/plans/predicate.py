@@ -140,7 +140,7 @@ def _zero() -> Column:
     return F.lit(Decimal(0)).cast(_WIDE)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is evaluated once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -176,7 +176,7 @@ def _combined(op: str, a: Column, n: int, b: Column, m: int) -> Column:
         return F.zip_with(x["a"], x["b"], each)
 
     both = lambda x: F.when(x["a"].isNotNull() & x["b"].isNotNull(), (product if op == "*" else total)(x))
-    return _carried(_let(F.struct(a.alias("a"), b.alias("b")), both))
+    return _carried(let(F.struct(a.alias("a"), b.alias("b")), both))
 
 
 class _TooWide(Exception):
@@ -295,6 +295,11 @@ def compile(p: Node, var: Callable[[str], Column], exact: bool = False) -> Colum
     return _exact(p, var) if exact or not native(p) else _compile(p, var)
 
 
+def approximate(a: Node, var: Callable[[str], Column]) -> Column:
+    """A checked value as a double, null where there is none."""
+    return _compile_value(a, var).any()
+
+
 def names_in(p: Node) -> Iterator[str]:
     if isinstance(p, tuple):
         if p[0] in ("v/value", "v/size", "distinct-vars"):

@@ -16,7 +16,7 @@ from tracemill.plans import predicate as P
 from tracemill.plans import schema as S
 from tracemill.scratch import scratch_dir
 from tracemill.sources import files
-from tracemill.sources.adapters import EVENT_FILES, as_text, events_as_points, inferred_formats, variable
+from tracemill.sources.adapters import EVENT_FILES, as_text, events_as_points, inferred_formats, users_as_points, variable
 from tracemill.streaming import ingest
 from tracemill.streaming.memory import OUT, write_pointer_sizes
 
@@ -170,6 +170,25 @@ _by_file("file_of_unflagged", False)
 _by_file("file_strictly_flagged", True)
 
 
+_WIDE = f"""{_EV}, en AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY counter) - 1 AS i FROM ev), wv AS (
+  SELECT trace_id, 1 AS counter, 1 AS file_id, 1 AS stmt_id, 2 * i AS pos, event_type AS name, 'int' AS type, CAST(k AS HUGEINT) AS num, CAST(NULL AS DOUBLE) AS dbl FROM en
+  UNION ALL SELECT trace_id, 1, 1, 1, 2 * i + 1, event_type, 'double', NULL, value FROM en
+)"""
+
+
+def _wide(name: str, types: list[list[str]], where: str, predicate: tuple) -> None:
+    """A query of wide points, whose candidates are looked up."""
+
+    @_register(name, _bind_sql(types, where, source="wv").replace(f"{_EV}, {_VARS}", _WIDE))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        points = users_as_points(spark.read.parquet(f"{sf_dir}/events.parquet"))
+        return binding.flat(binding.query(points, "ab", types, predicate, dedup=None, indexed=True), 2)
+
+
+_wide("bind_equal_join", [INT, INT], "v0.num + 1 = v1.num", ("=", ("+", V("a"), 1), V("b")))
+_wide("bind_range_join", [DOUBLE, DOUBLE], "v1.dbl > v0.dbl AND v1.dbl <= v0.dbl + 1.0", ("and", (">", V("b"), V("a")), ("<=", V("b"), ("+", V("a"), 1))))
+
+
 @_register("n_traces", "SELECT count(DISTINCT user_id) AS n FROM events")
 def n_traces(spark, sf_dir):
     return _points(spark, sf_dir).agg(F.count_distinct("trace_id").alias("n"))
@@ -225,7 +244,7 @@ def no_vars(spark, sf_dir):
 
 @_register("memory_map", f"WITH {_EV}, {_VARS}, {_SIZED} SELECT trace_id, counter, CAST(num AS BIGINT) AS pointer, CAST(room AS BIGINT) AS buffer_size FROM sized")
 def memory_map(spark, sf_dir):
-    found = memory.pointer_sizes(_points(spark, sf_dir), chunk=500)
+    found = memory.pointer_sizes(_points(spark, sf_dir))
     return found.select("trace_id", "counter", F.col("pointer").cast("long").alias("pointer"), F.col("buffer_size").cast("long").alias("buffer_size"))
 
 
@@ -239,6 +258,30 @@ def memory_free(spark, sf_dir):
     return found.select("trace_id", F.col("address").cast("long").alias("address"), "pointers", "freed")
 
 
+_WORDS = f"""{_EV}, wd AS (
+  SELECT trace_id, counter, 0 AS ord, 16 * (counter % 8) AS address, counter % 3 * 8 AS size FROM ev WHERE counter % 2 = 0
+  UNION ALL SELECT trace_id, counter, 1, 16 * (counter % 8), (counter + 1) % 4 * 8 FROM ev WHERE counter % 6 = 0
+  UNION ALL SELECT trace_id, counter, 2, 48, counter % 5 FROM ev WHERE counter % 4 = 0
+), wl AS (
+  SELECT e.trace_id, e.counter, e.counter % 3 AS n, w.address, arg_max(w.size, 4 * w.counter + w.ord) AS size
+  FROM ev e JOIN wd w ON w.trace_id = e.trace_id AND w.counter <= e.counter GROUP BY ALL
+)"""
+
+
+@_register(
+    "memory_words",
+    f"WITH {_WORDS} SELECT trace_id, address, CAST(sum(n) AS BIGINT) AS pointers, CAST(coalesce(sum(n) FILTER (WHERE size = 0), 0) AS BIGINT) AS freed FROM wl GROUP BY trace_id, address",
+)
+def memory_words(spark, sf_dir):
+    """As memory_free, of points with up to three words, some on one address, and 0 to 2 pointers."""
+    c = F.col("counter")
+    word = lambda when, address, size: F.when(when, F.array(F.struct(address.cast(S.NUM).alias("address"), size.cast(S.NUM).alias("size")))).otherwise(F.array().cast(S.POINTS["sizes"].dataType))
+    sizes = F.concat(word(c % 2 == 0, c % 8 * 16, c % 3 * 8), word(c % 6 == 0, c % 8 * 16, (c + 1) % 4 * 8), word(c % 4 == 0, F.lit(48), c % 5))
+    held = F.slice(F.array(*(variable(i, "p", "*void", "POINTER", 8, c) for i in range(2))), 1, (c % 3).cast("int"))
+    found = memory.pointers_by_address(_points(spark, sf_dir).withColumns({"sizes": sizes, "vars": held}))
+    return found.select("trace_id", F.col("address").cast("long").alias("address"), "pointers", "freed")
+
+
 _OVERLAP = f"""{_EV}, oa AS (
   SELECT trace_id, counter, 16 * (counter % 8) AS address, CASE counter % 3 WHEN 0 THEN 0 WHEN 1 THEN 200 ELSE 24 END AS size FROM ev WHERE counter % 2 = 0 OR event_type = 'signup'
 ), ot AS (
@@ -262,7 +305,7 @@ def memory_overlap(spark, sf_dir):
     signup = F.shiftrightunsigned("statement", S.NODE_BITS).bitwiseAND(F.lit(S.FILE_MASK)) == EVENT_FILES["signup"]
     points = _points(spark, sf_dir).withColumn("sizes", F.when((c % 2 == 0) | signup, alloc).otherwise(F.array().cast(S.POINTS["sizes"].dataType)))
     points = points.withColumn("vars", F.array(variable(0, "p", "*void", "POINTER", 8, c * 7 % 256)))
-    found = memory.pointer_sizes(points, chunk=7)
+    found = memory.pointer_sizes(points)
     return found.select("trace_id", "counter", F.col("pointer").cast("long").alias("pointer"), F.col("buffer_size").cast("long").alias("buffer_size"))
 
 

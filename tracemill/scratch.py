@@ -1,14 +1,14 @@
-"""Folders for intermediate tables."""
+"""Intermediate tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch_dir(spark: SparkSession) -> str:
+def scratch_dir(spark: SparkSession, name: str = "traces") -> str:
     """A new path in the shared folder of spark.checkpoint.dir; local sessions that name none get one of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -16,4 +16,11 @@ def scratch_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tracemill-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/traces-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, name: str = "traces") -> DataFrame:
+    """rows as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+    path = scratch_dir(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -59,6 +59,20 @@ def events_as_points(events: DataFrame) -> DataFrame:
     )
 
 
+def users_as_points(events: DataFrame) -> DataFrame:
+    """A trace of one wide point per user: an integer and a float variable for each event, in order of event_id."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    listed = events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type", k.alias("k"), "value"))).alias("e"))
+
+    def pair(e: Column, i: Column) -> Column:
+        both = (variable(0, "k", "int", "SIGNED", 4, e["k"]), variable(0, "value", "double", "FLOAT", 8, e["value"]))
+        return F.array(*(v.withField("pos", (2 * i + j).cast("int")).withField("name", e["event_type"]) for j, v in enumerate(both)))
+
+    one = F.lit(1).cast("long")
+    none = F.array()
+    return listed.select(F.col("user_id").alias("trace_id"), one.alias("counter"), S.encode_statement(one, one).alias("statement"), none.cast(S.POINTS["sizes"].dataType).alias("sizes"), F.flatten(F.transform("e", pair)).alias("vars"), none.cast("array<long>").alias("aux"))
+
+
 def inferred_formats(values: DataFrame) -> DataFrame:
     """values: type, num -> type and format of integers given without one: SIGNED if any value of the type is negative."""
     return values.groupBy("type").agg(F.when(F.bool_or(F.col("num") < 0), "SIGNED").otherwise("UNSIGNED").alias("format"))

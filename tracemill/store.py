@@ -12,19 +12,13 @@ from pyspark.sql import types as T
 
 from tracemill.operators import binding
 from tracemill.plans import schema as S
-from tracemill.scratch import scratch_dir
+from tracemill.scratch import written
 from tracemill.sources import files
 
 
-def _written(rows: DataFrame) -> DataFrame:
-    path = scratch_dir(rows.sparkSession)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def numbered(rows: DataFrame, key: str, base: int) -> DataFrame:
     """Distinct values of key -> key and id: base, base + 1 .. in order of key. Only partitions are counted on one task."""
-    placed = _written(rows.select(key).orderBy(key).select(key, F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")))
+    placed = written(rows.select(key).orderBy(key).select(key, F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")))
     sizes = placed.groupBy("p").agg(F.min("m").alias("m0"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return placed.join(sizes.select("p", "m0", before.alias("before")), "p").select(key, (base + F.col("before") + F.col("m") - F.col("m0")).alias("id"))
@@ -97,7 +91,7 @@ class TraceStore:
     def add_points(self, points: DataFrame, metadata: dict[str, str] | None = None, source: str = "memory") -> None:
         """Appends traces given as points (schema POINTS), numbered in order of their trace_id. Types come in order of first sight."""
         load, base = self._load()
-        ids = _written(numbered(points.select("trace_id").distinct(), "trace_id", base))
+        ids = written(numbered(points.select("trace_id").distinct(), "trace_id", base))
         place = F.struct("counter", "v.pos")
         seen = points.select("trace_id", "counter", F.explode("vars").alias("v")).groupBy("trace_id", F.col("v.type").alias("type_name"), F.col("v.format").alias("format"), F.col("v.size").alias("size")).agg(F.min(place).alias("first"))
         index = F.row_number().over(Window.partitionBy("trace_id").orderBy("first", "type_name", "format", "size")) - 1
@@ -109,10 +103,10 @@ class TraceStore:
 
         Malformed files, if on_error is skip, aren't numbered. The files are decoded once.
         """
-        rows = _written(files.decoded(files.trace_files(self.spark, path, max_traces), headers=True, **options).where("error is null"))
+        rows = written(files.decoded(files.trace_files(self.spark, path, max_traces), headers=True, **options).where("error is null"))
         load, base = self._load()
         heads = rows.where("counter is null")
-        ids = _written(numbered(heads, "source", base))
+        ids = written(numbered(heads, "source", base))
         types = heads.select("source", F.posexplode("types").alias("type_idx", "t")).select("source", "type_idx", "t.*")
         self._append(rows.where("counter is not null"), types, ids, "source", load, F.col("source"), metadata)
 
