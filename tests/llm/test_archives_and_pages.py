@@ -179,13 +179,14 @@ def test_mined_rules_against_every_token_set(spark):
 
     rng = random.Random(7)
     pool = [f"t{i}" for i in range(7)]
+    more = [f"u{i}" for i in range(16)]  # on all rows: they change no rule but their own
     rows = []
     for k in range(300):
         t = sorted(rng.sample(pool, rng.randint(1, 5)))
         bad = ("t0" in t and "t1" in t) or "t2" in t and rng.random() < 0.97
         rows.append((k, ",".join(t), t, "block" if bad else "allow"))
-    df = spark.createDataFrame([(str(k), t, v) for k, _, t, v in rows], "key string, tokens array<string>, verdict string")
-    got = {(tuple(r.antecedent), r.verdict): (round(r.confidence, 9), round(r.support, 9)) for r in urls.mined(df).collect()}
+    df = spark.createDataFrame([(str(k), [*t, *more], v) for k, _, t, v in rows], "key string, tokens array<string>, verdict string")
+    got = {(tuple(r.antecedent), r.verdict): (round(r.confidence, 9), round(r.support, 9)) for r in urls.mined(df)[0].collect()}
     least = max(1, math.ceil(urls.SUPPORT * len(rows)))
     every = {}
     for size in range(1, 6):
@@ -197,7 +198,32 @@ def test_mined_rules_against_every_token_set(spark):
     want = {(a, v): x for (a, v), x in every.items() if len(a) == 1 or not any((b, v) in every and every[b, v][0] >= x[0] for b in combinations(a, len(a) - 1))}
     assert got == want and len(want) > 5
     sets = df.select("key", "tokens")
-    verdicts = {r.key: r.mined for r in urls.decided(sets, urls.mined(df)).collect()}
+    verdicts = {r.key: r.mined for r in urls.decided(sets, *urls.mined(df)).collect()}
     for k, _, t, _ in rows:
         fits = [((c, s, len(a), " ".join(a)), v) for (a, v), (c, s) in want.items() if set(a) <= set(t)]
         assert verdicts.get(str(k)) == (max(fits)[1] if fits else None)
+
+
+def test_tokens_that_tell_only_together(spark):
+    """Two tokens of a path decide together, whatever else URLs hold: segments that all have, pairs that go together, others that tell nothing."""
+    rows = []
+    for i in range(800):
+        a, b = i & 1, i >> 1 & 1
+        same = [f"c{k}" for k in range(14)]
+        couple = [f"d{k}{i >> 2 & 1}" for k in range(7)]
+        noise = [f"e{k}{i >> (3 + k) & 1}" for k in range(4)]
+        rows.append((i, [f"a{a}", f"b{b}", *same, *couple, *noise], "block" if a ^ b else "allow"))
+    df = spark.createDataFrame([(str(i), t, v) for i, t, v in rows], "key string, tokens array<string>, verdict string")
+    rules, alike = urls.mined(df)
+    got = {(tuple(r.antecedent), r.verdict) for r in rules.collect()}
+    assert got == {(("a0", "b0"), "allow"), (("a1", "b1"), "allow"), (("a0", "b1"), "block"), (("a1", "b0"), "block")}
+    assert {r.standing for r in alike.collect()} == {"c0", "d00", "d01"}
+    # A token that stands for others is met where one of these is.
+    want = spark.createDataFrame([("x", ["a0", "b1", "zz"]), ("y", ["b0"])], "key string, tokens array<string>")
+    assert {r.key: r.mined for r in urls.decided(want, rules, alike).collect()} == {"x": "block"}
+
+
+def test_rows_that_repeat_an_id(spark):
+    few = spark.createDataFrame([(20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.25, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in neighbours.search(few, F.col("vec_id") == 20).collect())
+    assert got == sorted([(20, 1, 20, 1.0), (20, 2, 1, 0.5), (20, 3, 2, 0.25)] * 2)

@@ -2,8 +2,9 @@
 
 A URL is a set of tokens: scheme, all labels of its host, all segments of its path, the ending of the file name,
 all names of query parameters. Pages that a fixed rule decides are the labelled rows; rules are single tokens and,
-by FP-growth, token sets that go with a label. Of a URL with more than MINED frequent tokens FP-growth sees those
-that tell most, and its rules are counted again over all tokens. Rules are pruned by support, confidence, and by
+by FP-growth, token sets that go with a label. Of a URL of any length FP-growth sees all frequent tokens but those that
+can't change a rule: tokens that are on the same labelled rows stand for each other, one that all rows have adds nothing
+to a set, nor does any to one that is sure by itself. Rules are pruned by support, confidence, and by
 simpler rules that are as sure. A rule is filed under its rarest token, so a URL meets only rules that hold one of
 its own tokens; of those it holds entirely the surest decides. A URL that none fits is allowed.
 
@@ -15,17 +16,16 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm._shared import joined, written
+from tracemill.llm._shared import BROADCAST_ROWS, joined, written
 
 #: Verdict, host and path of the rules.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 MAX_LABELLED = 200_000  # labelled rows that are mined; more are drawn from by a hash of the id
 SUPPORT = 0.005
 CONFIDENCE = 0.9
-MINED = 12  # frequent tokens of a URL that are mined together, as the sets double with each
 DEFAULT = "allow"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,11 +65,14 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(every))
 
 
-def met(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """sets: key, tokens; rules: antecedent, token, the rarest of it, and more -> key and rule of all that a rule fits."""
-    used = rules.select(F.explode("antecedent").alias("token")).distinct()
-    held = sets.select("key", F.explode("tokens").alias("token")).join(used, "token").groupBy("key").agg(F.collect_set("token").alias("held"))
-    return held.select("key", "held", F.explode("held").alias("token")).join(rules, "token").where(F.size(F.array_except("antecedent", "held")) == 0).drop("held")
+def met(sets: DataFrame, rules: DataFrame, alike: DataFrame) -> DataFrame:
+    """sets: key, tokens; rules: antecedent, token, the rarest of it, and more -> key and rule of all that a rule fits. alike: t and the token that stands for it."""
+    used = rules.select(F.explode("antecedent").alias("token")).distinct()  # frequent tokens, which are at most a row's tokens over SUPPORT
+    each = sets.select("key", F.explode("tokens").alias("t")).join(F.broadcast(alike), "t", "left").select("key", F.coalesce("standing", "t").alias("token"))
+    held = each.join(F.broadcast(used), "token").groupBy("key").agg(F.collect_set("token").alias("held"))
+    few = rules.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    fits = held.select("key", "held", F.explode("held").alias("token")).join(F.broadcast(rules) if few else rules, "token")
+    return fits.where(F.size(F.array_except("antecedent", "held")) == 0).drop("held")
 
 
 def with_rarest(rules: DataFrame, counts: DataFrame) -> DataFrame:
@@ -78,29 +81,30 @@ def with_rarest(rules: DataFrame, counts: DataFrame) -> DataFrame:
     return each.groupBy(*rules.columns).agg(F.min_by("t", F.struct("freq", "t")).alias("token"))
 
 
-def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """labelled: key, tokens, verdict -> rules: antecedent, verdict, confidence, support and token, the rarest of the antecedent."""
+def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """labelled: key, tokens, verdict -> rules: antecedent, verdict, confidence, support and token, the rarest of the antecedent; and alike: t, standing.
+
+    Tokens on the same rows are alike: the first of them stands for all, in rules as in the sets that these are tried on.
+    """
     n = labelled.count()
     least = max(1, math.ceil(support * n))
-    by = labelled.select("verdict", F.explode("tokens").alias("t")).groupBy("t", "verdict").agg(F.count("*").alias("hits"))
-    counts = by.groupBy("t").agg(F.sum("hits").alias("freq"), F.max("hits").alias("most")).where(F.col("freq") >= least)
-    counts = written(counts.withColumn("sure", F.col("most") / F.col("freq")))
+    sums = [F.sum(F.xxhash64("key", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in range(2)]  # tell sets of rows apart
+    by = written(labelled.select("key", "verdict", F.explode("tokens").alias("t")).groupBy("t", "verdict").agg(F.count("*").alias("hits"), *sums))
+    counts = by.groupBy("t").agg(F.sum("hits").alias("freq"), F.max("hits").alias("most"), F.sum("s0").alias("s0"), F.sum("s1").alias("s1")).where(F.col("freq") >= least)
+    standing = F.min("t").over(Window.partitionBy("s0", "s1", "freq"))
+    counts = written(counts.select("t", "freq", "most", standing.alias("standing")))
+    own = counts.where("t = standing")
     sure = (F.col("hits") >= least) & (F.col("hits") / F.col("freq") >= confidence)
     fields = (F.col("verdict"), (F.col("hits") / F.col("freq")).alias("confidence"), (F.col("hits") / F.lit(n)).alias("support"))
-    single = by.join(counts, "t").where(sure).select(F.array("t").alias("antecedent"), *fields)
-    telling = F.struct((-F.col("sure")).alias("a"), (-F.col("freq")).alias("b"), F.col("t").alias("t"))
-    frequent = labelled.select("key", "tokens").dropDuplicates(["key"]).select("key", F.explode("tokens").alias("t")).join(counts, "t")
-    frequent = frequent.groupBy("key").agg(F.sort_array(F.collect_set(telling))["t"].alias("all"))
-    seen = written(frequent.select("key", F.slice("all", 1, MINED).alias("seen"), (F.size("all") > MINED).alias("over")))
-    items = labelled.join(seen, "key", "left").select(F.concat(F.coalesce("seen", F.array().cast("array<string>")), F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=0.0 if (over := bool(seen.where("over").limit(1).count())) else confidence).fit(items)
+    single = by.select("t", "verdict", "hits").join(own, "t").where(sure).select(F.array("t").alias("antecedent"), *fields)
+    open_ = own.where((F.col("most") < F.col("freq")) & (F.col("freq") < n)).select("t", F.lit(True).alias("open"))
+    numbered = labelled.select(F.monotonically_increasing_id().alias("row"), "verdict", "tokens")  # before rows are made of tokens
+    each = numbered.select("row", "verdict", F.explode_outer("tokens").alias("t")).join(F.broadcast(open_), "t", "left")
+    items = each.groupBy("row", "verdict").agg(F.collect_set(F.when(F.col("open"), F.col("t"))).alias("seen"))
+    items = items.select(F.concat("seen", F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
     rules = model.associationRules.where(F.col("consequent")[0].startswith("=") & ~F.exists("antecedent", lambda t: t.startswith("=")) & (F.size("antecedent") > 1))
     rules = rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], 2, 9).alias("verdict"), "confidence", "support")
-    if over:  # the mined counts leave out what wasn't seen of some URLs
-        rules = with_rarest(written(rules.select("antecedent").distinct()), counts)
-        fits = met(labelled.select("key", "tokens").dropDuplicates(["key"]), rules).join(labelled.groupBy("key", "verdict").agg(F.count("*").alias("c")), "key")
-        hits = written(fits.groupBy("antecedent", "verdict").agg(F.sum("c").alias("hits")))
-        rules = hits.join(hits.groupBy("antecedent").agg(F.sum("hits").alias("freq")), "antecedent").where(sure).select("antecedent", *fields)
     rules = written(single.unionByName(rules))
     # A rule that a simpler one with the same verdict, as sure, makes needless: the simpler one lacks one token.
     shorter = rules.select(F.col("antecedent").alias("shorter"), "verdict", F.col("confidence").alias("sure"))
@@ -108,13 +112,13 @@ def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CON
     without = without.withColumn("shorter", F.array_except("antecedent", F.array("t")))
     needless = without.join(shorter, ["shorter", "verdict"]).where("sure >= confidence").select("antecedent", "verdict").distinct()
     rules = rules.join(needless, ["antecedent", "verdict"], "left_anti")
-    return with_rarest(rules, counts)
+    return with_rarest(rules, counts), counts.where("t <> standing").select("t", "standing")
 
 
-def decided(sets: DataFrame, rules: DataFrame) -> DataFrame:
+def decided(sets: DataFrame, rules: DataFrame, alike: DataFrame) -> DataFrame:
     """sets (key, tokens) -> key and verdict of those that a rule fits: the surest rule's, then the best supported, then the first by its tokens."""
     rank = F.struct("confidence", "support", F.size("antecedent"), F.array_join("antecedent", " "))
-    return met(sets, rules).groupBy("key").agg(F.max_by("verdict", rank).alias("mined"))
+    return met(sets, rules, alike).groupBy("key").agg(F.max_by("verdict", rank).alias("mined"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -131,7 +135,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     if not n:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(DEFAULT)).alias("verdict"))
     drawn = F.pmod(F.xxhash64("page_id", "tokens", F.lit("mine")), F.lit(1 << 30)) < int(min(1.0, MAX_LABELLED / n) * (1 << 30))
-    found = written(decided(rows.where("ruled is null").select("key", "tokens").dropDuplicates(["key"]), mined(labelled.where(drawn))))
+    found = written(decided(rows.where("ruled is null").select("key", "tokens").dropDuplicates(["key"]), *mined(labelled.where(drawn))))
     return joined(rows, found, "key", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "mined", F.lit(DEFAULT)).alias("verdict"))
 
 
