@@ -79,3 +79,15 @@ def test_repeated_words_cost_no_more():
     first, second = decontaminate._found(c, index)
     assert time.time() - began < 2
     assert first == {"n_words": 20_000, "spans": [0, 20_000], "items": ["a", "b"]} and second["items"] == []
+
+
+@pytest.mark.parametrize("index_bytes", [0, 1 << 20])
+def test_columns_of_any_name_stay(spark, index_bytes):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = documents(spark, [(1, item), (2, "clean " * 30), (3, None)]).selectExpr("*", "1 as __found", "2 as __n", "3 as __key", "4 as __spans", "5 as c0", "6 as found")
+    items = spark.createDataFrame([("a", item), ("b", " .,; "), ("c", "")], "item_id string, text string")
+    got = decontaminate.find(docs, items, into="out", index_bytes=index_bytes)
+    assert got.columns == [*docs.columns, "out"]
+    assert {r.doc_id: (list(r.out["items"]), r.found, r.c0, r["__key"]) for r in got.collect()} == {1: (["a"], 6, 5, 3), 2: ([], 6, 5, 3), 3: ([], 6, 5, 3)}
+    kept = decontaminate.without_contaminated(docs, items)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]

@@ -1,33 +1,31 @@
-"""Helpers that the operators share: scratch tables and training folds."""
+"""Helpers that the operators share: intermediate tables, free names and training folds."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill import scratch
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only a local session that names none (tests) gets one of its own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tracemill-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tracemill-{uuid.uuid4().hex}"
+def scratch_dir(spark: SparkSession) -> str:
+    """A new path in the shared folder that the cluster names in spark.checkpoint.dir."""
+    return scratch.scratch_dir(spark, "tracemill")
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return scratch.written(df, "tracemill")
+
+
+def free_name(columns: Iterable[str], name: str) -> str:
+    """name, with as many signs more as it takes to be none of columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def fold(doc_id: Column, parts: int) -> Column:

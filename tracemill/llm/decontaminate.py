@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm._shared import written
+from tracemill.llm._shared import free_name, written
 from tracemill.llm._text import Chunk, Words, chunks, mix, slices, words
 
 WINDOW = 13
 GRAM = 5
 SPAN = WINDOW - GRAM + 1  # grams of a window
+ITEM_BYTES = 100  # that an item counts besides its id and text
+SOME_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 INDEX_BYTES = 32 << 20  # text of items that is sent to all tasks; more is joined
 SHARE = 20  # contaminated: hit words are at least one in so many
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -288,9 +290,10 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", into: str = "fou
     Repeated documents stay. A column of docs that is named as the new one is replaced.
     """
     docs = docs.drop(into)
-    items = items.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    return (_by_index if total <= index_bytes else _by_join)(docs, items, text, into)
+    items = items.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(SOME_WORD))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("id") + ITEM_BYTES), F.lit(0))).first()[0]
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names that none of the columns added on the way has
+    return (_by_index if total <= index_bytes else _by_join)(plain, items, f"c{docs.columns.index(text)}", "found").toDF(*docs.columns, into)
 
 
 def contaminated(found: str = "found"):
@@ -305,7 +308,8 @@ def n_hit(found: str = "found"):
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without those that are contaminated; columns stay as they are. Null and empty texts stay, copies are judged alike."""
-    return find(docs, items, into="__found").where(~contaminated("__found")).drop("__found")
+    found = free_name(docs.columns, "__found")
+    return find(docs, items, into=found).where(~contaminated(found)).drop(found)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

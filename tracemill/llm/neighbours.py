@@ -137,16 +137,16 @@ def _lists(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Array:
 
 
 def merged(found: DataFrame, k: int = NEAREST, *apart: Column) -> DataFrame:
-    """query_id, found lists of parts of the vectors -> one list of the k best for each query (and value of apart)."""
-    return found.groupBy("query_id", *apart).agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
+    """query (a row's number), found lists of parts of the vectors -> one list of the k best for each query (and value of apart)."""
+    return found.groupBy("query", *apart).agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, vec: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row for which is_query holds, over all rows but those with its id.
+    """query_id, rank, vec_id, score: the k nearest found of each row for which is_query holds, over all other rows.
 
     Vectors that are null or zero, or hold a null or a component that isn't finite, take no part, nor do rows
     without an id. If lengths differ, only vectors of the commonest length do (the shortest of those, in a tie).
-    A query id that several rows have stands for the least of their vectors.
+    Rows that repeat an id are rows of their own: each asks, and may be found by the others.
     """
     x = F.col(vec)
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
@@ -165,53 +165,51 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, vec: str = "e
 
     def to_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.assign(_vectors(b.column(1), dim)))], ["vec_id", "x", "asks", "leaf"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.assign(_vectors(b.column(1), dim)))], ["vec_id", "x", "asks", "row", "leaf"])
 
-    placed = written(rows.mapInArrow(to_leaf, "vec_id long, x array<double>, asks boolean, leaf int"))
-    queries = written(placed.where("asks").groupBy("vec_id").agg(F.min("x").alias("x"), F.count("*").alias("rows")).withColumnRenamed("vec_id", "query_id"))
+    placed = written(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(to_leaf, "vec_id long, x array<double>, asks boolean, row long, leaf int"))
+    queries = written(placed.where("asks").select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "x"))
     visits = _calibrated(placed, queries, tree, dim, k)
     holders = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}  # a row for each leaf of the bounded tree
     sizes_of = np.array([holders.get(leaf, 0) for leaf in range(tree.n_leaves)])
-    # As many rows as share the query's id take no part; so many more are visited that k others are seen.
-    own = queries.agg(F.max("rows")).first()[0] or 0
 
     def to_visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            leaves = [sent.value.order(q, visits, sizes_of, k + own) for q in _vectors(b.column(1), dim)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaves, pa.list_(pa.int32()))], ["query_id", "x", "leaves"])
+            leaves = [sent.value.order(q, visits, sizes_of, k + 1) for q in _vectors(b.column(1), dim)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaves, pa.list_(pa.int32()))], ["query", "x", "leaves"])
 
-    pairs = written(queries.select("query_id", "x").mapInArrow(to_visit, "query_id long, x array<double>, leaves array<int>"))
+    pairs = written(queries.select("query", "x").mapInArrow(to_visit, "query long, x array<double>, leaves array<int>"))
     askers = {r.leaf: r["count"] for r in pairs.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()}
     blocks = [(leaf, -(-held // LEAF_BLOCK), -(-askers[leaf] // QUERY_BLOCK)) for leaf, held in holders.items() if leaf in askers]
     size = spark.createDataFrame(blocks, "leaf int, parts int, turns int")
-    held = placed.select("vec_id", "x", "leaf").join(F.broadcast(size), "leaf")
-    held = held.select("vec_id", "x", "leaf", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
-    asked = pairs.select("query_id", "x", F.explode("leaves").alias("leaf")).join(F.broadcast(size), "leaf")
-    asked = asked.select("query_id", "x", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), F.col("turns")).cast("int").alias("turn"))
+    held = placed.select("vec_id", "x", "leaf", "row").join(F.broadcast(size), "leaf")
+    held = held.select("vec_id", "x", "leaf", "row", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
+    asked = pairs.select("query", "x", F.explode("leaves").alias("leaf")).join(F.broadcast(size), "leaf")
+    asked = asked.select("query", "x", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query"), F.col("turns")).cast("int").alias("turn"))
 
     def look(left: pa.Table, right: pa.Table) -> pa.Table:
         if not (left.num_rows and right.num_rows):
-            return pa.table({"query_id": pa.array([], pa.int64()), "found": _lists([])})
-        ids, x = right.column("vec_id").to_numpy(), _vectors(right.column("x").combine_chunks(), dim)
-        asking, q = left.column("query_id").to_numpy(), _vectors(left.column("x").combine_chunks(), dim)
+            return pa.table({"query": pa.array([], pa.int64()), "found": _lists([])})
+        ids, own, x = right.column("vec_id").to_numpy(), right.column("row").to_numpy(), _vectors(right.column("x").combine_chunks(), dim)
+        asking, q = left.column("query").to_numpy(), _vectors(left.column("x").combine_chunks(), dim)
         leaf = np.full(k, right.column("leaf")[0].as_py())
         out = []
         for i in range(0, len(q), 256):
             score = q[i : i + 256] @ x.T
-            score[asking[i : i + 256, None] == ids[None]] = -np.inf
+            score[asking[i : i + 256, None] == own[None]] = -np.inf
             for j, s in enumerate(score):
                 at, exact = _best(s, q[i + j], x, ids, k)
                 out.append((exact, ids[at], leaf[: len(at)]))
-        return pa.table({"query_id": asking, "found": _lists(out)})
+        return pa.table({"query": asking, "found": _lists(out)})
 
     keys = ("leaf", "part", "turn")
-    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(look, f"query_id long, found {FOUND}")
-    best = merged(found, k).select("query_id", F.posexplode("found").alias("at", "f"))
+    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(look, f"query long, found {FOUND}")
+    best = merged(found, k).join(queries.select("query", "query_id"), "query").select("query_id", F.posexplode("found").alias("at", "f"))
     return best.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), (-F.col("f.minus")).alias("score"))
 
 
 def brute_force(placed: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
-    """query_id, found: the k nearest of a bounded set of queries among all rows (vec_id, x, leaf). A task sends on k a query."""
+    """query, found: the k nearest of a bounded set of queries, rows of the numbers ids, among all rows (vec_id, x, leaf, row). A task sends on k a query."""
     sent, dim = placed.sparkSession.sparkContext.broadcast((ids, q)), q.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,15 +220,15 @@ def brute_force(placed: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> Da
                 part = b.slice(i, LEAF_BLOCK)
                 own, x, leaf = part.column(0).to_numpy(), _vectors(part.column(1), dim), part.column(2).to_numpy()
                 score = q @ x.T
-                score[asking[:, None] == own[None]] = -np.inf
+                score[asking[:, None] == part.column(3).to_numpy()[None]] = -np.inf
                 for j, s in enumerate(score):
                     at, exact = _best(s, q[j], x, own, k)
                     both = [np.concatenate(p) for p in zip(best[j], (exact, own[at], leaf[at]), strict=True)]
                     top = np.lexsort((both[1], -both[0]))[:k]
                     best[j] = tuple(p[top] for p in both)
-        yield pa.RecordBatch.from_arrays([pa.array(asking), _lists(best)], ["query_id", "found"])
+        yield pa.RecordBatch.from_arrays([pa.array(asking), _lists(best)], ["query", "found"])
 
-    found = placed.select("vec_id", "x", "leaf").mapInArrow(run, f"query_id long, found {FOUND}")
+    found = placed.select("vec_id", "x", "leaf", "row").mapInArrow(run, f"query long, found {FOUND}")
     return merged(merged(found, k, (F.spark_partition_id() % MERGE_WAYS).alias("way")), k)
 
 
@@ -239,12 +237,12 @@ def _calibrated(placed: DataFrame, queries: DataFrame, tree: Tree, dim: int, k:
     n = queries.count()
     if not n or tree.n_leaves < 2:
         return tree.n_leaves
-    drawn = F.pmod(F.xxhash64("query_id", F.lit("calibrate")), F.lit(1 << 30)) < int(min(1.0, CALIBRATION / n) * (1 << 30))
+    drawn = F.pmod(F.xxhash64("query", F.lit("calibrate")), F.lit(1 << 30)) < int(min(1.0, CALIBRATION / n) * (1 << 30))
     chosen = queries.where(drawn).collect()
     if not chosen:
         return tree.n_leaves
-    ids, q = np.array([r.query_id for r in chosen]), np.array([r.x for r in chosen], np.float64).reshape(-1, dim)
-    true = {r.query_id: [f.leaf for f in r.found] for r in brute_force(placed, ids, q, k).collect()}
+    ids, q = np.array([r.query for r in chosen]), np.array([r.x for r in chosen], np.float64).reshape(-1, dim)
+    true = {r.query: [f.leaf for f in r.found] for r in brute_force(placed, ids, q, k).collect()}
     depth = [[order.index(leaf) for leaf in true[i]] for i, order in zip(ids.tolist(), (tree.order(v, tree.n_leaves) for v in q), strict=True) if true.get(i)]
     for visits in range(1, tree.n_leaves):
         if np.mean([np.mean(np.array(d) < visits) for d in depth]) >= TARGET:
@@ -256,8 +254,8 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every vector whose id is divisible by 20; all others, where there are fewer.
 
     Vectors that are null or zero, or hold a null or a component that isn't finite, and rows without id take no part;
-    nor do vectors of another length than the commonest, with which there is no inner product. Rows that repeat the
-    query's id count as its own. Ties go to the smaller id. Columns beyond vec_id and embedding are ignored.
+    nor do vectors of another length than the commonest, with which there is no inner product. Rows that repeat an id
+    ask, and are found, each for itself. Ties go to the smaller id. Columns beyond vec_id and embedding are ignored.
     """
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
