@@ -233,3 +233,74 @@ def test_stream_in_stretches(spark, tmp_path):
     write_pointer_sizes(stream, out, str(tmp_path / "live"), str(tmp_path / "state"), group=50).awaitTermination()
     got = {(r.trace_id, r.counter): None if r.buffer_size is None else int(r.buffer_size) for r in spark.read.parquet(out).collect()}
     assert got == want
+
+
+def _some_points(spark, n=15, per=4):
+    from tracemill.plans.schema import POINTS
+
+    v = lambda i: [(0, "x", "int", "SIGNED", 4, i, None, None, None)]
+    from decimal import Decimal
+
+    rows = [(t, c, (c << 40) + t if c % 2 else (c << 40) + t - (1 << 63), [], [(*v(0)[0][:5], Decimal(t), None, None, None)], []) for t in range(n) for c in range(per)]
+    return spark.createDataFrame(rows, POINTS)
+
+
+def test_a_load_is_there_or_not(spark, tmp_path, monkeypatch):
+    """A load that fails before its entry shows nowhere, may be tried again, and can be cleaned away."""
+    store = TraceStore.create(spark, str(tmp_path / "store"))
+    points = _some_points(spark)
+    store.add_points(points)
+    reader = store.points()
+
+    def fails(*a):
+        raise RuntimeError("no entry")
+
+    with monkeypatch.context() as m:
+        m.setattr(TraceStore, "_commit", fails)
+        with pytest.raises(RuntimeError):
+            store.add_points(points)
+    for s in (store, TraceStore.open(spark, store.path)):
+        assert s.n_traces() == 15 and s.points().count() == reader.count() == 60 and s.traces().count() == s.metadata().count() == 15 and s.types().count() == 15
+        assert s.query(None, dedup=None).select("trace_id").distinct().count() == 15
+        with pytest.raises(IndexError):
+            s.trace_id(15)
+    assert store.clean() == 0 and store.clean(hours=0) == 1 and store.points().count() == 60
+    then = TraceStore.open(spark, store.path, at=store.position())
+    store.add_points(points, {"k": "again"})
+    assert store.n_traces() == 30 and store.points().count() == 120 and store.position() == 2
+    assert then.n_traces() == 15 and then.points().count() == 60 and then.restrict_to_file(1).points().count() == 15
+    assert len({r.trace_id for r in store.traces().collect()}) == 30
+    monkeypatch.setattr("tracemill.store.MOST_NAMED", 1)
+    assert store.points().count() == 120 and store.query(20, dedup=None).count() == 4
+
+
+def test_statements_of_a_file_are_skipped_to(spark, tmp_path):
+    """A file's statements are ranges, which are pushed to Parquet."""
+    store = TraceStore.create(spark, str(tmp_path / "store"))
+    store.add_points(_some_points(spark, 40, 6).coalesce(1))
+    for f in (1, 2, 7):
+        found = store.restrict_to_file(f).points()
+        assert found.count() == (40 if f < 6 else 0)
+        plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+        (pushed,) = [x for x in plan.splitlines() if x.startswith("PushedFilters")]
+        assert pushed.count("GreaterThanOrEqual(statement") == 2 and pushed.count("LessThanOrEqual(statement") == 2
+
+
+def test_masks_as_ranges(spark):
+    import random
+
+    from tracemill.plans import schema as S
+
+    rng = random.Random(3)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    for _ in range(300):
+        mask = rng.choice([rng.getrandbits(64), (1 << 64) - (1 << rng.randrange(64)), ((1 << rng.randrange(64)) - 1) << rng.randrange(64) & (1 << 64) - 1, S.FILE_MASK << S.NODE_BITS, 0])
+        value = rng.getrandbits(64) & (mask if rng.random() < 0.9 else (1 << 64) - 1)
+        ranges, exact = S.mask_ranges(signed(mask), signed(value))
+        for s in [rng.getrandbits(64) for _ in range(20)] + [value, value | ~mask % (1 << 64), (value | rng.getrandbits(64) & ~mask) % (1 << 64)]:
+            inside, holds = any(lo <= signed(s) <= hi for lo, hi in ranges), s & mask == value
+            assert inside >= holds and (not exact or inside == holds)
+    rows = [None, 5, -3, 1 << 40, S.FLAG | 1 << 40, S.FLAG | 1 << 40 | 7, (1 << 63) - 1]
+    df = spark.createDataFrame([(x,) for x in rows], "s long")
+    for mask, value in ((3, 1), (S.FLAG, S.FLAG), (S.FLAG, 0), (-1, 5), (0, 0), (0, 1), (~S.FLAG, 5), (S.FILE_MASK << S.NODE_BITS, 1 << S.NODE_BITS)):
+        assert sorted(r.s for r in df.where(S.masked(F.col("s"), mask, value)).collect()) == sorted(x for x in rows if x is not None and x & mask == value)

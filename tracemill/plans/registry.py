@@ -17,6 +17,7 @@ from tracemill.plans import schema as S
 from tracemill.scratch import scratch_dir
 from tracemill.sources import files
 from tracemill.sources.adapters import EVENT_FILES, as_text, events_as_points, inferred_formats, users_as_points, variable
+from tracemill.store import TraceStore
 from tracemill.streaming import ingest
 from tracemill.streaming.memory import OUT, write_pointer_sizes
 
@@ -189,6 +190,43 @@ _wide("bind_equal_join", [INT, INT], "v0.num + 1 = v1.num", ("=", ("+", V("a"),
 _wide("bind_range_join", [DOUBLE, DOUBLE], "v1.dbl > v0.dbl AND v1.dbl <= v0.dbl + 1.0", ("and", (">", V("b"), V("a")), ("<=", V("b"), ("+", V("a"), 1))))
 
 
+@_register(
+    "store_query",
+    f"WITH {_EV}, {_VARS} SELECT counter, file_id, stmt_id, name, CAST(num AS VARCHAR) AS num FROM vars WHERE type = 'int' AND num > 50 AND file_id IN (0, 3)",
+)
+def store_query(spark, sf_dir):
+    """Traces of two loads, queried at the statements of two files."""
+    points = _points(spark, sf_dir)
+    store = TraceStore.create(spark, scratch_dir(spark))
+    even = F.col("trace_id") % 2 == 0
+    for part in (points.where(even), points.where(~even)):
+        store.add_points(part)
+    found = [store.restrict_to_file(f).query(None, ["a"], [INT], (">", V("a"), 50), dedup=None) for f in (0, 3)]
+    return found[0].unionByName(found[1]).select("counter", "file_id", "stmt_id", F.col("v0.name").alias("name"), F.col("v0.num").cast("string").alias("num"))
+
+
+@_register(
+    "store_types",
+    f"""WITH {_EV}, {_VARS}, seen AS (SELECT trace_id, type, min(counter * 100 + pos) AS first FROM vars GROUP BY ALL),
+placed AS (SELECT trace_id, type, row_number() OVER (PARTITION BY trace_id ORDER BY first) - 1 AS type_idx FROM seen)
+SELECT CAST(type_idx AS INTEGER) AS type_idx, type AS type_name, count(*) AS traces FROM placed GROUP BY ALL""",
+)
+def store_types(spark, sf_dir):
+    """Types of all traces of a store, in order of first sight."""
+    store = TraceStore.create(spark, scratch_dir(spark))
+    store.add_points(_points(spark, sf_dir))
+    return store.types().groupBy("type_idx", "type_name").agg(F.count("*").alias("traces"))
+
+
+@_register("store_sizes", f"WITH {_EV}, n AS (SELECT trace_id, count(*) AS points FROM ev GROUP BY 1) SELECT points, 'b' AS k, count(*) AS traces FROM n GROUP BY ALL")
+def store_sizes(spark, sf_dir):
+    """How many traces of a store have how many points, with their metadata."""
+    store = TraceStore.create(spark, scratch_dir(spark))
+    store.add_points(_points(spark, sf_dir), {"k": "b"})
+    sizes = store.points().groupBy("trace_id").agg(F.count("*").alias("points")).join(store.metadata(), "trace_id")
+    return sizes.groupBy("points", F.col("metadata")["k"].alias("k")).agg(F.count("*").alias("traces"))
+
+
 @_register("n_traces", "SELECT count(DISTINCT user_id) AS n FROM events")
 def n_traces(spark, sf_dir):
     return _points(spark, sf_dir).agg(F.count_distinct("trace_id").alias("n"))

@@ -66,15 +66,36 @@ def encode_statement(file: Column, node: Column) -> Column:
     return F.lit(FLAG).bitwiseOR(F.shiftleft(file.cast("long"), NODE_BITS)).bitwiseOR(node)
 
 
+def mask_ranges(mask: int, value: int) -> tuple[list[tuple[int, int]], bool]:
+    """Ranges of signed statements that hold all s with s & mask == value, and whether they hold no others.
+
+    The mask's ones from bit 62 down, as far as they go on, bound a range for either value of bit 63 that it leaves open.
+    """
+    m, v = mask % (1 << 64), value % (1 << 64)
+    if v & ~m:
+        return [], True
+    free = 63
+    while free and m >> (free - 1) & 1:
+        free -= 1
+    rest = (1 << free) - 1
+    high = v & ~rest & ((1 << 63) - 1)
+    signs = [FLAG, 0] if not m >> 63 else [FLAG if v >> 63 else 0]
+    return [(sign + high, sign + high + rest) for sign in signs], not m & rest
+
+
 def masked(statement: Column, mask: int, value: int) -> Column:
-    """mask and value as signed 64-bit integers."""
-    return statement.bitwiseAND(F.lit(mask)) == F.lit(value)
+    """mask and value as signed 64-bit integers. Ranges come first, which Parquet's statistics can skip by; then the bits, where ranges don't say all."""
+    ranges, exact = mask_ranges(mask, value)
+    found = F.lit(False)
+    for low, high in ranges:
+        found = found | ((statement >= low) & (statement <= high)) if low > FLAG or high < ~FLAG else F.lit(True)
+    return found if exact else found & (statement.bitwiseAND(F.lit(mask)) == F.lit(value))
 
 
 def in_file(statement: Column, file: int, strict: bool = False) -> Column:
     """Statements of a file; by bits alone, as unflagged ones have file 0, or strictly flagged ones."""
-    bits = masked(statement, FILE_MASK << NODE_BITS, file << NODE_BITS)
-    return bits & (statement < 0) if strict else bits
+    flag = FLAG if strict else 0
+    return masked(statement, flag | FILE_MASK << NODE_BITS, flag | file << NODE_BITS)
 
 
 def unsigned(bits: Column) -> Column:
