@@ -348,3 +348,27 @@ def test_lookups_make_few_rows(spark):
             made.append(node.metrics().apply("numOutputRows").value())
         todo += [node.children().apply(i) for i in range(node.children().size())]
     assert len(made) == 2 and sum(made) < 10_000
+
+
+def test_fractions(spark):
+    """Quotients of integers of all sizes and signs, compared as fractions; with a float they are doubles."""
+    rng = random.Random(17)
+    rows = [(1, c, 1, [var(0, "a", "x", "SIGNED", 8, rng.choice(EDGES)), var(1, "b", "y", "SIGNED", 8, rng.choice(EDGES)), var(2, "d", "z", "FLOAT", 8, dbl=rng.choice([2.0, 0.0, float("nan")]))]) for c in range(60)]
+    plain = [{n: dict(zip(S.VAR.names, v, strict=True)) for n, v in zip("abd", r[3], strict=True)} for r in rows]
+    df = points(spark, *rows).cache()
+    a, b, d = V("a"), V("b"), V("d")
+    for p in (
+        ("=", ("/", a, b), ("/", ("*", a, 3), ("*", b, 3))),
+        (">", ("/", a, b), ("/", b, a)),
+        ("<=", ("/", a, ("-", b, a)), ("+", ("/", b, a), 1)),
+        ("not", ("<", ("/", ("/", a, b), ("/", b, a)), 7)),
+        (">=", ("*", ("/", a, 3), ("/", b, 7)), ("-", a, ("/", 1, b))),
+        ("<", ("/", a, d), b),
+        ("=", ("+", ("/", a, b), d), ("*", ("/", b, a), d)),
+        ("and", (">", ("/", 1, a), -1), ("=", ("/", 0, b), 0)),
+    ):
+        p = P.checked(p, list("abd"))
+        want = [c for c, v in enumerate(plain) if P.evaluate(p, v.get)]
+        found = binding.query(df, "abd", [["x"], ["y"], ["z"]], p, dedup=None, exact=True)
+        assert sorted(r.counter for r in found.collect()) == want, P.show(p)
+        assert "Python" not in found._jdf.queryExecution().executedPlan().toString()

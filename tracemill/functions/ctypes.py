@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 #: The words of type strings.
 QUALIFIERS = ("const", "volatile", "restrict")
 STORAGE = ("extern", "static", "auto", "register")
-MODIFIERS = ("signed", "unsigned", "short", "long")
-PRIMITIVES = ("char", "int", "float", "double")
 STRINGS = ("string", "std::string")
 SIGNED = {"char": 1, "int8_t": 1, "wchar_t": 4, "short int": 2, "int16_t": 2, "int": 4, "int32_t": 4, "long int": 8, "int64_t": 8}
 UNSIGNED = {"unsigned char": 1, "uint8_t": 1, "unsigned short int": 2, "uint16_t": 2, "unsigned int": 4, "uint32_t": 4, "unsigned long int": 8, "uint64_t": 8, "size_t": 8}

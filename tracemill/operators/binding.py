@@ -16,7 +16,10 @@ from tracemill.plans import predicate as P
 from tracemill.plans import schema as S
 
 
-def _bound(points: DataFrame, names: Sequence[str], types: Sequence[Sequence[str]], conjuncts: list, exact: bool, distinct: bool, soft: Sequence = (), indexed: bool = False) -> DataFrame:
+Test = Callable[[P.Node, Callable[[str], Column]], Column]  # a checked predicate over variables, compiled
+
+
+def _bound(points: DataFrame, names: Sequence[str], types: Sequence[Sequence[str]], conjuncts: list, test: Test, distinct: bool, soft: Sequence = (), indexed: bool = False) -> DataFrame:
     """points with columns v0 .. and p0 .. for each assignment that satisfies all conjuncts, and column __most of the soft predicates, if there are any."""
     todo = [(c, set(P.names_in(c))) for c in conjuncts]
     var = _columns(names)
@@ -33,14 +36,14 @@ def _bound(points: DataFrame, names: Sequence[str], types: Sequence[Sequence[str
                 out = out.where(F.col(f"p{j}") != F.col(f"p{i}"))
         have.add(name)
         for c, needs in [t for t in todo if t[1] <= have]:
-            out = out.where(P.compile(c, var, exact))
+            out = out.where(test(c, var))
         todo = [t for t in todo if not t[1] <= have]
-        if soft:
-            settled = [s for s in soft if set(P.names_in(s)) <= have]
-            # Within coalesce __most gives Spark no filter to infer, which it would push below all that makes the candidates.
-            out = out.where(_score(settled, var) + (len(soft) - len(settled)) >= F.coalesce("__most", F.lit(-1)))
+        settled = [s for s in soft if set(P.names_in(s)) <= have]
+        if any(name in P.names_in(s) for s in settled):
+            # A filter on __most alone, which coalesce keeps Spark from inferring, would be pushed below all that makes the candidates.
+            out = out.where(_score(settled, var, test) + (len(soft) - len(settled)) >= F.coalesce("__most", F.lit(-1)))
     for c, _ in todo:
-        out = out.where(P.compile(c, var, exact))
+        out = out.where(test(c, var))
     return out
 
 
@@ -48,9 +51,9 @@ def _columns(names: Sequence[str]) -> Callable[[str], Column]:
     return lambda n: F.col(f"v{list(names).index(n)}")
 
 
-def _score(soft: Sequence, var: Callable[[str], Column]) -> Column:
+def _score(soft: Sequence, var: Callable[[str], Column], test: Test) -> Column:
     """How many of the soft predicates hold."""
-    return sum((F.when(P.compile(s, var), 1).otherwise(0) for s in soft), F.lit(0))
+    return sum((F.when(test(s, var), 1).otherwise(0) for s in soft), F.lit(0))
 
 
 _TURNED = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "=": "="}
@@ -105,24 +108,18 @@ def _place(by: Column, key: Column, after: bool) -> Column:
     return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(by).alias("high")), halve, lambda s: s["low"])
 
 
-def _softly(points: DataFrame, names: Sequence[str], types: Sequence[Sequence[str]], hard: list, soft: list, exact: bool, distinct: bool, indexed: bool) -> DataFrame:
+def _softly(points: DataFrame, names: Sequence[str], types: Sequence[Sequence[str]], hard: list, soft: list, test: Test, distinct: bool, indexed: bool) -> DataFrame:
     """Assignments of each point that satisfy the most soft predicates.
 
     The most that any assignment satisfies is found within the point's row, by branch and bound, which keeps a number and
-    no assignment; then the generators give those that reach it. Predicates in Python can't be folded so: they are scored
-    above the generators, and the best of each point are chosen by a window, which shuffles its assignments.
+    no assignment; then the generators give those that reach it.
     """
-    if exact or not all(map(P.native, (*hard, *soft))):
-        score = sum((F.when(P.compile(s, _columns(names), exact), 1).otherwise(0) for s in soft), F.lit(0))
-        rows = _bound(points, names, types, hard, exact, distinct).withColumn("__score", score)
-        most = F.max("__score").over(Window.partitionBy("trace_id", "counter"))
-        return rows.withColumn("__most", most).where("__score = __most").drop("__score", "__most")
-    most, rows = _most(points, names, types, hard, soft, distinct)
+    most, rows = _most(points, names, types, hard, soft, test, distinct)
     rows = rows.withColumn("__most", most).select(*points.columns, "__most")
-    return _bound(rows, names, types, hard, exact, distinct, soft, indexed).drop("__most")
+    return _bound(rows, names, types, hard, test, distinct, soft, indexed).drop("__most")
 
 
-def _most(points: DataFrame, names: Sequence[str], types: Sequence[Sequence[str]], hard: list, soft: list, distinct: bool) -> tuple[Column, DataFrame]:
+def _most(points: DataFrame, names: Sequence[str], types: Sequence[Sequence[str]], hard: list, soft: list, test: Test, distinct: bool) -> tuple[Column, DataFrame]:
     """The most soft predicates that an assignment of a point satisfies, -1 if it has none, over points with columns of candidates.
 
     Predicates of one variable are evaluated once for each candidate, and leave out those that fail a hard one. Those of
@@ -141,8 +138,8 @@ def _most(points: DataFrame, names: Sequence[str], types: Sequence[Sequence[str]
             var = lambda n: v
             fits = v["type"].isin(list(types[i]))
             for h in own(hard):
-                fits = fits & P.compile(h, var)
-            return F.when(fits, F.struct(at.alias("at"), _score(own(soft), var).alias("score"), *(v[f].alias(f) for f in fields)))
+                fits = fits & test(h, var)
+            return F.when(fits, F.struct(at.alias("at"), _score(own(soft), var, test).alias("score"), *(v[f].alias(f) for f in fields)))
 
         return F.filter(F.transform("vars", entry), lambda e: e.isNotNull())
 
@@ -167,14 +164,14 @@ def _most(points: DataFrame, names: Sequence[str], types: Sequence[Sequence[str]
                 ok = ok & (bound[j]["at"] != v["at"])
             for h in joint_hard:
                 if level(h) == i:
-                    ok = ok & P.compile(h, var)
+                    ok = ok & test(h, var)
             mine = [s for s in joint_soft if level(s) == i]
 
             def go_on(reached: Column) -> Column:
                 deeper = branch(i + 1, dict(bound), reached, best) if i + 1 < k else reached
                 return F.when(reached + rest > best, deeper).otherwise(best) if mine else deeper
 
-            found = P.let(now + _score(mine, var), go_on) if mine else go_on(now)
+            found = P.let(now + _score(mine, var, test), go_on) if mine else go_on(now)
             return F.when(ok, found).otherwise(best)
 
         return F.aggregate(F.col(f"__c{i}"), best, step)
@@ -223,7 +220,8 @@ def query(
     file_id, stmt_id, v0 .. dedup keeps of bindings with the same trace, statement, names and types the first
     or last in order of point and positions (variable 0 varying fastest), or all (None).
 
-    indexed is for points of hundreds of variables: where a conjunct compares a variable's value or size with what
+    exact compares quotients of integers as fractions instead of doubles. Integers of the known names of types have no more
+    digits than these hold. indexed is for points of hundreds of variables: where a conjunct compares a variable's value or size with what
     those before it give, its candidates are looked up in a sorted array of the point instead of tried one by one. The
     result is the same.
 
@@ -248,7 +246,9 @@ def query(
     if pick is not None:
         rows = pick_point(rows, pick)
     if names:
-        rows = _softly(rows, names, types, hard, soft, exact, distinct_bindings, indexed) if soft else _bound(rows, names, types, hard, exact, distinct_bindings, indexed=indexed)
+        digits = {n: max(map(P.digits_of, kinds), default=20) for n, kinds in zip(names, types, strict=True)}
+        test = lambda p, var: P.compile(p, var, exact, digits.__getitem__)
+        rows = _softly(rows, names, types, hard, soft, test, distinct_bindings, indexed) if soft else _bound(rows, names, types, hard, test, distinct_bindings, indexed=indexed)
     k = len(names)
     statement = F.col("statement")
     rows = rows.select("trace_id", "counter", "statement", S.file_id(statement).alias("file_id"), S.stmt_id(statement).alias("stmt_id"), *(f"v{i}" for i in range(k)), *(f"p{i}" for i in range(k)), "sizes", "aux")

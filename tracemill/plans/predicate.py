@@ -3,9 +3,10 @@
     ("and", ("distinct-vars", "a", "b"), (">", ("v/value", "a"), 3))
 
 Truth has two values: a comparison with an invalid operand (no such value, division by zero) is false, and its
-negation true. Integers are exact: a product that could outgrow DECIMAL(38) is also computed in limbs of 18 digits,
-which are evaluated only for rows whose DECIMAL(38) overflows. Products of such products, and all predicates if exact is
-asked for (quotients and floats to 50 digits), are evaluated by a Python function row by row, in Arrow batches.
+negation true. Integers are exact, whatever their size: where DECIMAL(38) may overflow, as the digits of the variables'
+declared types say, numbers are also computed in limbs of 18 digits, which are evaluated only for rows where it does.
+Quotients are doubles, or, if exact is asked for, fractions of such integers, which are compared by cross multiplication;
+whatever has a float in it is a double. All of it is Column expressions.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from decimal import Context, Decimal, localcontext
+from decimal import Decimal
+from fractions import Fraction
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+
+from tracemill.functions.ctypes import SIGNED, UNSIGNED
 
 Node = tuple | int | float | str | None
 LOGIC = ("and", "or", "not")
@@ -179,10 +181,6 @@ def _combined(op: str, a: Column, n: int, b: Column, m: int) -> Column:
     return _carried(let(F.struct(a.alias("a"), b.alias("b")), both))
 
 
-class _TooWide(Exception):
-    """A product of a product that may outgrow DECIMAL(38)."""
-
-
 @dataclass
 class _Value:
     num: Column | None  # exact, null where a part isn't an integer or the number outgrows DECIMAL(38)
@@ -214,38 +212,92 @@ def _integers(op: str, x: _Value, y: _Value) -> _Value:
     num = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](x.num, y.num)
     if digits <= DIGITS:
         return _Value(num, None, digits)
-    if op == "*" and (x.limbs is not None or y.limbs is not None):
-        raise _TooWide
     (a, n), (b, m) = x.parts(), y.parts()
     return _Value(num, None, digits, _combined(op, a, n, b, m), n + m if op == "*" else max(n, m) + 1)
 
 
-def _compile_value(a: Node, var: Callable[[str], Column]) -> _Value:
+@dataclass
+class _Number:
+    """top / bottom, a fraction of integers, where there are such; else dbl."""
+
+    top: _Value | None  # its num and limbs are null, its dbl isn't, where a part isn't an integer
+    bottom: _Value | None = None  # none: 1
+    zero: Column | None = None  # a denominator on the way is zero
+    dbl: Column | None = None  # of a fraction, where its parts aren't integers
+
+    def any(self) -> Column:
+        if self.bottom is None:
+            return self.top.any()
+        return F.when(~self.zero, F.try_divide(self.top.any(), self.bottom.any())) if self.dbl is None else F.coalesce(self.dbl, F.when(~self.zero, F.try_divide(self.top.any(), self.bottom.any())))
+
+    def float(self) -> Column | None:
+        """The double, null where the number is a fraction of integers."""
+        return self.top.dbl if self.bottom is None else self.dbl
+
+
+def digits_of(type_name: str) -> int:
+    """Decimal digits that values of a type have at most, by its name; 20, those of all 64-bit integers, if it isn't known."""
+    size = SIGNED.get(type_name) or UNSIGNED.get(type_name) or 8
+    return 20 if size == 8 else len(str(1 << (8 * size)))
+
+
+def _times(x: _Value, y: _Value | None) -> _Value:
+    return x if y is None else _integers("*", x, y)
+
+
+def _compile_value(a: Node, var: Callable[[str], Column], exact: bool = False, digits: Callable[[str], int] | None = None) -> _Number:
     if isinstance(a, int):
-        digits = len(str(abs(a)))
-        if digits <= DIGITS:
-            return _Value(F.lit(Decimal(a)), None, digits)
+        n = len(str(abs(a)))
+        if n <= DIGITS:
+            return _Number(_Value(F.lit(Decimal(a)), None, n))
         left, limbs = abs(a), []
         while left:
             left, low = divmod(left, 10**LIMB)
             limbs.append(F.lit(Decimal(low if a > 0 else -low)).cast(_WIDE))
-        return _Value(F.lit(None).cast(_WIDE), None, digits, F.array(*limbs), len(limbs))
+        return _Number(_Value(F.lit(None).cast(_WIDE), None, n, F.array(*limbs), len(limbs)))
     if isinstance(a, (float, Decimal)):
-        return _Value(None, F.lit(float(a)), 0)
+        return _Number(_Value(None, F.lit(float(a)), 0))
     op, *args = a
     if op == "v/value":
         v = var(args[0])
-        return _Value(v["num"], v["dbl"], 20)
+        return _Number(_Value(v["num"], v["dbl"], digits(args[0]) if digits else 20))
     if op == "v/size":
-        return _Value(var(args[0])["buffer_size"], None, 20)
-    x, y = (_compile_value(b, var) for b in args)
+        return _Number(_Value(var(args[0])["buffer_size"], None, 20))
+    x, y = (_compile_value(b, var, exact, digits) for b in args)
     if op == "/":
-        return _Value(None, F.try_divide(x.any(), y.any()), 0)
+        whole = F.try_divide(x.any(), y.any())
+        if not exact or x.top.num is None or y.top.num is None:
+            return _Number(_Value(None, whole, 0))
+        flat = [n for n in (x.float(), y.float()) if n is not None]
+        zero = reduce(lambda p, q: p | q, [z for z in (x.zero, y.zero) if z is not None], _is_zero(y.top))
+        # The parts are integers where neither has a float.
+        top, bottom = _times(_whole(x.top), y.bottom), _times(_whole(y.top), x.bottom)
+        return _Number(top, bottom, zero, F.when(reduce(lambda p, q: p | q, [n.isNotNull() for n in flat]), whole) if flat else None)
+    if x.bottom is not None or y.bottom is not None:
+        if x.top.num is not None and y.top.num is not None:
+            return _fractions(op, x, y)
+        return _Number(_Value(None, {"+": x.any() + y.any(), "-": x.any() - y.any(), "*": x.any() * y.any()}[op], 0))
+    x, y = x.top, y.top
     out = _integers(op, x, y) if x.num is not None and y.num is not None else _Value(None, None, 0)
     if x.dbl is not None or y.dbl is not None or out.num is None:
         whole = {"+": x.any() + y.any(), "-": x.any() - y.any(), "*": x.any() * y.any()}[op]
         out.dbl = whole if out.num is None else F.when(out.no_integer(), whole)
-    return out
+    return _Number(out)
+
+
+def _whole(x: _Value) -> _Value:
+    """The integer alone."""
+    return _Value(x.num, None, x.digits, x.limbs, x.n)
+
+
+def _fractions(op: str, x: _Number, y: _Number) -> _Number:
+    a, b = _whole(x.top), _whole(y.top)
+    top = _times(a, b) if op == "*" else _integers(op, _times(a, y.bottom), _times(b, x.bottom))
+    bottom = y.bottom if x.bottom is None else _times(x.bottom, y.bottom)
+    zero = reduce(lambda p, q: p | q, [z for z in (x.zero, y.zero) if z is not None])
+    flat = [n.isNotNull() for n in (x.float(), y.float()) if n is not None]
+    whole = {"+": x.any() + y.any(), "-": x.any() - y.any(), "*": x.any() * y.any()}[op]
+    return _Number(top, bottom, zero, F.when(reduce(lambda p, q: p | q, flat), whole) if flat else None)
 
 
 def _sign(x: _Value, y: _Value) -> Column:
@@ -255,44 +307,59 @@ def _sign(x: _Value, y: _Value) -> Column:
     return F.aggregate(_combined("-", a, n, b, m), F.lit(0), lambda s, d: F.when(d > 0, 1).when(d < 0, -1).otherwise(s))
 
 
-def _compile(p: Node, var: Callable[[str], Column]) -> Column:
+def _signum(x: _Value) -> Column:
+    """Of an integer; null where there is none."""
+    own = F.when(x.num > 0, 1).when(x.num < 0, -1).when(x.num.isNotNull(), 0)
+    return own if x.limbs is None else F.coalesce(own, F.aggregate(x.limbs, F.lit(0), lambda s, d: F.when(d > 0, 1).when(d < 0, -1).otherwise(s)))
+
+
+def _is_zero(x: _Value) -> Column:
+    return F.coalesce(_signum(x) == 0, F.lit(False))
+
+
+def _compared(op: str, x: _Value, y: _Value) -> list[Column]:
+    """Tests of integers, of which the first that isn't null counts."""
+    tests = [COMPARE[op](x.num, y.num)]
+    if x.limbs is not None or y.limbs is not None:
+        tests.append(COMPARE[op](_sign(x, y), F.lit(0)))
+    return tests
+
+
+def _compile(p: Node, var: Callable[[str], Column], exact: bool, digits: Callable[[str], int] | None) -> Column:
     op, *args = p
     if op == "and":
-        return reduce(lambda a, b: a & b, (_compile(a, var) for a in args), F.lit(True))
+        return reduce(lambda a, b: a & b, (_compile(a, var, exact, digits) for a in args), F.lit(True))
     if op == "or":
-        return reduce(lambda a, b: a | b, (_compile(a, var) for a in args), F.lit(False))
+        return reduce(lambda a, b: a | b, (_compile(a, var, exact, digits) for a in args), F.lit(False))
     if op == "not":
-        return ~_compile(args[0], var)
+        return ~_compile(args[0], var, exact, digits)
     if op == "distinct-vars":
         a, b = (F.struct(*(var(n)[f] for f in RECORD)) for n in args)
         return ~a.eqNullSafe(b)
-    x, y = (_compile_value(a, var) for a in args)
+    x, y = (_compile_value(a, var, exact, digits) for a in args)
+    floats = [n for n in (x.float(), y.float()) if n is not None]
     tests = []
-    if x.num is not None and y.num is not None:
-        tests.append(COMPARE[op](x.num, y.num))
-        if x.limbs is not None or y.limbs is not None:
-            tests.append(COMPARE[op](_sign(x, y), F.lit(0)))
-    if x.dbl is not None or y.dbl is not None:
+    if x.top.num is not None and y.top.num is not None:
+        if x.bottom is None and y.bottom is None:
+            tests += _compared(op, x.top, y.top)
+        else:
+            left, right = _times(_whole(x.top), y.bottom), _times(_whole(y.top), x.bottom)
+            zero = reduce(lambda a, b: a | b, [z for z in (x.zero, y.zero) if z is not None])
+            sign = reduce(lambda a, b: a * b, [_signum(n.bottom) for n in (x, y) if n.bottom is not None])
+            plain = F.lit(True)
+            for n in floats:
+                plain = plain & n.isNull()
+            way = F.when(sign > 0, F.coalesce(*_compared(op, left, right))).when(sign < 0, F.coalesce(*_compared(op, right, left)))
+            tests.append(F.when(zero, F.lit(False)).when(plain, way))
+    if floats:
         a, b = x.any(), y.any()
         tests.append(COMPARE[op](a, b) & ~F.isnan(a) & ~F.isnan(b))
     return F.coalesce(*tests, F.lit(False))
 
 
-def native(p: Node) -> bool:
-    """A checked predicate has a form without Python."""
-    try:
-        _compile(p, lambda n: F.col(n))
-    except _TooWide:
-        return False
-    return True
-
-
-def compile(p: Node, var: Callable[[str], Column], exact: bool = False) -> Column:
-    """A Boolean Column, never null, for a checked predicate; var gives the struct column of a variable.
-
-    If exact, or if the predicate isn't native(), it is a Python function, which takes no lambda variables.
-    """
-    return _exact(p, var) if exact or not native(p) else _compile(p, var)
+def compile(p: Node, var: Callable[[str], Column], exact: bool = False, digits: Callable[[str], int] | None = None) -> Column:
+    """A Boolean Column, never null, for a checked predicate; var gives the struct column of a variable, digits how many its integers have at most."""
+    return _compile(p, var, exact, digits)
 
 
 def approximate(a: Node, var: Callable[[str], Column]) -> Column:
@@ -309,11 +376,8 @@ def names_in(p: Node) -> Iterator[str]:
                 yield from names_in(a)
 
 
-_FIFTY = Context(prec=50)
-
-
 def evaluate(p: Node, var: Callable[[str], dict]) -> bool:
-    """A checked predicate over variables given as dicts of RECORD fields."""
+    """A checked predicate over variables given as dicts of RECORD fields, with fractions for quotients of integers."""
     op, *args = p
     if op == "and":
         return all(evaluate(a, var) for a in args)
@@ -327,41 +391,24 @@ def evaluate(p: Node, var: Callable[[str], dict]) -> bool:
     x, y = (_number(a, var) for a in args)
     if x is None or y is None or (x != x) or (y != y):
         return False
-    return bool(COMPARE[op](x, y))
+    return bool(COMPARE[op](*((x, y) if not isinstance(x, float) and not isinstance(y, float) else (float(x), float(y)))))
 
 
-def _number(a: Node, var: Callable[[str], dict]) -> int | Decimal | None:
-    if isinstance(a, int):
+def _number(a: Node, var: Callable[[str], dict]) -> int | Fraction | float | None:
+    if isinstance(a, (int, float)):
         return a
-    if isinstance(a, (float, Decimal)):
-        return Decimal(a)
+    if isinstance(a, Decimal):
+        return float(a)
     op, *args = a
     if op in ("v/value", "v/size"):
         v = var(args[0])
         n = v.get("num") if op == "v/value" else v.get("buffer_size")
-        if n is not None:
-            return int(n)
-        return Decimal(v["dbl"]) if op == "v/value" and v.get("dbl") is not None else None
+        return int(n) if n is not None else v["dbl"] if op == "v/value" else None
     x, y = (_number(b, var) for b in args)
-    if x is None or y is None or x != x or y != y:
+    if x is None or y is None or (op == "/" and y == 0):
         return None
+    if isinstance(x, float) or isinstance(y, float):
+        x, y = float(x), float(y)
     if op == "/":
-        return None if y == 0 else _FIFTY.divide(Decimal(x), Decimal(y))
-    whole = isinstance(x, int) and isinstance(y, int)
-    if not whole:
-        x, y = Decimal(x), Decimal(y)
-    with localcontext(_FIFTY):
-        return x + y if op == "+" else x - y if op == "-" else x * y
-
-
-def _exact(p: Node, var: Callable[[str], Column]) -> Column:
-    names = sorted(set(names_in(p)))
-    if not names:
-        return F.lit(evaluate(p, lambda n: {}))
-
-    @pandas_udf("boolean")
-    def holds(*columns: pd.DataFrame) -> pd.Series:
-        rows = [c.astype(object).where(c.notna(), None).to_dict("records") for c in columns]
-        return pd.Series([evaluate(p, dict(zip(names, r, strict=True)).__getitem__) for r in zip(*rows, strict=True)], dtype=bool)
-
-    return holds(*(F.struct(*(var(n)[f].alias(f) for f in RECORD)) for n in names))
+        return x / y if isinstance(x, float) else Fraction(x) / y
+    return x + y if op == "+" else x - y if op == "-" else x * y

@@ -149,6 +149,11 @@ _THIRD = "CAST(v0.num * 3 = v1.num AND v0.num <> 0 AS INTEGER) + CAST(v0.num < v
 _binding("soft_exact", [INT, UINT], "true", f"QUALIFY {_THIRD} = max({_THIRD}) OVER (PARTITION BY v0.trace_id, v0.counter)", soft_predicates=[("=", ("/", V("b"), V("a")), 3), ("<", V("a"), V("b"))], exact=True)
 
 
+_binding("triple_product", [INT, UINT, I64], "v0.num * v1.num * v2.num < -5000000000000000000000", predicate=("<", ("*", ("*", V("a"), V("b")), V("c")), -5000000000000000000000))
+_QUOTIENT = "v0.num <> 0 AND v2.num <> 0 AND v1.num * v2.num * sign(v0.num) * sign(v2.num) > v1.num * 2 * v0.num * sign(v0.num) * sign(v2.num)"
+_binding("exact_quotients", [INT, UINT, INT], _QUOTIENT, predicate=(">", ("/", V("b"), V("a")), ("/", ("*", V("b"), 2), V("c"))), exact=True)
+
+
 def _some_unflagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of which every third has a statement without file; its bits are those of file 0."""
     s = F.col("statement")
@@ -356,7 +361,7 @@ def var_size(spark, sf_dir):
 
 @_register("exact_division", _bind_sql([INT, UINT], "v0.num * 3 = v1.num"))
 def exact_division(spark, sf_dir):
-    """Quotients to 50 digits: v1 / v0 = 3 only where it is so."""
+    """Quotients as fractions: v1 / v0 = 3 only where it is so."""
     found = binding.query(_points(spark, sf_dir), "ab", [INT, UINT], ("and", ("not", ("=", V("a"), 0)), ("=", ("/", V("b"), V("a")), 3)), dedup=None, exact=True)
     zero = binding.query(_points(spark, sf_dir), "ab", [INT, UINT], ("and", ("=", V("a"), 0), ("=", V("b"), 0)), dedup=None)
     return binding.flat(found.unionByName(zero), 2)
