@@ -372,3 +372,27 @@ def test_fractions(spark):
         found = binding.query(df, "abd", [["x"], ["y"], ["z"]], p, dedup=None, exact=True)
         assert sorted(r.counter for r in found.collect()) == want, P.show(p)
         assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_picks_are_even(spark):
+    """1,000 seeds over 20 points: every point is drawn about as often; one exchange."""
+    seeds = spark.range(1000).select(F.col("id").alias("seed"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("counter"))
+    drawn = seeds.groupBy("seed").agg(F.min_by("counter", binding.pick_key(F.col("counter"), F.col("seed"))).alias("c"))
+    counts = [r["count"] for r in drawn.groupBy("c").count().collect()]
+    assert len(counts) == 20 and sum((c - 50) ** 2 / 50 for c in counts) < 43.8  # 0.1 %
+    df = points(spark, *[(t, c, 1, []) for t in range(3) for c in range(20)])
+    found = binding.query(df, pick=5, dedup=None)
+    assert sorted(r.trace_id for r in found.collect()) == [0, 1, 2]
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
+
+
+def test_first_points_by_ranges(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(t, c, 1, []) for t in range(4) for c in rng.sample(range(-500, 2000), (300, 40, 7, 0)[t])]
+    monkeypatch.setattr(binding, "RANKED", 0)
+    monkeypatch.setattr(binding, "RANGE_BITS", 5)
+    for n in (1, 7, 39, 40, 41, 299, 5000):
+        want = sorted((t, c) for t in range(4) for c in sorted(c for u, c, *_ in rows if u == t)[:n])
+        for sent in (0, 10):
+            monkeypatch.setattr(binding, "SENT", sent)
+            assert sorted((r.trace_id, r.counter) for r in binding.first_points(points(spark, *rows), n).collect()) == want

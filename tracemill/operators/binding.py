@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tracemill.plans import predicate as P
 from tracemill.plans import schema as S
+from tracemill.scratch import written
 
 
 Test = Callable[[P.Node, Callable[[str], Column]], Column]  # a checked predicate over variables, compiled
@@ -179,21 +180,46 @@ def _most(points: DataFrame, names: Sequence[str], types: Sequence[Sequence[str]
     return F.when(whole.isNotNull(), branch(0, {}, F.lit(0), F.lit(-1))).otherwise(-1), rows
 
 
+def pick_key(counter: Column, seed: Column) -> Column:
+    """What points are drawn by: a digest of seed and counter."""
+    return F.md5(F.concat_ws(":", seed.cast("string"), counter.cast("string")).cast("binary"))
+
+
 def pick_point(points: DataFrame, seed: int) -> DataFrame:
-    """One point of each trace, drawn by seed: the least of a multiplicative hash of the counters."""
-    key = ((F.col("counter") % 2147483647) * 48271 + seed % 2147483647) % 2147483647
-    chosen = points.select("trace_id", "counter", key.alias("key")).groupBy("trace_id").agg(F.min_by("counter", F.struct("key", "counter")).alias("counter"))
-    return points.join(chosen, ["trace_id", "counter"], "left_semi")
+    """One point of each trace, drawn by seed: that with the least digest. Each task sends one point of a trace on."""
+    least = F.min_by(F.struct(*points.columns), F.struct(pick_key(F.col("counter"), F.lit(seed)), "counter"))
+    return points.groupBy("trace_id").agg(least.alias("__p")).select("__p.*")
+
+
+RANKED = 1000  # points of a trace that Spark cuts each partition to before it ranks them
+RANGE_BITS = 16  # of the ranges of counters that are counted
 
 
 def first_points(points: DataFrame, n: int) -> DataFrame:
-    """The first n points of each trace; 0 means all. Up to n = 1000 Spark cuts each partition to n points a trace before they are shuffled."""
+    """The first n points of each trace; 0 means all.
+
+    Up to RANKED Spark cuts each partition to n points a trace before they are shuffled. Beyond, points are counted by
+    ranges of counters: all below the range in which the n-th lies pass, and only those in it are ranked.
+    """
     if n < 0:
         raise ValueError("n is 0 or more")
     if not n:
         return points
-    rank = F.row_number().over(Window.partitionBy("trace_id").orderBy("counter"))
-    return points.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+    within = Window.partitionBy("trace_id").orderBy("counter")
+    if n <= RANKED:
+        return points.withColumn("__rank", F.row_number().over(within)).where(F.col("__rank") <= n).drop("__rank")
+    range_ = F.shiftright("counter", RANGE_BITS)
+    counts = points.groupBy("trace_id", range_.alias("range")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("trace_id").orderBy("range")) - F.col("n")  # of a trace's ranges, not its points
+    last = written(counts.select("trace_id", "range", before.alias("before"), "n").where((F.col("before") < n) & (F.col("before") + F.col("n") >= n)).select("trace_id", F.col("range").alias("__range"), (n - F.col("before")).alias("__left")))
+    few = last.limit(SENT + 1).count() <= SENT
+    both = points.join(F.broadcast(last) if few else last, "trace_id", "left")
+    below = both.where(F.col("__range").isNull() | (range_ < F.col("__range")))
+    there = both.where(range_ == F.col("__range")).withColumn("__rank", F.row_number().over(within)).where("__rank <= __left")
+    return below.select(*points.columns).unionByName(there.select(*points.columns))
+
+
+SENT = 500_000  # narrow rows that are broadcast
 
 
 def query(

@@ -135,7 +135,7 @@ _binding("file_restrict", [INT], "v0.file_id = 3", file_id=3)
 _binding("file_strict", [INT], "v0.file_id = 2", file_id=2, strict_file=True)
 _binding("mask_filter", [DOUBLE], "v0.stmt_id % 4 = 2", mask=(3, 2))
 _binding("result_filter", [INT], "v0.file_id = 1 AND v0.stmt_id < 8 AND v0.num % 2 = 0", result_filter=lambda r: (F.col("file_id") == 1) & (F.col("stmt_id") < 8) & (F.col("v0.num") % 2 == 0))
-_binding("pick_point", [INT], "true", "QUALIFY rank() OVER (PARTITION BY v0.trace_id ORDER BY ((v0.counter % 2147483647) * 48271 + 17) % 2147483647, v0.counter) = 1", pick=17)
+_binding("pick_point", [INT], "true", "QUALIFY rank() OVER (PARTITION BY v0.trace_id ORDER BY md5('17:' || v0.counter), v0.counter) = 1", pick=17)
 
 _SCORE = "CAST(v0.num < 1 AS INTEGER)"
 _binding("soft_one", [INT, DOUBLE], "true", f"QUALIFY {_SCORE} = max({_SCORE}) OVER (PARTITION BY v0.trace_id, v0.counter)", soft_predicates=[("<", V("a"), 1)])
@@ -429,6 +429,14 @@ def max_points(spark, sf_dir):
     return binding.first_points(_points(spark, sf_dir), 5).select("trace_id", "counter", S.stmt_id(F.col("statement")).alias("stmt_id"))
 
 
+@_register("max_points_long", f"WITH {_EV} SELECT counter, stmt_id FROM ev QUALIFY row_number() OVER (ORDER BY counter) <= greatest(1001, (SELECT count(*) FROM events) // 2)")
+def max_points_long(spark, sf_dir):
+    """The first half of all events, as one long trace."""
+    points = _points(spark, sf_dir).withColumn("trace_id", F.lit(1).cast("long"))
+    half = max(1001, points.count() // 2)
+    return binding.first_points(points, half).select("counter", S.stmt_id(F.col("statement")).alias("stmt_id"))
+
+
 @_register("inferred_formats", f"WITH {_EV}, {_VARS} SELECT type, CASE WHEN bool_or(num < 0) THEN 'SIGNED' ELSE 'UNSIGNED' END AS format FROM vars WHERE num IS NOT NULL GROUP BY type")
 def inferred(spark, sf_dir):
     values = _points(spark, sf_dir).select(F.explode("vars").alias("v")).select("v.type", "v.num").where("num is not null")
