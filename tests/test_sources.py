@@ -304,3 +304,26 @@ def test_masks_as_ranges(spark):
     df = spark.createDataFrame([(x,) for x in rows], "s long")
     for mask, value in ((3, 1), (S.FLAG, S.FLAG), (S.FLAG, 0), (-1, 5), (0, 0), (0, 1), (~S.FLAG, 5), (S.FILE_MASK << S.NODE_BITS, 1 << S.NODE_BITS)):
         assert sorted(r.s for r in df.where(S.masked(F.col("s"), mask, value)).collect()) == sorted(x for x in rows if x is not None and x & mask == value)
+
+
+def test_formats_of_points_without(spark, tmp_path):
+    """Points of s-expressions, of which one type has both signs, another floats and a third text."""
+    from decimal import Decimal
+
+    from tracemill.plans.schema import POINTS
+
+    def v(pos, type_, num=None, dbl=None, blob=None, format_=None):
+        return (pos, f"v{pos}", type_, format_, None, None if num is None else Decimal(num), dbl, blob, None)
+
+    rows = [
+        (1, 0, 5, [], [v(0, "a", 3), v(1, "b", 70_000), v(2, "c", 1), v(3, "d", 2), v(4, None, 1), v(5, "e", 1, format_="SIGNED")], []),
+        (1, 1, 5, [], [v(0, "a", -300), v(1, "b", 2**64 - 1), v(2, "c", dbl=0.5), v(3, "d", blob=b"x"), v(4, "f")], []),
+        (2, 0, 5, [], [v(0, "a", 255), v(1, "d", dbl=1.5)], []),
+    ]
+    store = TraceStore.create(spark, str(tmp_path / "store"))
+    store.add_points(spark.createDataFrame(rows, POINTS), infer=True)
+    got = {(t, r.type_name): (r.format, r.size) for t in range(2) for r in store.types().where(F.col("trace_id") == store.trace_id(t)).collect() if r.type_name}
+    assert got == {(0, "a"): ("SIGNED", 2), (0, "b"): ("UNSIGNED", 8), (0, "c"): ("FLOAT", 8), (0, "d"): ("BLOB", 0), (0, "e"): ("SIGNED", None), (0, "f"): ("UNSIGNED", 8), (1, "a"): ("UNSIGNED", 1), (1, "d"): ("FLOAT", 8)}
+    c, d = ([(x["num"], x["dbl"], x["blob"]) for r in store.get_trace(0).collect() for x in r.vars if x["type"] == t] for t in "cd")
+    assert c == [(None, 1.0, None), (None, 0.5, None)] and d == [(None, None, b"2"), (None, None, b"x")]
+    assert store.query(0, ["x"], [["a"]], ("<", ("v/value", "x"), 0), dedup=None).count() == 1

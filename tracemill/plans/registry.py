@@ -429,6 +429,40 @@ def max_points(spark, sf_dir):
     return binding.first_points(_points(spark, sf_dir), 5).select("trace_id", "counter", S.stmt_id(F.col("statement")).alias("stmt_id"))
 
 
+@_register(
+    "inferred_load",
+    f"""WITH {_EV}, v AS (
+  SELECT trace_id, 'offset' AS type, CASE WHEN counter % 2 = 0 THEN k ELSE -k * 300 END AS n, false AS f, false AS t FROM ev
+  UNION ALL SELECT trace_id, 'id', trace_id * 70000, false, false FROM ev
+  UNION ALL SELECT trace_id, 'mixed', k, counter % 5 = 0, false FROM ev
+  UNION ALL SELECT trace_id, 'any', k, counter % 5 = 0, counter % 7 = 0 FROM ev
+), g AS (SELECT trace_id, type, min(n) AS low, max(n) AS high, bool_or(f) AS f, bool_or(t) AS t FROM v GROUP BY ALL)
+SELECT type AS type_name, CASE WHEN t THEN 'BLOB' WHEN f THEN 'FLOAT' WHEN low < 0 THEN 'SIGNED' ELSE 'UNSIGNED' END AS format,
+  CASE WHEN t THEN 0 WHEN f THEN 8 WHEN low < 0 AND low >= -128 AND high < 128 THEN 1 WHEN low < 0 AND low >= -32768 AND high < 32768 THEN 2 WHEN low < 0 THEN 4
+    WHEN high < 256 THEN 1 WHEN high < 65536 THEN 2 WHEN high < 4294967296 THEN 4 ELSE 8 END AS size, count(*) AS traces
+FROM g GROUP BY ALL""",
+)
+def inferred_load(spark, sf_dir):
+    """Types of a store whose points came without formats: integers of either sign, floats and text under one name."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    c, k, none = F.col("event_id"), F.get_json_object("props", "$.k").cast("int"), F.lit(None)
+
+    def bare(pos: int, type_name: str, num, dbl=none, blob=none):
+        plain = variable(pos, type_name, type_name, "SIGNED", 0, num)
+        return plain.withField("format", none.cast("string")).withField("size", none.cast("int")).withField("dbl", dbl.cast("double")).withField("blob", blob.cast("binary"))
+
+    fifth, seventh = c % 5 == 0, c % 7 == 0
+    held = F.array(
+        bare(0, "offset", F.when(c % 2 == 0, k).otherwise(-k * 300)),
+        bare(1, "id", F.col("user_id") * 70000),
+        bare(2, "mixed", F.when(~fifth, k), F.when(fifth, F.col("value"))),
+        bare(3, "any", F.when(~fifth & ~seventh, k), F.when(fifth & ~seventh, F.col("value")), F.when(seventh, F.col("event_type"))),
+    )
+    store = TraceStore.create(spark, scratch_dir(spark))
+    store.add_points(events_as_points(events).join(events.select(F.col("event_id").alias("counter"), held.alias("held")), "counter").select("trace_id", "counter", "statement", "sizes", F.col("held").alias("vars"), "aux"), infer=True)
+    return store.types().groupBy("type_name", "format", "size").agg(F.count("*").alias("traces"))
+
+
 @_register("max_points_long", f"WITH {_EV} SELECT counter, stmt_id FROM ev QUALIFY row_number() OVER (ORDER BY counter) <= greatest(1001, (SELECT count(*) FROM events) // 2)")
 def max_points_long(spark, sf_dir):
     """The first half of all events, as one long trace."""

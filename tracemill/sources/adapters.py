@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.plans import schema as S
+from tracemill.scratch import written
 
 #: Codes of event types as file ids.
 EVENT_FILES = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
@@ -78,6 +79,46 @@ def inferred_formats(values: DataFrame) -> DataFrame:
     return values.groupBy("type").agg(F.when(F.bool_or(F.col("num") < 0), "SIGNED").otherwise("UNSIGNED").alias("format"))
 
 
+WIDTHS = (1, 2, 4, 8)  # bytes of integers
+SENT = 500_000  # traces whose formats are broadcast; those of more are joined
+
+
+def formats_by_type(points: DataFrame) -> DataFrame:
+    """trace_id, type, format, size for the variables without a format, by all values of a type in a trace.
+
+    The widest kind of value wins: text, then floats, then integers, which are SIGNED if one is negative, in as few bytes
+    as hold all. It is one aggregation, of which each task sends on a row for each type of a trace.
+    """
+    each = points.select("trace_id", F.explode("vars").alias("v")).where("v.format is null and v.type is not null")
+    kinds = each.groupBy("trace_id", F.col("v.type").alias("type")).agg(F.bool_or(F.col("v.blob").isNotNull()).alias("text"), F.bool_or(F.col("v.dbl").isNotNull()).alias("float"), F.min("v.num").alias("low"), F.max("v.num").alias("high"))
+    whole = lambda x: F.lit(Decimal(x)).cast(S.NUM)
+    signed = F.coalesce(*(F.when((F.col("low") >= whole(-(1 << 8 * w - 1))) & (F.col("high") < whole(1 << 8 * w - 1)), w) for w in WIDTHS), F.lit(8))
+    unsigned = F.coalesce(*(F.when(F.col("high") < whole(1 << 8 * w), w) for w in WIDTHS), F.lit(8))
+    format_ = F.when(F.col("text"), "BLOB").when(F.col("float"), "FLOAT").when(F.col("low") < 0, "SIGNED").otherwise("UNSIGNED")
+    size = F.when(F.col("text"), 0).when(F.col("float"), 8).when(F.col("low") < 0, signed).otherwise(unsigned)
+    return kinds.select("trace_id", "type", format_.alias("format"), size.alias("size"))
+
+
+def with_formats(points: DataFrame) -> DataFrame:
+    """points with formats and sizes of formats_by_type where variables lack one; their values become of that format."""
+    entry = F.struct("type", F.struct("format", "size"))
+    by_trace = written(formats_by_type(points).groupBy("trace_id").agg(F.map_from_entries(F.collect_list(entry)).alias("__formats")))
+    few = by_trace.limit(SENT + 1).count() <= SENT
+    rows = points.join(F.broadcast(by_trace) if few else by_trace, "trace_id", "left")
+
+    def formed(v: Column) -> Column:
+        f = F.try_element_at("__formats", v["type"])
+        is_ = lambda x: f["format"] == x
+        number = F.coalesce(v["num"].cast("string"), v["dbl"].cast("string")).cast("binary")
+        new = {"format": f["format"], "size": f["size"], "num": F.when(~f["format"].isin("FLOAT", "BLOB"), v["num"]), "dbl": F.when(is_("FLOAT"), F.coalesce(v["dbl"], v["num"].cast("double"))), "blob": F.when(is_("BLOB"), F.coalesce(v["blob"], number))}
+        out = v
+        for name, x in new.items():
+            out = out.withField(name, x)
+        return F.when(v["format"].isNull() & f.isNotNull(), out).otherwise(v)
+
+    return rows.withColumn("vars", F.transform("vars", formed)).select(*points.columns)
+
+
 def as_text(points: DataFrame) -> DataFrame:
     """trace_id, counter and a line for reading: "file:node name type=value ..."; blobs in hexadecimal."""
     place = F.concat_ws(":", S.file_id(F.col("statement")).cast("string"), S.stmt_id(F.col("statement")).cast("string"))

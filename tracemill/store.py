@@ -14,6 +14,7 @@ from tracemill.operators import binding
 from tracemill.plans import schema as S
 from tracemill.scratch import written
 from tracemill.sources import files
+from tracemill.sources.adapters import with_formats
 
 
 def numbered(rows: DataFrame, key: str, base: int) -> DataFrame:
@@ -132,8 +133,12 @@ class TraceStore:
             part = secrets.randbits(30)
         return f"{time.time_ns():020d}-{uuid.uuid4().hex}", part * self.RANGE
 
-    def add_points(self, points: DataFrame, metadata: dict[str, str] | None = None, source: str = "memory") -> None:
-        """Appends traces given as points (schema POINTS), numbered in order of their trace_id. Types come in order of first sight."""
+    def add_points(self, points: DataFrame, metadata: dict[str, str] | None = None, source: str = "memory", infer: bool = False) -> None:
+        """Appends traces given as points (schema POINTS), numbered in order of their trace_id. Types come in order of first sight.
+
+        infer gives variables without a format that of all values of their type in the trace.
+        """
+        points = with_formats(points) if infer else points
         load, base = self._load()
         ids = written(numbered(points.select("trace_id").distinct(), "trace_id", base))
         place = F.struct("counter", "v.pos")
