@@ -8,8 +8,7 @@ from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
-from tracemill.operators import binding
-from tracemill.operators import memory
+from tracemill.operators import binding, dictionary, memory
 from tracemill.operators.memory import SENTINEL, MemoryMap, pointer_sizes, pointers_by_address
 from tracemill.plans import predicate as P
 from tracemill.plans import schema as S
@@ -396,3 +395,29 @@ def test_first_points_by_ranges(spark, monkeypatch):
         for sent in (0, 10):
             monkeypatch.setattr(binding, "SENT", sent)
             assert sorted((r.trace_id, r.counter) for r in binding.first_points(points(spark, *rows), n).collect()) == want
+
+
+@pytest.mark.parametrize("group", [3, 100_000])
+def test_dictionaries(spark, monkeypatch, group):
+    """Indices in order of first sight, types told apart by format and size; encoding and back."""
+    rng = random.Random(2)
+    rows = []
+    for t in range(3):
+        for c in range(6):
+            rows.append((t, c, 1, [var(i, rng.choice(["x", "y", None, "z", ""]), rng.choice(["int", "a b", None]), rng.choice(["SIGNED", None]), rng.choice([4, 8]), i) for i in range(rng.randint(0, 4))]))
+    df = points(spark, *rows)
+    want = {"names": {}, "types": {}}
+    for t, _, _, vs in rows:
+        for v in vs:
+            for kind, key in (("names", v[1:2]), ("types", v[2:5])):
+                own = want[kind].setdefault(t, {})
+                own.setdefault(key, len(own))
+    n, k = dictionary.names(df, group), dictionary.types(df, group)
+    assert {(r.trace_id, (r.name,)): r["index"] for r in n.collect()} == {(t, x): i for t, d in want["names"].items() for x, i in d.items()}
+    assert {(r.trace_id, (r.type, r.format, r.size)): r["index"] for r in k.collect()} == {(t, x): i for t, d in want["types"].items() for x, i in d.items()}
+    for sent in (0, 1000):
+        monkeypatch.setattr(dictionary, "SENT", sent)
+        short = dictionary.encoded(df, n, k)
+        assert short.selectExpr("explode(vars) as v").where("v.name_idx is null or v.type_idx is null").count() == 0
+        back = dictionary.decoded(short, n, k)
+        assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import ctypes as C
-from tracemill.operators import binding, memory
+from tracemill.operators import binding, dictionary, memory
 from tracemill.plans import predicate as P
 from tracemill.plans import schema as S
 from tracemill.scratch import scratch_dir
@@ -463,6 +463,33 @@ def inferred_load(spark, sf_dir):
     return store.types().groupBy("type_name", "format", "size").agg(F.count("*").alias("traces"))
 
 
+@_register("names_indexed", f"WITH {_EV}, {_VARS}, s AS (SELECT trace_id, name, min(counter * 100 + pos) AS first FROM vars GROUP BY ALL) SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY first) - 1 AS INTEGER) AS index, name FROM s")
+def names_indexed(spark, sf_dir):
+    return dictionary.names(_points(spark, sf_dir))
+
+
+@_register(
+    "types_indexed",
+    f"WITH {_WIDE}, s AS (SELECT trace_id, name, type, min(pos) AS first FROM wv GROUP BY ALL) SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY first) - 1 AS INTEGER) AS index, name || ' ' || type AS type FROM s",
+)
+def types_indexed(spark, sf_dir):
+    """Types named by event and kind, so that traces have different ones in different order."""
+    points = users_as_points(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    points = points.withColumn("vars", F.transform("vars", lambda v: v.withField("type", F.concat_ws(" ", v["name"], v["type"]))))
+    return dictionary.types(points).select("trace_id", "index", "type")
+
+
+@_register("dictionary_round_trip", f"WITH {_EV}, {_VARS} SELECT trace_id, counter, file_id, stmt_id, pos, name, type, CAST(num AS VARCHAR) AS num, dbl FROM vars")
+def dictionary_round_trip(spark, sf_dir):
+    """Points with indices for names and types, decoded."""
+    points = _points(spark, sf_dir)
+    names_, types_ = dictionary.names(points), dictionary.types(points)
+    back = dictionary.decoded(dictionary.encoded(points, names_, types_), names_, types_)
+    s = F.col("statement")
+    rows = back.select("trace_id", "counter", S.file_id(s).alias("file_id"), S.stmt_id(s).alias("stmt_id"), F.explode("vars").alias("v"))
+    return rows.select("trace_id", "counter", "file_id", "stmt_id", "v.pos", "v.name", "v.type", F.col("v.num").cast("string").alias("num"), F.col("v.dbl").alias("dbl"))
+
+
 @_register("max_points_long", f"WITH {_EV} SELECT counter, stmt_id FROM ev QUALIFY row_number() OVER (ORDER BY counter) <= greatest(1001, (SELECT count(*) FROM events) // 2)")
 def max_points_long(spark, sf_dir):
     """The first half of all events, as one long trace."""
