@@ -1,6 +1,7 @@
 """Formats, the store, streams, type strings."""
 
 import struct
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,7 +191,7 @@ def test_stream_state(spark, tmp_path):
     from decimal import Decimal
 
     from tracemill.plans.schema import POINTS
-    from tracemill.streaming.memory import stream_pointer_sizes
+    from tracemill.streaming.memory import rocksdb, stream_pointer_sizes
 
     def point(counter, pointer, sizes):
         v = (0, "p", "*void", "POINTER", 8, Decimal(pointer), None, None, None)
@@ -200,39 +201,178 @@ def test_stream_state(spark, tmp_path):
     for c, (p, sizes) in enumerate([(15, [(10, 8)]), (16, []), (10, [(10, 0)])]):
         spark.createDataFrame([point(c, p, sizes)], POINTS).coalesce(1).write.mode("append").parquet(src)
     found = stream_pointer_sizes(spark.readStream.schema(POINTS).option("maxFilesPerTrigger", 1).parquet(src))
-    run = found.writeStream.format("memory").queryName("left").outputMode("append").trigger(availableNow=True).start()
+    with rocksdb(spark):
+        run = found.writeStream.format("memory").queryName("left").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     got = {r.counter: r.buffer_size for r in spark.table("left").collect()}
     assert {k: None if v is None else int(v) for k, v in got.items()} == {0: 3, 1: 2, 2: None}
 
 
-def test_stream_in_stretches(spark, tmp_path):
-    """Micro-batches are shared by many tasks; live allocations go on, frees too."""
+def _live_points(parts, per=30, traces=2, seed=5, spread=1):
+    """Points in parts, with their MemoryMap results by (trace, counter)."""
     import random
     from decimal import Decimal
 
-    from tracemill.operators import memory
-    from tracemill.plans.schema import POINTS
-    from tracemill.streaming.memory import write_pointer_sizes
+    from tracemill.operators.memory import MemoryMap
 
-    rng, src, want = random.Random(5), str(tmp_path / "in"), {}
-    maps = [memory.MemoryMap(), memory.MemoryMap()]
-    for part in range(3):
+    rng, want, out = random.Random(seed), {}, []
+    maps = [MemoryMap() for _ in range(traces)]
+    for part in range(parts):
         rows = []
-        for c in range(part * 30, part * 30 + 30):
-            for t in range(2):
-                sizes = [(rng.randrange(0, 60, 10), rng.choice([0, 4, 12])) for _ in range(rng.choice([0, 0, 1, 2]))]
+        for c in range(part * per, part * per + per):
+            for t in range(traces):
+                sizes = [(rng.randrange(0, 60, 10) * spread, rng.choice([0, 4, 12]) * spread) for _ in range(rng.choice([0, 0, 1, 2]))]
                 for a, s in sizes:
                     maps[t].update(a, s)
-                p = rng.randrange(70)
+                p = rng.randrange(70) * spread
                 want[t, c] = maps[t].left_at(p)
                 rows.append((t, c, 1, [(Decimal(a), Decimal(s)) for a, s in sizes], [(0, "p", "*void", "POINTER", 8, Decimal(p), None, None, None)], []))
-        spark.createDataFrame(rows, POINTS).coalesce(1).write.mode("append").parquet(src)
+        out.append(rows)
+    return out, want
+
+
+def _arrive(spark, src, rows):
+    from tracemill.plans.schema import POINTS
+
+    spark.createDataFrame(rows, POINTS).coalesce(1).write.mode("append").parquet(src)
+
+
+def _sizes(rows):
+    return {(r.trace_id, r.counter): None if r.buffer_size is None else int(r.buffer_size) for r in rows}
+
+
+def test_stream_in_stretches(spark, tmp_path):
+    """Micro-batches are shared by many tasks; live allocations go on, frees too, and a restart goes on from there."""
+    from tracemill.plans.schema import POINTS
+    from tracemill.streaming.memory import write_pointer_sizes
+
+    src, out, live = str(tmp_path / "in"), str(tmp_path / "out"), tmp_path / "live"
+    parts, want = _live_points(5)
+    Path(src).mkdir()
     stream = spark.readStream.schema(POINTS).option("maxFilesPerTrigger", 1).parquet(src)
-    out = str(tmp_path / "out")
-    write_pointer_sizes(stream, out, str(tmp_path / "live"), str(tmp_path / "state"), group=50).awaitTermination()
-    got = {(r.trace_id, r.counter): None if r.buffer_size is None else int(r.buffer_size) for r in spark.read.parquet(out).collect()}
-    assert got == want
+    for more in (parts[:3], parts[3:]):
+        for rows in more:
+            _arrive(spark, src, rows)
+        write_pointer_sizes(stream, out, str(live), str(tmp_path / "state"), group=50).awaitTermination()
+    assert _sizes(spark.read.parquet(out).collect()) == want
+    # Folder 4 took in 2 and 3, 2 took in 1: what is left grows with the logarithm of the micro-batches.
+    assert sorted(p.name for p in live.iterdir()) == ["4", "5"]
+
+
+def test_folders_of_state():
+    from tracemill.streaming import memory
+
+    for n in range(1, 70):
+        covered = [k for f in memory._prefix(n) for k in range((f & (f - 1)) + 1, f + 1)]
+        assert sorted(covered) == list(range(1, n + 1))
+        own = [k for f in memory._merged(n) for k in range((f & (f - 1)) + 1, f + 1)]
+        assert sorted([*own, n]) == list(range((n & (n - 1)) + 1, n + 1))
+
+
+def test_stored_map():
+    """A tree in a map of state holds what a list in memory holds, and writes what changed."""
+    import random
+
+    from tracemill.operators.memory import SENTINEL, MemoryMap
+    from tracemill.streaming.memory import StoredMap
+
+    class State(dict):
+        writes = 0
+
+        def getValue(self, key):  # noqa: N802
+            return self.get(key)
+
+        def updateValue(self, key, value):  # noqa: N802
+            self[key], self.writes = value, self.writes + 1
+
+        def removeKey(self, key):  # noqa: N802
+            del self[key]
+            self.writes += 1
+
+    rng, state, plain = random.Random(3), State(), MemoryMap()
+    some = [0, 1, 255, 256, 1 << 63, SENTINEL - 1, SENTINEL, *(rng.randrange(1 << 64) for _ in range(40)), *(rng.randrange(5000) for _ in range(40))]
+    for _ in range(60):
+        m = StoredMap(state)  # a micro-batch
+        for _ in range(20):
+            a, s = rng.choice(some), rng.choice([0, 0, 1, 300, SENTINEL])
+            m.update(a, s)
+            plain.update(a, s)
+            for p in (rng.choice(some), rng.choice(some) + 1 & SENTINEL, rng.randrange(1 << 64)):
+                assert m.left_at(p) == plain.left_at(p)
+        m.flush()
+    for a in list(plain.starts):
+        plain.update(a, 0)
+    m = StoredMap(state)
+    for a in some:
+        m.update(a, 0)
+    m.flush()
+    assert not state
+    for live in (10, 3000):  # what one change writes doesn't grow with what is live
+        m = StoredMap(state)
+        for k in range(live):
+            m.update(k * 64, 8)
+        m.flush()
+        state.writes = 0
+        m = StoredMap(state)
+        m.update(32, 8)
+        m.update(0, 16)
+        m.flush()
+        assert state.writes <= 3
+        m.update(32, 0)
+        m.flush()
+
+
+def test_stream_late_and_restarted(spark, tmp_path):
+    """Micro-batches out of order within hold, and a restart between them, give what one batch gives; beyond hold points are late."""
+    from tracemill.plans.schema import POINTS
+    from tracemill.streaming.memory import rocksdb, stream_pointer_sizes
+
+    parts, want = _live_points(4, per=8, spread=1 << 40)
+    src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    Path(src).mkdir()
+
+    def run(*arriving):
+        for rows in arriving:
+            _arrive(spark, src, rows)
+        found = stream_pointer_sizes(spark.readStream.schema(POINTS).option("maxFilesPerTrigger", 1).parquet(src), 16)
+        with rocksdb(spark):
+            query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        assert query.awaitTermination(90)
+        rows = spark.read.parquet(out).collect()
+        return [r for r in rows if not r.late], [r for r in rows if r.late]
+
+    found, late = run(parts[0], parts[2])  # 1 comes after 2
+    assert _sizes(found) == {k: v for k, v in want.items() if k[1] <= 7} and not late
+    found, late = run(parts[1], parts[3], parts[0])
+    assert _sizes(found) == {k: v for k, v in want.items() if k[1] <= 15} and len(found) == 32
+    assert sorted((r.trace_id, r.counter, r.buffer_size) for r in late) == sorted((r[0], r[1], None) for r in parts[0])
+
+
+def test_stream_of_ended_traces(spark, tmp_path):
+    """A trace from which nothing comes ends: what was held back is given, and its state is gone."""
+    import time
+
+    from tracemill.plans.schema import POINTS
+    from tracemill.streaming.memory import rocksdb, stream_pointer_sizes
+
+    (rows,), want = _live_points(1, per=6, traces=1)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    Path(src).mkdir()
+    found = stream_pointer_sizes(spark.readStream.schema(POINTS).parquet(src), 100, 1.0)
+    with rocksdb(spark):
+        query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="500 milliseconds").start()
+    try:
+        for n in (1, 2):  # the same trace begins anew
+            _arrive(spark, src, rows)
+            until = time.time() + 45
+            while time.time() < until:
+                time.sleep(1)
+                got = spark.read.schema(found.schema).parquet(out).collect() if Path(out, "_spark_metadata").exists() else []
+                if len(got) == n * len(rows):
+                    break
+            assert _sizes(got) == want and len(got) == n * len(rows) and not any(r.late for r in got)
+    finally:
+        query.stop()
 
 
 def _some_points(spark, n=15, per=4):

@@ -196,12 +196,11 @@ def with_sizes(points: DataFrame) -> DataFrame:
     return rows.withColumn("vars", resized).select(*points.columns)
 
 
-def live_after(points: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """trace_id, address, size of what is live after points, where before was live."""
-    allocs = points.select("trace_id", F.lit(1).alias("new"), "counter", F.posexplode("sizes").alias("ord", "a")).select("trace_id", "new", "counter", "ord", "a.address", "a.size")
-    if before is not None:
-        allocs = allocs.unionByName(before.select("trace_id", F.lit(0).alias("new"), F.lit(0).cast("long").alias("counter"), F.lit(0).alias("ord"), "address", "size"))
-    return allocs.groupBy("trace_id", "address").agg(F.max_by("size", F.struct("new", "counter", "ord")).alias("size")).where("size > 0")
+def last_words(points: DataFrame) -> DataFrame:
+    """trace_id, address, size of the last word on each address; size 0 is a release."""
+    words = points.select("trace_id", "counter", F.posexplode("sizes").alias("ord", "a")).where("a.address is not null")
+    size = F.coalesce("a.size", F.lit(0).cast("decimal(20,0)"))
+    return words.groupBy("trace_id", F.col("a.address").alias("address")).agg(F.max_by(size, F.struct("counter", "ord")).alias("size"))
 
 
 def pointers_by_address(points: DataFrame, group: int = 0) -> DataFrame:

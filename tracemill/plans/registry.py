@@ -19,7 +19,7 @@ from tracemill.sources import files
 from tracemill.sources.adapters import EVENT_FILES, as_text, events_as_points, inferred_formats, users_as_points, variable
 from tracemill.store import TraceStore
 from tracemill.streaming import ingest
-from tracemill.streaming.memory import OUT, write_pointer_sizes
+from tracemill.streaming.memory import OUT, rocksdb, stream_pointer_sizes, write_pointer_sizes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -424,6 +424,14 @@ def stream_memory(spark, sf_dir):
     return found.select("trace_id", "counter", F.col("pointer").cast("long").alias("pointer"), F.col("buffer_size").cast("long").alias("buffer_size"))
 
 
+@_register("stream_state", ORACLES["memory_map"])
+def stream_state(spark, sf_dir):
+    """Pointer sizes over a stream, with allocations in the state store."""
+    with rocksdb(spark):
+        found = _streamed(spark, sf_dir, stream_pointer_sizes)
+    return found.where("not late").select("trace_id", "counter", F.col("pointer").cast("long").alias("pointer"), F.col("buffer_size").cast("long").alias("buffer_size"))
+
+
 @_register("max_points", f"WITH {_EV} SELECT trace_id, counter, stmt_id FROM ev QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY counter) <= 5")
 def max_points(spark, sf_dir):
     return binding.first_points(_points(spark, sf_dir), 5).select("trace_id", "counter", S.stmt_id(F.col("statement")).alias("stmt_id"))

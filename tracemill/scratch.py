@@ -24,3 +24,11 @@ def written(rows: DataFrame, name: str = "traces") -> DataFrame:
     path = scratch_dir(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of tables, if they are there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
