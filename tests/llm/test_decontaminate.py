@@ -5,7 +5,7 @@ import re
 import pyarrow as pa
 import pytest
 from helpers import UP, documents, prose, write_tables
-from tracemill.llm import decontaminate
+from tracemill.llm import _shared, decontaminate
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -47,9 +47,12 @@ def tables():
     return docs, items
 
 
-@pytest.mark.parametrize("index_bytes", [1 << 25, 200])
-def test_against_brute_force(spark, index_bytes, monkeypatch, tmp_path):
+@pytest.mark.parametrize(("index_bytes", "salted"), [(1 << 25, False), (200, False), (200, True)])
+def test_against_brute_force(spark, index_bytes, salted, monkeypatch, tmp_path):
     docs, items = tables()
+    if salted:  # nothing is broadcast, and keys of more than 20 rows are dealt
+        monkeypatch.setattr(_shared.joined, "__defaults__", ("inner", 0))
+        monkeypatch.setattr(_shared, "HOT_ROWS", 20)
     monkeypatch.setattr(decontaminate.find, "__defaults__", ("text", "found", index_bytes))
     path = write_tables(tmp_path, documents=documents(spark, docs), benchmark=spark.createDataFrame(items, "item_id long, text string"))
     got = [tuple(r) for r in decontaminate.op6_decontaminate(spark, path).collect()]
@@ -91,3 +94,25 @@ def test_columns_of_any_name_stay(spark, index_bytes):
     assert {r.doc_id: (list(r.out["items"]), r.found, r.c0, r["__key"]) for r in got.collect()} == {1: (["a"], 6, 5, 3), 2: ([], 6, 5, 3), 3: ([], 6, 5, 3)}
     kept = decontaminate.without_contaminated(docs, items)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+
+
+def test_one_frequent_word_is_dealt(spark, monkeypatch):
+    """A corpus of one word and an item of it: its window goes through the dealt joins, and the result is whole."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(_shared.joined, "__defaults__", ("inner", 0))
+    monkeypatch.setattr(_shared, "HOT_ROWS", 100)
+    seen, real = [], _shared.joined
+
+    def spy(rows, table, key, how="inner"):
+        got = real(rows, table, key, how)
+        if key == "w":
+            seen.append(got.groupBy("w").count().first()["count"])
+        return got
+
+    monkeypatch.setattr(decontaminate, "joined", spy)
+    docs = documents(spark, [(k, "the " * (k + 1)) for k in range(150)])
+    items = spark.createDataFrame([("a", "The"), ("b", "the the"), ("c", "other")], "item_id string, text string")
+    got = decontaminate.find(docs, items, index_bytes=0).select("doc_id", F.col("found.items").alias("items"), decontaminate.n_hit().alias("n")).collect()
+    assert {r.doc_id: (list(r["items"]), r.n) for r in got} == {k: (["a", "b"] if k else ["a"], k + 1) for k in range(150)}
+    assert len(seen) == 2 and max(seen) > 100

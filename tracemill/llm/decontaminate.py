@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm._shared import free_name, written
+from tracemill.llm._shared import free_name, joined, written
 from tracemill.llm._text import Chunk, Words, chunks, mix, slices, words
 
 WINDOW = 13
@@ -217,7 +217,8 @@ def _hashes(rows: DataFrame, schema: str, of) -> DataFrame:
 def _by_join(docs: DataFrame, items: DataFrame, text: str, into: str) -> DataFrame:
     """Fingerprints of texts joined with those of items, then the windows around what met: for items of any size.
 
-    Texts take part once each, so that copies cost nothing and no key is hot but by passages that many items share.
+    Texts take part once each, so that copies cost nothing. Fingerprints and windows that many texts hold, such as the window of an
+    item of one frequent word, are dealt over tasks; a text's places of a window go to its items as one.
     """
     key = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
     texts = written(docs.select(key.alias("key"), F.col(text).cast("string").alias("text")).where("text is not null").dropDuplicates(["key"]))
@@ -235,7 +236,7 @@ def _by_join(docs: DataFrame, items: DataFrame, text: str, into: str) -> DataFra
     theirs = written(_hashes(items, "item string, window long, n long", item_windows).distinct())
     sizes = [r.n for r in theirs.where(F.col("n") < WINDOW).select("n").distinct().collect()]  # 12 at most
     wanted = _hashes(items, "item string, print long", prints).select("print").distinct()
-    met = _hashes(texts, "key string, print long", prints).distinct().join(wanted, "print").groupBy("key").agg(F.collect_set("print").alias("prints"))
+    met = joined(_hashes(texts, "key string, print long", prints).distinct(), written(wanted), "print").groupBy("key").agg(F.collect_set("print").alias("prints"))
 
     def near(w: Words, c: Chunk, batch: pa.RecordBatch):
         mine = batch.column(2).slice(c.first, c.n)
@@ -261,7 +262,12 @@ def _by_join(docs: DataFrame, items: DataFrame, text: str, into: str) -> DataFra
     windows = _hashes(texts.join(met, "key").select("key", "text", "prints"), shape, near)
     if sizes:
         windows = windows.unionByName(_hashes(texts, shape, short))
-    hit = windows.join(theirs, ["window", "n"]).groupBy("key").agg(F.collect_set(F.struct("at", "n")).alias("at"), F.array_sort(F.collect_set("item")).alias("items"))
+    w = F.struct("window", "n").alias("w")
+    lists = written(theirs.select(w, "item").groupBy("w").agg(F.collect_list("item").alias("items")))
+    places = written(joined(windows.select("key", w, "at"), written(lists.select("w")), "w").groupBy("key", "w").agg(F.collect_set("at").alias("at")))
+    items_of = joined(places.select("key", "w"), lists, "w").groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    at = F.flatten(F.collect_list(F.transform("at", lambda x: F.struct(x.alias("at"), F.col("w.n").alias("n")))))
+    hit = places.groupBy("key").agg(at.alias("at")).join(items_of, "key")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     reps = written(prints.groupBy("fp").agg(F.min("__id").alias("rep"), (F.count("*") > 1).alias("copies")))
     comp = written(components(links(reps.select("fp"))))
     least = reps.join(comp.withColumnRenamed("node", "fp"), "fp").groupBy("root").agg(F.min("rep").alias("cid"))
-    of_fp = comp.join(least, "root").select(F.col("node").alias("fp"), "cid", F.lit(True).alias("linked"))
+    of_fp = joined(comp, written(least), "root").select(F.col("node").alias("fp"), "cid", F.lit(True).alias("linked"))
     # A fingerprint of one document without links needs no other: its component is the document itself.
     ids = reps.join(of_fp, "fp", "left").where("linked or copies").select("fp", F.coalesce("cid", "rep").alias("component_id"), F.lit(True).alias("__shared"))
     cid = F.when(F.col("__shared"), F.col("component_id")).otherwise(F.col("__id")).alias("component_id")
