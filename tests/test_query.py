@@ -258,6 +258,25 @@ def test_one_long_trace_is_shared_by_tasks(spark, monkeypatch):
     assert len(most) == 2 and max(most) < 2 * memory.GROUP
 
 
+def test_tasks_of_pointers_have_bounded_rows(spark, monkeypatch, capsys):
+    """Short traces make no blocks; long ones are gathered without a sort, and whole points joined, by as many tasks as their rows need."""
+    rng = random.Random(4)
+    rows = [(t, c, 1, [var(0, "p", "*void", "POINTER", 8, rng.randrange(70))], [(rng.randrange(0, 60, 10), rng.choice([0, 8]))]) for t in range(20) for c in range(5)]
+    df = points(spark, *rows).cache()
+    key = lambda r: (r.trace_id, r.counter)
+    by_blocks = pointer_sizes(df, 7)
+    by_blocks.explain()
+    assert "SortAggregate" not in capsys.readouterr().out and by_blocks.rdd.getNumPartitions() > 20
+    want = sorted(map(tuple, by_blocks.collect()), key=str)
+    monkeypatch.setattr(memory, "POINTS", 10)
+    whole = memory.with_sizes(df)
+    assert whole.rdd.getNumPartitions() == 10
+    assert {key(r): r.vars[0].buffer_size for r in whole.collect()} == {(r[0], r[1]): r[4] for r in want}
+    assert all(r.vars == [] for r in memory.with_sizes(df, ["int"]).collect())
+    monkeypatch.setattr(memory, "carried", None)
+    assert sorted(map(tuple, pointer_sizes(df, 10).collect()), key=str) == want
+
+
 def test_pointers_by_address(spark):
     rng = random.Random(12)
     rows, want = [], Counter()

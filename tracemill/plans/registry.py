@@ -354,7 +354,7 @@ def memory_overlap(spark, sf_dir):
 
 @_register("var_size", f"WITH {_EV}, {_VARS}, {_SIZED} SELECT trace_id, counter, CAST(num AS BIGINT) AS pointer, CAST(room AS BIGINT) AS room FROM sized WHERE room > 40")
 def var_size(spark, sf_dir):
-    points = memory.with_sizes(_points(spark, sf_dir))
+    points = memory.with_sizes(_points(spark, sf_dir), PTR)
     found = binding.query(points, ["p"], [PTR], (">", ("v/size", "p"), 40), dedup=None)
     return found.select("trace_id", "counter", F.col("v0.num").cast("long").alias("pointer"), F.col("v0.buffer_size").cast("long").alias("room"))
 
