@@ -176,3 +176,19 @@ def test_every_language_is_learnt(spark):
     rows = [(10 * k + i, f"{chr(97 + k % 26)}{chr(97 + k // 26)}" * 30, f"l{k:03d}") for k in range(600) for i in range(2)]
     model = language.fit(documents(spark, rows), language.F.lit(True))
     assert len(model.langs) == 600 and len(np.unique(model.code, axis=0)) == 600
+
+
+def test_all_rows_are_learnt_from(spark):
+    """Words of 10,000 rows, each its own: those of all rows but the fold and the rows for thresholds have odds; each row is in a mean of its language."""
+    n = 10_000
+    word = [f"{chr(97 + i % 26)}{i:x}q" for i in range(n)]
+    docs = documents(spark, [(i, f"{w} thing {'vile' if i % 2 else 'fine'}", "en" if i % 3 else "de") for i, w in enumerate(word)])
+    m, lid = toxicity.fit(docs, spark.range(n).selectExpr("id doc_id", "cast(id % 2 as int) toxic"))
+    ids = np.array([d[0, 0] for d in toxicity.word_ids(chunk_of(word))])
+    assert 0.55 * n < np.count_nonzero(m.embed[ids, 0]) < 0.7 * n
+    assert lid.langs == ["de", "en"]
+    scores = m.score(toxicity.word_ids(chunk_of(["thing vile", "thing fine"])), ["en", "en"])
+    assert scores[0] >= 0.5 > scores[1]
+    few = docs.where("doc_id < 600 or doc_id = 9999").withColumn("text", language.F.expr("if(doc_id = 9999, repeat('xyzzy ', 50), text)"))
+    a, b = (language.fit(few.where(where), language.F.lit(True)) for where in ("true", "doc_id <> 9999"))
+    assert not np.array_equal(a.weight, b.weight)

@@ -53,15 +53,3 @@ def joined(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", most
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__salts", F.lit(1)).cast("long") - 1))
     spread = table.where(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left").withColumn("__salt", copies).drop("__salts")
     return dealt.join(spread, [key, "__salt"], how).drop("__salt")
-
-
-def bounded_sample(rows: DataFrame, by: str, bound: int, id_col: str = "doc_id") -> DataFrame:
-    """About bound rows of each value of by (all, where there are fewer; one at least), chosen by a hash of the id.
-
-    One aggregation gives the sizes of the classes and the least hash of each; the choice itself is a filter.
-    """
-    rows = rows.where(F.col(by).isNotNull() & F.col(id_col).isNotNull())
-    rows = rows.withColumn("__draw", F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30))
-    sizes = written(rows.groupBy(by).agg((F.lit(float(bound)) / F.count("*")).alias("__rate"), F.min("__draw").alias("__least")))
-    chosen = (F.col("__draw") < F.col("__rate")) | (F.col("__draw") == F.col("__least"))
-    return joined(rows, sizes, by).where(chosen).select(*(c for c in rows.columns if c != "__draw"))

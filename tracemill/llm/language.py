@@ -4,9 +4,9 @@ Each language has a codeword of bits; a binary classifier over hashed byte n-gra
 lower-cased) predicts each bit. Decoding weighs each bit's exponential loss by how well its classifier
 does, and chooses the nearest codeword; a lead over the next one below AMBIGUOUS is flagged.
 
-The classifiers are fitted on a sample: about SAMPLE_PER_LANG whole texts of each language, fewer where there are
-many languages (MAX_SAMPLE texts in all, or two of each language, if that is more; one of each at least), chosen by
-a hash of the id. Every language that occurs is learnt. Every text is scored whole.
+The classifiers are fitted on all texts. Those of a language are dealt by a hash of the id into GROUPS_PER_LANG groups, fewer where
+there are many languages (MAX_GROUPS in all, or two of each language, if that is more); the mean of the n-grams of a group's
+texts, summed by the tasks that read them, is a row of the regressions. Every language that occurs is learnt. Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -15,17 +15,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm._shared import bounded_sample, fold
+from tracemill.llm._shared import fold
 from tracemill.llm._text import LOWER, Chunk, chunks, slices
 
 BUCKETS = 4096
-SAMPLE_PER_LANG = 400
-MAX_SAMPLE = 4000
+GROUPS_PER_LANG = 64
+MAX_GROUPS = 4000
 BITS = 63  # of random codes, for more than six languages
 STEPS = 200
 AMBIGUOUS = 0.2
@@ -113,22 +114,34 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str]) -> LanguageModel:
     return LanguageModel(langs, m.code, w, b, (trust / trust.sum()).astype(np.float32))
 
 
-def fit(docs: DataFrame, train_rows: Column, lang: str = "lang", text: str = "text", per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
-    """A model of docs' rows for which train_rows holds and whose text and lang aren't null."""
+def fit(docs: DataFrame, train_rows: Column, lang: str = "lang", text: str = "text", per_lang: int = GROUPS_PER_LANG) -> LanguageModel:
+    """A model of all of docs' rows for which train_rows holds and whose text and lang aren't null."""
     rows = docs.where(train_rows).where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col("doc_id"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
-    n = rows.select("l").distinct().count()
-    sample = bounded_sample(rows, "l", max(2, min(per_lang, MAX_SAMPLE // max(n, 1))))
+    langs = sorted(r.l for r in rows.select("l").distinct().collect())
+    groups = max(2, min(per_lang, MAX_GROUPS // max(len(langs), 1)))
+    number = {l: k * groups for k, l in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}  # a task's part of each group
         for batch in slices(batches):
+            of = np.array([number[l] for l in batch.column(1).to_pylist()], np.int64) + batch.column(2).to_numpy()
             for c in chunks(batch.column(0), *CHUNK):
-                x = ngram_counts(c).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).slice(c.first, c.n)], ["x", "l"])
-
-    got = sample.select("t", "l").mapInArrow(run, "x binary, l string").toPandas()
-    langs = sorted(got["l"].unique().tolist())
+                x, own = ngram_counts(c), of[c.first : c.first + c.n]
+                by = np.argsort(own, kind="stable")
+                at, first = np.unique(own[by], return_index=True)
+                for k, v in zip(at.tolist(), np.add.reduceat(x[by], first), strict=True):
+                    sums[k] = sums[k] + v if k in sums else v
+        for k, v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([v.tobytes()], pa.binary())], ["k", "x"])
+
+    def added(b: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(x, np.float32) for x in b["x"]], axis=0, dtype=np.float64)
+        return pd.DataFrame({"k": b["k"][:1], "x": [(total / max(np.linalg.norm(total), 1e-9)).astype(np.float16).tobytes()]})
+
+    group = F.pmod(F.xxhash64("doc_id", F.lit("group")), F.lit(groups)).cast("long")
+    got = rows.select("t", "l", group.alias("g")).mapInArrow(run, "k long, x binary").groupBy("k").applyInPandas(added, "k long, x binary").toPandas().sort_values("k")
     x = np.frombuffer(b"".join(got["x"]), np.float16).reshape(-1, BUCKETS).astype(np.float32)
-    return train(x, np.searchsorted(np.array(langs, object), got["l"].to_numpy(object)) if langs else np.zeros(0, np.int64), langs)
+    return train(x, got["k"].to_numpy(np.int64) // groups, langs)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

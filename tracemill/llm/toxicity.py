@@ -4,12 +4,13 @@ Words (runs of digits, a-z and characters beyond ASCII, A-Z lower-cased) have ha
 those of the word and of its beginnings, so that inflected forms share what is learnt; filters of several
 widths run over the whole text. Each gives its largest response in every stretch of SEGMENT words; a
 logistic unit joins the largest of these and their mean, which tells a single slip from abuse throughout. The
-embeddings begin with smoothed log-odds of each word and beginning, in a component of its own kind. Thresholds are
-calibrated by language on rows that the filters weren't trained on; the language is predicted from the
-text itself. A score of 0.5 is the threshold.
+embeddings begin with smoothed log-odds of each word and beginning, in a component of its own kind, and random numbers
+that tell words apart; a row that is trained on sees the odds without itself. Thresholds are calibrated by language on rows that neither odds nor filters come from; the
+language is predicted from the text itself. A score of 0.5 is the threshold.
 
-It is trained on a bounded sample: about MAX_PER_CLASS labelled rows of either class, chosen by a hash of
-the id, whole texts. Every text is scored whole.
+All labelled rows count, whole texts: one in CALIBRATE, by a hash of the id, for the thresholds, by a histogram; all others for the
+log-odds, which are counted by Spark, and for filters and embeddings. For these, in each of ROUNDS rounds every task goes on from the same ones
+with stochastic gradients over its own rows, BLOCK at a time, and what the tasks end with is averaged. Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import language
-from tracemill.llm._shared import bounded_sample, fold, free_name
+from tracemill.llm._shared import fold, free_name, written
 from tracemill.llm._text import Chunk, chunks, ranges, slices, words
 
 BUCKET_BITS = 18
@@ -34,11 +36,13 @@ FILTERS = 8  # of each width
 PREFIXES = (4, 5, 6, 7)  # bytes of the beginnings
 KINDS = 1 + len(PREFIXES)
 SEGMENT = 64  # words
-MAX_PER_CLASS = 2000
 CALIBRATE = 4  # one row in so many is kept for the thresholds
-STEPS = 500  # at most; ROUNDS times through the rows, if that is less
-ROUNDS = 15
+ROUNDS = 3
+VISITS = 16_000  # of rows, at least; so a few rows are gone through more often
+MOST_TIMES = 5  # that a round goes through a row
+BLOCK = 2000  # rows that a task holds at once
 BATCH = 32
+BIN = 1 / 64  # of a logit, in the histograms
 PRIOR = 10.0  # weight of the class share in a word's log-odds
 
 
@@ -82,6 +86,13 @@ class ToxicityModel:
     constant: float | None = None  # the score of all texts, where one class had no rows
     thresholds: dict[str, float] = field(default_factory=dict)  # by language; "" for others
 
+    def __getstate__(self) -> dict:
+        """As it is sent to tasks: embeddings in 16 bits."""
+        return self.__dict__ | {"embed": self.embed.astype(np.float16)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {"embed": state["embed"].astype(np.float32)})
+
     def responses(self, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         x = self.embed[ids[:, 0]]
         for k in range(1, KINDS):
@@ -128,44 +139,62 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(docs) - t, -30, 30)))
 
 
-def _log_odds(docs: list[np.ndarray], y: np.ndarray, kind: int) -> np.ndarray:
-    seen = [np.unique(d[:, kind]) for d in docs]
-    pos = np.bincount(np.concatenate([s for s, t in zip(seen, y, strict=True) if t]), minlength=PAD + 1)
-    neg = np.bincount(np.concatenate([s for s, t in zip(seen, y, strict=True) if not t]), minlength=PAD + 1)
-    r = y.mean()
+def log_odds(pos: np.ndarray, neg: np.ndarray, r: float) -> np.ndarray:
+    """Of buckets that so many toxic and clean rows have; r is the share of toxic rows."""
     return np.where(pos + neg > 0, np.log((pos + PRIOR * r) / (neg + PRIOR * (1 - r)) * (1 - r) / r), 0.0)
 
 
-def train(docs: list[np.ndarray], y: np.ndarray, steps: int = STEPS) -> ToxicityModel:
-    """Stochastic gradients through the largest responses; both classes must occur."""
-    rng = np.random.default_rng(11)
-    odds = np.stack([np.clip(_log_odds(docs, y, k), -1, 4) for k in range(KINDS)], axis=1)
-    embed = np.where((odds != 0).any(1)[:, None], rng.normal(0, 0.05, (PAD + 1, DIM)), 0).astype(np.float32)
-    embed[:, :KINDS] = odds
+def embedded(odds: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Embeddings with log-odds, and random numbers in the other components where known has odds."""
+    embed = np.where((known != 0).any(1)[:, None], np.random.default_rng(12).normal(0, 0.05, (PAD + 1, DIM)), 0).astype(np.float32)
+    embed[:, :KINDS] = np.clip(odds, -1, 4)
     embed[PAD] = 0
+    return embed
+
+
+def initial(odds: np.ndarray) -> ToxicityModel:
+    """A model before training; odds: bucket x kind."""
+    rng = np.random.default_rng(11)
+    embed = embedded(odds, odds)
     filters = [rng.normal(0, 0.15, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     for f in filters:
         f[:, :KINDS, : FILTERS // 2] = 0.3 / len(f)
     shift = [np.full(FILTERS, -0.2, np.float32) for _ in WIDTHS]
-    m = ToxicityModel(embed, filters, shift, rng.normal(0.1, 0.05, 2 * FILTERS * len(WIDTHS)).astype(np.float32), -1.0)
-    slow = {}  # sums of squared gradients
+    return ToxicityModel(embed, filters, shift, rng.normal(0.1, 0.05, 2 * FILTERS * len(WIDTHS)).astype(np.float32), -1.0)
+
+
+def weights(m: ToxicityModel) -> np.ndarray:
+    """What is trained, as one array."""
+    return np.concatenate([*(f.ravel() for f in m.filters), *m.shift, m.out, [m.bias]]).astype(np.float64)
+
 
-    def stepped(name: str, g: np.ndarray, rate: float) -> np.ndarray:
-        slow[name] = 0.99 * slow.get(name, g * g) + 0.01 * g * g
+def with_weights(m: ToxicityModel, w: np.ndarray) -> ToxicityModel:
+    shapes = [(k, DIM, FILTERS) for k in WIDTHS] + [(FILTERS,) for _ in WIDTHS] + [m.out.shape]
+    *parts, bias = np.split(w, np.cumsum([int(np.prod(x)) for x in shapes]))
+    parts = [x.reshape(shape).astype(np.float32) for x, shape in zip(parts, shapes, strict=True)]
+    n = len(WIDTHS)
+    return ToxicityModel(m.embed, parts[:n], parts[n : 2 * n], parts[-1], float(bias[0]), m.constant, m.thresholds)
+
+
+def train(m: ToxicityModel, docs: list[np.ndarray], y: np.ndarray, times: int, rate: float, slow: dict[str, np.ndarray], rng: np.random.Generator, by_class: np.ndarray, embed_sq: np.ndarray) -> None:
+    """Stochastic gradients through the largest responses, times through docs; by_class are weights of clean and toxic rows.
+
+    m has embeddings for clean rows and, after them, for toxic ones, neither of which count the row itself.
+    """
+    docs = [d + np.int32(t * (PAD + 1)) for d, t in zip(docs, y.tolist(), strict=True)]
+
+    def stepped(name: str, g: np.ndarray) -> np.ndarray:
+        slow[name] = 0.99 * slow.get(name, g * g) + 0.01 * g * g  # sums of squared gradients
         return rate * g / (np.sqrt(slow[name]) + 1e-5)
 
-    embed_sq = np.full(PAD + 1, 1e-3, np.float32)
-    by_class = [np.flatnonzero(y == t) for t in (0, 1)]
-    steps = min(steps, ROUNDS * len(docs) // BATCH + 1)
-    for step in range(steps):
-        rate = 0.01 * (1 - step / steps) + 1e-4
-        pick = np.concatenate([rng.choice(c, BATCH // 2) for c in by_class])
+    half, buckets = FILTERS * len(WIDTHS), PAD + 1
+    order = np.concatenate([rng.permutation(len(docs)) for _ in range(times)])
+    for pick in (order[i : i + BATCH] for i in range(0, len(order), BATCH)):
         batch = [d if len(d) < 40 else d[rng.random(len(d)) > 0.1] for d in (docs[i] for i in pick)]
         ids, start, end = laid_out(batch)
         s = m.pooled(ids, start, end)
         p = 1 / (1 + np.exp(-np.clip(s.features @ m.out + m.bias, -30, 30)))
-        g = ((p - y[pick]) / len(pick)).astype(np.float32)
-        half = FILTERS * len(WIDTHS)
+        g = ((p - y[pick]) * by_class[y[pick]] / len(pick)).astype(np.float32)
         is_most = s.top >= s.features[s.doc, :half]
         g_top = g[s.doc, None] * (m.out[:half] * is_most + m.out[half:] / s.count[s.doc, None])
         g_top = np.where(s.top > 0, g_top, 0).astype(np.float32)
@@ -183,20 +212,111 @@ def train(docs: list[np.ndarray], y: np.ndarray, steps: int = STEPS) -> Toxicity
             for j in range(width):
                 each = (gt[:, :, None] * m.filters[k][j].T[None]).reshape(-1, DIM)
                 for kind in range(KINDS):
-                    rows.append(ids[where + j, kind].ravel())
+                    rows.append(ids[where + j, kind].ravel() % buckets)
                     grads.append(each)
-            m.filters[k] -= stepped(f"w{k}", g_w, rate)
-            m.shift[k] -= stepped(f"b{k}", gt.sum(0), rate)
-        m.out -= stepped("out", g_out, rate)
-        m.bias -= float(stepped("bias", np.array([g_bias]), rate)[0])
+            m.filters[k] = m.filters[k] - stepped(f"w{k}", g_w)
+            m.shift[k] = m.shift[k] - stepped(f"b{k}", gt.sum(0))
+        m.out = m.out - stepped("out", g_out)
+        m.bias -= float(stepped("bias", np.array([g_bias]))[0])
         rows, grads = np.concatenate(rows), np.concatenate(grads)
         u, inv = np.unique(rows, return_inverse=True)
         total = np.zeros((len(u), DIM), np.float32)
         np.add.at(total, inv, grads)
+        u, total = u[u != PAD], total[u != PAD]
         embed_sq[u] += (total * total).mean(1)
-        m.embed[u] -= 0.02 * total / np.sqrt(embed_sq[u])[:, None]
-        m.embed[PAD] = 0
-    return m
+        step = 0.02 * total / np.sqrt(embed_sq[u])[:, None]
+        m.embed[u] -= step
+        m.embed[u + buckets] -= step
+
+
+def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, pa.RecordBatch, list[np.ndarray]]]:
+    for batch in slices(batches):
+        for c in chunks(batch.column(0), *language.CHUNK):
+            yield c, batch, word_ids(c)
+
+
+def _odds(learn: DataFrame, n: dict[int, int]) -> list[np.ndarray]:
+    """Log-odds of all rows, bucket x kind: as a clean row sees them that doesn't count itself, a toxic one, and one that isn't among them. Each task sends what it counted once."""
+    size = KINDS * (PAD + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, size), np.int64)
+        for c, batch, docs in _tokenised(batches):
+            for d, y in zip(docs, batch.column(1).slice(c.first, c.n).to_pylist(), strict=True):
+                seen[y, np.unique(d + np.arange(KINDS, dtype=np.int32) * (PAD + 1))] += 1
+        at = np.flatnonzero(seen.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[1, at]), pa.array(seen[0, at])], ["at", "pos", "neg"])
+
+    got = learn.select("text", "y").mapInArrow(run, "at long, pos long, neg long").groupBy("at").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas()  # at most a row for each bucket and kind
+    both = np.zeros((2, size))
+    both[:, got["at"].to_numpy()] = got["pos"].to_numpy(), got["neg"].to_numpy()
+    less = [(both[0], np.maximum(both[1] - 1, 0)), (np.maximum(both[0] - 1, 0), both[1]), (both[0], both[1])]
+    return [log_odds(pos, neg, n[1] / (n[0] + n[1])).reshape(KINDS, PAD + 1).T for pos, neg in less]
+
+
+def _averaged(learn: DataFrame, m: ToxicityModel, more: Broadcast, n: dict[int, int], turn: int) -> ToxicityModel:
+    """m after a round: the mean of what tasks make of it, by their rows; tasks have a BLOCK of them, or more.
+
+    m has embeddings for clean rows; more is what odds for toxic ones have more. An embedding's change is the mean over the
+    tasks that changed it.
+    """
+    total = n[0] + n[1]
+    learn = learn.coalesce(max(1, total // BLOCK))
+    times = max(1, min(MOST_TIMES, -(-VISITS // (ROUNDS * total))))
+    by_class = np.array([total / 2 / n[0], total / 2 / n[1]])
+    sent = learn.sparkSession.sparkContext.broadcast(m)
+
+    columns = [f"w{k}" for k in range(DIM)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, slow, rng, rows = with_weights(sent.value, weights(sent.value)), {}, np.random.default_rng(turn), 0
+        own.embed, embed_sq = np.concatenate((sent.value.embed,) * 2), np.full(PAD + 1, 1e-3, np.float32)
+        own.embed[PAD + 1 :, :KINDS] += more.value
+        docs, ys = [], []
+
+        def learnt() -> int:
+            train(own, docs, np.array(ys), times, 0.01 * (1 - turn / ROUNDS), slow, rng, by_class, embed_sq)
+            return len(docs)
+
+        for c, batch, found in _tokenised(batches):
+            docs, ys = docs + found, ys + batch.column(1).slice(c.first, c.n).to_pylist()
+            if len(docs) >= BLOCK:
+                rows, docs, ys = rows + learnt(), [], []
+        if docs:
+            rows += learnt()
+        if rows:
+            w = weights(own)
+            every = np.zeros((-(-len(w) // DIM), DIM))
+            every.ravel()[: len(w)] = w
+            touched = np.flatnonzero(embed_sq > np.float32(1e-3))
+            at = np.concatenate((-1 - np.arange(len(every)), touched))  # below zero what is no embedding
+            values = np.concatenate((every, own.embed[touched] - sent.value.embed[touched])) * rows
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), rows)), *(pa.array(x.astype(np.float32)) for x in values.T)], ["at", "n", *columns])
+
+    got = learn.select("text", "y").mapInArrow(run, ", ".join(["at long", "n long", *(f"{c} float" for c in columns)]))
+    got = got.groupBy("at").agg(*((F.sum(c) / F.sum("n")).cast("float").alias(c) for c in columns)).toPandas().sort_values("at")
+    at, values = got["at"].to_numpy(), got[columns].to_numpy()
+    w = weights(m)
+    mean = with_weights(m, values[at < 0][::-1].ravel()[: len(w)].astype(np.float64))
+    mean.embed = m.embed.copy()
+    mean.embed[at[at >= 0]] += values[at >= 0]
+    sent.destroy()
+    return mean
+
+
+def _histogram(rest: DataFrame, m: ToxicityModel, lid: language.LanguageModel) -> tuple[np.ndarray, ...]:
+    """logit, y, lang, count of all rows, logits to within half a BIN."""
+    sent = rest.sparkSession.sparkContext.broadcast((m, lid))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, lid = sent.value
+        for c, batch, docs in _tokenised(batches):
+            bins = np.rint(np.clip(m.logits(docs), -30, 30) / BIN).astype(np.int64)
+            lang = lid.decode(language.ngram_counts(c))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(bins), batch.column(1).slice(c.first, c.n), pa.array(lang)], ["bin", "y", "lang"])
+
+    got = rest.select("text", "y").mapInArrow(run, "bin long, y int, lang long").groupBy("lang", "y", "bin").count().toPandas().sort_values(["lang", "y", "bin"])
+    return got["bin"].to_numpy() * BIN, got["y"].to_numpy(), got["lang"].to_numpy(), got["count"].to_numpy(np.float64)
 
 
 def threshold(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
@@ -211,46 +331,36 @@ def threshold(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float((low[k] + high[k]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, out: int = 0, per_class: int = MAX_PER_CLASS) -> tuple[ToxicityModel, language.LanguageModel]:
-    """Models of the labelled rows whose fold isn't out; a row with a null label, text or id takes no part."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, out: int = 0) -> tuple[ToxicityModel, language.LanguageModel]:
+    """Models of all labelled rows whose fold isn't out; a row with a null label, text or id takes no part."""
     part = fold(F.col("doc_id"), parts)
     lid = language.fit(docs, part != out)
     known = labels.where(part != out).select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)")
-    share = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    chosen = bounded_sample(known, "y", per_class).collect()  # about 2 * per_class ids at most
-    if not chosen:
-        return ToxicityModel(np.zeros((PAD + 1, DIM), np.float32), [], [], np.zeros(0), 0.0, 0.0), lid
-    ids = docs.sparkSession.createDataFrame([(r.doc_id, r.y) for r in chosen], "doc_id long, y int")
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id").select("text", "y", "doc_id")
-    sent = docs.sparkSession.sparkContext.broadcast(lid)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            for c in chunks(batch.column(0), *language.CHUNK):
-                lang = sent.value.decode(language.ngram_counts(c))[0]
-                found = pa.array([d.tobytes() for d in word_ids(c)], pa.binary())
-                yield pa.RecordBatch.from_arrays([found, batch.column(1).slice(c.first, c.n), pa.array(lang), batch.column(2).slice(c.first, c.n)], ["ids", "y", "lang", "doc_id"])
-
-    got = rows.mapInArrow(run, "ids binary, y int, lang long, doc_id long").toPandas().sort_values(["doc_id", "y"])
-    texts = [np.frombuffer(b, np.int32).reshape(-1, KINDS) for b in got["ids"]]
-    y, lang = got["y"].to_numpy(np.int64), got["lang"].to_numpy(np.int64)
-    if len(set(y.tolist())) < 2:
-        return ToxicityModel(np.zeros((PAD + 1, DIM), np.float32), [], [], np.zeros(0), 0.0, float(y.mean()) if len(y) else 0.0), lid
-    order = np.zeros(len(y), np.int64)
-    for t in (0, 1):  # every CALIBRATE-th row of a class is left for the thresholds, if that leaves some to train on
-        own = np.flatnonzero(y == t)
-        order[own] = np.arange(len(own)) % CALIBRATE == CALIBRATE - 1
-    learn, rest = np.flatnonzero(order == 0), np.flatnonzero(order == 1)
-    m = train([texts[i] for i in learn], y[learn])
-    if not len(rest):
-        rest = learn
-    logit = m.logits([texts[i] for i in rest])
-    each = np.array([share[t] / max(1, (y[rest] == t).sum()) for t in (0, 1)])[y[rest]]  # the sample's classes, as in the corpus
-    m.thresholds[""] = threshold(logit, y[rest], each)
+    texts = docs.where(part != out).select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    kept = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(CALIBRATE)) == 0
+    rows = written(texts.join(known, "doc_id").select("text", "y", kept.alias("kept")))
+    count = {(r.kept, r.y): r["count"] for r in rows.groupBy("kept", "y").count().collect()}
+    n = {t: count.get((False, t), 0) for t in (0, 1)}
+    learn, rest = rows.where("not kept"), rows.where("kept")
+    if not all(n.values()) or not all(count.get((True, t)) for t in (0, 1)):  # too few rows to keep some
+        n = {t: n[t] + count.get((True, t), 0) for t in (0, 1)}
+        learn = rest = rows
+    if not all(n.values()):
+        return ToxicityModel(np.zeros((PAD + 1, DIM), np.float32), [], [], np.zeros(0), 0.0, float(n[1] > 0)), lid
+    clean, toxic, whole = _odds(learn, n)
+    m = initial(whole)
+    first, final = embedded(clean, whole), m.embed
+    more = docs.sparkSession.sparkContext.broadcast((embedded(toxic, whole) - first)[:, :KINDS].astype(np.float16))
+    m.embed = first
+    for turn in range(ROUNDS):
+        m = _averaged(learn, m, more, n, turn)
+    m.embed = final + (m.embed - first)
+    logit, y, lang, each = _histogram(rest, m, lid)
+    m.thresholds[""] = threshold(logit, y, each)
     for k, name in enumerate(lid.langs):
-        own = lang[rest] == k
-        if len(set(y[rest][own].tolist())) == 2:
-            m.thresholds[name] = threshold(logit, y[rest], each * np.where(own, 1.0, 0.25))
+        own = lang == k
+        if len(set(y[own].tolist())) == 2:
+            m.thresholds[name] = threshold(logit, y, each * np.where(own, 1.0, 0.25))
     return m, lid
 
 
