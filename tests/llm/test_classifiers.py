@@ -192,3 +192,15 @@ def test_all_rows_are_learnt_from(spark):
     few = docs.where("doc_id < 600 or doc_id = 9999").withColumn("text", language.F.expr("if(doc_id = 9999, repeat('xyzzy ', 50), text)"))
     a, b = (language.fit(few.where(where), language.F.lit(True)) for where in ("true", "doc_id <> 9999"))
     assert not np.array_equal(a.weight, b.weight)
+
+
+def test_toxicity_moves_few_texts_to_their_labels(spark):
+    texts = ["", "mañana " * 300, *("some words of text %d" % i for i in range(2, 3000))]
+    docs = spark.createDataFrame([(i * 7919, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    known = docs.where("doc_id % 10 = 0").selectExpr("doc_id", "1 as y")
+    rows = toxicity.packed(docs, known)
+    assert rows.count() < 330  # of 3000, of which 300 have a label
+    batches = rows.join(known, "doc_id").select("packed", "size", "y", "doc_id").toArrow().to_batches()
+    got = {k: t for b in batches for k, t in zip(b["doc_id"].to_pylist(), toxicity.unpacked(b)["text"].to_pylist(), strict=True)}
+    assert got == {i * 7919: t for i, t in enumerate(texts) if i * 7919 % 10 == 0}
+    assert toxicity.packed(docs, known.selectExpr("cast(doc_id as int) doc_id", "y")).count() == 3000

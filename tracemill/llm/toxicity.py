@@ -44,6 +44,8 @@ BLOCK = 2000  # rows that a task holds at once
 BATCH = 32
 BIN = 1 / 64  # of a logit, in the histograms
 PRIOR = 10.0  # weight of the class share in a word's log-odds
+SPOT_BITS = 26  # of the filter that tells most unlabelled rows apart: 8 MB, whatever the number of rows; with more of those more pass it
+CODEC = "zstd"  # of texts on their way to their labels
 
 
 def word_ids(c: Chunk) -> list[np.ndarray]:
@@ -146,7 +148,10 @@ def log_odds(pos: np.ndarray, neg: np.ndarray, r: float) -> np.ndarray:
 
 def embedded(odds: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Embeddings with log-odds, and random numbers in the other components where known has odds."""
-    embed = np.where((known != 0).any(1)[:, None], np.random.default_rng(12).normal(0, 0.05, (PAD + 1, DIM)), 0).astype(np.float32)
+    rng, embed = np.random.default_rng(12), np.zeros((PAD + 1, DIM), np.float32)
+    for i in range(0, PAD + 1, 1 << 14):  # no array of doubles as large
+        embed[i : i + (1 << 14)] = rng.normal(0, 0.05, embed[i : i + (1 << 14)].shape)
+    embed[~(known != 0).any(1)] = 0
     embed[:, :KINDS] = np.clip(odds, -1, 4)
     embed[PAD] = 0
     return embed
@@ -230,11 +235,48 @@ def train(m: ToxicityModel, docs: list[np.ndarray], y: np.ndarray, times: int, r
 
 
 def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, pa.RecordBatch, list[np.ndarray]]]:
-    for batch in slices(batches):
+    for batch in map(unpacked, slices(batches)):
         for c in chunks(batch.column(0), *language.CHUNK):
             yield c, batch, word_ids(c)
 
 
+def unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(packed, size, y) -> (text, y)."""
+    texts = [pa.decompress(x.as_buffer(), n, CODEC).to_pybytes() if n else b"" for x, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(texts, pa.large_binary()).view(pa.large_string()), batch.column(2)], ["text", "y"])
+
+
+def _spots(key: Column) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(f"spot {i}")), F.lit(1 << SPOT_BITS)) for i in range(2)]
+
+
+def packed(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, packed, size: texts (doc_id, text), compressed, without most of those whose doc_id isn't in known.
+
+    Texts are shuffled to their labels, so few others should be: a Bloom filter of the ids in known is sent to the tasks. None
+    that is in known is lost by it; of the others the join with known drops what is left. Where the ids are of different types none is dropped.
+    """
+    spot = F.explode(F.array(*_spots(F.col("doc_id")))).alias("spot")
+    one = F.expr("shiftleft(1L, cast(spot & 63 as int))")
+    got = known.select(spot).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()  # at most 2^20 rows
+    words = np.zeros(1 << (SPOT_BITS - 6), np.int64)
+    words[got["word"].to_numpy()] = got["bits"].to_numpy()
+    if texts.schema["doc_id"].dataType != known.schema["doc_id"].dataType:
+        words[:] = -1
+    sent = texts.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, codec = sent.value, pa.Codec(CODEC)
+        for batch in batches:
+            spots = [batch.column(i).to_numpy() for i in (2, 3)]
+            batch = batch.filter(pa.array(np.logical_and(*(words[s >> 6] >> (s & 63) & 1 == 1 for s in spots))))
+            raw = [x.as_buffer() for x in batch.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary()), pa.array([x.size for x in raw], pa.int64())], ["doc_id", "packed", "size"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", "text", *_spots(F.col("doc_id"))).mapInArrow(run, f"doc_id {kind}, packed binary, size long")
+
+
 def _odds(learn: DataFrame, n: dict[int, int]) -> list[np.ndarray]:
     """Log-odds of all rows, bucket x kind: as a clean row sees them that doesn't count itself, a toxic one, and one that isn't among them. Each task sends what it counted once."""
     size = KINDS * (PAD + 1)
@@ -247,11 +289,15 @@ def _odds(learn: DataFrame, n: dict[int, int]) -> list[np.ndarray]:
         at = np.flatnonzero(seen.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[1, at]), pa.array(seen[0, at])], ["at", "pos", "neg"])
 
-    got = learn.select("text", "y").mapInArrow(run, "at long, pos long, neg long").groupBy("at").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas()  # at most a row for each bucket and kind
-    both = np.zeros((2, size))
-    both[:, got["at"].to_numpy()] = got["pos"].to_numpy(), got["neg"].to_numpy()
-    less = [(both[0], np.maximum(both[1] - 1, 0)), (np.maximum(both[0] - 1, 0), both[1]), (both[0], both[1])]
-    return [log_odds(pos, neg, n[1] / (n[0] + n[1])).reshape(KINDS, PAD + 1).T for pos, neg in less]
+    got = learn.select("packed", "size", "y").mapInArrow(run, "at long, pos long, neg long").groupBy("at").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()  # at most a row for each bucket and kind
+    at, pos, neg = (got[c].to_numpy() for c in ("at", "pos", "neg"))
+
+    def spread(pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+        odds = np.zeros(size, np.float32)
+        odds[at] = log_odds(pos, neg, n[1] / (n[0] + n[1]))
+        return odds.reshape(KINDS, PAD + 1).T
+
+    return [spread(pos, np.maximum(neg - 1, 0)), spread(np.maximum(pos - 1, 0), neg), spread(pos, neg)]
 
 
 def _averaged(learn: DataFrame, m: ToxicityModel, more: Broadcast, n: dict[int, int], turn: int) -> ToxicityModel:
@@ -293,9 +339,11 @@ def _averaged(learn: DataFrame, m: ToxicityModel, more: Broadcast, n: dict[int,
             values = np.concatenate((every, own.embed[touched] - sent.value.embed[touched])) * rows
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), rows)), *(pa.array(x.astype(np.float32)) for x in values.T)], ["at", "n", *columns])
 
-    got = learn.select("text", "y").mapInArrow(run, ", ".join(["at long", "n long", *(f"{c} float" for c in columns)]))
-    got = got.groupBy("at").agg(*((F.sum(c) / F.sum("n")).cast("float").alias(c) for c in columns)).toPandas().sort_values("at")
-    at, values = got["at"].to_numpy(), got[columns].to_numpy()
+    got = learn.select("packed", "size", "y").mapInArrow(run, ", ".join(["at long", "n long", *(f"{c} float" for c in columns)]))
+    got = got.groupBy("at").agg(*((F.sum(c) / F.sum("n")).cast("float").alias(c) for c in columns)).toArrow()
+    at = got["at"].to_numpy()
+    order = np.argsort(at)
+    at, values = at[order], np.column_stack([got[c].to_numpy() for c in columns])[order]
     w = weights(m)
     mean = with_weights(m, values[at < 0][::-1].ravel()[: len(w)].astype(np.float64))
     mean.embed = m.embed.copy()
@@ -315,8 +363,8 @@ def _histogram(rest: DataFrame, m: ToxicityModel, lid: language.LanguageModel) -
             lang = lid.decode(language.ngram_counts(c))[0]
             yield pa.RecordBatch.from_arrays([pa.array(bins), batch.column(1).slice(c.first, c.n), pa.array(lang)], ["bin", "y", "lang"])
 
-    got = rest.select("text", "y").mapInArrow(run, "bin long, y int, lang long").groupBy("lang", "y", "bin").count().toPandas().sort_values(["lang", "y", "bin"])
-    return got["bin"].to_numpy() * BIN, got["y"].to_numpy(), got["lang"].to_numpy(), got["count"].to_numpy(np.float64)
+    got = rest.select("packed", "size", "y").mapInArrow(run, "bin long, y int, lang long").groupBy("lang", "y", "bin").count().toArrow().sort_by([(c, "ascending") for c in ("lang", "y", "bin")])
+    return got["bin"].to_numpy() * BIN, got["y"].to_numpy(), got["lang"].to_numpy(), got["count"].to_numpy().astype(np.float64)
 
 
 def threshold(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
@@ -338,7 +386,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5
     known = labels.where(part != out).select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)")
     texts = docs.where(part != out).select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
     kept = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(CALIBRATE)) == 0
-    rows = written(texts.join(known, "doc_id").select("text", "y", kept.alias("kept")))
+    rows = written(packed(texts, known).join(known, "doc_id").select("packed", "size", "y", kept.alias("kept")))
     count = {(r.kept, r.y): r["count"] for r in rows.groupBy("kept", "y").count().collect()}
     n = {t: count.get((False, t), 0) for t in (0, 1)}
     learn, rest = rows.where("not kept"), rows.where("kept")
@@ -352,6 +400,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5
     first, final = embedded(clean, whole), m.embed
     more = docs.sparkSession.sparkContext.broadcast((embedded(toxic, whole) - first)[:, :KINDS].astype(np.float16))
     m.embed = first
+    del clean, toxic, whole
     for turn in range(ROUNDS):
         m = _averaged(learn, m, more, n, turn)
     m.embed = final + (m.embed - first)
