@@ -467,3 +467,38 @@ def test_formats_of_points_without(spark, tmp_path):
     c, d = ([(x["num"], x["dbl"], x["blob"]) for r in store.get_trace(0).collect() for x in r.vars if x["type"] == t] for t in "cd")
     assert c == [(None, 1.0, None), (None, 0.5, None)] and d == [(None, None, b"2"), (None, None, b"x")]
     assert store.query(0, ["x"], [["a"]], ("<", ("v/value", "x"), 0), dedup=None).count() == 1
+
+
+def test_files_as_columns():
+    """As codec has them, without its objects."""
+    from decimal import Decimal
+
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from tracemill.plans import schema as S
+    from tracemill.sources import columnar
+
+    point = codec.Point
+    traces = [sample(), [point()], sample()[3:5] + [point(None, [], [codec.Variable("int", "n", "UNSIGNED", 3, 2**24 - 1)], [2**64 - 1])], [point(2**64 - 1, [(2**64 - 1, 1)] * 2, [codec.Variable("ñ", "int", "SIGNED", 8, -(2**63))])]]
+    number = lambda v: Decimal(v.value) if v.format not in ("FLOAT", "BLOB") else None
+    signed = lambda n: None if n is None else n - (1 << 64) if n >> 63 else n
+
+    def row(p, c):
+        held = [{"pos": i, "name": v.name, "type": v.type, "format": v.format, "size": v.size, "num": number(v), "dbl": v.value if v.format == "FLOAT" else None, "blob": v.value if v.format == "BLOB" else None, "buffer_size": None} for i, v in enumerate(p.vars)]
+        return {"trace_id": 1, "counter": c, "statement": signed(p.statement), "sizes": [{"address": Decimal(a), "size": Decimal(s)} for a, s in p.sizes], "vars": held, "aux": [signed(a) for a in p.aux]}
+
+    rows = [row(p, i) for t in traces for i, p in enumerate(t)]
+    batch = pa.RecordBatch.from_pylist([rows[0], *rows], to_arrow_schema(S.POINTS)).slice(1)
+    data = columnar.encode(batch, np.repeat(np.arange(4), [len(t) for t in traces]))
+    assert data == [codec.encode(t) for t in traces]
+    shape = to_arrow_schema(files.DECODED)
+    got = columnar.decode(list("abcd"), data, [None] * 4, shape, False)
+    assert got.to_pylist() == [{"source": s} | {k: x for k, x in r.items() if k != "trace_id"} | {"error": None} for s, r in zip("a" * 10 + "b" + "ccc" + "d", rows, strict=True)]
+    empty = codec.encode([])
+    assert columnar.decode(["a", "b"], [empty, bytes(8)], [None, None], shape, True).num_rows == 0
+    for bad in (data[0] + b"\x07", data[0][:-1], data[0][:20], b""):  # left to codec
+        assert columnar.decode(["a", "b"], [data[1], bad], [None, None], shape, False) is None
+    assert columnar.decode(["a"], [data[0]], [None], shape, True) is None  # its pointers need sizes
+    rows[0]["vars"][0]["num"] = Decimal(2**31)
+    assert columnar.encode(pa.RecordBatch.from_pylist(rows[:1], to_arrow_schema(S.POINTS)), np.zeros(1, int)) is None

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracemill.plans import schema as S
-from tracemill.sources import codec
+from tracemill.sources import codec, columnar
 
 ON_ERROR = ("raise", "skip", "keep")
 DECODED = T.StructType([T.StructField("source", T.StringType()), *S.POINTS.fields[1:], T.StructField("error", T.StringType())])
@@ -20,6 +22,7 @@ _TYPE = T.StructType([T.StructField("type_name", T.StringType()), T.StructField(
 HEADED = T.StructType([*DECODED.fields, T.StructField("types", T.ArrayType(_TYPE))])
 CHUNK = 10_000  # points in a file
 BATCH = 2000  # points handed on together
+TOGETHER = 1 << 21  # bytes of small files that are decoded together
 
 
 def _row(source: str, counter: int, p: codec.Point) -> dict:
@@ -83,18 +86,39 @@ def decoded(
         for i, p in enumerate(points):
             yield _row(path, counters[i] if counters else i, p)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one_by_one(group: list[tuple]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
+        for file in group:
+            for r in points_of(*file):
+                rows.append(r)
+                if len(rows) >= BATCH:
+                    yield pa.RecordBatch.from_pylist(rows, arrow)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    def together(group: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """The files as columns; those that aren't regular one by one."""
+        found = columnar.decode(*(list(x) for x in zip(*group, strict=True)), arrow, memory_map)
+        if found is not None:
+            yield found
+        elif len(group) == 1:
+            yield from one_by_one(group)
+        else:
+            yield from together(group[: len(group) // 2])
+            yield from together(group[len(group) // 2 :])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = format == "binary" and not max_points and not headers
         for b in batches:
+            group, size = [], 0
             for i in range(b.num_rows):
                 path, data, *counters = (c[i].as_py() for c in b.columns)
-                for r in points_of(path, data, counters[0] if counters else None):
-                    rows.append(r)
-                    if len(rows) >= BATCH:
-                        yield pa.RecordBatch.from_pylist(rows, arrow)
-                        rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, arrow)
+                group.append((path, data, counters[0] if counters else None))
+                size += len(data)
+                if size >= TOGETHER or i == b.num_rows - 1:
+                    yield from together(group) if plain else one_by_one(group)
+                    group, size = [], 0
 
     return files.select("path", "content", *(["counters"] if numbered else [])).mapInArrow(run, shape)
 
@@ -121,14 +145,40 @@ def encoded(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
         statement = None if r["statement"] is None else r["statement"] % (1 << 64)
         return codec.Point(statement, [(int(s["address"]), int(s["size"])) for s in r["sizes"] or ()], vars_, [a % (1 << 64) for a in r["aux"] or ()])
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("counter")
-        data = codec.encode(point(r) for b in table.to_batches(BATCH) for r in b.to_pylist())
-        counters = pa.array([table.column("counter").to_pylist()], pa.list_(pa.int64()))
-        return pa.table({"trace_id": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int64()), "counters": counters, "content": pa.array([data], pa.binary())})
+    def files(table: pa.Table, begins: np.ndarray) -> pa.RecordBatch:
+        """Files whose points begin at these rows."""
+        rows = table.combine_chunks().to_batches()[0]
+        ends = np.append(begins[1:], rows.num_rows)
+        data = columnar.encode(rows, np.repeat(np.arange(len(begins)), ends - begins))
+        if data is None:
+            data = [codec.encode(point(r) for b in pa.Table.from_batches([rows.slice(a, z - a)]).to_batches(BATCH) for r in b.to_pylist()) for a, z in zip(begins.tolist(), ends.tolist(), strict=True)]
+        keys = [rows.column(c).take(pa.array(begins)) for c in ("trace_id", "part")]
+        counters = pa.ListArray.from_arrays(pa.array(np.append(begins, rows.num_rows), pa.int32()), rows.column("counter"))
+        return pa.RecordBatch.from_arrays([*keys, counters, pa.array(data, pa.binary())], ["trace_id", "part", "counters", "content"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: pa.Table | None = None  # the points of a file that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if left is None else pa.concat_tables([left, table])
+            change = np.zeros(table.num_rows, bool)
+            change[0] = True
+            for c in ("trace_id", "part"):
+                x = table.column(c)
+                value, null = pc.fill_null(x, 0).to_numpy(), x.is_null().to_numpy()
+                change[1:] |= (value[1:] != value[:-1]) | (null[1:] != null[:-1])
+            begins = np.flatnonzero(change)
+            if len(begins) > 1:
+                yield files(table.slice(0, begins[-1]), begins[:-1])
+            left = table.slice(begins[-1])
+        if left is not None:
+            yield files(left, np.zeros(1, np.int64))
 
     rows = points.withColumn("part", F.floor(F.col("counter") / chunk).cast("long"))
-    return rows.groupBy("trace_id", "part").applyInArrow(run, "trace_id long, part long, counters array<long>, content binary")
+    sorted_ = rows.repartition("trace_id", "part").sortWithinPartitions("trace_id", "part", "counter")
+    return sorted_.mapInArrow(run, "trace_id long, part long, counters array<long>, content binary")
 
 
 def round_trip(points: DataFrame) -> DataFrame:
