@@ -440,3 +440,23 @@ def test_dictionaries(spark, monkeypatch, group):
         assert short.selectExpr("explode(vars) as v").where("v.name_idx is null or v.type_idx is null").count() == 0
         back = dictionary.decoded(short, n, k)
         assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
+def test_first_seen_hashes_variables(spark):
+    """What is sorted is one row for each name and position, not each variable."""
+    points = spark.range(600).selectExpr("id % 3 trace_id", "if(id = 599, null, 600 - id) counter", "transform(array(id % 7, id % 5, id % 7), (x, i) -> struct(i pos, concat('n', x) name)) vars")
+    seen = dictionary.first_seen(points, F.col("v.name").alias("name"))
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 2
+    old = points.select("trace_id", "counter", F.explode("vars").alias("v")).groupBy("trace_id", "v.name").agg(F.min(F.struct(F.coalesce("counter", F.lit(-1 << 63)), "v.pos")).alias("first"))
+    assert sorted(map(tuple, seen.collect())) == sorted(map(tuple, old.collect()))
+
+
+def test_events_with_given_variables(spark):
+    """So that a query with variables of its own need not join the events to themselves."""
+    from tracemill.sources.adapters import events_as_points, variable
+
+    events = spark.createDataFrame([(1, 7, "click", 0.5, '{"k": 3}'), (1, 8, None, None, None)], "event_id long, user_id long, event_type string, value double, props string")
+    points = events_as_points(events, F.array(variable(0, "id", "id", "SIGNED", 8, F.col("user_id") * 10)))
+    assert sorted((r.trace_id, int(r.vars[0].num), len(r.vars)) for r in points.collect()) == [(7, 70, 1), (8, 80, 1)]
+    assert "Join" not in points._jdf.queryExecution().executedPlan().toString()

@@ -20,7 +20,7 @@ VALUES = ("pos", "num", "dbl", "blob", "buffer_size")  # what an encoded variabl
 
 def ranked(rows: DataFrame, by: str, order: list[str], group: int = 0) -> DataFrame:
     """rows with index, the place of each among those of the same value of by, in order. No task ranks the rows of one value alone."""
-    keys = [by, *order]
+    keys, rows = [by, *order], written(rows)  # it is counted, sampled and sorted
     sorted_ = rows.repartitionByRange(max(1, math.ceil(rows.count() / (group or GROUP))), *keys).sortWithinPartitions(*keys)
     placed = written(sorted_.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at")))
     counts = placed.groupBy("__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
@@ -28,23 +28,29 @@ def ranked(rows: DataFrame, by: str, order: list[str], group: int = 0) -> DataFr
     placed = placed.join(F.broadcast(counts.select("__part", (before - F.col("__first")).alias("__shift"))), "__part")  # a row for each partition
     placed = placed.withColumn("__place", F.col("__at") + F.col("__shift"))
     starts = placed.groupBy(by).agg(F.min("__place").alias("__start"))
-    return placed.join(starts, by).select(*rows.columns, (F.col("__place") - F.col("__start")).cast("int").alias("index"))
+    return written(placed.join(starts, by).select(*rows.columns, (F.col("__place") - F.col("__start")).cast("int").alias("index")))
 
 
-def _seen(points: DataFrame, *keys: Column) -> DataFrame:
-    each = points.select("trace_id", "counter", F.explode("vars").alias("v"))
-    return each.groupBy("trace_id", *keys).agg(F.min(F.struct("counter", "v.pos")).alias("first"))
+def first_seen(points: DataFrame, *keys: Column) -> DataFrame:
+    """trace_id, keys (of a variable v), first: the least counter and position of each in a trace.
+
+    The least of structs would be found by sorting all variables; the least counter of each position is found by hashing, and leaves few.
+    """
+    each = points.select("trace_id", F.coalesce("counter", F.lit(-1 << 63)).alias("counter"), F.explode("vars").alias("v"))  # null is before all
+    least = each.groupBy("trace_id", *keys, F.col("v.pos").alias("__pos")).agg(F.min("counter").alias("__counter"))
+    names_ = [c for c in least.columns if c not in ("trace_id", "__pos", "__counter")]
+    return least.groupBy("trace_id", *names_).agg(F.min(F.struct(F.col("__counter").alias("counter"), F.col("__pos").alias("pos"))).alias("first"))
 
 
 def names(points: DataFrame, group: int = 0) -> DataFrame:
     """trace_id, index, name: the names of each trace in order of first sight."""
-    seen = _seen(points, F.col("v.name").alias("name"))
+    seen = first_seen(points, F.col("v.name").alias("name"))
     return ranked(seen, "trace_id", ["first", "name"], group).select("trace_id", "index", "name")
 
 
 def types(points: DataFrame, group: int = 0) -> DataFrame:
     """trace_id, index, type, format, size: the types of each trace, told apart by all three, in order of first sight."""
-    seen = _seen(points, *(F.col(f"v.{c}").alias(c) for c in ("type", "format", "size")))
+    seen = first_seen(points, *(F.col(f"v.{c}").alias(c) for c in ("type", "format", "size")))
     return ranked(seen, "trace_id", ["first", "type", "format", "size"], group).select("trace_id", "index", "type", "format", "size")
 
 
