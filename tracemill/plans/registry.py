@@ -467,7 +467,7 @@ def inferred_load(spark, sf_dir):
         bare(3, "any", F.when(~fifth & ~seventh, k), F.when(fifth & ~seventh, F.col("value")), F.when(seventh, F.col("event_type"))),
     )
     store = TraceStore.create(spark, scratch_dir(spark))
-    store.add_points(events_as_points(events).join(events.select(F.col("event_id").alias("counter"), held.alias("held")), "counter").select("trace_id", "counter", "statement", "sizes", F.col("held").alias("vars"), "aux"), infer=True)
+    store.add_points(events_as_points(events, held), infer=True)
     return store.types().groupBy("type_name", "format", "size").agg(F.count("*").alias("traces"))
 
 

@@ -30,8 +30,8 @@ def variable(pos: int, name: str, type_name: str, format_: str, size: int, value
     )
 
 
-def events_as_points(events: DataFrame) -> DataFrame:
-    """A trace per user, a point per event: the table's columns as variables of several types.
+def events_as_points(events: DataFrame, held: Column | None = None) -> DataFrame:
+    """A trace per user, a point per event: the table's columns as variables of several types, or held, an array of VAR, in their place.
 
     A sign-up allocates 64 + k bytes at 4096 * (event_id % 4), an error frees what is there.
     """
@@ -46,7 +46,7 @@ def events_as_points(events: DataFrame) -> DataFrame:
         F.col("event_id").alias("counter"),
         S.encode_statement(file_, F.col("event_id") % 16).alias("statement"),
         sizes.alias("sizes"),
-        F.array(
+        (F.array(
             variable(0, "k", "int", "SIGNED", 4, k),
             variable(1, "nk", "int", "SIGNED", 4, -k),
             variable(2, "value", "double", "FLOAT", 8, F.col("value")),
@@ -55,7 +55,7 @@ def events_as_points(events: DataFrame) -> DataFrame:
             variable(5, "big", "int64_t", "SIGNED", 8, F.lit(Decimal((1 << 63) - 1)).cast(S.NUM) - big),
             variable(6, "ubig", "uint64_t", "UNSIGNED", 8, F.lit(Decimal((1 << 64) - 1)).cast(S.NUM) - big),
             variable(7, "p", "*void", "POINTER", 8, address + k),
-        ).alias("vars"),
+        ) if held is None else held).alias("vars"),
         F.array(F.col("event_id") * 100).alias("aux"),
     )
 

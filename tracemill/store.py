@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.operators import binding
+from tracemill.operators.dictionary import first_seen
 from tracemill.plans import schema as S
 from tracemill.scratch import written
 from tracemill.sources import files
@@ -138,11 +139,10 @@ class TraceStore:
 
         infer gives variables without a format that of all values of their type in the trace.
         """
-        points = with_formats(points) if infer else points
         load, base = self._load()
         ids = written(numbered(points.select("trace_id").distinct(), "trace_id", base))
-        place = F.struct("counter", "v.pos")
-        seen = points.select("trace_id", "counter", F.explode("vars").alias("v")).groupBy("trace_id", F.col("v.type").alias("type_name"), F.col("v.format").alias("format"), F.col("v.size").alias("size")).agg(F.min(place).alias("first"))
+        points = with_formats(points) if infer else points
+        seen = first_seen(points, F.col("v.type").alias("type_name"), F.col("v.format").alias("format"), F.col("v.size").alias("size"))
         index = F.row_number().over(Window.partitionBy("trace_id").orderBy("first", "type_name", "format", "size")) - 1
         types = seen.select("trace_id", index.cast("int").alias("type_idx"), "type_name", "format", "size")
         self._append(points, types, ids, "trace_id", load, base, F.lit(source), metadata)
